@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from meterloom.llm import mixing, pii, repetition, tokencount
+from meterloom.llm import idstore, mixing, pii, repetition, simhash, tokencount
 from meterloom.llm.common import table
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -14,6 +18,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op8_id_store(spark, sf_dir):
+    return idstore.stored(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_near_duplicates": op1_near_duplicates, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql():
