@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import idstore, mixing, pii, repetition, simhash, tokencount
+from meterloom.llm import chat, idstore, mixing, pii, repetition, simhash, tokencount, warc
 from meterloom.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op6_chat(spark, sf_dir):
+    return chat.digests(chat.format_turns(chat.with_hostile(table(spark, sf_dir, "conversations"))))
+
+
+def op7_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op8_id_store(spark, sf_dir):
     return idstore.stored(table(spark, sf_dir, "documents"))
 
@@ -31,7 +39,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_near_duplicates": op1_near_duplicates, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_near_duplicates": op1_near_duplicates, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql():
