@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import chat, idstore, mixing, pii, repetition, simhash, tokencount, warc
+from meterloom.llm import chat, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
 from meterloom.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark, sf_dir):
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_near_duplicates": op1_near_duplicates, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_near_duplicates": op1_near_duplicates, "op2_main_text": op2_main_text, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql():
