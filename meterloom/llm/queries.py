@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from meterloom.llm import chat, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
+import corpus_pipeline
+from meterloom.llm import chat, decontam, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
 from meterloom.llm.common import table
 
 
@@ -22,6 +23,10 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_chat(spark, sf_dir):
     return chat.digests(chat.format_turns(chat.with_hostile(table(spark, sf_dir, "conversations"))))
 
@@ -43,7 +48,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_main_text": op2_main_text, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality}
+    return {"op1_near_duplicates": op1_near_duplicates, "op2_main_text": op2_main_text, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
