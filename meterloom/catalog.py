@@ -2,10 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meterloom.operators import facts, pricing, reports
+from meterloom.plans import oracles
+from meterloom.plans.bridge import PRIOR, RECENT, SINCE, fact
 
-def oracle_sql() -> dict:
-    return {}
+
+class Facts:
+    """The fact tables of one data folder, lazily; ``cube`` and ``sessions`` are what most questions rest on."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def read(self, name: str) -> DataFrame:
+        return fact(self.spark, self.sf_dir, name)
+
+    @property
+    def usage(self) -> DataFrame:
+        return facts.window(self.read("usage_record"), SINCE)
+
+    @property
+    def labels(self) -> DataFrame:
+        return self.read("session_label")
+
+    @property
+    def steps(self) -> DataFrame:
+        return self.read("session_step")
+
+    @property
+    def prices(self) -> DataFrame:
+        return pricing.prices(self.spark)
+
+    @property
+    def cube(self) -> DataFrame:
+        return facts.priced_cube(self.usage, self.prices)
+
+    @property
+    def labelled_cube(self) -> DataFrame:
+        return facts.priced_cube(facts.labelled(self.usage, self.labels), self.prices, ("task", "outcome", "difficulty"))
+
+    @property
+    def sessions(self) -> DataFrame:
+        return facts.sessions(self.usage, self.labels)
+
+
+def _top_project(x: Facts) -> DataFrame:
+    """The drill into the project with most lines: its effectiveness by tool."""
+    cube = x.cube
+    top = cube.where("project <> ''").groupBy("project").agg(F.sum("lines_added").alias("lines")).orderBy(F.desc("lines"), "project").limit(1)
+    return reports.effectiveness(cube.join(top.select("project"), "project", "left_semi"), "tool")
+
+
+def _core() -> dict[str, Callable[[Facts], DataFrame]]:
+    six = lambda df, c: df.withColumn(c, F.round(c, 6))
+    out = {
+        "usage_cube": lambda x: facts.cube(x.usage),
+        "usage_by_label": lambda x: facts.cube(facts.labelled(x.usage, x.labels), ("task", "outcome", "difficulty")),
+        "label_filter_usage": lambda x: facts.cube(facts.with_label(x.usage, x.labels, task="bugfix")),
+        "sessions": lambda x: six(x.sessions, "active_minutes"),
+        "active_minutes": lambda x: six(facts.active_minutes(x.usage), "active_minutes"),
+        "delegation": lambda x: facts.delegation(x.usage),
+        "attribution_skill": lambda x: facts.attribution(x.usage, "skill"),
+        "attribution_agent": lambda x: facts.attribution(x.usage, "agent"),
+        "turn_sizing": lambda x: facts.turn_sizing(x.usage),
+        "cache_misses": lambda x: facts.cache_misses(x.usage),
+        "subpaths": lambda x: facts.subpaths(x.usage, "proj-1"),
+        "session_signals": lambda x: facts.session_signals(x.usage),
+        "session_latest": lambda x: facts.latest_session(x.usage),
+        "session_prefix": lambda x: facts.matching_sessions(x.usage, "s1"),
+        "history": lambda x: facts.history(x.read("usage_record")),
+        "step_horizon": lambda x: facts.step_horizon(x.steps),
+        "movers_project": lambda x: reports.movers(x.cube, "project", RECENT, PRIOR),
+        "movers_tool": lambda x: reports.movers(x.cube, "tool", RECENT, PRIOR),
+        "insights_hot": lambda x: reports.hot(x.cube, RECENT),
+        "insights_going_stale": lambda x: reports.going_stale(x.cube, RECENT),
+        "insights_dormant_tools": lambda x: reports.dormant_tools(x.cube, RECENT),
+        "inventory": lambda x: reports.inventory(x.cube),
+        "churn": lambda x: reports.churn(x.cube),
+        "unpriced_models": lambda x: reports.unpriced_models(x.cube),
+        "check_totals": lambda x: reports.check(x.cube, 1_000_000, 1_000_000.0),
+        "session_stats": lambda x: reports.session_stats(x.sessions),
+        "signal_coverage": lambda x: reports.signal_coverage(x.cube),
+        "team": lambda x: reports.team(x.cube, x.sessions),
+        "tokens_per_day": lambda x: reports.tokens_per_day(x.cube),
+        "tool_shares": lambda x: reports.tool_shares(x.cube),
+        "totals_by_model": lambda x: reports.totals_by(x.cube, "model"),
+        "totals_by_project": lambda x: reports.totals_by(x.cube, "project"),
+        "price_normalise": lambda x: x.read("usage_record").select("model").distinct().withColumn("plain_model", pricing.normalized(F.col("model"))),
+        "drill_project": _top_project,
+    }
+    for by in ("day", "project", "tool", "model", "entrypoint"):
+        out[f"report_by_{by}"] = lambda x, by=by: reports.report(x.cube, by)
+        out[f"effectiveness_by_{by}"] = lambda x, by=by: reports.effectiveness(x.cube, by)
+    for by in ("task", "outcome", "difficulty"):
+        out[f"report_by_{by}"] = lambda x, by=by: reports.report(x.labelled_cube, by)
+    return out
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in _core().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.core()
