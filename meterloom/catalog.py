@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.operators import facts, pricing, reports
-from meterloom.plans import oracles
-from meterloom.plans.bridge import PRIOR, RECENT, SINCE, fact
+from meterloom.operators import facts, metrics, pricing, reports, sequences
+from meterloom.plans import metric_oracles, oracles
+from meterloom.plans.bridge import NOW, PRIOR, RECENT, SINCE, fact
+
+
+class Bounds(NamedTuple):
+    """The window that metrics look at; never the wall clock."""
+
+    now: str = NOW
+    since: str = SINCE
+    recent: str = RECENT
+    prior: str = PRIOR
 
 
 class Facts:
@@ -103,9 +113,29 @@ def _core() -> dict[str, Callable[[Facts], DataFrame]]:
     return out
 
 
+def _sequences() -> dict[str, Callable[[Facts], DataFrame]]:
+    def interactive(x: Facts) -> DataFrame:
+        return sequences.scoped(x.steps, x.sessions).where("scope = 'interactive'")
+
+    return {
+        "repeat_edits": lambda x: sequences.repeat_edits(interactive(x)),
+        "edit_loop_outliers": lambda x: sequences.edit_loops(sequences.repeat_edits(interactive(x))),
+        "aftermath": lambda x: sequences.aftermath(interactive(x)),
+        "sequence_endings": lambda x: sequences.endings(interactive(x), x.steps),
+        "sequence_scope": lambda x: sequences.scopes(x.steps, x.sessions),
+    }
+
+
+def _metrics() -> dict[str, Callable[[Facts], DataFrame]]:
+    out = {f"metric_{name}": lambda x, metric=metric: metric(x, Bounds()) for name, metric in metrics.METRICS.items()}
+    out["confidence_axes"] = lambda x: metrics.verdicts(x, Bounds())
+    out["ranking"] = lambda x: metrics.ranking(metrics.verdicts(x, Bounds()))
+    return out
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in _core().items()}
+    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.core()
+    return oracles.core() | metric_oracles.metrics()

@@ -30,7 +30,7 @@ def report(cube: DataFrame, by: str) -> DataFrame:
         kinds = F.countDistinct("granularity")
         out = rows.groupBy("name").agg(F.when(kinds > 1, "mixed").otherwise(F.max("granularity")).alias("granularity"), *(F.sum(c).alias(c) for c in numbers), F.sum("cost").alias("cost"))
     fresh = F.col("input_tokens") + F.col("cache_read_tokens")
-    return out.withColumn("cache_eff", F.round(F.when(fresh != 0, F.col("cache_read_tokens") / fresh), 6)).withColumn("cost", F.round("cost", 6))
+    return out.withColumn("cache_eff", F.round(F.when(fresh != 0, F.col("cache_read_tokens") / fresh), 6)).withColumn("cost", F.round("cost", 9))
 
 
 def per_100_lines(cost: Column, lines: Column) -> Column:
@@ -42,7 +42,7 @@ def effectiveness(cube: DataFrame, by: str) -> DataFrame:
     capable = F.col("tool").isin(LINE_TOOLS)
     out = cube.withColumn("name", dimension(by)).groupBy("name").agg(*(F.sum(c).alias(c) for c in ("lines_added", "lines_removed", "edits", "tool_calls", "rejected", "tokens", "unpriced_tokens")), F.sum("cost").alias("cost"), F.max(F.when(F.col("cost").isNull(), 1).otherwise(0)).alias("has_unpriced"), F.max(capable.cast("int")).alias("line_capable"))
     ratio = F.when(F.col("line_capable") == 1, per_100_lines(F.col("cost"), F.col("lines_added")))
-    return out.withColumn("cost_per_100_lines", F.round(ratio, 6)).withColumn("cost", F.round("cost", 6))
+    return out.withColumn("cost_per_100_lines", F.round(ratio, 6)).withColumn("cost", F.round("cost", 9))
 
 
 def movers(cube: DataFrame, by: str, recent: str, prior: str) -> DataFrame:
@@ -51,12 +51,12 @@ def movers(cube: DataFrame, by: str, recent: str, prior: str) -> DataFrame:
     then = (F.col("day") >= prior) & ~now
     side = lambda when, c, name: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias(name)
     out = cube.where(F.col("day") >= prior).withColumn("name", dimension("project" if by == "day" else by)).groupBy("name").agg(side(now, "cost", "cost_now"), side(then, "cost", "cost_prior"), side(now, "lines_added", "lines_now"), side(then, "lines_added", "lines_prior"), side(now, "tokens", "tokens_now"), side(then, "tokens", "tokens_prior"), side(now, "unpriced_tokens", "unpriced_now"), side(then, "unpriced_tokens", "unpriced_prior"))
-    return out.select("name", F.round(F.col("cost_now") - F.col("cost_prior"), 6).alias("delta_cost"), (F.col("lines_now") - F.col("lines_prior")).alias("delta_lines"), F.round("cost_now", 6).alias("cost_now"), F.round("cost_prior", 6).alias("cost_prior"), "lines_now", "lines_prior", "tokens_now", "tokens_prior", "unpriced_now", "unpriced_prior")
+    return out.select("name", F.round(F.col("cost_now") - F.col("cost_prior"), 9).alias("delta_cost"), (F.col("lines_now") - F.col("lines_prior")).alias("delta_lines"), F.round("cost_now", 9).alias("cost_now"), F.round("cost_prior", 9).alias("cost_prior"), "lines_now", "lines_prior", "tokens_now", "tokens_prior", "unpriced_now", "unpriced_prior")
 
 
 def _stats(rows: DataFrame, by: str) -> DataFrame:
     out = rows.groupBy(F.col(by).alias("name")).agg(F.sum("lines_added").alias("lines_added"), F.max("day").alias("last_active"), F.sum("cost").alias("cost"), F.max(F.when(F.col("cost").isNull(), 1).otherwise(0)).alias("has_unpriced"))
-    return out.withColumn("cost_per_100_lines", F.round(per_100_lines(F.col("cost"), F.col("lines_added")), 6)).withColumn("cost", F.round("cost", 6))
+    return out.withColumn("cost_per_100_lines", F.round(per_100_lines(F.col("cost"), F.col("lines_added")), 6)).withColumn("cost", F.round("cost", 9))
 
 
 def hot(cube: DataFrame, recent: str, top: int = 5) -> DataFrame:
@@ -78,7 +78,7 @@ def dormant_tools(cube: DataFrame, recent: str) -> DataFrame:
 def inventory(cube: DataFrame) -> DataFrame:
     named = F.when(F.col("project") != "", F.col("project"))
     lines = F.col("tool").isin(LINE_TOOLS)
-    return cube.agg(F.countDistinct(named).alias("projects"), F.countDistinct("model").alias("models"), F.countDistinct("tool").alias("tools"), F.countDistinct("entrypoint").alias("entrypoints"), F.countDistinct("day").alias("days"), F.sum("lines_added").alias("lines_added"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.sum(lines.cast("int")).alias("line_capable_rows"), F.sum(F.when(lines, F.col("tokens")).otherwise(0)).alias("line_capable_tokens"), F.sum((F.col("project") == "").cast("int")).alias("unattributed"), F.sum(F.col("cost").isNull().cast("int")).alias("unpriced_rows"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
+    return cube.agg(F.countDistinct(named).alias("projects"), F.countDistinct("model").alias("models"), F.countDistinct("tool").alias("tools"), F.countDistinct("entrypoint").alias("entrypoints"), F.countDistinct("day").alias("days"), F.sum("lines_added").alias("lines_added"), F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 9).alias("cost"), F.sum(lines.cast("int")).alias("line_capable_rows"), F.sum(F.when(lines, F.col("tokens")).otherwise(0)).alias("line_capable_tokens"), F.sum((F.col("project") == "").cast("int")).alias("unattributed"), F.sum(F.col("cost").isNull().cast("int")).alias("unpriced_rows"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
 
 
 def churn(cube: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def unpriced_models(cube: DataFrame) -> DataFrame:
 
 def check(cube: DataFrame, max_tokens: int, max_cost: float) -> DataFrame:
     """The budget gate: a cost limit also fails where any usage has no price, since the sum is then a lower bound only."""
-    out = cube.agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
+    out = cube.agg(F.sum("tokens").alias("tokens"), F.round(F.sum("cost"), 9).alias("cost"), F.sum("unpriced_tokens").alias("unpriced_tokens"))
     return out.withColumn("tokens_breach", (F.col("tokens") > max_tokens).cast("int")).withColumn("cost_breach", ((F.col("cost") > max_cost) | (F.col("unpriced_tokens") > 0)).cast("int"))
 
 
@@ -121,7 +121,7 @@ def signal_coverage(cube: DataFrame) -> DataFrame:
 
 
 def team(cube: DataFrame, sessions: DataFrame) -> DataFrame:
-    by_member = cube.groupBy("member").agg(F.sum("lines_added").alias("lines_added"), F.round(F.sum("cost"), 6).alias("cost"), F.max(F.col("cost").isNull().cast("int")).alias("has_unpriced"))
+    by_member = cube.groupBy("member").agg(F.sum("lines_added").alias("lines_added"), F.round(F.sum("cost"), 9).alias("cost"), F.max(F.col("cost").isNull().cast("int")).alias("has_unpriced"))
     return by_member.join(sessions.groupBy("member").agg(F.count(F.lit(1)).alias("n_sessions")), "member", "full_outer")
 
 
@@ -132,7 +132,7 @@ def tokens_per_day(cube: DataFrame) -> DataFrame:
 def totals_by(cube: DataFrame, by: str) -> DataFrame:
     """The prepared view of models or projects: tokens, their share, lines, cost."""
     whole = cube.agg(F.sum("tokens").alias("all_tokens")).withColumn("one", F.lit(1))
-    out = cube.groupBy(F.col(by).alias("name")).agg(F.sum("tokens").alias("tokens"), F.sum("lines_added").alias("lines_added"), F.round(F.sum("cost"), 6).alias("cost")).withColumn("one", F.lit(1))
+    out = cube.groupBy(F.col(by).alias("name")).agg(F.sum("tokens").alias("tokens"), F.sum("lines_added").alias("lines_added"), F.round(F.sum("cost"), 9).alias("cost")).withColumn("one", F.lit(1))
     return out.join(whole, "one").select("name", "tokens", "lines_added", "cost", F.round(F.col("tokens") / F.col("all_tokens"), 6).alias("token_share"))
 
 

@@ -67,14 +67,14 @@ def _report(cube: str, by: str) -> str:
     numbers = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "lines_added", "tokens", "unpriced_tokens")
     eff = "round(CASE WHEN input_tokens + cache_read_tokens <> 0 THEN cache_read_tokens / cast(input_tokens + cache_read_tokens as double) END, 6) AS cache_eff"
     if by == "day":
-        return f"SELECT day AS name, tool, model, project, entrypoint, member, granularity, {', '.join(numbers)}, round(cost, 6) AS cost, {eff} FROM {cube}"
-    return f"""SELECT name, granularity, {', '.join(numbers)}, round(cost, 6) AS cost, {eff} FROM (SELECT {name} AS name,
+        return f"SELECT day AS name, tool, model, project, entrypoint, member, granularity, {', '.join(numbers)}, round(cost, 9) AS cost, {eff} FROM {cube}"
+    return f"""SELECT name, granularity, {', '.join(numbers)}, round(cost, 9) AS cost, {eff} FROM (SELECT {name} AS name,
         CASE WHEN count(DISTINCT granularity) > 1 THEN 'mixed' ELSE max(granularity) END AS granularity, {_sums(numbers)}, sum(cost) AS cost FROM {cube} GROUP BY 1)"""
 
 
 def _effectiveness(by: str, cube: str = "cube", where: str = "true") -> str:
     return f"""SELECT {by} AS name, {_sums(("lines_added", "lines_removed", "edits", "tool_calls", "rejected", "tokens", "unpriced_tokens"))},
-        round(sum(cost), 6) AS cost, max(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS has_unpriced, max(CASE WHEN tool IN {LINE} THEN 1 ELSE 0 END) AS line_capable,
+        round(sum(cost), 9) AS cost, max(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS has_unpriced, max(CASE WHEN tool IN {LINE} THEN 1 ELSE 0 END) AS line_capable,
         round(CASE WHEN max(CASE WHEN tool IN {LINE} THEN 1 ELSE 0 END) = 1 AND sum(lines_added) <> 0 THEN sum(cost) / (sum(lines_added) / 100.0) END, 6) AS cost_per_100_lines
         FROM {cube} WHERE {where} GROUP BY 1"""
 
@@ -83,19 +83,19 @@ def _movers(by: str) -> str:
     side = lambda c, when, name: f"coalesce(sum(CASE WHEN {when} THEN {c} END), 0)"
     now, then = f"day >= '{RECENT}'", f"day < '{RECENT}'"
     big = lambda c, when: f"cast({side(c, when, '')} as bigint)"
-    return f"""SELECT {by} AS name, round({side('cost', now, '')} - {side('cost', then, '')}, 6) AS delta_cost, {big('lines_added', now)} - {big('lines_added', then)} AS delta_lines,
-        round({side('cost', now, '')}, 6) AS cost_now, round({side('cost', then, '')}, 6) AS cost_prior, {big('lines_added', now)} AS lines_now, {big('lines_added', then)} AS lines_prior,
+    return f"""SELECT {by} AS name, round({side('cost', now, '')} - {side('cost', then, '')}, 9) AS delta_cost, {big('lines_added', now)} - {big('lines_added', then)} AS delta_lines,
+        round({side('cost', now, '')}, 9) AS cost_now, round({side('cost', then, '')}, 9) AS cost_prior, {big('lines_added', now)} AS lines_now, {big('lines_added', then)} AS lines_prior,
         {big('tokens', now)} AS tokens_now, {big('tokens', then)} AS tokens_prior, {big('unpriced_tokens', now)} AS unpriced_now, {big('unpriced_tokens', then)} AS unpriced_prior
         FROM cube WHERE day >= '{PRIOR}' GROUP BY 1"""
 
 
 def _stats(by: str, where: str, tail: str = "") -> str:
-    return f"""SELECT {by} AS name, cast(sum(lines_added) as bigint) AS lines_added, max(day) AS last_active, round(sum(cost), 6) AS cost, max(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS has_unpriced,
+    return f"""SELECT {by} AS name, cast(sum(lines_added) as bigint) AS lines_added, max(day) AS last_active, round(sum(cost), 9) AS cost, max(CASE WHEN cost IS NULL THEN 1 ELSE 0 END) AS has_unpriced,
         round(CASE WHEN sum(lines_added) <> 0 THEN sum(cost) / (sum(lines_added) / 100.0) END, 6) AS cost_per_100_lines FROM cube WHERE {where} GROUP BY 1 {tail}"""
 
 
 def core() -> dict[str, str]:
-    top = "ORDER BY coalesce(round(sum(cost), 6), -1) DESC, name LIMIT 5"
+    top = "ORDER BY coalesce(round(sum(cost), 9), -1) DESC, name LIMIT 5"
     med = lambda c, p, who: f"cast(round(quantile_cont({c}, {p}) FILTER (WHERE {who})) as bigint)"
     turned, paced, edited, compacting = (f"tool IN {can(s)}" for s in ("turns", "active_minutes", "edits", "compactions"))
     out = {
@@ -119,13 +119,13 @@ def core() -> dict[str, str]:
         "insights_hot": _stats("project", f"project <> '' AND day >= '{RECENT}'", top),
         "insights_going_stale": _stats("project", f"project <> '' AND day < '{RECENT}' AND project NOT IN (SELECT project FROM cube WHERE day >= '{RECENT}')", top),
         "insights_dormant_tools": _stats("tool", f"day < '{RECENT}' AND tool NOT IN (SELECT tool FROM cube WHERE day >= '{RECENT}')"),
-        "inventory": f"SELECT count(DISTINCT CASE WHEN project <> '' THEN project END) AS projects, count(DISTINCT model) AS models, count(DISTINCT tool) AS tools, count(DISTINCT entrypoint) AS entrypoints, count(DISTINCT day) AS days, {_sums(('lines_added', 'tokens', 'unpriced_tokens'))}, round(sum(cost), 6) AS cost, sum((tool IN {LINE})::int)::bigint AS line_capable_rows, sum(CASE WHEN tool IN {LINE} THEN tokens ELSE 0 END)::bigint AS line_capable_tokens, sum((project = '')::int)::bigint AS unattributed, sum((cost IS NULL)::int)::bigint AS unpriced_rows FROM cube",
+        "inventory": f"SELECT count(DISTINCT CASE WHEN project <> '' THEN project END) AS projects, count(DISTINCT model) AS models, count(DISTINCT tool) AS tools, count(DISTINCT entrypoint) AS entrypoints, count(DISTINCT day) AS days, {_sums(('lines_added', 'tokens', 'unpriced_tokens'))}, round(sum(cost), 9) AS cost, sum((tool IN {LINE})::int)::bigint AS line_capable_rows, sum(CASE WHEN tool IN {LINE} THEN tokens ELSE 0 END)::bigint AS line_capable_tokens, sum((project = '')::int)::bigint AS unattributed, sum((cost IS NULL)::int)::bigint AS unpriced_rows FROM cube",
         "churn": f"SELECT count(*) AS n_rows, {_sums(('tokens', 'lines_added', 'rework_lines'))}, round(CASE WHEN sum(lines_added) = 0 THEN 0.0 ELSE sum(rework_lines) / cast(sum(lines_added) as double) END, 6) AS rework_rate, (sum(rework_lines) > sum(lines_added))::int AS exceeds FROM cube WHERE tool IN {REWORK}",
         "unpriced_models": "SELECT model, sum(tokens)::bigint AS tokens FROM cube WHERE cost IS NULL GROUP BY model",
-        "check_totals": f"SELECT {_sums(('tokens', 'unpriced_tokens'))}, round(sum(cost), 6) AS cost, (sum(tokens) > 1000000)::int AS tokens_breach, (sum(cost) > 1000000 OR sum(unpriced_tokens) > 0)::int AS cost_breach FROM cube",
+        "check_totals": f"SELECT {_sums(('tokens', 'unpriced_tokens'))}, round(sum(cost), 9) AS cost, (sum(tokens) > 1000000)::int AS tokens_breach, (sum(cost) > 1000000 OR sum(unpriced_tokens) > 0)::int AS cost_breach FROM cube",
         "session_stats": f"SELECT count(*) AS n_sessions, " + ", ".join(f"sum(({w})::int)::bigint AS with_{n}" for n, w in (("turns", turned), ("active_minutes", paced), ("edits", edited), ("compactions", compacting))) + f", {med('turns', 0.5, turned)} AS median_turns, {med('turns', 0.9, turned)} AS p90_turns, {med('output_tokens', 0.5, 'true')} AS median_output, {med('peak_context', 0.5, turned)} AS median_peak_context, round(quantile_cont(active_minutes, 0.5) FILTER (WHERE {paced}), 6) AS median_active_minutes, round(coalesce(avg((edits > 0)::int) FILTER (WHERE {edited}), 0.0), 6) AS code_share, round(coalesce(avg((compactions > 0)::int) FILTER (WHERE {compacting}), 0.0), 6) AS compaction_rate, count(DISTINCT first_ts::date) AS active_days, round(count(*) / cast(count(DISTINCT first_ts::date) as double), 6) AS sessions_per_day FROM sessions",
         "signal_coverage": "SELECT signal, capable_tokens, total_tokens, CASE WHEN capable_tokens = 0 THEN 'none' WHEN capable_tokens = total_tokens THEN 'full' ELSE 'partial' END AS support FROM (SELECT c.signal, coalesce(sum(t.tokens), 0)::bigint AS capable_tokens, (SELECT sum(tokens)::bigint FROM cube) AS total_tokens FROM capability c LEFT JOIN (SELECT tool, sum(tokens) AS tokens FROM cube GROUP BY tool) t USING (tool) GROUP BY c.signal)",
-        "team": "SELECT c.member, c.lines_added, c.cost, c.has_unpriced, s.n_sessions FROM (SELECT member, sum(lines_added)::bigint AS lines_added, round(sum(cost), 6) AS cost, max((cost IS NULL)::int) AS has_unpriced FROM cube GROUP BY member) c FULL JOIN (SELECT member, count(*) AS n_sessions FROM sessions GROUP BY member) s USING (member)",
+        "team": "SELECT c.member, c.lines_added, c.cost, c.has_unpriced, s.n_sessions FROM (SELECT member, sum(lines_added)::bigint AS lines_added, round(sum(cost), 9) AS cost, max((cost IS NULL)::int) AS has_unpriced FROM cube GROUP BY member) c FULL JOIN (SELECT member, count(*) AS n_sessions FROM sessions GROUP BY member) s USING (member)",
         "tokens_per_day": "SELECT day, sum(tokens)::bigint AS tokens FROM cube GROUP BY day",
         "tool_shares": f"SELECT round(sum(CASE WHEN tool IN {ACTIVITY} THEN tokens ELSE 0 END) / cast(sum(tokens) as double), 6) AS activity_share, round(sum(CASE WHEN cost IS NOT NULL THEN tokens ELSE 0 END) / cast(sum(tokens) as double), 6) AS priced_share, round(sum(CASE WHEN granularity = 'turn' THEN tokens ELSE 0 END) / cast(sum(tokens) as double), 6) AS turn_share FROM cube",
         "price_normalise": "SELECT DISTINCT model, regexp_replace(lower(regexp_replace(trim(model), '\\[[^\\]]*\\]$', '')), '-[0-9]{8}$', '') AS plain_model FROM usage_record",
@@ -140,7 +140,7 @@ def core() -> dict[str, str]:
     for by in ("project", "tool", "model", "entrypoint", "day"):
         out[f"effectiveness_by_{by}"] = _effectiveness(by)
     for by in ("model", "project"):
-        out[f"totals_by_{by}"] = f"SELECT {by} AS name, sum(tokens)::bigint AS tokens, sum(lines_added)::bigint AS lines_added, round(sum(cost), 6) AS cost, round(sum(tokens) / cast((SELECT sum(tokens) FROM cube) as double), 6) AS token_share FROM cube GROUP BY 1"
+        out[f"totals_by_{by}"] = f"SELECT {by} AS name, sum(tokens)::bigint AS tokens, sum(lines_added)::bigint AS lines_added, round(sum(cost), 9) AS cost, round(sum(tokens) / cast((SELECT sum(tokens) FROM cube) as double), 6) AS token_share FROM cube GROUP BY 1"
     return {k: PRELUDE + v for k, v in out.items()}
 
 
