@@ -8,12 +8,13 @@ that holds a special token's string, or white space runs that the quick cut cann
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from string import punctuation
 from typing import Any
 
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-CACHE_UNITS = 600_000  # units that a worker remembers; when full it starts afresh, which costs time only
+CACHE_UNITS = 1_000_000  # units that a worker remembers; when full it starts afresh, which costs time only
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -34,68 +35,91 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class Uncut(Exception):
+    """A text whose white space the quick cut cannot tell apart."""
+
+
+class Units(dict):
+    """What each unit gives, found by the library when it is first asked for."""
+
+    def __init__(self, encoder: Encoder, known: dict[str, Any]):
+        super().__init__(known)
+        self.encoder = encoder
+
+    def __missing__(self, unit: str) -> Any:
+        if not unit or unit[-1].isspace():
+            raise Uncut
+        value = self[unit] = self.encoder.unit(unit, self)
+        return value
+
+
 class Encoder:
     """Encodes texts; ``value`` turns the ids of a unit into what is kept for it, ``join`` adds up the values of a text."""
 
     def __init__(self, path: str, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.value, self.join = value, join
         self.known = known or {}
-        self.cache: dict[str, Any] = dict(self.known)
-        self.limit = CACHE_UNITS + len(self.cache)
+        self.units = Units(self, self.known)
+        self.limit = CACHE_UNITS + len(self.known)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.marks = {m: self._whole([m])[0] for m in ".,"}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.space = self.letters[0x20]
+        self.tails: dict[str, Any] = {}
+        self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[Any]:
-        return [self.value(ids) for ids in self._ids(texts)] if texts else []
-
-    def _word(self, unit: str) -> Any:
-        """A unit of letters only is one pre-token with its space; the model takes it without the splitting steps."""
-        written = (" " + unit).encode().decode("latin-1").translate(self.letters)
-        return self.value([t.id for t in self.tokenizer.model.tokenize(written)])
-
-    def learn(self, units: Iterable[str]) -> None:
-        """Fills the cache for units that end in no white space and are not empty."""
-        if len(self.cache) > self.limit:
-            self.cache = dict(self.known)
-        cache, hard = self.cache, []
-        for unit in units:
-            if unit.isalpha():
-                cache[unit] = self._word(unit)
-            elif unit[-1] in ".," and (stem := unit[:-1]).isalpha():  # letters, then one mark: two pre-tokens
-                if (head := cache.get(stem)) is None:
-                    head = cache[stem] = self._word(stem)
-                cache[unit] = self.join((head, self.marks[unit[-1]]))
-            else:
-                hard.append(unit)
-        for unit, value in zip(hard, self._whole([u if u[0] == "\n" else " " + u for u in hard]), strict=True):
-            cache[unit] = value
+        return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _letters(self, stem: str, before: str = "") -> Any:
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.letters)
+        return self.value([t.id for t in self.model.tokenize(before + stem)])
+
+    def unit(self, unit: str, units: Units) -> Any:
+        """The value of a unit. Letters, then ASCII punctuation or none, are pre-tokens known without the splitting steps, and the
+        model takes the letters as they are; letters of later scripts, and all other units, go through the library whole, whose
+        Unicode tables may be of another version than Python's."""
+        fed = unit[0] == "\n"
+        body = unit[1:] if fed else unit
+        stem = body.rstrip(punctuation)
+        if not stem.isalpha() or (not stem.isascii() and max(stem) > "\u04ff"):
+            return self._whole([unit if fed else " " + unit])[0]
+        if fed:
+            parts = [self.feed, self._letters(stem)]
+        elif len(stem) == len(body):
+            return self._letters(stem, self.space)
+        else:
+            parts = [units[stem]]
+        if tail := body[len(stem) :]:
+            if tail not in self.tails:
+                if len(self.tails) > CACHE_UNITS:
+                    self.tails.clear()
+                self.tails[tail] = self._whole([tail])[0]
+            parts.append(self.tails[tail])
+        return self.join(parts)
 
     def encode(self, texts: list[str]) -> list[Any]:
         """The joined value of each text."""
         out: list[Any] = [None] * len(texts)
         whole: list[int] = []
         ends: list[str] = []
-        cut: list[tuple[int, list[str]]] = []
+        cut: list[tuple[int, list[Any]]] = []
         for k, text in enumerate(texts):
+            if len(self.units) > self.limit:
+                self.units = Units(self, self.known)
             parts = split_units(text)
             if len(parts) < 3 or any(s in text for s in self.special):
                 whole.append(k)
                 continue
-            missing = {p for p in parts[1:-1] if p not in self.cache}
-            if any(not p or p[-1].isspace() for p in missing):
+            try:
+                values = list(map(self.units.__getitem__, parts[1:-1]))
+            except Uncut:
                 whole.append(k)
                 continue
-            self.learn(missing)
-            get = self.cache.get
-            values = list(map(get, parts[1:-1]))
             last = parts[-1]
             ends += [parts[0], last if last[:1] == "\n" else " " + last]
-            out[k] = values
             cut.append((k, values))
         for k, value in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
             out[k] = value

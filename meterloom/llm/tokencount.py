@@ -74,8 +74,7 @@ def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries:
     path = vocabulary or vocabulary_path()
     units = frequent_units(docs, entries)
     maker = Encoder(path, len, sum)
-    maker.learn(units)
-    table = docs.sparkSession.sparkContext.broadcast(("\x00".join(units), bytes(min(255, maker.cache[u]) for u in units)))
+    table = docs.sparkSession.sparkContext.broadcast(("\x00".join(units), bytes(min(255, maker.units[u]) for u in units)))
     key = (path, uuid.uuid4().hex)
 
     def make() -> Encoder:
