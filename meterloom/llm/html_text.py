@@ -41,6 +41,7 @@ DROPPED = frozenset("head script style noscript template iframe noembed noframes
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 #: Words in class or id that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager".split())
+WHOLE = frozenset(["", "html", "body", "article", "main", *VOID])  # elements that are no template by themselves
 CONTAINERS = frozenset("div section aside ul ol dl table header footer nav form figure details".split())
 #: Which open elements a start tag closes, as the HTML standard has it for tags that may be left out.
 CLOSES = {
@@ -59,7 +60,6 @@ SCOPES = frozenset("article section div main body html td th table li ul ol bloc
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]{0,10000}+\"|'[^']{0,10000}+')*+|[^>]*+)>|[!?/][^>]*+>)", re.DOTALL)
 _ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 _SPACES = re.compile(r"\s+")
-_WORDS = re.compile(r"[^\W_]+")
 
 
 class Element:
@@ -148,7 +148,6 @@ def parse(page: str) -> Element:
         stack[-1].children.append((at, size))
     close(1, size)
     root.end = size
-    _finish(page, root)
     return root
 
 
@@ -157,7 +156,7 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE)
 
 
-def _finish(page: str, root: Element) -> None:
+def sign(page: str, root: Element) -> None:
     """Gives each element the hash of its subtree, from its tag, texts and children's hashes with white space made even, and whether
     it holds prose: a stretch of text outside links with PROSE_WORDS words."""
     order = list(_walk(root))
@@ -169,19 +168,20 @@ def _finish(page: str, root: Element) -> None:
                 hashed.update(c.sign.to_bytes(8, "big", signed=True))
                 e.prose |= c.prose and c.name != "a" and not c.dropped
             else:
-                text = page[c[0] : c[1]]
-                hashed.update(" ".join(text.split()).encode("utf-8", "surrogatepass"))
-                e.prose |= len(_WORDS.findall(text)) >= PROSE_WORDS
+                words = page[c[0] : c[1]].split()
+                hashed.update(" ".join(words).encode("utf-8", "surrogatepass"))
+                e.prose |= len(words) >= PROSE_WORDS
         n = hashed.intdigest()
         e.sign = n - (1 << 64) if n >> 63 else n
 
 
-def _walk(element: Element):
+def _walk(element: Element, kept: bool = False):
+    """An element and what is in it, parents first; with ``kept``, without what is dropped in any case."""
     stack = [element]
     while stack:
         e = stack.pop()
         yield e
-        stack += [c for c in e.children if isinstance(c, Element)]
+        stack += [c for c in e.children if isinstance(c, Element) and not (kept and c.dropped)]
 
 
 def _regions(root: Element) -> list[Element]:
@@ -226,7 +226,7 @@ def _blocks(page: str, region: Element, template: frozenset[int], inside: bool)
         elif c.dropped:
             if c.name in BLOCKS or c.name == "form":
                 flush()
-        elif c.sign in template and (not inside or (c.name in CONTAINERS and not c.prose)):
+        elif template and c.sign in template and (not inside or (c.name in CONTAINERS and not c.prose)):
             flush()
         else:
             if c.name in BLOCKS:
@@ -240,6 +240,8 @@ def _blocks(page: str, region: Element, template: frozenset[int], inside: bool)
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The blocks of the main content in page order, joined by an empty line."""
     root = parse(page)
+    if template:
+        sign(page, root)
     blocks = []
     for region in _regions(root):
         blocks += _blocks(page, region, template, region.name in ("article", "main"))
@@ -260,10 +262,10 @@ def _subtrees(column: pa.Array) -> pa.Array:
         for page in column.slice(at, 256).to_pylist():
             page = page or ""
             root = parse(page)
-            text = "\n".join(b for r in _regions(root) for b in _blocks(page, r, frozenset(), True))
-            n = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-            contents.append(n - (1 << 64) if n >> 63 else n)
-            lists.append(list({e.sign for e in _walk(root) if e.name and e.name not in ("html", "body", "head", "article", "main") and e.name not in VOID and e.end > e.start}))
+            sign(page, root)
+            content = xxhash.xxh64_intdigest(b"".join(r.sign.to_bytes(8, "big", signed=True) for r in _regions(root)))
+            contents.append(content - (1 << 64) if content >> 63 else content)
+            lists.append(list({e.sign for e in _walk(root, kept=True) if e.name not in WHOLE and e.end > e.start}))
     return pa.StructArray.from_arrays([pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["content", "subtrees"])
 
 
