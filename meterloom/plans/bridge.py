@@ -91,15 +91,15 @@ PRICE_COLUMNS = ("price_model", "p_in", "p_out", "p_write", "p_write_1h", "p_rea
 def _text(name: str, events: str, dialect: dict[str, str]) -> str:
     base = EVENTS.format(events=events, **dialect)
     facts = FACTS.format(base=base)
-    return {"usage_record": USAGE, "session_step": STEPS, "session_label": LABELS}[name].format(facts=facts, base=base)
+    return {"event_lines": "{base}", "usage_record": USAGE, "session_step": STEPS, "session_label": LABELS}[name].format(facts=facts, base=base)
 
 
 def fact(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``usage_record``, ``session_step`` or ``session_label`` of the events in ``sf_dir``."""
+    """``usage_record``, ``session_step``, ``session_label`` or the bare ``event_lines`` of the events in ``sf_dir``."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return spark.sql(_text(name, "{events}", SPARK), events=events)
 
 
 def oracle_facts() -> dict[str, str]:
     """The same tables as SQL for the second engine."""
-    return {n: _text(n, "events", OTHER) for n in ("usage_record", "session_step", "session_label")}
+    return {n: _text(n, "events", OTHER) for n in ("event_lines", "usage_record", "session_step", "session_label")}
