@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +100,7 @@ def cuts(ids: np.ndarray) -> list[int]:
 
 def _cut_documents(path: str, end_id: int):
     def as_bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()  # 4 bytes, low byte first, on all platforms that Spark runs on
 
     def run(batches):
         from pyspark import TaskContext
