@@ -206,7 +206,8 @@ def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Da
     least = member.join(nodes, member.u == nodes.fp).groupBy("v").agg(F.min("first").alias("component_id"))
     linked = member.join(least, "v").select(F.col("u").alias("fp"), "component_id")
     named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return signed.join(named, "fp")
+    # written, so that both sides of the last join come straight from a shuffle and Spark can split a fingerprint that many rows share
+    return signed.join(cut(named, "named"), "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
