@@ -223,7 +223,7 @@ def _blocks(page: str, region: Element, template: frozenset[int], inside: bool)
             now.append(page[c[0] : c[1]])
         elif c.name == "br":
             now.append(" ")
-        elif c.dropped:
+        elif c.dropped or (c.name == "header" and not inside):  # an article's own header holds its title
             if c.name in BLOCKS or c.name == "form":
                 flush()
         elif template and c.sign in template and (not inside or (c.name in CONTAINERS and not c.prose)):

@@ -136,6 +136,7 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text(PAGE) == "A & B\n\nOne bold two\n\nThree é x\n\na\n\nb"
     assert html_text.main_text("") == "" and html_text.main_text("no tags < 3 &lt; 4") == "no tags < 3 < 4"
     assert html_text.main_text("<p>a<p>b</div>c<!-- open") == "a\n\nbc"
+    assert html_text.main_text("<body><header><h1>Site</h1></header><p>x</p></body>") == "x"
     assert html_text.main_text("<article><p>x</p></article><article class=comment>no</article><article><p>y</article>") == "x\n\ny"
 
 
