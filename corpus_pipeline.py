@@ -8,16 +8,13 @@ from meterloom.llm import decontam, idstore, mixing, repetition, simhash
 from meterloom.llm.common import table
 from meterloom.session import cut
 
-#: Bits by which near copies may differ in the pipeline: wider than the query's, since one of each group is to stay.
-NEAR_BITS = 4
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repetition.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, radius=NEAR_BITS)
+    return simhash.one_of_each(docs, simhash.similar(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@
 4. A search returns the shard's links as a spanning forest (one row per node at most), and the forests are joined to components by
    alternating large-star and small-star steps over written tables.
 
+Sixty-four bits tell copies with a word or two changed, not similarity 0.8, at which a tenth or more of the bits differ. ``similar``
+therefore takes 256 bits of five-word shingles, whose differing bits tell the angle between two texts and with it their similarity,
+to about 0.03. Links of so many bits have no small exact set of blocks: tables take samples of bits, as many tables as let a pair at
+the similarity asked for meet in one with probability ``RECALL``; width and number follow from the number of texts.
+
 Trees reach their queries by a shuffle on the shard's key, not by a broadcast from the driver: the driver would otherwise see the
 fingerprints of all documents.
 
@@ -19,7 +24,8 @@ never names a component unless all of its ids are null; an empty table gives no
 from __future__ import annotations
 
 from itertools import combinations, repeat
-from math import ceil, comb, log2
+from math import acos, ceil, comb, log, log2, pi
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -39,63 +45,117 @@ SHARD_MOST = 16_384  # nodes of a tree
 HASHES = 1 << 16  # shingles whose bits are counted at once
 QUERIES = 256  # searched at once
 
-PRINT = StructType([StructField("fp", LongType())])
+#: Of near-duplicates by similarity: words of a fingerprint, words of a shingle, nodes of a shard and of a tree, searched at once.
+WIDE, WIDE_SHINGLE = 4, 5
+WIDE_SHARD, WIDE_MOST, WIDE_QUERIES = 512, 4096, 128
+SIMILARITY = 0.8
+RECALL = 0.98  # of pairs at just that similarity
+SLACK = 1.25  # standard errors by which the differing bits of such a pair may pass their mean
+
 LINK = StructType([StructField("u", LongType()), StructField("v", LongType())])
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of the word shingles of a text, repeats included, as a signed 64-bit integer."""
+def _shingle_hashes(text: str, shingle: int, seed: int):
+    """The number of word shingles of a text, and their hashes one by one."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return 0, iter(())
     if len(words) < shingle:
-        shingles = iter([b" ".join(words)])
-        n = 1
-    else:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
-        n = len(words) - shingle + 1
+        return 1, iter([xxhash.xxh64_intdigest(b" ".join(words), seed)])
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
+    return len(words) - shingle + 1, map(xxhash.xxh64_intdigest, shingles, repeat(seed))
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of the word shingles of a text, repeats included, as a signed 64-bit integer."""
+    n, hashes = _shingle_hashes(text, shingle, seed)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(seed))
     for at in range(0, n, HASHES):
-        some = np.fromiter(hashes, np.dtype("<u8"), min(HASHES, n - at))
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += _set_bits(np.fromiter(hashes, np.dtype("<u8"), min(HASHES, n - at)))
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> tuple[int, ...]:
+    """The SimHash of the distinct word shingles of a text, over WIDE times 64 bits, as signed 64-bit integers."""
+    n, hashes = _shingle_hashes(text, shingle, seed)
+    if not n:
+        return (0,) * WIDE
+    distinct = np.unique(np.fromiter(hashes, np.dtype("<u8"), n))
+    out = []
+    for k in range(WIDE):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(distinct), HASHES):
+            mixed = (distinct[at : at + HASHES] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            counts += _set_bits(mixed ^ (mixed >> np.uint64(31)))
+        out.append(int(np.packbits(2 * counts > len(distinct), bitorder="little").view("<i8")[0]))
+    return tuple(out)
+
+
+def differing_bits(similarity: float, slack: float = SLACK) -> int:
+    """The bits of a wide fingerprint by which two texts of this Jaccard similarity may differ: the mean and some standard errors."""
+    share, bits = acos(2 * similarity / (1 + similarity)) / pi, 64 * WIDE
+    return round(share * bits + slack * (share * (1 - share) * bits) ** 0.5)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 class BKTree:
-    """Distinct 64-bit points; the child of a node at distance d stands in column d of its row."""
+    """Distinct points, a row of 64-bit words each; the child of a node at distance d stands in column d of its row."""
 
     def __init__(self, points: np.ndarray):
         self.points = points
-        self.child = np.full((len(points), 65), -1, np.int32)
+        self.bits = 64 * points.shape[1]
+        self.child = np.full((len(points), self.bits + 1), -1, np.int32)
         edges = self.child.ravel()
         at = np.zeros(len(points), np.int64)  # where each point has come to
         falling = np.arange(1, len(points))
         while len(falling):
-            d = np.bitwise_count(points[falling] ^ points[at[falling]])
-            edge = at[falling] * 65 + d
+            edge = at[falling] * (self.bits + 1) + _apart(points[falling], points[at[falling]])
             slots, first = np.unique(edge, return_index=True)
             edges[slots] = falling[first]  # the first to come by an edge stays there
             at[falling] = edges[edge]
             falling = falling[at[falling] != falling]
+        parent, edge = np.nonzero(self.child >= 0)
+        self.listed = self.child[parent, edge]  # children in the order of their parents
+        self.first = np.searchsorted(parent, np.arange(len(points) + 1))
+        self.edge = np.zeros(len(points), np.int64)
+        self.edge[self.listed] = edge
 
     def within(self, queries: np.ndarray, radius: int):
         """(query index, point index) of every pair within the radius."""
         q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
         found_q, found_p = [], []
         while len(q):
-            d = np.bitwise_count(queries[q] ^ self.points[node]).astype(np.int64)
+            d = _apart(queries[q], self.points[node])
             hit = d <= radius
             found_q.append(q[hit])
             found_p.append(node[hit])
             next_q, next_node = [], []
-            for e in range(-radius, radius + 1):
-                edge = d + e
-                inside = (edge > 0) & (edge <= 64)
-                to = self.child[node[inside], edge[inside]]
-                some = to >= 0
-                next_q.append(q[inside][some])
-                next_node.append(to[some])
+            if 2 * radius < 16:
+                for e in range(-radius, radius + 1):
+                    edge = d + e
+                    inside = (edge > 0) & (edge <= self.bits)
+                    to = self.child[node[inside], edge[inside]]
+                    some = to >= 0
+                    next_q.append(q[inside][some])
+                    next_node.append(to[some])
+            else:  # a wide reach meets most children: from a node's children to those within it
+                n = self.first[node + 1] - self.first[node]
+                of = np.repeat(np.arange(len(node)), n)
+                child = self.listed[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.first[node][of]]
+                some = np.abs(self.edge[child] - d[of]) <= radius
+                next_q.append(q[of][some])
+                next_node.append(child[some])
             q, node = np.concatenate(next_q), np.concatenate(next_node).astype(np.int64)
         return np.concatenate(found_q), np.concatenate(found_p)
 
@@ -113,29 +173,40 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def _search(radius: int):
+def _search(radius: int, words: list[str], at_once: int):
     def shard(group: pa.Table) -> pa.Table:
         slice_of = group.column("part").to_numpy()
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
-        points = group.column("fp").to_numpy()
         order = np.concatenate([np.flatnonzero(slice_of == a), np.flatnonzero(slice_of != a)])
-        points = points[order]
-        n_tree = int((slice_of == a).sum())
-        root = np.arange(len(points))
-        bits = np.ascontiguousarray(points).view(np.uint64)
-        if n_tree and (len(points) > n_tree or (a == b and n_tree > 1)):
-            tree = BKTree(bits[:n_tree])
-            for at in range(0 if a == b else n_tree, len(points), QUERIES):
-                q, p = tree.within(bits[at : at + QUERIES], radius)
-                root = _unite(root, q + at, p)
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": pa.array(points[moved], pa.int64()), "v": pa.array(points[root[moved]], pa.int64())})
+        points = np.stack([group.column(c).to_numpy().view(np.uint64) for c in words], axis=1)[order]
+        names = group.column("id").to_numpy()[order]
+        n, n_tree = len(points), int((slice_of == a).sum())
+        root = np.arange(n)
+        if n > 1 and (a == b or 0 < n_tree < n):
+            # a pivot that links to most: what is in its set by then needs no search of its own, as its links lead into the set
+            # or are found from their other end
+            stars = [np.flatnonzero(_apart(points, points[k]) <= radius) for k in range(0, n, -(-n // 8))]
+            star = max(stars, key=len)
+            root = _unite(root, star, np.full(len(star), star[0]))
+            hot = 2 * len(star) > n
+            tree = BKTree(points if hot or a == b else points[:n_tree])
+            left = np.arange(0 if hot or a == b else n_tree, n)
+            while len(left):
+                if hot:
+                    left = left[root[left] != root[star[0]]]
+                some, left = left[:at_once], left[at_once:]
+                if not len(some):
+                    break
+                q, p = tree.within(points[some], radius)
+                root = _unite(root, some[q], p)
+        moved = np.flatnonzero(root != np.arange(n))
+        return pa.table({"u": pa.array(names[moved], pa.int64()), "v": pa.array(names[root[moved]], pa.int64())})
 
     return shard
 
 
-def _tables(n: int, radius: int) -> list[list[tuple[int, int]]]:
-    """For each table the (shift, width) stretches of bits that make its key: combinations of k blocks of radius + k, with the
+def _tables(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
+    """For each table the (word, shift, width) stretches of bits that make its key: combinations of k blocks of radius + k, with the
     smallest k that gives shards of about SHARD nodes, cut to as many bits as n nodes need."""
     need = max(0, ceil(log2(max(1, n) / SHARD)))
     k = next(k for k in range(1, 64 - radius + 1) if k * (64 // (radius + k)) >= need or comb(radius + k + 1, k + 1) > 64)
@@ -148,27 +219,53 @@ def _tables(n: int, radius: int) -> list[list[tuple[int, int]]]:
             width = min(sizes[j], left)
             left -= width
             if width:
-                key.append((starts[j] + sizes[j] - width, width))
+                key.append((0, starts[j] + sizes[j] - width, width))
         tables.append(key)
     return tables if need else [[]]  # one shard holds all
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: forests of the nodes (column fp, distinct) whose components are those of all links within the radius."""
+def _samples(n: int, similarity: float) -> list[list[tuple[int, int, int]]]:
+    """As _tables, for wide fingerprints: samples of bits, as many as let a pair at the similarity meet with probability RECALL. Shards
+    keep their size, so width grows with the logarithm of n and the number of tables with a small power of n."""
+    width = max(0, ceil(log2(max(1, n) / WIDE_SHARD)))
+    if not width:
+        return [[]]
+    alike = 1 - acos(2 * similarity / (1 + similarity)) / pi
+    wanted = ceil(log(1 - RECALL) / log(1 - alike**width))
+    pieces = next(k for k in range(min(2, width), width + 1) if comb(WIDE * (64 // ceil(width / k)), k) >= 4 * wanted)
+    size = ceil(width / pieces)
+    places = [(word, shift * size) for word in range(WIDE) for shift in range(64 // size)]
+    dealt, tables, random = [], [], Random(SEED)
+    while len(tables) < wanted:  # disjoint samples as far as the bits go, then other combinations of them
+        if len(dealt) < pieces:
+            dealt = random.sample(places, len(places))
+        chosen, dealt = sorted(dealt[:pieces]), dealt[pieces:]
+        key = [(word, shift, min(size, width - size * j)) for j, (word, shift) in enumerate(chosen)]
+        key = [x for x in key if x[2] > 0]
+        if key not in tables:
+            tables.append(key)
+    return tables
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """u, v: forests of the nodes (columns id and p0, p1, ..; distinct) whose components are those of all links within the radius.
+    With ``similarity`` the tables are samples of a wide fingerprint's bits, else all that the radius needs."""
+    words = [c for c in nodes.columns if c[0] == "p"]
     n = nodes.count()
+    tables, most, at_once = (_tables(n, radius), SHARD_MOST, QUERIES) if similarity is None else (_samples(n, similarity), WIDE_MOST, WIDE_QUERIES)
     keys = []
-    for t, stretches in enumerate(_tables(n, radius)):
+    for t, stretches in enumerate(tables):
         key = F.lit(0).cast("long")
-        for shift, width in stretches:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+        for word, shift, width in stretches:
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(words[word], shift).bitwiseAND(F.lit((1 << width) - 1)))
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    dealt = nodes.select("fp", F.explode(F.array(*keys)).alias("to")).select("fp", "to.t", "to.key")
-    hot = cut(dealt.groupBy("t", "key").count().where(F.col("count") > SHARD_MOST).select("t", "key", F.ceil(F.col("count") / SHARD_MOST).cast("int").alias("parts")), "hot")
+    dealt = nodes.select("id", *words, F.explode(F.array(*keys)).alias("to")).select("id", *words, "to.t", "to.key")
+    hot = cut(dealt.groupBy("t", "key").count().where(F.col("count") > most).select("t", "key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
     parts = F.coalesce("parts", F.lit(1))
-    sliced = dealt.join(hot, ["t", "key"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    sliced = dealt.join(hot, ["t", "key"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = sliced.withColumn("other", other).withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
-    return pairs.select("t", "key", "a", "b", "part", "fp").groupBy("t", "key", "a", "b").applyInArrow(_search(radius), LINK)
+    return pairs.select("t", "key", "a", "b", "part", "id", *words).groupBy("t", "key", "a", "b").applyInArrow(_search(radius, words, at_once), LINK)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -196,28 +293,41 @@ def components(edges: DataFrame) -> DataFrame:
         said = now
 
 
-def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text_hash, fp (signed), component_id, one row per row of ``docs``."""
-    prints = struct_column(lambda x: (fingerprint(x, shingle),), PRINT)
-    signed = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), prints(F.col("text"))["fp"].alias("fp")), "prints")
-    nodes = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    stars = components(links(nodes, radius))
+def _classes(docs: DataFrame, printer, width: int, radius: int, similarity: float | None = None) -> DataFrame:
+    """doc_id, text_hash, p0, p1, .., component_id, one row per row of ``docs``. ``printer``: text to a tuple of words."""
+    words = [f"p{k}" for k in range(width)]
+    prints = struct_column(printer, StructType([StructField(c, LongType()) for c in words]))
+    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*")
+    signed = cut(told.withColumn("id", F.xxhash64(*words) if width > 1 else F.col("p0")), "prints")
+    nodes = cut(signed.groupBy("id", *words).agg(F.min("doc_id").alias("first")), "nodes")
+    stars = components(links(nodes.drop("first"), radius, similarity))
     member = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
-    least = member.join(nodes, member.u == nodes.fp).groupBy("v").agg(F.min("first").alias("component_id"))
-    linked = member.join(least, "v").select(F.col("u").alias("fp"), "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    least = member.join(nodes, member.u == nodes.id).groupBy("v").agg(F.min("first").alias("component_id"))
+    linked = member.join(least, "v").select(F.col("u").alias("id"), "component_id")
+    named = nodes.join(linked, "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"))
     # written, so that both sides of the last join come straight from a shuffle and Spark can split a fingerprint that many rows share
-    return signed.join(cut(named, "named"), "fp")
+    return signed.join(cut(named, "named"), "id")
+
+
+def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text_hash, p0 (signed), component_id, one row per row of ``docs``, by 64-bit fingerprints."""
+    return _classes(docs, lambda x: (fingerprint(x, shingle),), 1, radius)
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """doc_id, text_hash, component_id, one row per row of ``docs``, where texts of this Jaccard similarity of shingles link."""
+    return _classes(docs, lambda x: wide_fingerprint(x, shingle), WIDE, differing_bits(similarity), similarity).select("doc_id", "text_hash", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
-    return classes(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes(docs, radius).select("doc_id", F.lpad(F.lower(F.hex("p0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` with all columns, one of each component: the one with the smallest id (of rows alike in id and text, one)."""
-    found = cut(classes(docs, radius, shingle).groupBy("doc_id", "text_hash", "component_id").agg(F.count(F.lit(1)).alias("n")), "classes")
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all columns, one of each component in ``found`` (classes or similar): the one with the smallest id
+    (of rows alike in id and text, one)."""
+    found = cut(found.groupBy("doc_id", "text_hash", "component_id").agg(F.count(F.lit(1)).alias("n")), "classes")
     me = F.struct("doc_id", "text_hash")
     best = found.groupBy("component_id").agg(F.min(me).alias("best"))
     stays = found.join(best, found.component_id.eqNullSafe(best.component_id)).where(me == F.col("best"))

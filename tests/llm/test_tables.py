@@ -88,16 +88,17 @@ def test_tables_leave_no_link_out():
                 b = a
                 for bit in r.sample(range(64), radius):
                     b ^= 1 << bit
-                key = lambda x, t: [x >> s & (1 << w) - 1 for s, w in t]
+                key = lambda x, t: [x >> s & (1 << w) - 1 for _, s, w in t]
                 assert any(key(a, t) == key(b, t) for t in tables)
 
 
 def test_tree_finds_all_within_the_radius():
     r = np.random.default_rng(1)
-    points = np.unique(r.integers(0, 1 << 12, 700).astype(np.uint64))
-    q, p = simhash.BKTree(points).within(points, 2)
-    want = {(i, j) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[i] ^ points) <= 2).tolist()}
-    assert set(zip(q.tolist(), p.tolist(), strict=True)) == want
+    for words, radius in ((1, 2), (4, 20)):
+        points = np.unique(r.integers(0, 1 << 12, (700, words)).astype(np.uint64), axis=0)
+        q, p = simhash.BKTree(points).within(points, radius)
+        want = {(i, j) for i in range(len(points)) for j in np.flatnonzero(simhash._apart(points[i], points) <= radius).tolist()}
+        assert set(zip(q.tolist(), p.tolist(), strict=True)) == want and len(q) == len(want)
 
 
 def test_long_chains_become_one_component(spark):
@@ -109,11 +110,34 @@ def test_long_chains_become_one_component(spark):
 def test_one_of_each_class_stays(spark):
     rows = [(*r, r[0] * 2) for r in near_rows()] + [(300, prose(1, 300), "s", 600)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, TEXT_HASH long").repartition(3)
-    kept = simhash.one_of_each(docs)
+    kept = simhash.one_of_each(docs, simhash.classes(docs))
     assert kept.columns == docs.columns
     classes = plain_classes({r[0]: plain_print(r[1]) for r in rows}, 2)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes.values()))
-    assert simhash.near_duplicates(docs.where("doc_id < 0")).count() == 0 and simhash.one_of_each(docs.where("doc_id < 0")).count() == 0
+    assert simhash.near_duplicates(docs.where("doc_id < 0")).count() == 0 and simhash.one_of_each(docs.where("doc_id < 0"), simhash.similar(docs.where("doc_id < 0"))).count() == 0
+
+
+@pytest.mark.parametrize("most", [4096, 20])
+def test_similar_texts_link_and_others_do_not(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "WIDE_SHARD", 4)
+    monkeypatch.setattr(simhash, "WIDE_MOST", most)
+    monkeypatch.setattr(simhash, "WIDE_QUERIES", 7)
+    base = [prose(40 + k, 300).split() for k in range(12)]
+
+    def edited(words, k, n):
+        out = list(words)
+        for at in random.Random(k).sample(range(len(words)), n):
+            out[at] = f"new{k}x{at}"
+        return " ".join(out)
+
+    rows = [(k, " ".join(w), "s") for k, w in enumerate(base)]
+    rows += [(100 + 10 * k + n, edited(w, 10 * k + n, 1 + n), "s") for k, w in enumerate(base) for n in range(4)]  # similarity 0.87 and more
+    rows += [(300 + k, edited(w, 900 + k, 30), "s") for k, w in enumerate(base)]  # under 0.5
+    rows += [(500 + k, edited(base[0], 2000 + k, 1), "s") for k in range(60)]  # a large group
+    rows += [(900, None, "s"), (901, "", "s")]
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, rows)).collect()}
+    want = {k: k for k, _, _ in rows} | {100 + 10 * k + n: k for k in range(12) for n in range(4)} | {500 + k: 0 for k in range(60)} | {901: 900}
+    assert got == want
 
 
 # --- mixing
