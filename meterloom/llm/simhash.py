@@ -300,7 +300,7 @@ def _classes(docs: DataFrame, printer, width: int, radius: int, similarity: floa
     told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*")
     signed = cut(told.withColumn("id", F.xxhash64(*words) if width > 1 else F.col("p0")), "prints")
     nodes = cut(signed.groupBy("id", *words).agg(F.min("doc_id").alias("first")), "nodes")
-    stars = components(links(nodes.drop("first"), radius, similarity))
+    stars = components(cut(links(nodes.drop("first"), radius, similarity), "links"))  # written, as the first star step reads it twice
     member = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
     least = member.join(nodes, member.u == nodes.id).groupBy("v").agg(F.min("first").alias("component_id"))
     linked = member.join(least, "v").select(F.col("u").alias("id"), "component_id")
