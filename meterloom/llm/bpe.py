@@ -14,7 +14,7 @@ from typing import Any
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-CACHE_UNITS = 1_000_000  # units that a worker remembers; when full it starts afresh, which costs time only
+CACHE_UNITS = 1 << 18  # units of each of the two generations that a worker remembers; what is forgotten costs time only
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -42,16 +42,24 @@ class Uncut(Exception):
 class Units(dict):
     """What each unit gives, found by the library when it is first asked for."""
 
-    def __init__(self, encoder: Encoder, known: dict[str, Any]):
+    def __init__(self, encoder: Encoder, known: dict[str, Any], before: dict[str, Any]):
         super().__init__(known)
-        self.encoder = encoder
+        self.encoder, self.before = encoder, before
 
     def __missing__(self, unit: str) -> Any:
         if not unit or unit[-1].isspace():
             raise Uncut
-        value = self[unit] = self.encoder.unit(unit, self)
+        value = self.before.get(unit)
+        if value is None:
+            value = self.encoder.unit(unit, self)
+        self[unit] = value
         return value
 
+    def next(self) -> Units:
+        """The generation after this one, which finds in it what is still in use."""
+        self.before = {}
+        return Units(self.encoder, self.encoder.known, self)
+
 
 class Encoder:
     """Encodes texts; ``value`` turns the ids of a unit into what is kept for it, ``join`` adds up the values of a text."""
@@ -61,7 +69,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.value, self.join = value, join
         self.known = known or {}
-        self.units = Units(self, self.known)
+        self.units = Units(self, self.known, {})
         self.limit = CACHE_UNITS + len(self.known)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
@@ -108,7 +116,7 @@ class Encoder:
         cut: list[tuple[int, list[Any]]] = []
         for k, text in enumerate(texts):
             if len(self.units) > self.limit:
-                self.units = Units(self, self.known)
+                self.units = self.units.next()
             parts = split_units(text)
             if len(parts) < 3 or any(s in text for s in self.special):
                 whole.append(k)
