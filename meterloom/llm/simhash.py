@@ -11,8 +11,11 @@
 
 Sixty-four bits tell copies with a word or two changed, not similarity 0.8, at which a tenth or more of the bits differ. ``similar``
 therefore takes 256 bits of five-word shingles, whose differing bits tell the angle between two texts and with it their similarity,
-to about 0.03. Links of so many bits have no small exact set of blocks: tables take samples of bits, as many tables as let a pair at
-the similarity asked for meet in one with probability ``RECALL``; width and number follow from the number of texts.
+to about 0.03. They only find candidates: every link is confirmed by the exact Jaccard similarity of the two texts' shingles. The
+radius leaves out about one in a thousand of the pairs at just the similarity asked for. Links of so many bits have no small exact set
+of blocks: tables take samples of bits, as many tables as let a pair at the radius itself meet in one with probability ``RECALL``;
+width and number follow from the number of texts. A node's candidates in a shard are confirmed nearest first, in rounds of growing
+ranks (``RANKS``); a round leaves out pairs that the rounds before have joined, and the last takes all that are left.
 
 Trees reach their queries by a shuffle on the shard's key, not by a broadcast from the driver: the driver would otherwise see the
 fingerprints of all documents.
@@ -23,7 +26,7 @@ never names a component unless all of its ids are null; an empty table gives no
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import combinations, pairwise, repeat
 from math import acos, ceil, comb, log, log2, pi
 from random import Random
 
@@ -32,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from meterloom.llm.common import free_name, struct_column
+from meterloom.llm.common import free_name, struct_column, texts_of
 from meterloom.session import cut
 
 SEED = 42
@@ -49,10 +53,13 @@ QUERIES = 256  # searched at once
 WIDE, WIDE_SHINGLE = 4, 5
 WIDE_SHARD, WIDE_MOST, WIDE_QUERIES = 512, 4096, 128
 SIMILARITY = 0.8
-RECALL = 0.98  # of pairs at just that similarity
-SLACK = 1.25  # standard errors by which the differing bits of such a pair may pass their mean
+RECALL = 0.98  # of pairs at the radius
+SLACK = 3  # standard errors by which the differing bits of a pair at just the similarity may pass their mean
+RANKS = (0, 2, 16, 128, 1024, 1 << 30)  # of a node's candidates in a shard, by round
 
 LINK = StructType([StructField("u", LongType()), StructField("v", LongType())])
+SHARD_OF = [StructField("t", IntegerType()), StructField("key", LongType()), StructField("a", IntegerType()), StructField("b", IntegerType())]
+CANDIDATE = StructType([*LINK.fields, *SHARD_OF])
 
 
 def _shingle_hashes(text: str, shingle: int, seed: int):
@@ -83,10 +90,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> tuple[int, ...]:
-    """The SimHash of the distinct word shingles of a text, over WIDE times 64 bits, as signed 64-bit integers."""
+    """The SimHash of the distinct word shingles of a text, over WIDE times 64 bits, as signed 64-bit integers; then their number and
+    the hash of their set."""
     n, hashes = _shingle_hashes(text, shingle, seed)
     if not n:
-        return (0,) * WIDE
+        return (0,) * (WIDE + 2)
     distinct = np.unique(np.fromiter(hashes, np.dtype("<u8"), n))
     out = []
     for k in range(WIDE):
@@ -96,7 +104,22 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -
             mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             counts += _set_bits(mixed ^ (mixed >> np.uint64(31)))
         out.append(int(np.packbits(2 * counts > len(distinct), bitorder="little").view("<i8")[0]))
-    return tuple(out)
+    whole = xxhash.xxh64_intdigest(distinct.tobytes(), seed)
+    return (*out, len(distinct), whole - (1 << 64) if whole >> 63 else whole)
+
+
+def _shingles(text: str, shingle: int) -> set:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) < shingle:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(shingle)), strict=False))
+
+
+def jaccard(a: str, b: str, shingle: int = WIDE_SHINGLE) -> float:
+    """The exact Jaccard similarity of two texts' distinct word shingles; of two texts without words, 1."""
+    x, y = _shingles(a, shingle), _shingles(b, shingle)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
 def differing_bits(similarity: float, slack: float = SLACK) -> int:
@@ -205,6 +228,45 @@ def _search(radius: int, words: list[str], at_once: int):
     return shard
 
 
+def _nearest(radius: int, words: list[str], at_once: int, similarity: float, low: int, high: int):
+    """Of each node of a shard, the candidates from rank ``low`` to ``high`` by distance that are not in its component yet; and a row
+    that names the shard if some lie beyond. Sets whose sizes alone keep them under the similarity are no candidates."""
+
+    def shard(group: pa.Table) -> pa.Table:
+        slice_of = group.column("part").to_numpy()
+        a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+        order = np.concatenate([np.flatnonzero(slice_of == a), np.flatnonzero(slice_of != a)])
+        points = np.stack([group.column(c).to_numpy().view(np.uint64) for c in words], axis=1)[order]
+        names, size, label = (group.column(c).to_numpy()[order] for c in ("id", "size", "label"))
+        n, n_tree = len(points), int((slice_of == a).sum())
+        found_u, found_v, more = [names[:0]], [names[:0]], False
+        if n > 1 and (a == b or 0 < n_tree < n):
+            tree = BKTree(points if a == b else points[:n_tree])
+            first = 0 if a == b else n_tree
+            for at in range(first, n, at_once):
+                q, p = tree.within(points[at : at + at_once], radius)
+                q += at
+                may = (q != p) & (np.minimum(size[q], size[p]) / np.maximum(1, np.maximum(size[q], size[p])) >= similarity)
+                q, p = q[may], p[may]
+                nearer = np.lexsort((names[p], _apart(points[q], points[p]), q))
+                q, p = q[nearer], p[nearer]
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                apart = label[q] != label[p]
+                more |= bool((apart & (rank >= high)).any())
+                taken = apart & (rank >= low) & (rank < high)
+                found_u.append(np.maximum(names[q[taken]], names[p[taken]]))
+                found_v.append(np.minimum(names[q[taken]], names[p[taken]]))
+        u, v = np.concatenate(found_u), np.concatenate(found_v)
+        if len(u):
+            u, v = np.unique(np.stack([u, v]), axis=1)
+        rows = [{"u": x, "v": y} for x, y in zip(u.tolist(), v.tolist(), strict=True)]
+        if more:
+            rows.append({"t": group.column("t")[0].as_py(), "key": group.column("key")[0].as_py(), "a": a, "b": b})
+        return pa.Table.from_pylist(rows, to_arrow_schema(CANDIDATE))
+
+    return shard
+
+
 def _tables(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
     """For each table the (word, shift, width) stretches of bits that make its key: combinations of k blocks of radius + k, with the
     smallest k that gives shards of about SHARD nodes, cut to as many bits as n nodes need."""
@@ -224,13 +286,13 @@ def _tables(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
     return tables if need else [[]]  # one shard holds all
 
 
-def _samples(n: int, similarity: float) -> list[list[tuple[int, int, int]]]:
-    """As _tables, for wide fingerprints: samples of bits, as many as let a pair at the similarity meet with probability RECALL. Shards
+def _samples(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
+    """As _tables, for wide fingerprints: samples of bits, as many as let a pair at the radius meet with probability RECALL. Shards
     keep their size, so width grows with the logarithm of n and the number of tables with a small power of n."""
     width = max(0, ceil(log2(max(1, n) / WIDE_SHARD)))
     if not width:
         return [[]]
-    alike = 1 - acos(2 * similarity / (1 + similarity)) / pi
+    alike = 1 - radius / (64 * WIDE)
     wanted = ceil(log(1 - RECALL) / log(1 - alike**width))
     pieces = next(k for k in range(min(2, width), width + 1) if comb(WIDE * (64 // ceil(width / k)), k) >= 4 * wanted)
     size = ceil(width / pieces)
@@ -247,25 +309,66 @@ def _samples(n: int, similarity: float) -> list[list[tuple[int, int, int]]]:
     return tables
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
-    """u, v: forests of the nodes (columns id and p0, p1, ..; distinct) whose components are those of all links within the radius.
-    With ``similarity`` the tables are samples of a wide fingerprint's bits, else all that the radius needs."""
-    words = [c for c in nodes.columns if c[0] == "p"]
-    n = nodes.count()
-    tables, most, at_once = (_tables(n, radius), SHARD_MOST, QUERIES) if similarity is None else (_samples(n, similarity), WIDE_MOST, WIDE_QUERIES)
+def _dealt(nodes: DataFrame, tables: list[list[tuple[int, int, int]]], most: int) -> DataFrame:
+    """t, key, a, b, part and the columns of ``nodes`` (id, p0, p1, ..; others), a row for each shard or pair of its slices that a node is in."""
     keys = []
     for t, stretches in enumerate(tables):
         key = F.lit(0).cast("long")
         for word, shift, width in stretches:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(words[word], shift).bitwiseAND(F.lit((1 << width) - 1)))
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(f"p{word}", shift).bitwiseAND(F.lit((1 << width) - 1)))
         keys.append(F.struct(F.lit(t).alias("t"), key.alias("key")))
-    dealt = nodes.select("id", *words, F.explode(F.array(*keys)).alias("to")).select("id", *words, "to.t", "to.key")
+    dealt = nodes.select(*nodes.columns, F.explode(F.array(*keys)).alias("to")).select(*nodes.columns, "to.t", "to.key")
     hot = cut(dealt.groupBy("t", "key").count().where(F.col("count") > most).select("t", "key", F.ceil(F.col("count") / most).cast("int").alias("parts")), "hot")
     parts = F.coalesce("parts", F.lit(1))
     sliced = dealt.join(hot, ["t", "key"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     pairs = sliced.withColumn("other", other).withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other"))
-    return pairs.select("t", "key", "a", "b", "part", "id", *words).groupBy("t", "key", "a", "b").applyInArrow(_search(radius, words, at_once), LINK)
+    return pairs.select("t", "key", "a", "b", "part", *nodes.columns)
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: forests of the nodes (columns id and p0; distinct) whose components are those of all links within the radius."""
+    words = [c for c in nodes.columns if c[0] == "p"]
+    pairs = _dealt(nodes, _tables(nodes.count(), radius), SHARD_MOST)
+    return pairs.groupBy("t", "key", "a", "b").applyInArrow(_search(radius, words, QUERIES), LINK)
+
+
+def _confirmed(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs u, v whose texts have the similarity. Only texts of nodes in some pair are moved."""
+
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(x, y, shingle) >= similarity for x, y in zip(texts_of(a), texts_of(b), strict=True)], pa.bool_())
+
+    some = found.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(nodes.select("id", "text_hash"), "id")
+    told = cut(texts.join(some, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    left = found.join(told.withColumnRenamed("id", "u").withColumnRenamed("text", "one"), "u")
+    both = left.join(told.withColumnRenamed("id", "v").withColumnRenamed("text", "other"), "v")
+    return both.where(F.arrow_udf(alike, BooleanType())("one", "other")).select("u", "v")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """u, v: as ``components``, of the links of nodes (id, p0, p1, .., size, text_hash; the texts by text_hash) whose texts have the similarity."""
+    words = [c for c in nodes.columns if c[0] == "p"]
+    radius = differing_bits(similarity)
+    tables = _samples(nodes.count(), radius)
+    bare = nodes.select("id", *words, "size")
+    stars = shards = None
+    for low, high in pairwise(RANKS):
+        if stars is None:
+            labelled = bare.withColumn("label", F.col("id"))
+        else:
+            labelled = bare.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+        pairs = _dealt(labelled, tables, WIDE_MOST)
+        if shards is not None:
+            pairs = pairs.join(shards, ["t", "key", "a", "b"], "left_semi")
+        told = cut(pairs.groupBy("t", "key", "a", "b").applyInArrow(_nearest(radius, words, WIDE_QUERIES, similarity, low, high), CANDIDATE), "candidates")
+        found = cut(told.where("u is not null").select("u", "v").distinct(), "pairs")
+        good = cut(_confirmed(found, nodes, texts, similarity, shingle), "links")
+        stars = components(good if stars is None else stars.unionByName(good))
+        shards = told.where("u is null").select("t", "key", "a", "b")
+        if shards.isEmpty():
+            break
+    return stars
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -293,14 +396,8 @@ def components(edges: DataFrame) -> DataFrame:
         said = now
 
 
-def _classes(docs: DataFrame, printer, width: int, radius: int, similarity: float | None = None) -> DataFrame:
-    """doc_id, text_hash, p0, p1, .., component_id, one row per row of ``docs``. ``printer``: text to a tuple of words."""
-    words = [f"p{k}" for k in range(width)]
-    prints = struct_column(printer, StructType([StructField(c, LongType()) for c in words]))
-    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*")
-    signed = cut(told.withColumn("id", F.xxhash64(*words) if width > 1 else F.col("p0")), "prints")
-    nodes = cut(signed.groupBy("id", *words).agg(F.min("doc_id").alias("first")), "nodes")
-    stars = components(cut(links(nodes.drop("first"), radius, similarity), "links"))  # written, as the first star step reads it twice
+def _named(signed: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """``signed`` with component_id, the smallest id of its node's component."""
     member = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
     least = member.join(nodes, member.u == nodes.id).groupBy("v").agg(F.min("first").alias("component_id"))
     linked = member.join(least, "v").select(F.col("u").alias("id"), "component_id")
@@ -309,14 +406,29 @@ def _classes(docs: DataFrame, printer, width: int, radius: int, similarity: floa
     return signed.join(cut(named, "named"), "id")
 
 
+def _signed(docs: DataFrame, printer, columns: list[str], key) -> DataFrame:
+    """doc_id, text_hash, the columns that ``printer`` (text to a tuple) tells, and id, one row per row of ``docs``, written."""
+    prints = struct_column(printer, StructType([StructField(c, LongType()) for c in columns]))
+    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), prints(F.col("text")).alias("p")).select("doc_id", "text_hash", "p.*")
+    return cut(told.withColumn("id", key), "prints")
+
+
 def classes(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, p0 (signed), component_id, one row per row of ``docs``, by 64-bit fingerprints."""
-    return _classes(docs, lambda x: (fingerprint(x, shingle),), 1, radius)
+    signed = _signed(docs, lambda x: (fingerprint(x, shingle),), ["p0"], F.col("p0"))
+    nodes = cut(signed.groupBy("id", "p0").agg(F.min("doc_id").alias("first")), "nodes")
+    stars = components(cut(links(nodes.drop("first"), radius), "links"))  # written, as the first star step reads it twice
+    return _named(signed, nodes, stars)
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
     """doc_id, text_hash, component_id, one row per row of ``docs``, where texts of this Jaccard similarity of shingles link."""
-    return _classes(docs, lambda x: wide_fingerprint(x, shingle), WIDE, differing_bits(similarity), similarity).select("doc_id", "text_hash", "component_id")
+    words = [f"p{k}" for k in range(WIDE)]
+    signed = _signed(docs, lambda x: wide_fingerprint(x, shingle), [*words, "size", "shingles"], F.xxhash64(*words, "shingles"))
+    nodes = cut(signed.groupBy("id", *words, "size").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "nodes")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    stars = similar_links(nodes.drop("first"), texts, similarity, shingle)
+    return _named(signed.select("doc_id", "text_hash", "id"), nodes.select("id", "first"), stars).select("doc_id", "text_hash", "component_id")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

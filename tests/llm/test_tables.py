@@ -140,6 +140,28 @@ def test_similar_texts_link_and_others_do_not(spark, monkeypatch, most):
     assert got == want
 
 
+@pytest.mark.parametrize("ranks", [simhash.RANKS, (0, 1, 2, 4, 1 << 30)])
+def test_links_are_those_of_exact_similarity(spark, monkeypatch, ranks):
+    monkeypatch.setattr(simhash, "RANKS", ranks)
+
+    def edited(k, n):
+        r, out = random.Random(k), prose(k, 300).split()
+        for at in r.sample(range(300), n):
+            out[at] = f"new{n}x{at}"
+        return " ".join(out)
+
+    texts = {20 * k + n: edited(k, 3 * n) for k in range(15) for n in range(8)}  # similarity from 1 down to 0.5, many near 0.8
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if v == high else v for x, v in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert got == root and 15 < len(set(root.values())) < 120
+
+
 # --- mixing
 
 
