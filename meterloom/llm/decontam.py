@@ -3,11 +3,8 @@
 1. The benchmark's word n-grams are the seeds' candidates. Texts are read once against them; where a text holds some, the passage
    around them is set aside with the n-grams found, one row per item and place. This is the join of passages to items: the items'
    n-grams are sent to the readers in slices of at most ``SLICE_WORDS`` words each, however large the benchmark is.
-2. Over these rows Spark counts in how many documents each n-gram occurs. Rare ones are seeds; an n-gram is rare if it is found in
-   at most ``RARE`` documents or no more often than ``RATIO`` times its item's median one. A passage that thousands of texts
-   share therefore keeps its seeds: their count is that of its item.
-3. Passages with a seed are aligned with the item's words by Smith-Waterman; the score over that of a verbatim copy tells
-   verbatim, edited and paraphrased copies from chance.
+2. Every passage is aligned with the item's words by Smith-Waterman; the score over that of a verbatim copy tells verbatim, edited and
+   paraphrased copies from chance. Of an item with more than ``RARE`` passages, equal ones are aligned once.
 
 Words are lower-cased and stripped of ASCII punctuation; n-grams do not cross texts.
 
@@ -29,7 +26,6 @@ from meterloom.session import cut
 
 N = 5  # words of a seed
 RARE = 1000
-RATIO = 4
 LEAST_SCORE = 0.5  # of a verbatim copy's score
 SLICE_WORDS = 1 << 21  # benchmark words sent to the readers at once
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -172,16 +168,6 @@ def passages(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
     return cut(whole, "passages")
 
 
-def seeded(found: DataFrame, rare: int = RARE, ratio: int = RATIO) -> DataFrame:
-    """The passages that hold a rare n-gram of their item."""
-    grams = found.select("item_id", F.explode("grams").alias("gram"), "doc_id", "text_hash")
-    counts = grams.groupBy("item_id", "gram").agg(F.count(F.lit(1)).alias("n"))
-    usual = counts.groupBy("item_id").agg(F.percentile("n", 0.5).alias("usual"))
-    seeds = counts.join(usual, "item_id").where(F.col("n") <= F.greatest(F.lit(rare), F.col("usual") * ratio))
-    seeds = cut(seeds.groupBy("item_id").agg(F.collect_list("gram").alias("seeds")), "seeds")
-    return found.join(seeds, "item_id").where(F.arrays_overlap("grams", "seeds")).drop("seeds")
-
-
 @F.arrow_udf(DoubleType())
 def _score(items: pa.Array, found: pa.Array) -> pa.Array:
     out = []
@@ -190,13 +176,26 @@ def _score(items: pa.Array, found: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = N) -> DataFrame:
-    """doc_id, text_hash, item_id, start (word), score: each item's best place in each document that holds a copy of it."""
-    found = seeded(passages(docs, benchmark, n))
+def aligned(found: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The passages, each with its score."""
     items = benchmark.select(F.col("item_id").cast("long").alias("of_item"), F.col("text").alias("item"))
     # the item's row is found by its id alone; of items that share an id, the first text by order stands
     items = items.groupBy("of_item").agg(F.min("item").alias("item"))
-    scored = found.join(items, F.col("item_id") == F.col("of_item")).withColumn("score", _score("item", "passage")).where(F.col("score") >= least)
+
+    def scored(some: DataFrame) -> DataFrame:
+        return some.join(items, F.col("item_id") == F.col("of_item")).withColumn("score", _score("item", "passage")).drop("of_item", "item")
+
+    hot = cut(found.groupBy("item_id").count().where(F.col("count") > RARE).select("item_id"), "hot")
+    if hot.isEmpty():
+        return scored(found)
+    shared = found.join(hot, "item_id", "left_semi")
+    once = scored(shared.select("item_id", "passage").distinct())
+    return scored(found.join(hot, "item_id", "left_anti")).unionByName(shared.join(once, ["item_id", "passage"]))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = N) -> DataFrame:
+    """doc_id, text_hash, item_id, start (word), score: each item's best place in each document that holds a copy of it."""
+    scored = aligned(passages(docs, benchmark, n), benchmark).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("score"), "start"))
     return scored.withColumn("k", best).where("k = 1").select("doc_id", "text_hash", "item_id", "start", "score")
 

@@ -251,6 +251,15 @@ def test_leaks_are_found_and_others_left(spark, monkeypatch):
     assert decontam.matches(frame(spark, rows), bench.where("item_id < 0")).count() == 0
 
 
+def test_a_passage_of_many_documents_is_found_whatever_their_number(spark, monkeypatch):
+    item = prose(77, 40)
+    rows = [(k, f"{prose(900 + k, 20)} {' '.join(item.split()[:21])} {prose(300 + k, 20)}", "s") for k in range(30)] + [(100 + k, item, "s") for k in range(3)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for rare in (5, 1000):
+        monkeypatch.setattr(decontam, "RARE", rare)
+        assert {r.doc_id: r.score >= 1 for r in decontam.matches(frame(spark, rows), bench).collect()} == {r[0]: r[0] >= 100 for r in rows}
+
+
 # --- chat
 
 
