@@ -1,15 +1,20 @@
-"""Benchmark decontamination by rare n-gram seeds and local alignment (operator 5).
+"""Benchmark decontamination by rare seeds and local alignment (operator 5).
 
-1. The benchmark's word n-grams are the seeds' candidates. Texts are read once against them; where a text holds some, the passage
-   around them is set aside with the n-grams found, one row per item and place. This is the join of passages to items: the items'
-   n-grams are sent to the readers in slices of at most ``SLICE_WORDS`` words each, however large the benchmark is.
+1. Texts are read once against the benchmark's seeds; where a text holds enough of an item's, the passage around them is set aside,
+   one row per item and place. This is the join of passages to items: the items are sent to the readers in slices of at most
+   ``SLICE_WORDS`` words each, however large the benchmark is.
 2. Every passage is aligned with the item's words by Smith-Waterman; the score over that of a verbatim copy tells verbatim, edited and
    paraphrased copies from chance. Of an item with more than ``RARE`` passages, equal ones are aligned once.
 
-Words are lower-cased and stripped of ASCII punctuation; n-grams do not cross texts.
+Seeds are pairs of words with at most one word between, in the item and in the text. They leave no copy out: an alignment of m matches
+and e errors that scores half of the L matches of a verbatim copy has 2 m - e >= L, so at least L / 2 - 1 of its m - 1 steps from match
+to match hold one error at most, and it spans no more than 2 L words. Of the item's L - 1 places for such a step the commonest are
+left out, as many as still leave ``SEEDS`` of the steps to be found, so rare pairs alone decide. Items of one or two words are found by
+single words.
 
-Defined results: null or empty texts hold nothing; an item with fewer words than an n-gram is one n-gram of its own length; an item
-without words is never found; repeated rows are each reported; an empty benchmark or table gives no rows; other columns are neither
+Words are lower-cased and stripped of ASCII punctuation; seeds do not cross texts.
+
+Defined results: null or empty texts hold nothing; an item without words is never found; repeated rows are each reported; an empty benchmark or table gives no rows; other columns are neither
 read nor changed. Very long texts are read whole.
 """
 
@@ -21,10 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from meterloom.llm.common import free_name, texts_of
+from meterloom.llm.common import SLICE, free_name
 from meterloom.session import cut
 
-N = 5  # words of a seed
+SEEDS = 3  # to be found of an item
 RARE = 1000
 LEAST_SCORE = 0.5  # of a verbatim copy's score
 SLICE_WORDS = 1 << 21  # benchmark words sent to the readers at once
@@ -32,81 +37,106 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
-HIT = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("passage", StringType()), StructField("grams", ArrayType(LongType()))])
+HIT = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("passage", StringType())])
 HITS = ArrayType(HIT)
-_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("passage", pa.string()), ("grams", pa.list_(pa.int64()))]))
+_HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("passage", pa.string())]))
 
 
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split()
 
 
-def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
-    out = hashes
-    for k in range(1, n):
-        out = out[:-1] * BASE + hashes[k:]
-    return out
-
-
 def word_hashes(found: list[bytes]) -> np.ndarray:
     """Hashes of words, equal within one process: an index is built where it is used."""
     return np.fromiter(map(hash, found), np.int64, len(found)).astype(np.uint64)
 
 
+def _pairs(hashes: np.ndarray, gap: int) -> np.ndarray:
+    """The hash of each word with the one ``gap`` words on; of single words where it is 0."""
+    mixed = hashes[: len(hashes) - gap] * BASE + (hashes[gap:] if gap else np.uint64(1))
+    return (mixed ^ (mixed >> np.uint64(29))) * BASE
+
+
 class Index:
-    """The n-grams of a slice of the benchmark: gram number g of item i. Built in each worker from the items' texts."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int, numbers: dict[tuple[int, int], int] | None = None):
-        self.lengths: dict[int, int] = {}
-        by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        number = 0
-        for item_id, text in items:
-            found = words(text or "")
-            self.lengths[item_id] = len(found)
-            if found:
-                m = min(n, len(found))
-                for gram in rolling(word_hashes(found), m).tolist():
-                    by_length.setdefault(m, {}).setdefault(gram, []).append((item_id, number))
-                    number += 1
-        self.tables = [(m, grams, self._filter(grams)) for m, grams in by_length.items()]
-
-    @staticmethod
-    def _filter(grams: dict) -> np.ndarray:
-        bits = np.zeros(1 << 22, bool)
-        bits[np.fromiter(grams, np.uint64, len(grams)) >> np.uint64(42)] = True
-        return bits
-
-    def hits(self, text: str) -> list[tuple[int, int, int, list[int]]]:
-        """(item, first word, end word, gram numbers) of each place where n-grams of an item stand close together."""
-        found = words(text)
-        if not found:
-            return []
-        hashes = word_hashes(found)
-        at: dict[int, list[tuple[int, int]]] = {}
-        for m, grams, may in self.tables:
-            if len(found) >= m:
-                rolled = rolling(hashes, m)
-                for k in np.flatnonzero(may[rolled >> np.uint64(42)]).tolist():
-                    for item_id, number in grams.get(int(rolled[k]), ()):
-                        at.setdefault(item_id, []).append((k, number))
-        out = []
-        for item_id, places in at.items():
-            reach = self.lengths[item_id]
-            places.sort()
-            group = [places[0]]
-            for place in places[1:]:
-                if place[0] - group[-1][0] > reach:
-                    out.append(self._place(item_id, group, reach, len(found)))
-                    group = []
-                group.append(place)
-            out.append(self._place(item_id, group, reach, len(found)))
-        self.found = found
+    """The seeds of a slice of the benchmark. Built in each worker from the items' texts."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        held = [(item_id, found) for item_id, text in items if (found := words(text or ""))]
+        self.ids = [item_id for item_id, _ in held]
+        self.lengths = np.array([len(found) for _, found in held], np.int64)
+        self.need = np.clip((self.lengths + 1) // 2 - 1, 1, SEEDS)
+        told = []  # (seed, item, place in the item)
+        for k, (_, found) in enumerate(held):
+            hashes = word_hashes(found)
+            for gap in (1, 2) if len(found) > 2 else (0,):
+                seeds = _pairs(hashes, gap)
+                told.append((seeds, np.full(len(seeds), k), np.arange(len(seeds))))
+        seed, item, place = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))
+        _, which, often = np.unique(seed, return_inverse=True, return_counts=True)
+        # of each item's places the commonest are left out
+        first = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        common = np.bincount(first[item] + place, often[which], first[-1])
+        keep = np.ones(first[-1], bool)
+        for k, length in enumerate(self.lengths.tolist()):
+            spare = (length + 1) // 2 - 1 - int(self.need[k])
+            if spare > 0:
+                keep[first[k] + np.argsort(-common[first[k] : first[k] + length - 1], kind="stable")[:spare]] = False
+        kept = keep[first[item] + place]
+        entries = np.unique(np.stack([seed[kept].view(np.int64), item[kept]]), axis=1)  # a seed twice in an item is one entry
+        order = np.argsort(entries[0].view(np.uint64), kind="stable")
+        seed, self.item = entries[0].view(np.uint64)[order], entries[1][order]
+        self.seeds, self.first, self.n = np.unique(seed, return_index=True, return_counts=True)
+        self.gaps = sorted({gap for length in self.lengths.tolist() for gap in ((1, 2) if length > 2 else (0,))})
+        self.may = np.zeros(1 << 22, bool)
+        self.may[self.seeds >> np.uint64(42)] = True
+
+    def hits(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        """Of each text, (item, first word, passage) of each place where it holds enough of an item's seeds close together."""
+        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        split = [words(text) for text in texts]
+        if not len(self.seeds):
+            return out
+        hashes = word_hashes([w for found in split for w in found])
+        sizes = np.array([len(found) for found in split], np.int64)
+        text_of = np.repeat(np.arange(len(texts)), sizes)
+        items, at = [], []
+        for gap in self.gaps:
+            if len(hashes) > gap:
+                seeds = _pairs(hashes, gap)
+                k = np.flatnonzero(self.may[seeds >> np.uint64(42)] & (text_of[: len(seeds)] == text_of[gap:]))
+                to = np.minimum(np.searchsorted(self.seeds, seeds[k]), len(self.seeds) - 1)
+                same = self.seeds[to] == seeds[k]
+                k, to = k[same], to[same]
+                n = self.n[to]
+                at.append(np.repeat(k, n))
+                items.append(self.item[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[to], n)])
+        if not at:
+            return out
+        both = np.unique(np.concatenate(items) * (len(hashes) + 1) + np.concatenate(at))  # by item, then by word
+        item, at = both // (len(hashes) + 1), both % (len(hashes) + 1)
+        start = np.flatnonzero(np.arange(len(item)) + self.need[item] <= len(item))
+        last = start + self.need[item[start]] - 1
+        close = (item[last] == item[start]) & (text_of[at[last]] == text_of[at[start]]) & (at[last] - at[start] < 2 * self.lengths[item[start]])
+        begun = np.cumsum(sizes) - sizes
+        now: list[int] | None = None
+
+        def end() -> None:
+            k, a, b = now
+            reach, text = 2 * int(self.lengths[k]), int(text_of[a])
+            a, b = max(0, a - int(begun[text]) - reach), b - int(begun[text]) + reach
+            out[text].append((self.ids[k], a, b" ".join(split[text][a:b]).decode("utf-8", "surrogatepass")))
+
+        for k, a, b in zip(item[start[close]].tolist(), at[start[close]].tolist(), at[last[close]].tolist(), strict=True):
+            if now and now[0] == k and text_of[now[1]] == text_of[a] and a - now[2] <= 2 * int(self.lengths[k]):
+                now[2] = b
+            else:
+                if now:
+                    end()
+                now = [k, a, b]
+        if now:
+            end()
         return out
 
-    @staticmethod
-    def _place(item_id: int, group: list[tuple[int, int]], reach: int, size: int) -> tuple[int, int, int, list[int]]:
-        return item_id, max(0, group[0][0] - reach), min(size, group[-1][0] + reach + N), sorted({number for _, number in group})
-
 
 def align(item: list[bytes], passage: list[bytes]) -> float:
     """The Smith-Waterman score of the best local alignment of words, over that of a verbatim copy. Gaps cost a word each, so a row
@@ -141,25 +171,26 @@ def _slices(benchmark: DataFrame):
         yield held
 
 
-def _passages(docs: DataFrame, items, n: int) -> DataFrame:
+def _passages(docs: DataFrame, items) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
     held: dict[str, Index] = {}
 
     def find(column: pa.Array) -> pa.Array:
-        index = held.get("index") or held.setdefault("index", Index(sent.value, n))
+        index = held.get("index") or held.setdefault("index", Index(sent.value))
         rows = []
-        for text in texts_of(column):
-            rows.append([{"item_id": i, "start": s, "passage": b" ".join(index.found[s:e]).decode("utf-8", "surrogatepass"), "grams": g} for i, s, e, g in index.hits(text)])
+        for at in range(0, len(column), SLICE):
+            found = index.hits([text or "" for text in column.slice(at, SLICE).to_pylist()])
+            rows += [[{"item_id": i, "start": s, "passage": p} for i, s, p in hits] for hits in found]
         return pa.array(rows, _HIT)
 
     found = docs.withColumn("hits", F.arrow_udf(find, HITS).asNondeterministic()(F.col("text")))
     return found.where(F.size("hits") > 0).select("doc_id", "text_hash", F.explode("hits").alias("h")).select("doc_id", "text_hash", "h.*")
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, text_hash, item_id, start, passage, grams: places in texts that share n-grams with an item, written."""
+def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, start, passage: places in texts that share seeds with an item, written."""
     told = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    parts = [_passages(told, items, n) for items in _slices(benchmark)]
+    parts = [_passages(told, items) for items in _slices(benchmark)]
     if not parts:
         return docs.sparkSession.createDataFrame([], StructType([StructField("doc_id", LongType()), StructField("text_hash", LongType()), *HIT.fields]))
     whole = parts[0]
@@ -193,9 +224,10 @@ def aligned(found: DataFrame, benchmark: DataFrame) -> DataFrame:
     return scored(found.join(hot, "item_id", "left_anti")).unionByName(shared.join(once, ["item_id", "passage"]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, n: int = N) -> DataFrame:
-    """doc_id, text_hash, item_id, start (word), score: each item's best place in each document that holds a copy of it."""
-    scored = aligned(passages(docs, benchmark, n), benchmark).where(F.col("score") >= least)
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """doc_id, text_hash, item_id, start (word), score: each item's best place in each document that holds a copy of it. ``least`` is
+    LEAST_SCORE or more, for which the seeds are made."""
+    scored = aligned(passages(docs, benchmark), benchmark).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("doc_id", "text_hash", "item_id").orderBy(F.desc("score"), "start"))
     return scored.withColumn("k", best).where("k = 1").select("doc_id", "text_hash", "item_id", "start", "score")
 

@@ -251,6 +251,29 @@ def test_leaks_are_found_and_others_left(spark, monkeypatch):
     assert decontam.matches(frame(spark, rows), bench.where("item_id < 0")).count() == 0
 
 
+def test_seeds_leave_no_copy_out():
+    r = random.Random(4)
+    items = [(k, " ".join(f"w{r.randrange(60)}" for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 7, 8, 12, 15, 15, 21, 40] * 2)]
+    texts = ["", "w1", items[7][1].replace(items[7][1].split()[3], "x", 1)]
+    for _, item in items:
+        for step in (1, 2, 3, 4, 5):
+            words = item.split()
+            changed = [f"x{j}" if j % step == step - 1 else w for j, w in enumerate(words)]
+            more = [y for j, w in enumerate(words) for y in ([w, f"y{j}"] if j % step == step - 1 else [w])]
+            fewer = [w for j, w in enumerate(words) if j % (step + 1) != step]
+            noisy = [r.choice([w, w, w, "z"]) for w in words]
+            texts += [f"{prose(r.random(), 30)} {' '.join(c)} {prose(r.random(), 30)}" for c in (changed, more, fewer, noisy)]
+    found = decontam.Index(items).hits(texts)
+    edited = 0
+    for text, hits in zip(texts, found, strict=True):
+        for k, item in items:
+            whole = decontam.align(decontam.words(item), decontam.words(text))
+            best = max((decontam.align(decontam.words(item), decontam.words(p)) for i, _, p in hits if i == k), default=0)
+            assert best == whole or max(best, whole) < decontam.LEAST_SCORE, (item, text)
+            edited += 0.5 <= whole < 1
+    assert edited > 200
+
+
 def test_a_passage_of_many_documents_is_found_whatever_their_number(spark, monkeypatch):
     item = prose(77, 40)
     rows = [(k, f"{prose(900 + k, 20)} {' '.join(item.split()[:21])} {prose(300 + k, 20)}", "s") for k in range(30)] + [(100 + k, item, "s") for k in range(3)]
