@@ -74,12 +74,12 @@ def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries:
     path = vocabulary or vocabulary_path()
     units = frequent_units(docs, entries)
     maker = Encoder(path, len, sum)
-    table = docs.sparkSession.sparkContext.broadcast(("\x00".join(units), bytes(min(255, maker.units[u]) for u in units)))
+    table = docs.sparkSession.sparkContext.broadcast((units, bytes(min(255, maker.units[u]) for u in units)))
     key = (path, uuid.uuid4().hex)
 
     def make() -> Encoder:
         names, lengths = table.value
-        known = {u: n for u, n in zip(names.split("\x00"), lengths, strict=False) if u and n < 255}
+        known = {u: n for u, n in zip(names, lengths, strict=True) if u and n < 255}
         return Encoder(path, len, sum, known)
 
     def count(column: pa.Array) -> pa.Array:

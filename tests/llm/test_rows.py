@@ -118,6 +118,13 @@ def test_token_counts_are_the_librarys(spark):
     assert tokencount.token_counts(docs(spark, texts).where("doc_id < 0")).count() == 0
 
 
+def test_a_unit_may_hold_any_character(spark):
+    texts = ["a b\x00c d e", "a b\x00c d e", *(prose(k, 80) for k in range(10)), "the cat sat, the dog ran. antidisestablishmentarianism again " * 4]
+    whole = bpe.Encoder(bpe.vocabulary_path(), len, sum).tokenizer
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs(spark, texts).repartition(3)).collect()}
+    assert got == {k: len(whole.encode(text, add_special_tokens=False).ids) for k, text in enumerate(texts)}
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_UNITS", 5)
     e = bpe.Encoder(bpe.vocabulary_path(), list, lambda parts: [x for p in parts for x in p])
