@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 CACHE_UNITS = 1 << 18  # units of each of the two generations that a worker remembers; what is forgotten costs time only
+LATEST = "\u04ff"  # the last letter of whose kind Python is trusted to say what the library says
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
@@ -39,90 +40,98 @@ class Uncut(Exception):
     """A text whose white space the quick cut cannot tell apart."""
 
 
-class Units(dict):
-    """What each unit gives, found by the library when it is first asked for."""
+class Run(dict):
+    """What the units of a run of texts give, each found once."""
 
-    def __init__(self, encoder: Encoder, known: dict[str, Any], before: dict[str, Any]):
-        super().__init__(known)
-        self.encoder, self.before = encoder, before
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.get_known = encoder, encoder.units.get
 
     def __missing__(self, unit: str) -> Any:
-        if not unit or unit[-1].isspace():
-            raise Uncut
-        value = self.before.get(unit)
+        value = self.get_known(unit)
         if value is None:
-            value = self.encoder.unit(unit, self)
+            stem = unit.rstrip(punctuation)
+            last = stem[-1:]
+            if len(stem) == len(unit):
+                if not unit or last.isspace():
+                    raise Uncut
+                value = self.encoder.unit(unit)
+            elif last.isalnum() and last <= LATEST:
+                value = self.get_known(stem)
+                value = (self.encoder.unit(stem) if value is None else value) + self.encoder.tail(unit[len(stem) :])
+            else:
+                value = self.encoder.unit(unit)
         self[unit] = value
         return value
 
-    def next(self) -> Units:
-        """The generation after this one, which finds in it what is still in use."""
-        self.before = {}
-        return Units(self.encoder, self.encoder.known, self)
-
 
 class Encoder:
-    """Encodes texts; ``value`` turns the ids of a unit into what is kept for it, ``join`` adds up the values of a text."""
+    """Encodes texts; ``value`` turns the ids of a unit into what is kept for it, ``join`` adds up the values of a text. Of two values
+    the sum is that of both.
+
+    Units are looked up once in a run of texts, then in two generations that a worker remembers. Of a unit that ends in ASCII
+    punctuation after a letter or digit only what stands before it is remembered.
+    """
 
     def __init__(self, path: str, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.value, self.join = value, join
         self.known = known or {}
-        self.units = Units(self, self.known, {})
-        self.limit = CACHE_UNITS + len(self.known)
+        self.units: dict[str, Any] = dict(self.known)
+        self.before: dict[str, Any] = {}
+        self.tails: dict[str, Any] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.space = self.letters[0x20]
-        self.tails: dict[str, Any] = {}
         self.feed = self._whole(["\n"])[0]
 
     def _whole(self, texts: list[str]) -> list[Any]:
         return [self.value(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _letters(self, stem: str, before: str = "") -> Any:
-        if not stem.isascii():
-            stem = stem.encode().decode("latin-1").translate(self.letters)
-        return self.value([t.id for t in self.model.tokenize(before + stem)])
-
-    def unit(self, unit: str, units: Units) -> Any:
-        """The value of a unit. Letters, then ASCII punctuation or none, are pre-tokens known without the splitting steps, and the
-        model takes the letters as they are; letters of later scripts, and all other units, go through the library whole, whose
-        Unicode tables may be of another version than Python's."""
-        fed = unit[0] == "\n"
-        body = unit[1:] if fed else unit
-        stem = body.rstrip(punctuation)
-        if not stem.isalpha() or (not stem.isascii() and max(stem) > "\u04ff"):
-            return self._whole([unit if fed else " " + unit])[0]
-        if fed:
-            parts = [self.feed, self._letters(stem)]
-        elif len(stem) == len(body):
-            return self._letters(stem, self.space)
-        else:
-            parts = [units[stem]]
-        if tail := body[len(stem) :]:
-            if tail not in self.tails:
-                if len(self.tails) > CACHE_UNITS:
-                    self.tails.clear()
-                self.tails[tail] = self._whole([tail])[0]
-            parts.append(self.tails[tail])
-        return self.join(parts)
+    def tail(self, tail: str) -> Any:
+        """The value of ASCII punctuation after a letter or digit."""
+        value = self.tails.get(tail)
+        if value is None:
+            if len(self.tails) > CACHE_UNITS // 8:
+                self.tails.clear()
+            value = self.tails[tail] = self._whole([tail])[0]
+        return value
+
+    def unit(self, unit: str) -> Any:
+        """The value of a unit, remembered. Letters are one pre-token, known without the splitting steps, and the model takes them as
+        they are; letters of later scripts go through the library whole, whose Unicode tables may be of another version than Python's."""
+        value = self.before.get(unit)
+        if value is None:
+            fed = unit[0] == "\n"
+            body = unit[1:] if fed else unit
+            if not body.isalpha() or not (body.isascii() or max(body) <= LATEST):
+                value = self._whole([unit if fed else " " + unit])[0]
+            else:
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(self.letters)
+                value = self.value([t.id for t in self.tokenize(body if fed else self.space + body)])
+                if fed:
+                    value = self.feed + value
+        self.units[unit] = value
+        return value
 
     def encode(self, texts: list[str]) -> list[Any]:
         """The joined value of each text."""
+        if len(self.units) > CACHE_UNITS + len(self.known):
+            self.units, self.before = dict(self.known), self.units
+        run = Run(self)
         out: list[Any] = [None] * len(texts)
         whole: list[int] = []
         ends: list[str] = []
         cut: list[tuple[int, list[Any]]] = []
         for k, text in enumerate(texts):
-            if len(self.units) > self.limit:
-                self.units = self.units.next()
             parts = split_units(text)
             if len(parts) < 3 or any(s in text for s in self.special):
                 whole.append(k)
                 continue
             try:
-                values = list(map(self.units.__getitem__, parts[1:-1]))
+                values = list(map(run.__getitem__, parts[1:-1]))
             except Uncut:
                 whole.append(k)
                 continue
@@ -133,9 +142,7 @@ class Encoder:
             out[k] = value
         edges = self._whole(ends)
         for j, (k, values) in enumerate(cut):
-            values.insert(0, edges[2 * j])
-            values.append(edges[2 * j + 1])
-            out[k] = self.join(values)
+            out[k] = self.join([edges[2 * j], *values, edges[2 * j + 1]])
         return out
 
 

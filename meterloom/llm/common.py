@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +30,19 @@ def texts_of(column: pa.Array) -> Iterator[str]:
             yield text or ""
 
 
+def runs_of(texts: Iterable[str], most: int = 2048, chars: int = 1 << 22) -> Iterator[list[str]]:
+    """The texts in runs of at most so many and about so many characters; a longer text is a run of its own or the last of one."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if len(held) == most or size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def struct_column(fn: Callable[[str], tuple], schema: StructType):
     """An Arrow UDF that applies ``fn`` to each text and returns its tuple as a struct.
 

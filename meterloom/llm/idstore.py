@@ -4,16 +4,19 @@ Format, all tables Parquet with zstd, under one folder:
   kind=chunk   digest, width, ids      unique stretches of ids, little-endian, ``width`` bytes an id, addressed by BLAKE2b-128
   recipes      part, doc_id, row, n_tokens, chunks (digests in order), root    a document as a list of chunks; ascending doc_id over the parts
   manifest     part, n_docs, n_tokens, first_doc, last_doc, root    each part's place and the Merkle root over its documents' roots
+  head         n_parts, n_docs, n_tokens, root    of the store, the root over its parts' roots
 
 Ids are cut where a rolling hash of the last 16 of them has its low bits zero, so equal passages give equal chunks wherever they
 stand. One shuffle brings equal chunks together: a task sends each chunk's ids once, however often it met it, and a document's
-recipe goes elsewhere by its own row number, so a chunk that a third of all documents hold is no hot key.
+recipe goes elsewhere by its own row number, so a chunk that a third of all documents hold is no hot key in writing.
 
 Reading recomputes each chunk's digest and its CRC from the stored ids; documents are put together from these by the algebra of
-CRC-32, and their Merkle roots are checked against recipes and manifest.
+CRC-32. Recipes are checked against the manifest, the manifest against the head, chunks and documents against their recipes; a chunk,
+recipe or manifest row that is missing or changed raises.
 
 Defined results: a null or empty text holds the end id alone; repeated rows are documents of their own, in the order of doc_id
-(null first), then row; an empty table gives an empty store.
+(null first), then row; an empty table gives an empty store; very long texts are whole documents of many chunks; other columns are
+neither read nor kept.
 """
 
 from __future__ import annotations
@@ -27,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from tokenizers import Tokenizer
 
 from meterloom.llm.bpe import Encoder, vocabulary_path, worker_encoder
-from meterloom.llm.common import SLICE
+from meterloom.llm.common import runs_of, texts_of
 from meterloom.session import scratch_path
 
 END_ID = 0
@@ -74,52 +78,63 @@ def merkle(leaves) -> bytes:
     return tree.root()
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end."""
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """The places after which the rolling hash of the last 16 ids has its low bits zero."""
     rolling, power = ids.astype(np.uint64) * MULTIPLIER + np.uint64(1), int(MULTIPLIER)
     for step in (1, 2, 4, 8):  # a window of 16 by doubling
         ahead = rolling.copy()
         ahead[step:] += rolling[:-step] * np.uint64(power)
         rolling, power = ahead, power * power % (1 << 64)
     mixed = (rolling ^ (rolling >> np.uint64(29))) * MULTIPLIER
-    ends, last = [], 0
-    for at in (np.flatnonzero((mixed >> np.uint64(40)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1).tolist():
-        while at - last > CHUNK_MOST:
+    return np.flatnonzero((mixed >> np.uint64(40)) & np.uint64((1 << CUT_BITS) - 1) == 0) + 1
+
+
+def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
+    """Where the chunks of each document end, counted from its start. ``ids`` holds documents of these sizes one after another: no
+    chunk is shorter than CHUNK_LEAST, so windows that reach back into the document before cut nothing."""
+    marks = _marks(ids)
+    starts = np.cumsum([0, *sizes])
+    first = np.searchsorted(marks, starts, "right").tolist()
+    marks = marks.tolist()
+    out, start = [], 0
+    for k, size in enumerate(sizes):
+        ends, last = [], 0
+        for mark in marks[first[k] : first[k + 1]]:
+            at = mark - start
+            while at - last > CHUNK_MOST:
+                last += CHUNK_MOST
+                ends.append(last)
+            if at - last >= CHUNK_LEAST:
+                ends.append(at)
+                last = at
+        while size - last > CHUNK_MOST:
             last += CHUNK_MOST
             ends.append(last)
-        if at - last >= CHUNK_LEAST:
-            ends.append(at)
-            last = at
-    while len(ids) - last > CHUNK_MOST:
-        last += CHUNK_MOST
-        ends.append(last)
-    if last < len(ids):
-        ends.append(len(ids))
-    return ends
+        if last < size:
+            ends.append(size)
+        out.append(ends)
+        start += size
+    return out
 
 
 def _cut_documents(path: str, end_id: int):
-    def as_bytes(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()  # 4 bytes, low byte first, on all platforms that Spark runs on
-
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = worker_encoder((path, "ids"), lambda: Encoder(path, as_bytes, b"".join))
-        width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
+        encoder, width = _ids_encoder(path, end_id)
         row, seen = TaskContext.get().partitionId() << 40, set()
-        end = np.array([end_id], "<u4")
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some = batch.slice(at, SLICE)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for texts in runs_of(texts_of(batch.column(1))):
                 out = []
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc_id, stream in zip(some.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids = np.concatenate([np.frombuffer(stream, "<u4"), end])
-                    stored = ids.astype(f"<u{width}")
+                streams = [stream + end for stream in encoder.encode(texts)]
+                ids = np.frombuffer(b"".join(streams), f"<u{width}")
+                sizes = [len(stream) // width for stream in streams]
+                for stream, size, ends in zip(streams, sizes, cuts(ids, sizes), strict=True):
                     digests, last = [], 0
-                    for stop in cuts(ids):
-                        data = stored[last:stop].tobytes()
+                    for stop in ends:
+                        data = stream[last * width : stop * width]
                         digests.append(key := digest(data))
                         if key not in seen:
                             if len(seen) >= SEEN:
@@ -127,7 +142,7 @@ def _cut_documents(path: str, end_id: int):
                             seen.add(key)
                             out.append(("chunk", key, width, data, None, None, None, None, None))
                         last = stop
-                    out.append(("recipe", row.to_bytes(8, "big"), width, None, doc_id, row, len(ids), digests, merkle(digests)))
+                    out.append(("recipe", row.to_bytes(8, "big"), width, None, next(doc_ids), row, size, digests, merkle(digests)))
                     row += 1
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES, strict=True)], names=CUT.names)
@@ -135,6 +150,13 @@ def _cut_documents(path: str, end_id: int):
     return run
 
 
+def _ids_encoder(path: str, end_id: int) -> tuple[Encoder, int]:
+    """An encoder whose values are ids as bytes, and how many an id takes; low byte first on all platforms that Spark runs on."""
+    width = 2 if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
+    code = "H" if width == 2 else "I"
+    return worker_encoder((path, "ids", width), lambda: Encoder(path, lambda ids: array(code, ids).tobytes(), b"".join)), width
+
+
 _CUT_TYPES = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
 
 
@@ -164,12 +186,23 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end
     ordered = recipes.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("row")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "row", "n_tokens", "chunks", "root").write.option("compression", "zstd").parquet(f"{folder}/recipes")
 
-    placed = spark.read.parquet(f"{folder}/recipes")
-    listed = placed.select("part", "doc_id", "n_tokens", "root", "row").repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "row")
-    listed.mapInArrow(_manifests, MANIFEST).write.option("compression", "zstd").parquet(f"{folder}/manifest")
+    _listed(spark.read.parquet(f"{folder}/recipes")).write.option("compression", "zstd").parquet(f"{folder}/manifest")
+    spark.createDataFrame([_head(spark.read.parquet(f"{folder}/manifest"))], "n_parts long, n_docs long, n_tokens long, root binary").coalesce(1).write.parquet(f"{folder}/head")
     return folder
 
 
+def _listed(recipes: DataFrame) -> DataFrame:
+    """The manifest that the recipes should have."""
+    listed = recipes.select("part", "doc_id", "n_tokens", "root", "row").repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "row")
+    return listed.mapInArrow(_manifests, MANIFEST)
+
+
+def _head(manifest: DataFrame) -> tuple:
+    """What the head says of a manifest: a row for each part of the store, however many documents that has."""
+    parts = manifest.select("n_docs", "n_tokens", "root").orderBy("part").collect() if manifest.columns else []
+    return len(parts), sum(p["n_docs"] for p in parts), sum(p["n_tokens"] for p in parts), bytearray(merkle(bytes(p["root"]) for p in parts))
+
+
 def _manifests(batches):
     """As _manifest, where one task may hold several parts, each in one stretch."""
     held, part = [], None
@@ -256,13 +289,33 @@ def _assembled(column: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], names=["n", "crc", "root"])
 
 
+def check_manifest(spark, folder: str) -> None:
+    """Raises where the recipes are not those that the manifest, or the manifest not the one that the head tells of."""
+    stored = spark.read.parquet(f"{folder}/manifest")
+    head = spark.read.parquet(f"{folder}/head").first()
+    if head is None or tuple(head) != _head(stored):
+        raise ValueError("the manifest is not the one that the head of the store tells of")
+    found = _listed(spark.read.parquet(f"{folder}/recipes"))
+    told = lambda df, name: df.select("part", F.struct(*MANIFEST.names).alias(name))
+    both = told(stored, "a").join(told(found, "b"), "part", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    if broken := both.select("part").take(1):
+        raise ValueError(f"the recipes of part {broken[0][0]} are not those that the manifest tells of")
+
+
 def read_store(spark, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, verified of each document, from the files of a store."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store.
+
+    Everything is checked on the way: the recipes against manifest and head at once, and, as rows are made, that each chunk is there
+    and has its address and that each document is as long, and has the root, that its recipe says. What does not hold raises.
+    """
+    check_manifest(spark, folder)
     recipes = spark.read.parquet(f"{folder}/recipes")
     facts = _read(spark, f"{folder}/kind=chunk", "dest binary, width int, ids binary").mapInArrow(_chunk_facts, "digest binary, crc long, n long")
     used = recipes.select("row", F.posexplode("chunks").alias("k", "digest"))
-    pieces = used.join(facts, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "crc", "n"))).alias("pieces"))
-    built = pieces.select("row", _assembled("pieces").alias("got")).select(F.col("row").alias("of"), "got")
+    lost = F.raise_error(F.concat(F.lit("no chunk has the address "), F.lower(F.hex("digest"))))
+    # of a chunk in very many documents the rows to be joined are split by AQE: its facts are one row
+    pieces = used.join(facts, "digest", "left").withColumn("n", F.when(F.col("n").isNull(), lost).otherwise(F.col("n")))
+    built = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "crc", "n"))).alias("pieces")).select(F.col("row").alias("of"), _assembled("pieces").alias("got"))
 
     manifest = spark.read.parquet(f"{folder}/manifest")
     base = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -271,7 +324,9 @@ def read_store(spark, folder: str) -> DataFrame:
     placed = recipes.select("part", "doc_id", "row", "n_tokens", "root").withColumn("ahead", F.coalesce(F.sum("n_tokens").over(here), F.lit(0)))
     placed = placed.join(bases, placed.part == bases.of_part)
     sound = (F.col("got.n") == F.col("n_tokens")) & (F.col("got.root") == F.col("root"))
-    return placed.join(built, placed.row == built.of).select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), F.col("got.n").alias("n_tokens"), F.col("got.crc").alias("ids_crc32"), sound.alias("verified"))
+    broken = F.raise_error(F.concat(F.lit("the chunks of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" are not those of its recipe")))
+    whole = F.when(sound, F.col("n_tokens")).otherwise(broken)
+    return placed.join(built, placed.row == built.of, "left").select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), whole.alias("n_tokens"), F.col("got.crc").alias("ids_crc32"))
 
 
 def stored(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -6,7 +6,8 @@ table misses, filled by the library. No unit is ever shuffled: each task counts
 and these summaries are merged in a tree to one of the same bound.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; special strings inside texts are handled as the library does by
-default; nothing is truncated; repeated rows are counted row by row.
+default; nothing is truncated, and a very long text is counted whole; repeated rows are counted row by row; an empty table gives no
+rows; other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from meterloom.llm.bpe import Encoder, split_units, vocabulary_path, worker_encoder
-from meterloom.llm.common import SLICE, texts_of
+from meterloom.llm.bpe import Encoder, Run, split_units, vocabulary_path, worker_encoder
+from meterloom.llm.common import runs_of, texts_of
 
 ENTRIES = 32_768  # of the broadcast table and of each summary
 FAN_IN = 32
@@ -73,8 +74,8 @@ def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries:
     """Adds a struct column ``name`` with n_bytes and n_tokens of each row's text."""
     path = vocabulary or vocabulary_path()
     units = frequent_units(docs, entries)
-    maker = Encoder(path, len, sum)
-    table = docs.sparkSession.sparkContext.broadcast((units, bytes(min(255, maker.units[u]) for u in units)))
+    lengths = Run(Encoder(path, len, sum))
+    table = docs.sparkSession.sparkContext.broadcast((units, bytes(min(255, lengths[u]) for u in units)))
     key = (path, uuid.uuid4().hex)
 
     def make() -> Encoder:
@@ -84,14 +85,10 @@ def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries:
 
     def count(column: pa.Array) -> pa.Array:
         encoder = worker_encoder(key, make)
-        sizes, tokens, texts = [], [], []
-        for text in texts_of(column):
-            texts.append(text)
-            sizes.append(len(text.encode("utf-8", "surrogatepass")))
-            if len(texts) == SLICE:
-                tokens += encoder.encode(texts)
-                texts = []
-        tokens += encoder.encode(texts)
+        sizes, tokens = [], []
+        for texts in runs_of(texts_of(column)):
+            sizes += [len(text.encode("utf-8", "surrogatepass")) for text in texts]
+            tokens += encoder.encode(texts)
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["n_bytes", "n_tokens"])
 
     return docs.withColumn(name, F.arrow_udf(count, COUNTS).asNondeterministic()(F.col("text")))

@@ -119,7 +119,8 @@ def test_token_counts_are_the_librarys(spark):
 
 
 def test_a_unit_may_hold_any_character(spark):
-    texts = ["a b\x00c d e", "a b\x00c d e", *(prose(k, 80) for k in range(10)), "the cat sat, the dog ran. antidisestablishmentarianism again " * 4]
+    texts = ["a b\x00c d e", "a b\x00c d e", "x a\x00b y"] * 3 + ["x a b y"] * 3 + [*(prose(k, 80) for k in range(10)), "the cat sat, the dog ran. antidisestablishmentarianism again " * 4]
+    assert any("\x00" in u for u in tokencount.frequent_units(docs(spark, texts)))
     whole = bpe.Encoder(bpe.vocabulary_path(), len, sum).tokenizer
     got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(docs(spark, texts).repartition(3)).collect()}
     assert got == {k: len(whole.encode(text, add_special_tokens=False).ids) for k, text in enumerate(texts)}
@@ -129,7 +130,17 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_UNITS", 5)
     e = bpe.Encoder(bpe.vocabulary_path(), list, lambda parts: [x for p in parts for x in p])
     texts = [prose(k, 60) for k in range(6)] + [t or "" for t in ODD]
-    assert e.encode(texts) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.encode(texts) == want and [x for t in texts for x in e.encode([t])] == want
+
+
+def test_units_of_all_kinds_are_the_librarys():
+    e = bpe.Encoder(bpe.vocabulary_path(), list, lambda parts: [x for p in parts for x in p])
+    kinds = ["word", "Ünder", "слово", "٣٤", "漢字", "ᏣᎳᎩ", "x1", "12", "½", "²", "€", "a€", "don't", "'s", "it's", "a.b", "…", "é", "e\u0301", "\u00ad", "ǅ", "ª", "_", "", "\u2028", "a\u00a0b", "\ufeff"]
+    tails = ["", ",", "!!", "'s", "'", "\"", "€", "€,", "_", "-", "…."]
+    r = random.Random(6)
+    texts = [("\n" if n % 5 == 0 else " ").join(r.choice(kinds) + r.choice(tails) for _ in range(12)) for n in range(400)]
+    assert e.encode(texts) == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 # --- main text

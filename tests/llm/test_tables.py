@@ -357,7 +357,7 @@ def test_store_gives_back_every_id(spark):
     whole = bpe.Encoder(bpe.vocabulary_path(), list, sum).tokenizer
     folder = idstore.write_store(frame(spark, rows), scratch_path(spark, "teststore"))
     got = idstore.read_store(spark, folder).collect()
-    assert len(got) == len(rows) and all(r.verified for r in got)
+    assert len(got) == len(rows)
     ids = defaultdict(Counter)
     for i, t, _ in rows:
         stream = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
@@ -373,12 +373,30 @@ def test_store_gives_back_every_id(spark):
     assert idstore.stored(frame(spark, rows).where("doc_id < -9")).count() == 0
 
 
-def test_a_changed_chunk_is_noticed(spark):
-    folder = idstore.write_store(frame(spark, [(1, prose(1, 500), "s")]), scratch_path(spark, "teststore"))
-    chunks = spark.read.parquet(f"{folder}/kind=chunk").collect()
-    broken = spark.createDataFrame([(r.dest, r.width, bytes([r.ids[0] ^ 1]) + r.ids[1:]) for r in chunks], "dest binary, width int, ids binary")
-    broken.write.mode("overwrite").parquet(f"{folder}/kind=chunk")
-    with pytest.raises(Exception, match="address"):
+def rewritten(spark, folder, table, change):
+    """The table of a store with each row as ``change`` leaves it; what it turns to None goes."""
+    df = spark.read.parquet(f"{folder}/{table}")
+    rows = [x for k, r in enumerate(df.orderBy(df.columns[0]).collect()) if (x := change(k, r.asDict())) is not None]
+    spark.createDataFrame(rows, df.schema).write.mode("overwrite").parquet(f"{folder}/{table}")
+
+
+@pytest.mark.parametrize(
+    ("table", "change", "says"),
+    [
+        ("kind=chunk", lambda k, r: r | {"ids": bytes([r["ids"][0] ^ 1]) + r["ids"][1:]} if k == 0 else r, "address"),
+        ("kind=chunk", lambda k, r: r if k else None, "address"),
+        ("recipes", lambda k, r: r if k else None, "manifest"),
+        ("recipes", lambda k, r: r | {"root": bytes(16)} if k == 0 else r, "manifest"),
+        ("recipes", lambda k, r: r | {"chunks": r["chunks"][:-1]} if k == 0 else r, "recipe"),
+        ("manifest", lambda k, r: r if k else None, "head"),
+        ("manifest", lambda k, r: r | {"root": bytes(16)} if k == 0 else r, "head"),
+        ("head", lambda k, r: r | {"root": bytes(16)}, "head"),
+    ],
+)
+def test_what_is_lost_or_changed_raises(spark, table, change, says):
+    folder = idstore.write_store(frame(spark, [(k, prose(k, 900), "s") for k in range(6)]), scratch_path(spark, "teststore"))
+    rewritten(spark, folder, table, change)
+    with pytest.raises(Exception, match=says):
         idstore.read_store(spark, folder).collect()
 
 
@@ -389,11 +407,13 @@ def test_joined_checksums():
 
 
 def test_cuts_cover_the_stream_within_bounds():
-    ids = np.random.default_rng(0).integers(0, 50_000, 60_000).astype("<u4")
-    for stream in (ids, np.zeros(30_000, "<u4"), ids[:1]):
-        ends = idstore.cuts(stream)
+    ids = np.random.default_rng(0).integers(0, 50_000, 60_000).astype("<u2")
+    streams = [ids, np.zeros(30_000, "<u2"), ids[:1], ids[:0], ids[5:9000]]
+    together = idstore.cuts(np.concatenate(streams), [len(s) for s in streams])
+    for stream, ends in zip(streams, together, strict=True):
         sizes = np.diff([0, *ends])
-        assert ends[-1] == len(stream) and (sizes <= idstore.CHUNK_MOST).all() and (sizes[:-1] >= idstore.CHUNK_LEAST).all()
+        assert sizes.sum() == len(stream) and (sizes <= idstore.CHUNK_MOST).all() and (sizes[:-1] >= idstore.CHUNK_LEAST).all()
+        assert ends == idstore.cuts(stream, [len(stream)])[0]  # whatever stands before
 
 
 # --- pipeline
