@@ -1,48 +1,65 @@
 """Main text of web pages with site templates removed (operator 2).
 
-1. Every page is read once for its element subtrees: each gets a hash of its mark-up with white space made even.
-2. Spark counts, per host, on how many pages of different main content each subtree stands. What recurs on many is template.
-3. Pages are read again with their host's recurring subtrees, which are deleted; of what is left, the article's blocks are the text.
-
-Counting different contents, not pages, keeps copies of one article from looking like a template; and inside the article only
-containers without prose are deleted, so a paragraph that many articles of a site share stays.
-
-Elements that are boilerplate by their tag, role or class (menus, headers, footers, sidebars, notices, adverts, forms, reader
-comments) go whether or not they recur.
-
-Defined results: null or empty html gives empty text; text outside any tag is text; a null url has the host ''; repeated rows give
-equal results row by row, and count once as content; other columns are neither read nor changed. Reading is linear in the page.
+1. Every page is read once for its element subtrees: each gets a hash of its mark-up with white space made even. An element whose
+   class or id has a word of boilerplate also gets the hash of its tag, class and id alone, its slot.
+2. Spark counts, per host, beside how many different contents each subtree and each slot stands.
+3. Pages are read again with their host's recurring subtrees and slots, which are deleted; the blocks of what is left are the text.
+
+What recurs outside the article goes where it stands on ``OUTSIDE`` of the host's contents. Inside an article, or on pages that have
+none, a block must stand on ``INSIDE`` of them, and one with prose on ``PROSE``, so paragraphs that some articles share stay. A title
+and what holds it, an article or a main element never go as templates, nor by a word of their class (but for comments inside an
+article, which may be articles themselves); prose goes by such a word only
+where it says advert, cookie notice or newsletter. Rotating adverts and the like differ from page to page: their slots recur.
+
+The pages of a subtree count once for each longest stretch of the main content beside it, so that copies of one article with small
+changes don't make its paragraphs look like a template. A host of fewer different than ``FEW`` contents, or none (a null url), has no counts: there the article or main element alone is the text, and
+words of class and id alone decide. Menus, footers, asides, forms, scripts and the like go by their tag or role everywhere, and so do
+reader comments by their class or id.
+
+Defined results: null or empty html gives empty text; text outside any tag is text; repeated rows give equal results row by row, and
+count once as content; an empty table gives no rows; other columns are neither read nor changed. Reading is linear in the page, and
+no page, attribute or text is cut.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from meterloom.llm.common import texts_of
 from meterloom.session import cut
 
-LEAST_CONTENTS = 5  # a template stands on at least so many pages of different content,
-LEAST_SHARE = 0.1  # and on this share of its host's different contents
-PROSE_WORDS = 15  # a container with a run of so many words outside links is prose
+FEW = 3  # a host of fewer different contents has no templates
+OUTSIDE = (2, 0.05)  # a template stands on so many contents at least, and on this share of the host's, outside articles,
+INSIDE = (3, 0.5)  # inside them or where there are none,
+PROSE = (10, 0.9)  # and inside them with prose
+PROSE_WORDS = 15  # so many words outside links in one block are prose
 
 #: Elements by what they do to the text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer aside form button select textarea input svg canvas object audio video map dialog menu".split())
+DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer aside button select textarea input svg canvas object audio video map dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words in class or id that mark boilerplate.
-MARKS = frozenset("ad ads advert adverts advertisement adbox adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus respond reply replies discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager".split())
+#: Words in class or id that mark boilerplate: that never drop prose, that may, and that mark readers' comments.
+WEAK = frozenset("sponsor sponsored promo promotion banner notice notices alert sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar discussion share sharing social related recommended signup login popup modal overlay widget pagination pager".split())
+STRONG = frozenset("ad ads advert adverts advertisement adbox adsense cookie cookies consent gdpr newsletter subscribe subscription".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+ASIDES = COMMENTS | frozenset("ad ads advert promo related".split())  # an article so marked is none
+DENIED = frozenset("has no with without is".split())  # a name that begins so tells of what stands elsewhere
 WHOLE = frozenset(["", "html", "body", "article", "main", *VOID])  # elements that are no template by themselves
-CONTAINERS = frozenset("div section aside ul ol dl table header footer nav form figure details".split())
 #: Which open elements a start tag closes, as the HTML standard has it for tags that may be left out.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -55,40 +72,60 @@ CLOSES = {
 }
 SCOPES = frozenset("article section div main body html td th table li ul ol blockquote figure".split())
 
-#: A tag, or a comment, or a declaration. Attribute values in quotes may hold ``>``; one that is not closed within 10,000 characters
-#: is not taken for a value, so that every try ends early.
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?>[^>\"']++|\"[^\"]{0,10000}+\"|'[^']{0,10000}+')*+|[^>]*+)>|[!?/][^>]*+>)", re.DOTALL)
-_ATTR = re.compile(r"\b(class|id|role|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: A tag, or a comment, or a declaration. A value in quotes may hold ``>``; a quote that never closes opens none.
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>|[!?/][^>]*+>)", re.DOTALL)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _SPACES = re.compile(r"\s+")
+_DIGITS = re.compile(r"[0-9]+")
+_PARTS = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("children", "dropped", "end", "name", "prose", "sign", "start", "tag_end")
+    __slots__ = ("children", "dropped", "end", "holds", "mark", "name", "prose", "sign", "slot", "start", "tag_end", "words")
 
-    def __init__(self, name: str, start: int, tag_end: int, dropped: bool):
-        self.name, self.start, self.tag_end, self.end, self.dropped, self.children = name, start, tag_end, -1, dropped, []
+    def __init__(self, name: str, start: int, tag_end: int, dropped: bool = False, mark: int = 0, slot: str = ""):
+        self.name, self.start, self.tag_end, self.end, self.children = name, start, tag_end, -1, []
+        self.dropped, self.mark, self.slot = dropped, mark, slot
 
 
-def _boilerplate(name: str, attrs: str) -> bool:
-    if name in DROPPED:
-        return True
-    if "=" not in attrs and "hidden" not in attrs:
-        return False
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs)}
-    if found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if name in ("body", "html", "main", "article") and not _marks(found) & {"comment", "comments", "reply", "ad", "ads", "advert", "promo", "related"}:
-        return False
-    return bool(_marks(found) & MARKS)
+def attributes(attrs: str) -> dict[str, str]:
+    """The attributes of a tag by their whole names in lower case; of a name given twice the first stands."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
 
 
-def _marks(found: dict[str, str]) -> set[str]:
-    return set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+def _marks(*names: str) -> set[str]:
+    """The first and last words of the names in class and id."""
+    words = set()
+    for name in " ".join(names).lower().split():
+        parts = [x for x in _PARTS.split(name) if x]
+        if parts and parts[0] not in DENIED:
+            words |= {parts[0], parts[-1]}
+    return words
+
+
+def _judged(name: str, attrs: str) -> tuple[bool, int, str]:
+    """Whether an element goes by its tag or role, what its class and id mark it as (0 nothing, 1 weak, 2 strong, 3 comments), its slot."""
+    if name in DROPPED:
+        return True, 0, ""
+    if not attrs or attrs.isspace():
+        return False, 0, ""
+    found = attributes(attrs)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES:
+        return True, 0, ""
+    kind, own = found.get("class", ""), found.get("id", "")
+    if name in ("html", "body", "main") or not (kind or own):
+        return False, 0, ""
+    words = _marks(kind, own)
+    mark = 3 * bool(words & ASIDES) if name == "article" else 3 if words & COMMENTS else 2 if words & STRONG else 1 if words & WEAK else 0
+    return False, mark, _DIGITS.sub("", f"{name} {kind} {own}") if mark else ""
 
 
 def parse(page: str) -> Element:
     """The tree of a page: children are elements and (start, end) stretches of text. Tags left open or closed twice are mended."""
-    root = Element("", 0, 0, False)
+    root = Element("", 0, 0)
     stack, at = [root], 0
     still: Counter = Counter()  # how many elements of each name are open
     size, last = len(page), page.rfind(">") + 1
@@ -131,7 +168,7 @@ def parse(page: str) -> Element:
             shut(("p",), SCOPES, m.start())
         if name in CLOSES:
             shut(*CLOSES[name], m.start())
-        element = Element(name, m.start(), at, _boilerplate(name, m["attrs"]))
+        element = Element(name, m.start(), at, *_judged(name, m["attrs"]))
         stack[-1].children.append(element)
         if name in VOID or (m["attrs"].endswith("/") and name not in BLOCKS and name not in RAW):
             element.end = at
@@ -156,32 +193,73 @@ def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE)
 
 
+def _signed(data: str, seed: int = 0) -> int:
+    n = xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass"), seed)
+    return n - (1 << 64) if n >> 63 else n
+
+
+TITLE, CONTENT = 1, 2  # what an element may hold
+
+
 def sign(page: str, root: Element) -> None:
-    """Gives each element the hash of its subtree, from its tag, texts and children's hashes with white space made even, and whether
-    it holds prose: a stretch of text outside links with PROSE_WORDS words."""
-    order = list(_walk(root))
-    for e in reversed(order):  # children stand after their parents
-        hashed = xxhash.xxh64(" ".join(page[e.start : e.tag_end].split()).encode("utf-8", "surrogatepass"))
-        e.prose = False
+    """Gives each element that doesn't go in any case the hash of its subtree, from its tag, texts and children's hashes with white
+    space made even; whether it holds prose; and whether it holds a title, an article or a main element."""
+    for e in reversed(list(_walk(root))):  # children stand after their parents
+        told = [" ".join(page[e.start : e.tag_end].split())]
+        e.prose, e.words = False, 0
+        e.holds = TITLE if e.name == "h1" else CONTENT if e.name == "main" or (e.name == "article" and not e.mark) else 0
         for c in e.children:
-            if isinstance(c, Element):
-                hashed.update(c.sign.to_bytes(8, "big", signed=True))
-                e.prose |= c.prose and c.name != "a" and not c.dropped
-            else:
+            if not isinstance(c, Element):
                 words = page[c[0] : c[1]].split()
-                hashed.update(" ".join(words).encode("utf-8", "surrogatepass"))
-                e.prose |= len(words) >= PROSE_WORDS
-        n = hashed.intdigest()
-        e.sign = n - (1 << 64) if n >> 63 else n
-
-
-def _walk(element: Element, kept: bool = False):
-    """An element and what is in it, parents first; with ``kept``, without what is dropped in any case."""
-    stack = [element]
+                told.append(" ".join(words))
+                e.words += len(words)
+            elif not c.dropped:
+                told.append(f"\x00{c.sign}")
+                e.holds |= c.holds
+                if c.name != "a":
+                    e.prose |= c.prose
+                    if c.name not in BLOCKS:
+                        e.words += c.words
+        e.prose |= e.words >= PROSE_WORDS
+        e.sign = _signed("\x00".join(told))
+        if e.mark:
+            e.slot = _signed(e.slot, 1)
+        if e.name == "form" and not e.holds:
+            e.dropped = True
+
+
+def _walk(root: Element):
+    """The elements, parents first, without what goes in any case."""
+    stack = [root]
     while stack:
         e = stack.pop()
         yield e
-        stack += [c for c in e.children if isinstance(c, Element) and not (kept and c.dropped)]
+        stack += [c for c in e.children if isinstance(c, Element) and not c.dropped]
+
+
+class Template(NamedTuple):
+    """The hashes of what recurs on a host, by how much of it."""
+
+    outside: frozenset[int] = frozenset()
+    inside: frozenset[int] = frozenset()
+    prose: frozenset[int] = frozenset()
+
+
+def _goes(e: Element, inside: bool, strict: bool, template: Template | None) -> bool:
+    """Whether an element is deleted: ``inside`` an article, or ``strict`` as if it were. Without a template words alone decide."""
+    if e.dropped:
+        return True
+    if e.name == "header" and not inside:  # an article's own header holds its title
+        return not e.holds & CONTENT
+    if e.mark == 3 and inside and not e.holds & TITLE:  # articles inside an article are its comments
+        return True
+    if e.holds:
+        return False
+    if e.mark == 3 or (e.mark and (template is None or e.slot in template.outside) and (e.mark == 2 or not e.prose)):
+        return True
+    if template is None or e.name in WHOLE or (strict and e.name not in BLOCKS):
+        return False
+    return e.sign in (template.outside if not strict else template.prose if e.prose else template.inside)
 
 
 def _regions(root: Element) -> list[Element]:
@@ -190,7 +268,7 @@ def _regions(root: Element) -> list[Element]:
         found, stack = [], [root]
         while stack:
             e = stack.pop()
-            if e.dropped:
+            if _goes(e, False, False, None):
                 continue
             if e.name in names:
                 found.append(e)
@@ -201,7 +279,7 @@ def _regions(root: Element) -> list[Element]:
     return [root]
 
 
-def _blocks(page: str, region: Element, template: frozenset[int], inside: bool) -> list[str]:
+def _blocks(page: str, region: Element, template: Template | None, strict: bool) -> list[str]:
     blocks: list[str] = []
     now: list[str] = []
 
@@ -211,88 +289,115 @@ def _blocks(page: str, region: Element, template: frozenset[int], inside: bool)
             blocks.append(text)
         now.clear()
 
-    stack: list = [iter(region.children)]
-    ends: list[bool] = [True]
+    article = region.name in ("article", "main")
+    stack: list = [(iter(region.children), True, article)]
     while stack:
-        c = next(stack[-1], None)
+        children, block, inside = stack[-1]
+        c = next(children, None)
         if c is None:
             stack.pop()
-            if ends.pop():
+            if block:
                 flush()
         elif isinstance(c, tuple):
             now.append(page[c[0] : c[1]])
         elif c.name == "br":
             now.append(" ")
-        elif c.dropped or (c.name == "header" and not inside):  # an article's own header holds its title
-            if c.name in BLOCKS or c.name == "form":
-                flush()
-        elif template and c.sign in template and (not inside or (c.name in CONTAINERS and not c.prose)):
-            flush()
         else:
-            if c.name in BLOCKS:
+            block = c.name in BLOCKS
+            if block:
                 flush()
-            stack.append(iter(c.children))
-            ends.append(c.name in BLOCKS)
+            if not _goes(c, inside, strict or inside, template):
+                stack.append((iter(c.children), block, inside or c.name in ("article", "main")))
     flush()
     return blocks
 
 
-def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the main content in page order, joined by an empty line."""
+def main_text(page: str, template: Template | None = None) -> str:
+    """The blocks of the main content in page order, joined by an empty line; by the counts of the page's host where it has them."""
     root = parse(page)
-    if template:
-        sign(page, root)
-    blocks = []
-    for region in _regions(root):
-        blocks += _blocks(page, region, template, region.name in ("article", "main"))
-    return "\n\n".join(blocks)
+    sign(page, root)
+    if template is None:
+        regions, strict = _regions(root), False
+    else:
+        regions, strict = [root], not root.holds & CONTENT
+    return "\n\n".join(block for region in regions for block in _blocks(page, region, template, strict))
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-SUBTREES = StructType([StructField("content", LongType()), StructField("subtrees", ArrayType(LongType()))])
+PLACED = ArrayType(StructType([StructField("subtree", LongType()), StructField("beside", LongType())]))
+SUBTREES = StructType([StructField("content", LongType()), StructField("subtrees", PLACED)])
+
+
+def signs(page: str) -> tuple[int, list[tuple[int, int]]]:
+    """The hash of a page's main content, of its longest stretch where the page says what its content is; and those of its subtrees
+    and slots, each once with the hash of the longest stretch of the main content that stands outside it."""
+    root = parse(page)
+    sign(page, root)
+    regions = _regions(root)
+    texts = sorted(c for region in regions for e in _walk(region) for c in e.children if isinstance(c, tuple))
+    starts = [a for a, _ in texts]
+    longer = lambda x, y: y if y[1] - y[0] > x[1] - x[0] else x
+    before = list(accumulate(texts, longer, initial=(0, 0)))
+    after = list(accumulate(reversed(texts), longer, initial=(0, 0)))[::-1]
+
+    @cache
+    def told(a: int, b: int) -> int:
+        return _signed(" ".join(page[a:b].split()))
+
+    found: dict[int, int] = {}
+    for e in _walk(root):
+        if e.name not in WHOLE and not e.holds:
+            beside = told(*longer(before[bisect_left(starts, e.start)], after[bisect_left(starts, e.end)]))
+            found.setdefault(e.sign, beside)
+            if e.mark:
+                found.setdefault(e.slot, beside)
+    content = told(*before[-1]) if root.holds & CONTENT else _signed(" ".join(str(r.sign) for r in regions))
+    return content, list(found.items())
 
 
 @F.arrow_udf(SUBTREES)
 def _subtrees(column: pa.Array) -> pa.Array:
-    contents, lists = [], []
-    for at in range(0, len(column), 256):
-        for page in column.slice(at, 256).to_pylist():
-            page = page or ""
-            root = parse(page)
-            sign(page, root)
-            content = xxhash.xxh64_intdigest(b"".join(r.sign.to_bytes(8, "big", signed=True) for r in _regions(root)))
-            contents.append(content - (1 << 64) if content >> 63 else content)
-            lists.append(list({e.sign for e in _walk(root, kept=True) if e.name not in WHOLE and e.end > e.start}))
-    return pa.StructArray.from_arrays([pa.array(contents, pa.int64()), pa.array(lists, pa.list_(pa.int64()))], names=["content", "subtrees"])
-
-
-def templates(pages: DataFrame, least: int = LEAST_CONTENTS, share: float = LEAST_SHARE) -> DataFrame:
-    """host, template: the subtrees that recur across a host's pages of different content. At most the subtrees of 1 / share pages."""
-    read = pages.select(host_of(F.col("url")).alias("host"), _subtrees("html").alias("s")).select("host", "s.*")
-    seen = read.select("host", F.explode(F.array_append("subtrees", F.lit(None).cast("long"))).alias("subtree"), "content")
-    counts = seen.groupBy("host", "subtree", "content").count().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("contents"))
-    n = counts.where("subtree is null").select(F.col("host").alias("of"), F.col("contents").alias("all"))
-    found = counts.where((F.col("subtree").isNotNull()) & (F.col("contents") >= least)).join(n, F.col("host") == F.col("of")).where(F.col("contents") >= share * F.col("all"))
-    return found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
+    rows = [{"content": c, "subtrees": [{"subtree": s, "beside": b} for s, b in x]} for c, x in map(signs, texts_of(column))]
+    return pa.array(rows, to_arrow_type(SUBTREES))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, outside, inside, prose of each host with FEW contents or more: what recurs on it, by how much of it. A list holds at
+    most the subtrees of 1 / share pages."""
+    read = pages.select(host_of(F.col("url")).alias("host"), _subtrees("html").alias("s")).where("host <> ''").select("host", "s.*")
+    whole = F.struct(F.lit(None).cast("long").alias("subtree"), F.col("content").alias("beside"))
+    seen = read.select("host", F.explode(F.array_append("subtrees", whole)).alias("s")).select("host", "s.*")
+    counts = seen.groupBy("host", "subtree", "beside").count().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("contents"))
+    counts = cut(counts, "counts")  # read twice
+    known = counts.where("subtree is null").where(F.col("contents") >= FEW).select("host", F.col("contents").alias("all"))
+    meets = lambda level: F.col("contents") >= F.greatest(F.lit(level[0]), level[1] * F.col("all"))
+    both = counts.where(F.col("contents") >= OUTSIDE[0]).join(known, "host")
+    listed = lambda level, name: F.collect_list(F.when(F.col("subtree").isNotNull() & meets(level), F.col("subtree"))).alias(name)
+    return both.groupBy("host").agg(listed(OUTSIDE, "outside"), listed(INSIDE, "inside"), listed(PROSE, "prose"))
 
 
 TEXT = StructType([StructField("text", StringType()), StructField("n_chars", LongType())])
 
 
 @F.arrow_udf(TEXT)
-def _extract(column: pa.Array, templates: pa.Array) -> pa.Array:
+def _extract(column: pa.Array, *levels: pa.Array) -> pa.Array:
+    """The text of each page; a null level says that its host has no counts."""
     texts = []
-    for at in range(0, len(column), 256):
-        for page, own in zip(column.slice(at, 256).to_pylist(), templates.slice(at, 256).to_pylist(), strict=True):
-            texts.append(main_text(page or "", frozenset(own or ())))
+    own: tuple = (None, None)  # pages of a host come in a row more often than not
+    for page, *lists in zip(texts_of(column), *(x for x in levels), strict=True):
+        if lists[0].is_valid and lists != own[0]:
+            own = lists, Template(*(frozenset(x.as_py()) for x in lists))
+        texts.append(main_text(page, own[1] if lists[0].is_valid else None))
     return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["text", "n_chars"])
 
 
-def extract(pages: DataFrame, **how) -> DataFrame:
-    """page_id, url, text, n_chars, one row per row of ``pages`` (page_id, url, html)."""
-    found = cut(templates(pages, **how), "templates")
+def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """page_id, url, text, n_chars, one row per row of ``pages`` (page_id, url, html); ``found`` as from ``templates``."""
+    if found is None:
+        found = cut(templates(pages), "templates")
     hosted = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    return hosted.join(found, "host", "left").select("page_id", "url", _extract("html", "template").alias("t")).select("page_id", "url", "t.*")
+    joined = hosted.join(found, "host", "left")
+    return joined.select("page_id", "url", _extract("html", "outside", "inside", "prose").alias("t")).select("page_id", "url", "t.*")

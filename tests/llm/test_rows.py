@@ -1,10 +1,9 @@
 """Operators that look at one row at a time: quality, personal data, token counts, main text; against plain brute force."""
 
 import hashlib
-import html
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -156,6 +155,31 @@ def test_main_text_of_odd_pages():
     assert html_text.main_text("<p>a<p>b</div>c<!-- open") == "a\n\nbc"
     assert html_text.main_text("<body><header><h1>Site</h1></header><p>x</p></body>") == "x"
     assert html_text.main_text("<article><p>x</p></article><article class=comment>no</article><article><p>y</article>") == "x\n\ny"
+    assert html_text.main_text('<div id="comments"><p>no</p></div><article><p>x</p></article>') == "x"
+
+
+LONG = "word " * 20
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><div style="overflow:hidden"><p>a</p></div></article>', "a"),
+        ('<article data-hidden="false"><p>b</p></article>', "b"),
+        ('<article><div data-id="comments"><p>c</p></div></article>', "c"),
+        ('<div class="layout has-sidebar"><article><p>d</p></article></div>', "d"),
+        ('<div class="layout sidebar"><article><p>d</p></article></div>', "d"),
+        ('<article><div class="entry-header"><h1>T</h1></div><p>e</p></article>', "T\n\ne"),
+        (f'<article><section id="social-policy"><p>{LONG}</p></section></article>', LONG.strip()),
+        (f'<article><p title="{"x>" * 6000}">f</p></article>', "f"),
+        ("<article><p x=\"a>b\" y='>'>g</p><a href=\"foo>h</a><p>i</p></article>", "g\n\nh\n\ni"),
+        ("<form id=all><article><p>j</p><input><button>k</button></article></form><form>l</form>", "j"),
+        ("<article><p HIDDEN>a</p><p aria-hidden=TRUE>b</p><p role='Navigation'>c</p><div class='Cookie-Notice x'>d</div>e</article>", "e"),
+        ("<article>a<article>reader</article></article><ol class=comment-list><li><article class=comment-body>b</article></ol>", "a\n\nreader"),
+    ],
+)
+def test_words_of_classes_and_ids_spare_the_article(page, text):
+    assert html_text.main_text(page) == text
 
 
 @pytest.mark.parametrize("text", ["<p", "<div>", "<b><p>x", '<a href="', "<a href='\">", "<!--", "</div>", "<script>", "<p>&amp;"])
@@ -175,7 +199,55 @@ def test_templates_are_counted_by_content(spark):
     assert (got[200].text, got[200].n_chars, got[201].text) == ("", 0, "x")
 
 
-def test_a_shared_paragraph_of_an_article_stays(spark):
-    rows = [(k, "https://h.example/", f"<article><h1>{html.escape(f'T&{k}')}</h1><p>shared passage of many articles</p><div><a href=x>more</a></div></article>") for k in range(9)]
-    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.text for r in got} == {f"T&{k}\n\nshared passage of many articles" for k in range(9)}
+def plain_prose(seed, n):
+    return " ".join(prose(seed, n).split())
+
+
+def site(k, host, article, advert, menu="menu of words"):
+    """A page whose boilerplate has no tag or role of its own."""
+    return (k, f"https://{host}/{k}", f"<body><div class=x1><span>{menu}</span></div><div class=ad>{advert}</div><article><h1>T&amp;{k}</h1>{article}<p>Read on <a href=x>here</a></p></article><div class=x2>All rights</div></body>")
+
+
+def test_what_recurs_on_a_host_goes(spark):
+    own = lambda k: f"<p>{plain_prose(k, 30)}</p><p>{plain_prose(k + 500, 9)}</p>"
+    shared = plain_prose(9999, 40)
+    rows = [site(k, "a.example", own(k), f"buy {k}") for k in range(12)]
+    rows += [site(20 + k, "shared.example", own(k) + (f"<p>{shared}</p>" if k % 3 == 0 else ""), "buy") for k in range(12)]
+    rows += [site(40 + k, "copies.example", f"<p>{plain_prose(77, 60)}</p><p>{plain_prose(78, 20)} {k}</p>", "buy") for k in range(12)]
+    rows += [site(60, "few.example", own(60), "buy"), (61, None, None), (62, "", "<p>x</p>"), (63, None, "<p>x</p>")] + [site(0, "a.example", own(0), "buy 0")] * 2
+    pages = spark.createDataFrame([(*r, "extra", 1) for r in rows], "page_id long, url string, html string, outside string, TEXT int").repartition(3)
+    got = defaultdict(set)
+    for r in html_text.extract(pages).collect():
+        got[r.page_id].add(r.text)
+        assert r.n_chars == len(r.text)
+    words = lambda k: f"{plain_prose(k, 30)}\n\n{plain_prose(k + 500, 9)}"
+    assert all(got[k] == {f"T&{k}\n\n{words(k)}"} for k in range(12))
+    assert all(got[20 + k] == {f"T&{20 + k}\n\n{words(k)}" + (f"\n\n{shared}" if k % 3 == 0 else "")} for k in range(12))
+    assert all(got[40 + k] == {f"T&{40 + k}\n\n{plain_prose(77, 60)}\n\n{plain_prose(78, 20)} {k}\n\nRead on here"} for k in range(12))  # one article, whatever its copies
+    assert got[60] == {f"T&60\n\n{words(60)}\n\nRead on here"} and (got[61], got[62], got[63]) == ({""}, {"x"}, {"x"})
+    assert html_text.extract(pages).count() == len(rows) and html_text.extract(pages.where("page_id < 0")).count() == 0
+    alone = [html_text.main_text(x, html_text.Template()) for _, _, x in rows[:24]]
+    assert all("menu" in x and "buy" in x and "Read on" in x for x in alone)  # it is the counts that take these away
+
+
+def test_templates_are_those_of_plain_counts(spark):
+    r = random.Random(8)
+    crumbs = [f"<div class=c{k % 4}>crumb {k}</div>" for k in range(6)]
+    rows = [(k, f"https://h{k % 3}.example/", "<body>" + "".join(r.sample(crumbs, 3)) + f"<article><h1>x</h1><p>{plain_prose(k // 2, 25)}</p></article></body>") for k in range(60)]
+    got = {r.host: {c: set(r[c]) for c in ("outside", "inside", "prose")} for r in html_text.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in ("h0.example", "h1.example", "h2.example"):
+        own = [html_text.signs(page) for _, url, page in rows if host in url]
+        n = len({content for content, _ in own})
+        beside = defaultdict(set)
+        for _, found in own:
+            for subtree, other in found:
+                beside[subtree].add(other)
+        for name, (least, share) in (("outside", html_text.OUTSIDE), ("inside", html_text.INSIDE), ("prose", html_text.PROSE)):
+            assert got[host][name] == {s for s, others in beside.items() if len(others) >= max(least, share * n)}
+        assert got[host]["outside"] and n == 20
+
+
+def test_very_long_pages(spark):
+    row = (1, "https://long.example/", "<article>" + "".join(f"<p>{plain_prose(k, 40)}</p>" for k in range(4000)) + "</article>")
+    (got,) = html_text.extract(spark.createDataFrame([row], "page_id long, url string, html string")).collect()
+    assert got.text == "\n\n".join(plain_prose(k, 40) for k in range(4000))
