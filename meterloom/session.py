@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +40,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.environ.get("METERLOOM_SHARED") or tempfile.mkdtemp(prefix="meterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -51,14 +55,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Where the tables that ``cut`` wrote lie, for as long as somebody holds them.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a written table in the shared folder, so that a lost executor never repeats what lies before."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _written[found] = path
+    return found
+
+
+def drop_cut(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` wrote, once nothing that is still to run reads them; others are left alone."""
+    for df in tables:
+        path = _written.pop(df, None) if df is not None else None
+        if path:
+            p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
