@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 #: White space of the word contract: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 256
+#: ASCII punctuation, which words are stripped of where copies may be punctuated otherwise.
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -23,6 +25,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def plain_words(text: str) -> list[bytes]:
+    """The words of a text in lower case and without ASCII punctuation."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split()
+
+
 def texts_of(column: pa.Array) -> Iterator[str]:
     """The strings of an Arrow column, null as empty, a few hundred at a time."""
     for at in range(0, len(column), SLICE):

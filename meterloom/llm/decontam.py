@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from meterloom.llm.common import SLICE, free_name
+from meterloom.llm.common import plain_words as words
 from meterloom.session import cut
 
 SEEDS = 3  # to be found of an item
@@ -34,7 +35,6 @@ RARE = 1000
 LEAST_SCORE = 0.5  # of a verbatim copy's score
 SLICE_WORDS = 1 << 21  # benchmark words sent to the readers at once
 MATCH, MISMATCH, GAP = 2, -1, -1
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 HIT = StructType([StructField("item_id", LongType()), StructField("start", LongType()), StructField("passage", StringType())])
@@ -42,10 +42,6 @@ HITS = ArrayType(HIT)
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("passage", pa.string())]))
 
 
-def words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(None, PUNCTUATION).split()
-
-
 def word_hashes(found: list[bytes]) -> np.ndarray:
     """Hashes of words, equal within one process: an index is built where it is used."""
     return np.fromiter(map(hash, found), np.int64, len(found)).astype(np.uint64)

@@ -10,7 +10,7 @@
    alternating large-star and small-star steps over written tables.
 
 Sixty-four bits tell copies with a word or two changed, not similarity 0.8, at which a tenth or more of the bits differ. ``similar``
-therefore takes 256 bits of five-word shingles, whose differing bits tell the angle between two texts and with it their similarity,
+therefore takes 256 bits of shingles of five words in lower case and without punctuation, whose differing bits tell the angle between two texts and with it their similarity,
 to about 0.03. They only find candidates: every link is confirmed by the exact Jaccard similarity of the two texts' shingles. The
 radius leaves out about one in a thousand of the pairs at just the similarity asked for. Links of so many bits have no small exact set
 of blocks: tables take samples of bits, as many tables as let a pair at the radius itself meet in one with probability ``RECALL``;
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
-from meterloom.llm.common import free_name, struct_column, texts_of
-from meterloom.session import cut
+from meterloom.llm.common import free_name, plain_words, struct_column, texts_of
+from meterloom.session import cut, drop_cut
 
 SEED = 42
 RADIUS = 2
@@ -62,9 +62,8 @@ SHARD_OF = [StructField("t", IntegerType()), StructField("key", LongType()), Str
 CANDIDATE = StructType([*LINK.fields, *SHARD_OF])
 
 
-def _shingle_hashes(text: str, shingle: int, seed: int):
-    """The number of word shingles of a text, and their hashes one by one."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _shingle_hashes(words: list[bytes], shingle: int, seed: int):
+    """The number of word shingles, and their hashes one by one."""
     if not words:
         return 0, iter(())
     if len(words) < shingle:
@@ -80,7 +79,7 @@ def _set_bits(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The SimHash of the word shingles of a text, repeats included, as a signed 64-bit integer."""
-    n, hashes = _shingle_hashes(text, shingle, seed)
+    n, hashes = _shingle_hashes(text.encode("utf-8", "surrogatepass").lower().split(), shingle, seed)
     if not n:
         return 0
     counts = np.zeros(64, np.int64)
@@ -89,10 +88,15 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
+def even_words(text: str) -> list[bytes]:
+    """The words that similarity looks at: in lower case, without ASCII punctuation unless that is all there is."""
+    return plain_words(text) or text.lower().encode("utf-8", "surrogatepass").split()
+
+
 def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> tuple[int, ...]:
     """The SimHash of the distinct word shingles of a text, over WIDE times 64 bits, as signed 64-bit integers; then their number and
     the hash of their set."""
-    n, hashes = _shingle_hashes(text, shingle, seed)
+    n, hashes = _shingle_hashes(even_words(text), shingle, seed)
     if not n:
         return (0,) * (WIDE + 2)
     distinct = np.unique(np.fromiter(hashes, np.dtype("<u8"), n))
@@ -109,7 +113,7 @@ def wide_fingerprint(text: str, shingle: int = WIDE_SHINGLE, seed: int = SEED) -
 
 
 def _shingles(text: str, shingle: int) -> set:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    words = even_words(text)
     if len(words) < shingle:
         return {tuple(words)} if words else set()
     return set(zip(*(words[k:] for k in range(shingle)), strict=False))
@@ -371,26 +375,36 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     return stars
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's edges, and the written table that they are made with."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_large_star``."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(least.select("u", F.col("m").alias("v")))
+    return others.unionByName(least.select("u", F.col("m").alias("v"))), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each node that has links, but for the roots, with the smallest node of its component. Each round is written, so a lost
-    executor costs one round; the number of rounds grows with the logarithm of the longest chain."""
+    executor costs one round; the number of rounds grows with the logarithm of the longest chain.
+
+    The smallest neighbours are written before they are joined: both sides of that join then come straight from a shuffle, and Spark
+    splits the rows of a node with very many links (or sends the smallest neighbours out, where they are few)."""
     said = None
     while True:
-        edges = cut(_small_star(_large_star(edges)).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        step, up = _large_star(edges)
+        large = cut(step, "stars")
+        step, down = _small_star(large)
+        new = cut(step.distinct(), "stars")
+        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop_cut(up, large, down, edges if said else None)
+        edges = new
         if now == said:
             return edges
         said = now
@@ -400,7 +414,7 @@ def _named(signed: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
     """``signed`` with component_id, the smallest id of its node's component."""
     member = stars.unionByName(stars.select(F.col("v").alias("u"), "v").distinct())
     least = member.join(nodes, member.u == nodes.id).groupBy("v").agg(F.min("first").alias("component_id"))
-    linked = member.join(least, "v").select(F.col("u").alias("id"), "component_id")
+    linked = member.join(cut(least, "roots"), "v").select(F.col("u").alias("id"), "component_id")
     named = nodes.join(linked, "id", "left").select("id", F.coalesce("component_id", "first").alias("component_id"))
     # written, so that both sides of the last join come straight from a shuffle and Spark can split a fingerprint that many rows share
     return signed.join(cut(named, "named"), "id")
@@ -425,7 +439,8 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE
     """doc_id, text_hash, component_id, one row per row of ``docs``, where texts of this Jaccard similarity of shingles link."""
     words = [f"p{k}" for k in range(WIDE)]
     signed = _signed(docs, lambda x: wide_fingerprint(x, shingle), [*words, "size", "shingles"], F.xxhash64(*words, "shingles"))
-    nodes = cut(signed.groupBy("id", *words, "size").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash")), "nodes")
+    told = signed.groupBy("id").agg(F.min("doc_id").alias("first"), F.min(F.struct(*words, "size", "text_hash")).alias("n"))
+    nodes = cut(told.select("id", "first", "n.*"), "nodes")
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     stars = similar_links(nodes.drop("first"), texts, similarity, shingle)
     return _named(signed.select("doc_id", "text_hash", "id"), nodes.select("id", "first"), stars).select("doc_id", "text_hash", "component_id")

@@ -148,10 +148,13 @@ def test_links_are_those_of_exact_similarity(spark, monkeypatch, ranks):
         r, out = random.Random(k), prose(k, 300).split()
         for at in r.sample(range(300), n):
             out[at] = f"new{n}x{at}"
-        return " ".join(out)
+        # sentences end elsewhere in every copy, which is no difference
+        r = random.Random(1000 * k + n)
+        return " ".join(w.capitalize() + r.choice(".,!") if r.random() < 0.2 else w for w in out)
 
     texts = {20 * k + n: edited(k, 3 * n) for k in range(15) for n in range(8)}  # similarity from 1 down to 0.5, many near 0.8
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in texts.items()}
+    even = {i: re.sub(r"[.,!]", "", t.lower()).split() for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(296)} for i, w in even.items()}
     root = {i: i for i in texts}
     for i in texts:
         for j in texts:
@@ -160,6 +163,23 @@ def test_links_are_those_of_exact_similarity(spark, monkeypatch, ranks):
                 root = {x: low if v == high else v for x, v in root.items()}
     got = {r.doc_id: r.component_id for r in simhash.similar(frame(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
     assert got == root and 15 < len(set(root.values())) < 120
+    assert sum(len(sets[i]) > 0 and root[i] != i for i in texts) > 20  # of the near copies none is missed
+
+
+def test_words_of_similarity():
+    assert simhash.even_words("The, CAT. É!") == ["the".encode(), "cat".encode(), "é".encode()]
+    assert simhash.even_words("?! ..") == [b"?!", b".."] and simhash.even_words("") == []
+    assert simhash.jaccard("a, b c. d e", "A b C d e!") == 1 and simhash.jaccard("!", "?") == 0
+
+
+def test_scratch_tables_go_when_they_are_done_with(spark):
+    from pathlib import Path
+
+    from meterloom.session import shared_dir
+
+    before = set(Path(shared_dir(spark)).iterdir())
+    left = simhash.components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long"))
+    assert len(set(Path(shared_dir(spark)).iterdir()) - before) == 1 and left.count() == 40
 
 
 # --- mixing
