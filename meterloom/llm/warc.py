@@ -1,25 +1,31 @@
 """Legacy ARC archives to WARC (operator 7).
 
 An ARC record is one header line, whose fields depend on the archive's version, and as many payload bytes as it declares. The
-converter parses these lines and synthesises the WARC record's identifier (from the page and the payload's digest, so a second run
-agrees), timestamp, type and digests. Records with equal payloads of at least ``LEAST_SHARED`` bytes become revisits of the one
-with the smallest page_id.
+converter parses these lines and synthesises the WARC record's identifier (from where the record comes from and the payload's digest,
+so a second run agrees), timestamp, type and digests. What an archived server said keeps its HTTP head; a record without one gets the
+head that its status, type and location fields tell of. ``arc_to_warc`` reads a folder of ARC files, ``convert`` takes pages by way of
+ARC records of both versions. Of pages with equal payloads of at least ``LEAST_SHARED`` bytes all but the smallest page_id become
+revisits of that one.
 
-Archives are written by Spark's text writer with the record separator of WARC as line separator, so each file is a plain WARC file
-and a lost task's files are never seen; they are read back as bytes and parsed by declared lengths alone. ``FILE_RECORDS`` bounds
-the records of a file.
+Archives are written by Spark's text writer with the record separator of WARC as line separator and one row a file, so each file is a
+plain WARC file and a lost task's files are never seen. A file holds a warcinfo record and others of ``FILE_BYTES`` together, or one
+that is larger. They are read back as bytes and parsed by declared lengths alone; a response's payload must be what its header
+says, and a revisit must agree with the response that it refers to.
 
 Defined results: null or empty html is an empty payload, always a response; a null url is written "-"; rows alike in id and payload
-are responses alike; an empty table gives an empty archive; other columns are neither read nor changed.
+are responses alike; a very long page is a record, and a file, of its own; an empty table gives an empty archive; other columns are
+neither read nor changed.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
 from datetime import datetime
+from http import HTTPStatus
 from typing import NamedTuple
 from urllib.parse import quote
 
@@ -31,12 +37,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from meterloom.session import cut, scratch_path
 
 LEAST_SHARED = 100
-FILE_RECORDS = 4096
+FILE_BYTES = 1 << 25  # of records in a file
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs (RFC 4122)
 VERSION = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+_HEAD = re.compile(rb"HTTP/[0-9.]+ ([0-9]{3})[^\n]*\n(?:[^\r\n][^\n]*\n)*\r?\n")
 
 #: The fields of a record's header line in each version of the ARC format.
 ARC_FIELDS = {
@@ -53,6 +59,7 @@ ARC_NAMES = {
 
 class ArcRecord(NamedTuple):
     version: int
+    offset: int
     fields: dict[str, str]
     payload: bytes
 
@@ -80,13 +87,15 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
     at, version = 0, None
     while at < len(data):
         stop = data.index(b"\n", at)
-        values = data[at:stop].decode().split(" ")
+        line = data[at:stop].decode("utf-8", "replace").rstrip("\r")
         if version is None:  # the version block: its own line has the fields of its version
+            values = line.split(" ")
             length = int(values[-1])
             version = int(data[stop + 1 : stop + 1 + length].split(b" ", 1)[0])
             if version not in ARC_FIELDS or not values[0].startswith("filedesc://"):
                 raise ValueError("no version block of a known ARC version")
         else:
+            values = line.rsplit(" ", len(ARC_FIELDS[version]) - 1)  # a url may hold spaces
             if len(values) != len(ARC_FIELDS[version]):
                 raise ValueError(f"a header line of version {version} has {len(ARC_FIELDS[version])} fields, this one {len(values)}")
             fields = dict(zip(ARC_FIELDS[version], values, strict=True))
@@ -94,37 +103,67 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
             payload = data[stop + 1 : stop + 1 + length]
             if len(payload) < length:
                 raise ValueError("the archive ends before the declared length")
-            yield ArcRecord(version, fields, payload)
-        at = stop + 1 + length + 1
-
-
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}:{digest}')}>"
-
-
-def to_warc(arc: ArcRecord, page_id: int | None, refers_to: int | None) -> bytes:
-    """The WARC record of an ARC record, without the two line ends that close it."""
-    digest = hashlib.sha256(arc.payload).hexdigest()
-    block = HTTP_HEAD if refers_to is not None else HTTP_HEAD + arc.payload
-    date = datetime.strptime(arc.fields["date"], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
-    head = [
-        ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", record_id(page_id, digest)),
-        ("WARC-Date", date),
+            yield ArcRecord(version, at, fields, payload)
+        at = stop + 1 + length
+        while data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+
+
+def record_id(source: str | int | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{source}:{digest}')}>"
+
+
+def timestamp(date: str) -> str:
+    """The WARC date of an ARC date, whose time of day may be short."""
+    return datetime.strptime(date[:14] + "00000101000000"[len(date[:14]) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def http_parts(arc: ArcRecord, bare: bool = False) -> tuple[bytes, bytes]:
+    """The HTTP head and body of an archived answer; the head of one without, or that is known to be ``bare``, is made from its fields."""
+    if not bare and (m := _HEAD.match(arc.payload)):
+        return m[0], arc.payload[m.end() :]
+    status = arc.fields.get("status", "200")
+    status = status if re.fullmatch("[1-5][0-9]{2}", status) else "200"
+    mime = arc.fields["mime"] if "/" in arc.fields["mime"] else "application/octet-stream"
+    lines = [f"HTTP/1.1 {status} {HTTPStatus(int(status)).phrase if int(status) in list(HTTPStatus) else 'Archived'}", f"Content-Type: {mime}"]
+    if arc.fields.get("location", "-") != "-":
+        lines.append(f"Location: {arc.fields['location']}")
+    return ("\r\n".join(lines) + "\r\n\r\n").encode(), arc.payload
+
+
+def to_warc(arc: ArcRecord, source: str | int | None, refers_to: int | None = None, bare: bool = False) -> bytes:
+    """The WARC record of an ARC record, without the two line ends that close it. ``source`` is a page_id, or says where it was read."""
+    answered = arc.fields["url"].split(":", 1)[0].lower() in ("http", "https") or bare
+    head, body = http_parts(arc, bare) if answered else (b"", arc.payload)
+    digest = hashlib.sha256(body).hexdigest()
+    block = head if refers_to is not None else head + body
+    lines = [
+        ("WARC-Type", "revisit" if refers_to is not None else "response" if answered else "resource"),
+        ("WARC-Record-ID", record_id(source, digest)),
+        ("WARC-Date", timestamp(arc.fields["date"])),
         ("WARC-Target-URI", arc.fields["url"]),
         ("WARC-IP-Address", arc.fields["ip"]),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Type", "application/http; msgtype=response" if answered else arc.fields["mime"]),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}"),
-        ("X-Payload-Length", str(len(arc.payload))),
+        ("X-Head-Length", str(len(head))),
+        ("X-Payload-Length", str(len(body))),
         ("X-ARC-Version", str(arc.version)),
     ]
-    if page_id is not None:
-        head.append(("X-Page-Id", str(page_id)))
+    if isinstance(source, int):
+        lines.append(("X-Page-Id", str(source)))
     if refers_to is not None:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
-    head.append(("Content-Length", str(len(block))))
-    return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block
+        lines += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to))]
+    lines.append(("Content-Length", str(len(block))))
+    return VERSION + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block
+
+
+def information(first: bytes) -> bytes:
+    """The warcinfo record of a file that begins with this record."""
+    block = b"software: ARC to WARC conversion\r\nformat: WARC File Format 1.1\r\n"
+    date = re.search(rb"WARC-Date: ([^\r]*)", first)[1].decode()
+    lines = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("info", hashlib.sha256(first).hexdigest())), ("WARC-Date", date), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return VERSION + "".join(f"{k}: {v}\r\n" for k, v in lines).encode() + b"\r\n" + block
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -164,27 +203,69 @@ def convert(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
                 out = []
                 for page_id, url, html, first in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
                     arc = write_arc(1 + (page_id or 0) % 2, arc_url(url), date, (html or "").encode("utf-8", "surrogatepass"))
-                    out += [to_warc(record, page_id, first) for record in parse_arc(arc)]
+                    out += [to_warc(record, page_id, first, bare=True) for record in parse_arc(arc)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     return joined.mapInArrow(run, "value binary")
 
 
-def write_warc(pages: DataFrame, folder: str) -> str:
-    """Writes the records of ``pages`` as WARC files into ``folder``, which driver and executors share."""
-    records = convert(pages).select(F.col("value").cast("string"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+def arc_to_warc(spark, folder: str) -> DataFrame:
+    """file, offset, value: the WARC record of each record of the ARC files (.arc, .arc.gz) in a folder. A file, about 100 MB by
+    convention, is read by one task."""
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = data.as_py()
+                for record in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    file = name.rsplit("/", 1)[-1]
+                    row = to_warc(record, f"{file}:{record.offset}")
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([record.offset], pa.int64()), pa.array([row], pa.binary())], names=["file", "offset", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(folder)
+    return files.select("path", "content").mapInArrow(run, "file string, offset long, value binary")
+
+
+def _filed(most: int):
+    def run(batches):
+        """One row for each file: a warcinfo record and others of so many bytes, or one larger, with what parts them."""
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                record = value.as_py()
+                if held and size + len(record) > most:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield row(held)
+
+    def row(records: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([END.encode().join([information(records[0]), *records])], pa.binary())], names=["value"])
+
+    return run
+
+
+def write_records(records: DataFrame, folder: str) -> str:
+    """Writes WARC records (column ``value``) as files into ``folder``, which driver and executors share."""
+    files = records.select("value").mapInArrow(_filed(FILE_BYTES), "value binary").select(F.col("value").cast("string"))
+    files.write.option("lineSep", END).option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
+def write_warc(pages: DataFrame, folder: str) -> str:
+    return write_records(convert(pages), folder)
+
+
 FACTS = StructType([StructField("page_id", LongType()), StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("record_type", StringType()), StructField("refers_to", LongType()), StructField("url", StringType())])
 
 
 def read_warc(spark, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record in the archives of ``folder``.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record in the archives of ``folder``, written.
 
-    Length and digest of a response come from its stored payload and must agree with its header; a revisit states those of the
-    payload it refers to.
+    Length and digest of a response come from its stored payload and must agree with its header; those that a revisit states must be
+    those of a response in the archives under the page that it refers to.
     """
 
     def run(batches):
@@ -192,10 +273,12 @@ def read_warc(spark, folder: str) -> DataFrame:
             for data in batch.column(0):
                 rows = []
                 for head, block in parse_warc(data.as_py()):
-                    kind, stated = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
-                    n = int(head["X-Payload-Length"])
-                    if kind == "response":
-                        payload = block.split(b"\r\n\r\n", 1)[1]
+                    kind = head["WARC-Type"]
+                    if kind == "warcinfo":
+                        continue
+                    n, stated = int(head["X-Payload-Length"]), head["WARC-Payload-Digest"].removeprefix("sha256:")
+                    if kind != "revisit":
+                        payload = block[int(head["X-Head-Length"]) :]
                         if (len(payload), hashlib.sha256(payload).hexdigest()) != (n, stated):
                             raise ValueError(f"the payload of {head['WARC-Record-ID']} is not the one its header tells of")
                     number = lambda k: int(head[k]) if k in head else None  # noqa: E731, B023
@@ -203,7 +286,12 @@ def read_warc(spark, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()), strict=True)], names=FACTS.names)
 
-    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, FACTS)
+    found = cut(spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, FACTS), "records")
+    sought = found.where("record_type = 'revisit'").selectExpr("refers_to AS page_id", "payload_digest", "payload_bytes").distinct()
+    lost = sought.join(found.where("record_type = 'response'"), sought.columns, "left_anti").take(1)
+    if lost:
+        raise ValueError(f"a revisit refers to page {lost[0]['page_id']}, which has no response with its payload")
+    return found
 
 
 def archived(pages: DataFrame) -> DataFrame:

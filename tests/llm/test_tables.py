@@ -338,7 +338,7 @@ def test_typed_parts_become_placeholders(spark):
 
 
 def test_archives_read_back_what_was_written(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FILE_RECORDS", 4)
+    monkeypatch.setattr(warc, "FILE_BYTES", 1500)
     body = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n" + "x" * 200
     rows = [(k, f"https://h/{k % 4}", body) for k in (7, 3, 9, 5)] + [(20, None, None), (21, "", ""), (22, "a b\nc", "y" * 99), (23, "u", "y" * 99), (24, "é", "é" * 50), (25, "u", "é" * 50), (3, "again", body)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
@@ -356,16 +356,62 @@ def test_archives_read_back_what_was_written(spark, monkeypatch):
     assert warc.archived(pages.where("page_id < 0")).count() == 0
 
 
+def test_files_keep_to_their_bound(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    rows = [(k, "u", f"{k} " + "z" * (900 if k else 20_000)) for k in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = warc.write_warc(pages, f"{tmp_path}/warc")
+    sizes = sorted(p.stat().st_size for p in (tmp_path / "warc").glob("part-*"))
+    assert len(sizes) > 8 and sizes[-1] > 20_000 and sizes[-2] < 6000
+    assert {r.page_id for r in warc.read_warc(spark, folder).collect()} == set(range(30))
+
+
+def test_a_revisit_without_its_response_raises(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], "page_id long, url string, html string")
+    alone = warc.convert(pages).where("value LIKE '%WARC-Type: revisit%'")
+    with pytest.raises(ValueError, match="page 1"):
+        warc.read_warc(spark, warc.write_records(alone, f"{tmp_path}/warc"))
+
+
 def test_both_versions_of_legacy_archives():
     for version in (1, 2):
         (record,) = warc.parse_arc(warc.write_arc(version, "http://h/", "20200102030405", b"a\nb\n\n"))
         assert (record.version, record.fields["url"], record.fields["date"], record.payload) == (version, "http://h/", "20200102030405", b"a\nb\n\n")
-        ((head, block),) = warc.parse_warc(warc.to_warc(record, 5, None) + b"\r\n\r\n")
+        ((head, block),) = warc.parse_warc(warc.to_warc(record, 5) + b"\r\n\r\n")
         assert head["WARC-Date"] == "2020-01-02T03:04:05Z" and block.endswith(b"a\nb\n\n") and head["WARC-Payload-Digest"] == f"sha256:{hashlib.sha256(record.payload).hexdigest()}"
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.write_arc(1, "http://h/", "20200102030405", b"abc")[:-3]))
     with pytest.raises(ValueError):
         list(warc.parse_arc(b"http://h/ 0 0 0 0\n\n"))
+    assert warc.timestamp("199607") == "1996-07-01T00:00:00Z" and warc.timestamp("199607042359") == "1996-07-04T23:59:00Z"
+
+
+def arc_file(version, records):
+    """A plain archive of several records; ``records`` are the fields of their lines, without the length, and their payloads."""
+    about = f"{version} 0 archive\n{' '.join(warc.ARC_NAMES[version])}\n".encode()
+    fields = " ".join(["-"] * (len(warc.ARC_FIELDS[version]) - 4))
+    out = f"filedesc://a.arc 0.0.0.0 19970101000000 text/plain {fields[: -2] + ' ' if version == 2 else ''}{len(about)}\n".encode() + about + b"\n"
+    return out + b"".join(f"{line} {len(data)}\n".encode() + data + b"\n" for line, data in records)
+
+
+def test_archives_of_many_records_become_warc(spark, tmp_path):
+    import gzip
+
+    said = b"HTTP/1.0 404 Not Found\r\nServer: x\r\n\r\n<p>gone</p>\n"
+    one = [("http://a/ 1.2.3.4 19970101020304 text/html", said), ("http://a/with space 1.2.3.4 199701010203 text/plain", b"bare"), ("dns:a 1.2.3.4 19970101020304 text/dns", b"a 1.2.3.4")]
+    two = [("http://b/ 1.2.3.4 19980101020304 text/html 301 - http://b/new 0 b.arc", b""), ("http://b/x 1.2.3.4 19980101020304 no-type 200 c - 9 b.arc", b"\n\nbody\n")]
+    (tmp_path / "a.arc").write_bytes(arc_file(1, one))
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(arc_file(2, two)))
+    (tmp_path / "other.txt").write_bytes(b"no archive")
+    rows = warc.arc_to_warc(spark, str(tmp_path)).orderBy("file", "offset").collect()
+    read = [next(warc.parse_warc(bytes(r.value) + b"\r\n\r\n")) for r in rows]
+    assert [h["WARC-Type"] for h, _ in read] == ["response", "response", "resource", "response", "response"]
+    assert [h["WARC-Target-URI"] for h, _ in read] == ["http://a/", "http://a/with space", "dns:a", "http://b/", "http://b/x"]
+    assert read[0][1] == said and read[0][0]["WARC-Payload-Digest"] == f"sha256:{hashlib.sha256(b'<p>gone</p>' + bytes([10])).hexdigest()}"
+    assert read[1][1] == b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n\r\nbare" and read[1][0]["WARC-Date"] == "1997-01-01T02:03:00Z" and read[2][1] == b"a 1.2.3.4"
+    assert read[3][1] == b"HTTP/1.1 301 Moved Permanently\r\nContent-Type: text/html\r\nLocation: http://b/new\r\n\r\n" and read[4][1].endswith(b"octet-stream\r\n\r\n\n\nbody\n")
+    facts = warc.read_warc(spark, warc.write_records(warc.arc_to_warc(spark, str(tmp_path)), f"{tmp_path}/out")).collect()
+    assert sorted(r.payload_bytes for r in facts) == sorted([12, 4, 9, 0, 7])
 
 
 # --- id store
