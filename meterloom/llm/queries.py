@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from meterloom.llm import chat, decontam, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
 from meterloom.llm.common import table
 
@@ -47,9 +46,41 @@ def op10_quality(spark, sf_dir):
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_near_duplicates, op2_main_text, op3_token_counts, op4_mixing, op5_decontamination,
+    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality,
+)
+
+
 def queries():
-    return {"op1_near_duplicates": op1_near_duplicates, "op2_main_text": op2_main_text, "op3_token_counts": op3_token_counts, "op4_mixing": op4_mixing, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_warc": op7_warc, "op8_id_store": op8_id_store, "op9_pii": op9_pii, "op10_quality": op10_quality, "pipeline": corpus_pipeline.run}
+    return {query.__name__: query for query in QUERIES}
+
+
+OP6 = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+formatted AS (
+  SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g') || chr(10)
+         || regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') || '<|im_end|>' || chr(10) AS formatted
+  FROM turns),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted) AS said,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (WHERE role = 'assistant'), '') AS learnt,
+         sum(length(formatted))::bigint AS formatted_chars
+  FROM formatted GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM said"""
+
+OP7 = """
+WITH told AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM told),
+placed AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM sized)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM placed"""
 
 
 def oracle_sql():
-    return {}
+    """SQL for those that SQL can express; of the others the tests have plain versions."""
+    return {"op6_chat": OP6, "op7_warc": OP7}
