@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.operators import facts, metrics, pricing, reports, sequences
-from meterloom.plans import cases, metric_oracles, oracles
+from meterloom.plans import cases, logs, metric_oracles, oracles
 from meterloom.plans.bridge import NOW, PRIOR, RECENT, SINCE, fact
 
 
@@ -134,8 +134,8 @@ def _metrics() -> dict[str, Callable[[Facts], DataFrame]]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries()).items()}
+    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries() | logs.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql()
+    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql() | logs.oracle_sql()

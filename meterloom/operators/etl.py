@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.schema import CAPABLE, SUMS
+
 VENDOR = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h", "reasoning_tokens")
 ACTIVITY = ("lines_added", "lines_removed", "rework_lines", "edits", "tool_calls", "tool_reads", "tool_searches", "tool_commands", "tool_writes", "tool_other", "tool_errors", "rejected", "compactions")
 MARKS = ("sidechain", "skill", "agent", "cache_miss_reason")
@@ -151,26 +153,50 @@ def keep_newest(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("_n") <= n).drop("_n")
 
 
-MEMBER = r"^[A-Za-z0-9._-]{1,64}$"
+MOST = 1_000_000_000  # of a count
+LONGEST = 512  # bytes of a name
+NAMES = ("tool", "session_id", "model", "dedupe_key", "project", "subpath", "git_branch", "entrypoint", "skill", "agent")
+PURPOSES = ("tool_reads", "tool_searches", "tool_commands", "tool_writes", "tool_other")
 
 
-def reject_reason(now: str, counts: tuple[str, ...]) -> Column:
-    """Why a pushed record is refused; null if it is sound. The first reason stands."""
-    purposes = F.col("tool_reads") + F.col("tool_searches") + F.col("tool_commands") + F.col("tool_writes") + F.col("tool_other")
+def reject_reason(now: str) -> Column:
+    """Why a pushed record is refused; null if it is sound. The first reason stands. Who pushed it is no matter here: the member is
+    set by the receiver."""
     at = lambda s: F.lit(s).cast("timestamp_ntz")
-    out_of = F.lit(False)
-    for c in counts:
-        out_of |= ~F.col(c).between(0, 1_000_000_000)
+    known = tuple(t for t in CAPABLE if t != "plugin")
+    counts = [*(F.col(c) for c in SUMS), F.col("sidechain")]
+    purposes = sum((F.col(c) for c in PURPOSES[1:]), F.col(PURPOSES[0]))
     return (
-        F.when((F.col("ts") < at("2020-01-01 00:00:00")) | (F.col("ts") > at(now) + F.expr("interval 48 hours")), "timestamp")
-        .when(out_of, "count")
+        F.when(F.col("dedupe_key") == "", "dedupe_key")
+        .when(F.greatest(*(F.octet_length(c) for c in NAMES)) > LONGEST, "length")
+        .when(~F.col("cache_miss_reason").rlike(r"^[a-z0-9_]{0,64}\z"), "cache_miss_reason")
+        .when(~F.col("tool").isin(*known) & ~F.col("tool").rlike(r"^plugin:[a-z0-9-]+\z"), "tool")
+        .when(~F.col("granularity").isin("turn", "session"), "granularity")
+        .when((F.col("ts") < at("2020-01-01 00:00:00")) | (F.col("ts") > at(now) + F.expr("interval 48 hours")), "timestamp")
+        .when(F.least(*counts) < 0, "count")
+        .when(F.greatest(*counts) > MOST, "count")
         .when(F.col("cache_write_1h") > F.col("cache_write_tokens"), "cache_write_1h")
         .when(F.col("reasoning_tokens") > F.col("output_tokens"), "reasoning")
+        .when(~F.col("sidechain").isin(0, 1), "sidechain")
         .when((purposes != 0) & (purposes != F.col("tool_calls")), "purposes")
-        .when((F.col("member") != "") & ~F.col("member").rlike(MEMBER), "member")
     )
 
 
+SIGNALS = (*PURPOSES, "tool_errors", "sidechain", "skill", "agent")
+
+
+def restate_signals(stored: DataFrame, offered: DataFrame) -> DataFrame:
+    """Stored rows that lack every signal, as written by a build that did not read them, with those of the first offer (by ``seq``) of
+    their (tool, dedupe_key) that has any. Nothing else changes, and nothing is inserted."""
+    blank = F.lit(True)
+    for c in SIGNALS:
+        blank &= F.col(c) == ("" if c in ("skill", "agent") else 0)
+    key = ["tool", "dedupe_key"]
+    said = offered.where(~blank).groupBy(*key).agg(F.min_by(F.struct(*SIGNALS), "seq").alias("_said"))
+    joined = stored.join(said, key, "left").withColumn("_fill", blank & F.col("_said").isNotNull())
+    return joined.withColumns({c: F.when(F.col("_fill"), F.col(f"_said.{c}")).otherwise(F.col(c)) for c in SIGNALS}).select(*stored.columns)
+
+
 def canaries(runs: DataFrame) -> DataFrame:
     """tool, canary of each tool's newest run, judged against the nine before: runs (tool, seq, discovered, parsed, records, skipped, zero_tokens)."""
     numbered = runs.withColumn("n", F.row_number().over(Window.partitionBy("tool").orderBy(F.desc("seq")))).where("n <= 10")

@@ -46,12 +46,12 @@ def effectiveness(cube: DataFrame, by: str) -> DataFrame:
 
 
 def movers(cube: DataFrame, by: str, recent: str, prior: str) -> DataFrame:
-    """Each group's change from the days from ``prior`` to those from ``recent``; a side that is missing is zero."""
+    """Each group's change from the days from ``prior`` to those from ``recent``, the largest first; a side that is missing is zero."""
     now = F.col("day") >= recent
     then = (F.col("day") >= prior) & ~now
     side = lambda when, c, name: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias(name)
     out = cube.where(F.col("day") >= prior).withColumn("name", dimension("project" if by == "day" else by)).groupBy("name").agg(side(now, "cost", "cost_now"), side(then, "cost", "cost_prior"), side(now, "lines_added", "lines_now"), side(then, "lines_added", "lines_prior"), side(now, "tokens", "tokens_now"), side(then, "tokens", "tokens_prior"), side(now, "unpriced_tokens", "unpriced_now"), side(then, "unpriced_tokens", "unpriced_prior"))
-    return out.select("name", F.round(F.col("cost_now") - F.col("cost_prior"), 9).alias("delta_cost"), (F.col("lines_now") - F.col("lines_prior")).alias("delta_lines"), F.round("cost_now", 9).alias("cost_now"), F.round("cost_prior", 9).alias("cost_prior"), "lines_now", "lines_prior", "tokens_now", "tokens_prior", "unpriced_now", "unpriced_prior")
+    return out.select("name", F.round(F.col("cost_now") - F.col("cost_prior"), 9).alias("delta_cost"), (F.col("lines_now") - F.col("lines_prior")).alias("delta_lines"), F.round("cost_now", 9).alias("cost_now"), F.round("cost_prior", 9).alias("cost_prior"), "lines_now", "lines_prior", "tokens_now", "tokens_prior", "unpriced_now", "unpriced_prior").orderBy(F.abs("delta_cost").desc(), "name")
 
 
 def _stats(rows: DataFrame, by: str) -> DataFrame:

@@ -22,9 +22,10 @@ FROM {events}"""
 
 FACTS = """
 SELECT e, k, v, ts, day, s,
-       CASE WHEN s % 10 <= 4 THEN 'claude-code' WHEN s % 10 <= 6 THEN 'codex' WHEN s % 10 = 7 THEN 'gemini-cli' WHEN s % 10 = 8 THEN 'copilot-cli' ELSE 'cline' END AS tool,
+       CASE WHEN s % 10 <= 4 THEN 'claude-code' WHEN s % 10 <= 6 THEN 'codex' WHEN s % 10 = 7 THEN 'gemini-cli' WHEN s % 10 = 8 THEN 'copilot-cli'
+            WHEN day < '2024-01-23' THEN 'cline' ELSE 'claude-code' END AS tool,
        CASE (e * 13) % 6 WHEN 0 THEN 'claude-opus-4-5-20251101' WHEN 1 THEN 'claude-sonnet-4-5' WHEN 2 THEN 'claude-haiku-4-5' WHEN 3 THEN 'gpt-5.1' WHEN 4 THEN 'gemini-2.5-pro' ELSE 'acme-llm-v2' END AS model,
-       CASE WHEN (s * 7 + 3) % 6 = 0 THEN '' ELSE 'proj-' || cast((s * 7 + 3) % 6 as string) END AS project
+       CASE WHEN (s * 7 + 3) % 6 = 0 OR ((s * 7 + 3) % 6 = 5 AND day >= '2024-01-22') THEN '' ELSE 'proj-' || cast((s * 7 + 3) % 6 as string) END AS project
 FROM ({base}) b"""
 
 USAGE = """

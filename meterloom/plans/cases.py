@@ -75,11 +75,12 @@ def queries() -> dict[str, Callable]:
         side = lambda c: x.cube.where(c).groupBy(F.col("project").alias("metric")).agg(F.sum("tokens").alias("t")).select("metric", F.when(F.col("t") % 2 == 0, "good").otherwise("watch").alias("read"))
         return surfaces.verdict_changes(side(F.col("day") < RECENT), side((F.col("day") >= RECENT) & (F.col("project") != "proj-1")))
 
-    def billing(x) -> tuple[DataFrame, DataFrame]:
-        estimate = x.cube.select("day", "model", F.coalesce("cost", F.lit(0.0)).alias("cost"), "tokens", "unpriced_tokens")
-        export = x.cube.where("day >= '2024-01-05' AND model <> 'gpt-5.1'").groupBy("day", F.upper("model").alias("model")).agg((F.sum("tokens") / 1_000_000).alias("cost"))
-        more = export.where("model = 'GEMINI-2.5-PRO'").withColumn("model", F.lit("vendor-extra"))
-        return export.unionByName(more).unionByName(export.limit(0)), estimate
+    def billing(x) -> tuple[DataFrame, DataFrame, str, str]:
+        estimate = x.cube.select("day", "model", "cost", "tokens")
+        billed = x.cube.where("day >= '2024-01-05' AND day <> '2024-01-10' AND model <> 'gpt-5.1'")
+        export = billed.groupBy("day", F.concat(F.lit(" "), F.upper("model")).alias("model")).agg((F.sum("tokens") / 1_000_000).alias("cost"))
+        more = export.where("model = ' GEMINI-2.5-PRO'").withColumn("model", F.lit("vendor-extra"))
+        return export.unionByName(more), estimate, "2024-01-03", "2024-01-28"
 
     def survived(x) -> DataFrame:
         rows = lines(x, "v", "k")
@@ -89,8 +90,22 @@ def queries() -> dict[str, Callable]:
 
     def validated(x) -> DataFrame:
         rows = x.read("usage_record").withColumn("e", F.substring("dedupe_key", 2, 20).cast("long"))
-        bad = rows.withColumn("input_tokens", F.when(F.col("e") % 11 == 0, -1).otherwise(F.col("input_tokens"))).withColumn("cache_write_1h", F.when(F.col("e") % 13 == 0, F.col("cache_write_tokens") + 1).otherwise(F.col("cache_write_1h"))).withColumn("tool_calls", F.when(F.col("e") % 17 == 0, F.col("tool_calls") + 1).otherwise(F.col("tool_calls"))).withColumn("member", F.when(F.col("e") % 19 == 0, "no good").otherwise(F.col("member")))
-        return bad.withColumn("reason", etl.reject_reason("2024-01-25 00:00:00", COUNTS)).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.coalesce("reason", F.lit("")))
+        wrong = {
+            "dedupe_key": (23, F.lit("")),
+            "project": (29, F.repeat(F.lit("x"), 600)),
+            "cache_miss_reason": (31, F.lit("No Token")),
+            "granularity": (43, F.lit("day")),
+            "tool_searches": (11, F.lit(-1)),
+            "lines_added": (53, F.lit(2_000_000_000)),
+            "cache_write_1h": (13, F.col("cache_write_tokens") + 1),
+            "sidechain": (47, F.lit(2)),
+            "tool_calls": (17, F.col("tool_calls") + 1),
+            "member": (19, F.lit("no good")),
+        }
+        tool = F.when(F.col("e") % 37 == 0, "unheard-of").when(F.col("e") % 41 == 0, "plugin:acme-2").otherwise(F.col("tool"))
+        bad = rows.withColumns({c: F.when(F.col("e") % n == 0, v).otherwise(F.col(c)) for c, (n, v) in wrong.items()} | {"tool": tool})
+        said = bad.withColumn("reason", F.coalesce(etl.reject_reason("2024-01-25 00:00:00"), F.lit("")))
+        return said.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
     return {
         "dedupe_insert": dedupe_insert,
@@ -116,7 +131,7 @@ def queries() -> dict[str, Callable]:
         "canaries": lambda x: etl.canaries(runs(x)),
         "digest_movers": lambda x: surfaces.digest_movers(*snapshots(x)),
         "digest_verdict_changes": verdicts,
-        "reconcile_scope": lambda x: surfaces.reconcile_scope(*billing(x)),
+        "reconcile_scope": lambda x: surfaces.reconcile_scope(*billing(x)).withColumns({c: F.round(c, 9) for c in ("billed", "estimated")}),
         "reconcile_delta": lambda x: surfaces.reconcile(*billing(x)),
         "label_derive": lambda x: surfaces.derive_labels(facts.session_signals(x.usage), x.labels, RULES),
         "event_adapter": lambda x: surfaces.events_of(x.usage),
@@ -135,10 +150,20 @@ def oracle_sql() -> dict[str, str]:
       nr AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY seq DESC) AS n FROM runs), cur AS (SELECT * FROM nr WHERE n = 1),
       old AS (SELECT tool, quantile_cont(discovered, 0.5) AS usual, quantile_cont(records / cast(parsed as double), 0.5) AS uy, max(records) AS ever FROM nr WHERE n BETWEEN 2 AND 10 GROUP BY tool)"""
     snaps = f", was AS (SELECT tool || '/' || project AS name, sum(tokens)::bigint AS a FROM cube WHERE day < '{RECENT}' GROUP BY 1), nows AS (SELECT tool || '/' || project AS name, sum(tokens)::bigint AS a FROM cube WHERE day >= '{RECENT}' AND project <> 'proj-1' GROUP BY 1)"
-    bill = """, estimate AS (SELECT day, model, coalesce(cost, 0.0) AS cost, tokens, unpriced_tokens FROM cube), export0 AS (SELECT day, upper(model) AS model, sum(tokens) / 1000000.0 AS cost FROM cube WHERE day >= '2024-01-05' AND model <> 'gpt-5.1' GROUP BY ALL),
-      export AS (SELECT * FROM export0 UNION ALL SELECT day, 'vendor-extra', cost FROM export0 WHERE model = 'GEMINI-2.5-PRO'),
-      common AS (SELECT DISTINCT day FROM export WHERE day IN (SELECT day FROM estimate)), b AS (SELECT lower(model) AS model, sum(cost) AS billed FROM export WHERE day IN (SELECT day FROM common) GROUP BY 1),
-      o AS (SELECT lower(model) AS model, sum(cost) AS estimated, sum(tokens)::bigint AS tokens, sum(unpriced_tokens)::bigint AS unpriced FROM estimate WHERE day IN (SELECT day FROM common) GROUP BY 1)"""
+    bill = """, estimate AS (SELECT day, model, cost, tokens FROM cube),
+      export0 AS (
+        SELECT day, ' ' || upper(model) AS model, sum(tokens) / 1000000.0 AS cost FROM cube
+        WHERE day >= '2024-01-05' AND day <> '2024-01-10' AND model <> 'gpt-5.1' GROUP BY ALL),
+      export AS (SELECT * FROM export0 UNION ALL SELECT day, 'vendor-extra', cost FROM export0 WHERE model = ' GEMINI-2.5-PRO'),
+      days AS (
+        SELECT coalesce(a.day, c.day) AS day, billed, estimated FROM (SELECT day, sum(cost) AS billed FROM export GROUP BY day) a
+        FULL JOIN (SELECT day, sum(coalesce(cost, 0.0)) AS estimated FROM estimate GROUP BY day) c ON a.day = c.day),
+      sides AS (
+        SELECT *, CASE WHEN day BETWEEN '2024-01-03' AND '2024-01-28' AND (billed IS NOT NULL OR day BETWEEN (SELECT min(day) FROM export) AND (SELECT max(day) FROM export)) THEN 'both'
+                       WHEN billed IS NULL THEN 'estimate' ELSE 'export' END AS side FROM days),
+      common AS (SELECT day FROM sides WHERE side = 'both'),
+      b AS (SELECT lower(trim(model)) AS model, sum(cost) AS billed FROM export WHERE day IN (SELECT day FROM common) GROUP BY 1),
+      o AS (SELECT lower(trim(model)) AS model, sum(cost) AS estimated FROM estimate WHERE cost IS NOT NULL AND day IN (SELECT day FROM common) GROUP BY 1)"""
     lines = ", l AS (SELECT s AS file, e AS line, k, v FROM event_lines)"
     inputs = ", found AS (SELECT 'f' || cast(e % 400 as string) AS path, sum(v)::bigint AS size, max(e) AS mtime, 'b1' AS version, any_value(e % 400) AS n FROM event_lines GROUP BY e % 400), state AS (SELECT path, size, mtime + (n % 7 = 0)::int AS mtime, CASE WHEN n % 5 = 0 THEN 'b0' ELSE version END AS version FROM found WHERE n % 3 <> 0 UNION ALL SELECT 'gone' || path, size, mtime, version FROM found WHERE n < 10)"
     purposes = "(tool_reads + tool_searches + tool_commands + tool_writes + tool_other)"
@@ -164,12 +189,32 @@ def oracle_sql() -> dict[str, str]:
         "keep_newest": " SELECT tool, day FROM (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY day DESC) AS n FROM (SELECT DISTINCT tool, day FROM usage_record)) WHERE n <= 10",
         "clear_records": " SELECT tool, count(*) AS n FROM u WHERE NOT (tool = 'claude-code' AND ts < TIMESTAMP '2024-01-20 00:00:00') GROUP BY tool",
         "clear_labels": " SELECT session_id, member, task FROM session_label WHERE (session_id, member) NOT IN (SELECT session_id, member FROM u GROUP BY ALL HAVING bool_and(tool = 'claude-code' AND ts < TIMESTAMP '2024-01-20 00:00:00'))",
-        "validate_records": f"{ue} SELECT reason, count(*) AS n FROM (SELECT CASE WHEN ts < TIMESTAMP '2020-01-01 00:00:00' OR ts > TIMESTAMP '2024-01-27 00:00:00' THEN 'timestamp' WHEN e % 11 = 0 THEN 'count' WHEN e % 13 = 0 THEN 'cache_write_1h' WHEN reasoning_tokens > output_tokens THEN 'reasoning' WHEN e % 17 = 0 AND {purposes} <> 0 THEN 'purposes' WHEN e % 19 = 0 THEN 'member' ELSE '' END AS reason FROM ue) GROUP BY reason",
+        "validate_records": f"""{ue} SELECT reason, count(*) AS n FROM (SELECT CASE
+            WHEN e % 23 = 0 THEN 'dedupe_key' WHEN e % 29 = 0 THEN 'length' WHEN e % 31 = 0 THEN 'cache_miss_reason' WHEN e % 37 = 0 THEN 'tool' WHEN e % 43 = 0 THEN 'granularity'
+            WHEN ts < TIMESTAMP '2020-01-01 00:00:00' OR ts > TIMESTAMP '2024-01-27 00:00:00' THEN 'timestamp'
+            WHEN e % 11 = 0 OR e % 53 = 0 THEN 'count' WHEN e % 13 = 0 THEN 'cache_write_1h' WHEN reasoning_tokens > output_tokens THEN 'reasoning'
+            WHEN e % 47 = 0 THEN 'sidechain' WHEN e % 17 = 0 AND {purposes} <> 0 THEN 'purposes' ELSE '' END AS reason FROM ue) GROUP BY reason""",
         "canaries": f"{run} " + " UNION ALL ".join(f"SELECT tool, '{n}' AS canary FROM cur LEFT JOIN old USING (tool) WHERE {c}" for n, c in (("discovery", "usual > 0 AND (discovered = 0 OR (usual >= 20 AND discovered < 0.5 * usual))"), ("barren", "discovered > 0 AND records = 0 AND coalesce(ever, 0) = 0"), ("yield", "parsed >= 20 AND records / cast(parsed as double) < 0.25 * uy"), ("skipped", "skipped >= 50 AND skipped >= parsed"), ("zero_token", "records >= 50 AND zero_tokens >= 0.25 * records"))),
         "digest_movers": f"{snaps} SELECT coalesce(w.name, n.name) AS name, coalesce(w.a, 0) AS was, coalesce(n.a, 0) AS now, coalesce(n.a, 0) - coalesce(w.a, 0) AS delta FROM was w FULL JOIN nows n ON w.name = n.name WHERE coalesce(n.a, 0) <> coalesce(w.a, 0) ORDER BY abs(delta) DESC, 1 LIMIT 5",
         "digest_verdict_changes": f", w AS (SELECT project AS metric, CASE WHEN sum(tokens) % 2 = 0 THEN 'good' ELSE 'watch' END AS read FROM cube WHERE day < '{RECENT}' GROUP BY 1), n AS (SELECT project AS metric, CASE WHEN sum(tokens) % 2 = 0 THEN 'good' ELSE 'watch' END AS read FROM cube WHERE day >= '{RECENT}' AND project <> 'proj-1' GROUP BY 1) SELECT coalesce(w.metric, n.metric) AS metric, coalesce(w.read, '') AS was, coalesce(n.read, '') AS now FROM w FULL JOIN n ON w.metric = n.metric WHERE w.read IS DISTINCT FROM n.read",
-        "reconcile_scope": f"{bill} SELECT coalesce(a.day, c.day) AS day, CASE WHEN a.day IS NULL THEN 'estimate' WHEN c.day IS NULL THEN 'export' ELSE 'both' END AS side FROM (SELECT DISTINCT day FROM export) a FULL JOIN (SELECT DISTINCT day FROM estimate) c ON a.day = c.day",
-        "reconcile_delta": f"{bill}, r AS (SELECT sum(coalesce(billed, 0)) AS billed, sum(coalesce(estimated, 0)) AS estimated, sum(CASE WHEN o.model IS NULL THEN billed ELSE 0.0 END) AS only_billed, sum(CASE WHEN b.model IS NULL THEN estimated ELSE 0.0 END) AS only_estimated, sum(coalesce(unpriced, 0))::bigint AS unpriced_tokens, sum(coalesce(tokens, 0) - coalesce(unpriced, 0))::bigint AS priced_tokens FROM b FULL JOIN o ON b.model = o.model) SELECT round(billed, 9) AS billed, round(estimated, 9) AS estimated, round(only_billed, 9) AS only_billed, round(only_estimated, 9) AS only_estimated, unpriced_tokens, priced_tokens, round(estimated + unpriced_tokens * estimated / priced_tokens, 9) AS upper, round(billed - estimated, 9) AS delta, round(billed - estimated - (only_billed - only_estimated), 9) AS residual FROM r",
+        "reconcile_scope": f"{bill} SELECT day, side, round(billed, 9) AS billed, round(estimated, 9) AS estimated FROM sides",
+        "reconcile_delta": f"""{bill}, m AS (
+            SELECT coalesce(sum(CASE WHEN estimated IS NULL THEN billed END), 0.0) AS xb, coalesce(sum(CASE WHEN billed IS NULL THEN estimated END), 0.0) AS xe,
+                   count(*) FILTER (WHERE billed IS NOT NULL AND estimated IS NOT NULL) AS shared_models FROM b FULL JOIN o ON b.model = o.model),
+          t AS (
+            SELECT sum(coalesce(cost, 0.0)) AS estimated, sum(CASE WHEN cost IS NULL THEN tokens ELSE 0 END)::bigint AS unpriced_tokens,
+                   sum(CASE WHEN cost IS NOT NULL THEN tokens ELSE 0 END)::bigint AS priced_tokens, count(*) FILTER (WHERE cost IS NULL) AS unpriced_rows
+            FROM estimate WHERE day IN (SELECT day FROM common)),
+          c AS (
+            SELECT count(*) FILTER (WHERE side = 'both') AS overlap_days, count(*) FILTER (WHERE side <> 'both' AND billed IS NOT NULL) AS export_only_days,
+                   count(*) FILTER (WHERE side <> 'both' AND estimated IS NOT NULL) AS window_only_days,
+                   coalesce(sum(CASE WHEN side <> 'both' THEN billed END), 0.0) AS billed_outside, coalesce(sum(CASE WHEN side <> 'both' THEN estimated END), 0.0) AS estimated_outside FROM sides),
+          r AS (
+            SELECT *, (SELECT sum(cost) FROM export WHERE day IN (SELECT day FROM common)) AS billed, unpriced_tokens * (estimated / priced_tokens) AS ex,
+                   CASE WHEN shared_models > 0 THEN xb ELSE 0.0 END AS ob, CASE WHEN shared_models > 0 THEN xe ELSE 0.0 END AS oe FROM t, m, c)
+          SELECT round(billed, 9) AS billed, round(estimated, 9) AS estimated, unpriced_tokens, priced_tokens, unpriced_rows, shared_models, overlap_days, export_only_days, window_only_days,
+                 round(billed_outside, 9) AS billed_outside, round(estimated_outside, 9) AS estimated_outside, round(ob, 9) AS only_billed, round(oe, 9) AS only_estimated, round(ex, 9) AS extrapolated,
+                 round(estimated + ex, 9) AS upper, round(billed - estimated, 9) AS delta, round(billed - estimated - (ex + ob - oe), 9) AS unexplained, billed BETWEEN estimated AND estimated + ex AS in_band FROM r""",
         "label_derive": f", sig AS ({signals}) SELECT session_id, member, axis, min(value) AS value FROM ({rules}) GROUP BY ALL HAVING count(DISTINCT value) = 1",
         "event_adapter": " SELECT tool, session_id, ts, dedupe_key AS event_id, 'ai_usage' AS type, input_tokens + output_tokens AS amount FROM u UNION ALL SELECT tool, session_id, ts, dedupe_key || '#edit', 'ai_edit', lines_added + lines_removed FROM u WHERE edits > 0 OR lines_added > 0 OR lines_removed > 0",
         "share_rays": " SELECT session_id, member, rank, round(sqrt(sqrt(output_tokens / cast(m as double))), 6) AS length FROM (SELECT *, row_number() OVER (ORDER BY first_ts, session_id, member) - 1 AS rank, max(output_tokens) OVER () AS m, greatest(ceil(count(*) OVER () / 3000.0), 1) AS kk FROM sessions) WHERE rank % kk::bigint = 0",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.schema import USAGE
@@ -18,9 +18,12 @@ STEP_OF = {"reads": "read", "searches": "search", "commands": "command", "writes
 
 
 def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """file, line (from 0), raw: every non-empty line. A file is one row first, so that the order of its lines is known."""
-    whole = spark.read.options(**options).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "raw")).where("raw <> ''")
+    """file, line (from 0), raw: every non-empty line. Large files are read in splits by many tasks; a line's number is its rank by
+    where its split begins and by its place in it."""
+    read = spark.read.options(**options).option("lineSep", "\n").text(path)
+    placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"), F.regexp_replace("value", "\r$", "").alias("raw"))
+    line = (F.row_number().over(Window.partitionBy("file").orderBy("_at", "_n")) - 1).alias("line")
+    return placed.select("file", line, "raw").where("raw <> ''")
 
 
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
