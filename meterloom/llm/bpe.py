@@ -73,8 +73,8 @@ class Encoder:
     punctuation after a letter or digit only what stands before it is remembered.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None):
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, vocabulary: str | Tokenizer, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None):
+        self.tokenizer = Tokenizer.from_file(vocabulary) if isinstance(vocabulary, str) else vocabulary
         self.tokenize = self.tokenizer.model.tokenize
         self.value, self.join = value, join
         self.known = known or {}

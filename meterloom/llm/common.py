@@ -37,7 +37,7 @@ def texts_of(column: pa.Array) -> Iterator[str]:
             yield text or ""
 
 
-def runs_of(texts: Iterable[str], most: int = 2048, chars: int = 1 << 22) -> Iterator[list[str]]:
+def runs_of(texts: Iterable[str], most: int = 512, chars: int = 1 << 20) -> Iterator[list[str]]:
     """The texts in runs of at most so many and about so many characters; a longer text is a run of its own or the last of one."""
     held, size = [], 0
     for text in texts:

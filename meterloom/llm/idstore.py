@@ -39,7 +39,7 @@ from meterloom.session import scratch_path
 END_ID = 0
 CUT_BITS = 9  # a chunk has 512 ids on average
 CHUNK_LEAST, CHUNK_MOST = 64, 4096
-SEEN = 1 << 20  # digests that a task remembers
+SEEN = 1 << 18  # digests that a task remembers
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 CUT = StructType([StructField("kind", StringType()), StructField("dest", BinaryType()), StructField("width", IntegerType()), StructField("ids", BinaryType()), StructField("doc_id", LongType()), StructField("row", LongType()), StructField("n_tokens", LongType()), StructField("chunks", ArrayType(BinaryType())), StructField("root", BinaryType())])
@@ -121,7 +121,8 @@ def _cut_documents(path: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, width = _ids_encoder(path, end_id)
+        encoder = worker_encoder((path, "ids", end_id), lambda: IdsEncoder(path, end_id))
+        width = encoder.width
         row, seen = TaskContext.get().partitionId() << 40, set()
         end = end_id.to_bytes(width, "little")
         for batch in batches:
@@ -150,11 +151,14 @@ def _cut_documents(path: str, end_id: int):
     return run
 
 
-def _ids_encoder(path: str, end_id: int) -> tuple[Encoder, int]:
-    """An encoder whose values are ids as bytes, and how many an id takes; low byte first on all platforms that Spark runs on."""
-    width = 2 if max(Tokenizer.from_file(path).get_vocab_size() - 1, end_id) < 1 << 16 else 4
-    code = "H" if width == 2 else "I"
-    return worker_encoder((path, "ids", width), lambda: Encoder(path, lambda ids: array(code, ids).tobytes(), b"".join)), width
+class IdsEncoder(Encoder):
+    """Its values are ids as bytes, ``width`` bytes an id; low byte first on all platforms that Spark runs on."""
+
+    def __init__(self, path: str, end_id: int):
+        tokenizer = Tokenizer.from_file(path)
+        self.width = 2 if max(tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
+        code = "H" if self.width == 2 else "I"
+        super().__init__(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join)
 
 
 _CUT_TYPES = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]

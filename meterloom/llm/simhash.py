@@ -13,8 +13,9 @@ Sixty-four bits tell copies with a word or two changed, not similarity 0.8, at w
 therefore takes 256 bits of shingles of five words in lower case and without punctuation, whose differing bits tell the angle between two texts and with it their similarity,
 to about 0.03. They only find candidates: every link is confirmed by the exact Jaccard similarity of the two texts' shingles. The
 radius leaves out about one in a thousand of the pairs at just the similarity asked for. Links of so many bits have no small exact set
-of blocks: tables take samples of bits, as many tables as let a pair at the radius itself meet in one with probability ``RECALL``;
-width and number follow from the number of texts. A node's candidates in a shard are confirmed nearest first, in rounds of growing
+of blocks: tables take samples of bits, as many tables as let a pair of just the similarity meet in one with probability ``RECALL``
+(more alike pairs meet with more); width and number follow from the number of texts. Within so wide a radius a BK-tree leaves out
+little, so shards are small: it is the samples that prune, and the exact similarity that decides. A node's candidates in a shard are confirmed nearest first, in rounds of growing
 ranks (``RANKS``); a round leaves out pairs that the rounds before have joined, and the last takes all that are left.
 
 Trees reach their queries by a shuffle on the shard's key, not by a broadcast from the driver: the driver would otherwise see the
@@ -26,6 +27,7 @@ never names a component unless all of its ids are null; an empty table gives no
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import combinations, pairwise, repeat
 from math import acos, ceil, comb, log, log2, pi
 from random import Random
@@ -51,9 +53,9 @@ QUERIES = 256  # searched at once
 
 #: Of near-duplicates by similarity: words of a fingerprint, words of a shingle, nodes of a shard and of a tree, searched at once.
 WIDE, WIDE_SHINGLE = 4, 5
-WIDE_SHARD, WIDE_MOST, WIDE_QUERIES = 512, 4096, 128
+WIDE_SHARD, WIDE_MOST, WIDE_QUERIES = 64, 4096, 128
 SIMILARITY = 0.8
-RECALL = 0.98  # of pairs at the radius
+RECALL = 0.95  # of pairs at just the similarity
 SLACK = 3  # standard errors by which the differing bits of a pair at just the similarity may pass their mean
 RANKS = (0, 2, 16, 128, 1024, 1 << 30)  # of a node's candidates in a shard, by round
 
@@ -126,12 +128,25 @@ def jaccard(a: str, b: str, shingle: int = WIDE_SHINGLE) -> float:
     return both / (len(x) + len(y) - both) if x or y else 1.0
 
 
+def apart_share(similarity: float) -> float:
+    """The share of bits that tell two texts of this Jaccard similarity apart, on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
 def differing_bits(similarity: float, slack: float = SLACK) -> int:
     """The bits of a wide fingerprint by which two texts of this Jaccard similarity may differ: the mean and some standard errors."""
-    share, bits = acos(2 * similarity / (1 + similarity)) / pi, 64 * WIDE
+    share, bits = apart_share(similarity), 64 * WIDE
     return round(share * bits + slack * (share * (1 - share) * bits) ** 0.5)
 
 
+def meeting(similarity: float, width: int, tables: int) -> float:
+    """With what probability two texts of just this similarity lie within the radius and agree in all bits of a sample: their differing
+    bits are a binomial number."""
+    share, bits = apart_share(similarity), 64 * WIDE
+    odds = (comb(bits, d) * share**d * (1 - share) ** (bits - d) * (1 - (1 - (1 - d / bits) ** width) ** tables) for d in range(differing_bits(similarity) + 1))
+    return sum(odds)
+
+
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
@@ -290,14 +305,14 @@ def _tables(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
     return tables if need else [[]]  # one shard holds all
 
 
-def _samples(n: int, radius: int) -> list[list[tuple[int, int, int]]]:
-    """As _tables, for wide fingerprints: samples of bits, as many as let a pair at the radius meet with probability RECALL. Shards
-    keep their size, so width grows with the logarithm of n and the number of tables with a small power of n."""
+def _samples(n: int, similarity: float) -> list[list[tuple[int, int, int]]]:
+    """As _tables, for wide fingerprints: samples of bits, as many as let a pair of just the similarity meet with probability RECALL.
+    Shards keep their size, so width grows with the logarithm of n and the number of tables with a small power of n."""
     width = max(0, ceil(log2(max(1, n) / WIDE_SHARD)))
     if not width:
         return [[]]
-    alike = 1 - radius / (64 * WIDE)
-    wanted = ceil(log(1 - RECALL) / log(1 - alike**width))
+    most = ceil(log(1 - RECALL) / log(1 - (1 - differing_bits(similarity) / (64 * WIDE)) ** width))  # what a pair at the radius needs
+    wanted = bisect_left(range(1, most), RECALL, key=lambda tables: meeting(similarity, width, tables)) + 1
     pieces = next(k for k in range(min(2, width), width + 1) if comb(WIDE * (64 // ceil(width / k)), k) >= 4 * wanted)
     size = ceil(width / pieces)
     places = [(word, shift * size) for word in range(WIDE) for shift in range(64 // size)]
@@ -354,7 +369,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     """u, v: as ``components``, of the links of nodes (id, p0, p1, .., size, text_hash; the texts by text_hash) whose texts have the similarity."""
     words = [c for c in nodes.columns if c[0] == "p"]
     radius = differing_bits(similarity)
-    tables = _samples(nodes.count(), radius)
+    tables = _samples(nodes.count(), similarity)
     bare = nodes.select("id", *words, "size")
     stars = shards = None
     for low, high in pairwise(RANKS):
