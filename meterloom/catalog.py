@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.operators import facts, metrics, pricing, reports, sequences
-from meterloom.plans import cases, logs, metric_oracles, oracles
+from meterloom.plans import cases, health, logs, metric_oracles, oracles
 from meterloom.plans.bridge import NOW, PRIOR, RECENT, SINCE, fact
+from meterloom.session import cut
 
 
 class Bounds(NamedTuple):
@@ -26,7 +28,7 @@ class Facts:
     """The fact tables of one data folder, lazily; ``cube`` and ``sessions`` are what most questions rest on."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.bounds = spark, sf_dir, Bounds()
 
     def read(self, name: str) -> DataFrame:
         return fact(self.spark, self.sf_dir, name)
@@ -60,6 +62,18 @@ class Facts:
         return facts.sessions(self.usage, self.labels)
 
 
+class Written(Facts):
+    """Facts for questions that ask many others: the cube and the sessions are made once and written."""
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return cut(super().cube, "cube")
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return cut(super().sessions, "sessions")
+
+
 def _top_project(x: Facts) -> DataFrame:
     """The drill into the project with most lines: its effectiveness by tool."""
     cube = x.cube
@@ -128,14 +142,19 @@ def _sequences() -> dict[str, Callable[[Facts], DataFrame]]:
 
 def _metrics() -> dict[str, Callable[[Facts], DataFrame]]:
     out = {f"metric_{name}": lambda x, metric=metric: metric(x, Bounds()) for name, metric in metrics.METRICS.items()}
-    out["confidence_axes"] = lambda x: metrics.verdicts(x, Bounds())
-    out["ranking"] = lambda x: metrics.ranking(metrics.verdicts(x, Bounds()))
+    out["confidence_axes"] = lambda x: metrics.verdicts(x, x.bounds)
+    out["ranking"] = lambda x: metrics.ranking(metrics.verdicts(x, x.bounds))
     return out
 
 
+#: Queries that put many metrics together.
+MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, ask=ask: ask(Facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries() | logs.queries()).items()}
+    kind = lambda name: Written if name in MANY else Facts
+    return {name: lambda spark, sf_dir, ask=ask, facts=kind(name): ask(facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries() | logs.queries() | health.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql() | logs.oracle_sql()
+    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql() | logs.oracle_sql() | health.oracle_sql()
