@@ -1 +1 @@
-
+"""Column functions that sources and operators share."""

@@ -66,7 +66,7 @@ def copilot(x) -> DataFrame:
     n = lambda c: F.struct(F.sum(c).alias("tokenCount"))
     detail = F.struct(n("input_tokens").alias("input"), n("cache_read_tokens").alias("cache_read"), n("cache_write_tokens").alias("cache_write"), n("output_tokens").alias("output"))
     metric = F.struct(F.struct(F.count(F.lit(1)).alias("count")).alias("requests"), F.struct(F.sum("reasoning_tokens").alias("reasoningTokens")).alias("usage"), detail.alias("tokenDetails"))
-    models = rows.groupBy("session_id", "project", "model").agg(metric.alias("metric"), F.sum("lines_added").alias("added"), F.min("at").alias("at"))
+    models = rows.groupBy("session_id", "model").agg(metric.alias("metric"), F.max("project").alias("project"), F.sum("lines_added").alias("added"), F.min("at").alias("at"))
     whole = models.groupBy("session_id").agg(F.min("at").alias("at"), F.max("project").alias("project"), F.map_from_entries(F.collect_list(F.struct("model", "metric"))).alias("metrics"), F.sum("added").alias("added"))
     start = said(type="session.start", timestamp=F.col("at"), data=F.struct(F.col("session_id").alias("sessionId"), F.struct(folder().alias("cwd")).alias("context")))
     stop = said(type="session.shutdown", timestamp=F.col("at"), data=F.struct(F.struct(F.col("added").alias("linesAdded"), F.lit(0).alias("linesRemoved")).alias("codeChanges"), F.col("metrics").alias("modelMetrics")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions.logs import basename, content_lines, count, seconds, text
 from meterloom.operators import etl
-from meterloom.sources.lines import as_usage, basename, content_lines, count, fingerprint, parsed, purpose, read_lines, seconds, text
+from meterloom.sources.lines import as_usage, fingerprint, parsed, purpose, read_lines
 
 GEMINI = "sessionId string, timestamp string, model string, tokens struct<input:long,output:long,cached:long,thoughts:long,tool:long,total:long>"
 COPILOT = "type string, timestamp string, data struct<sessionId:string, context:struct<cwd:string>, codeChanges:struct<linesAdded:long,linesRemoved:long>, modelMetrics:map<string,struct<requests:struct<count:long>,usage:struct<reasoningTokens:long>,tokenDetails:struct<input:struct<tokenCount:long>,cache_read:struct<tokenCount:long>,cache_write:struct<tokenCount:long>,output:struct<tokenCount:long>>>>>"

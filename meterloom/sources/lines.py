@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions.logs import text
 from meterloom.schema import USAGE
 
 #: What a tool call is for, by its name; any other name is "other".
@@ -36,26 +37,6 @@ def skipped(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(F.sum(F.col("j").isNull().cast("long")).alias("skipped"))
 
 
-def text(c: str | Column) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
-
-
-def count(c: str | Column) -> Column:
-    """A count that is never negative or missing."""
-    return F.greatest(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)), F.lit(0))
-
-
-def seconds(c: str | Column) -> Column:
-    """A log's time, UTC, without fractions."""
-    said = F.try_to_timestamp(F.col(c) if isinstance(c, str) else c)
-    return F.date_trunc("second", said).cast("timestamp_ntz")
-
-
-def content_lines(c: Column) -> Column:
-    feeds = F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    return F.when(F.coalesce(c, F.lit("")) == "", 0).otherwise(feeds + (~c.endswith("\n")).cast("int"))
-
-
 def purpose(name: Column) -> Column:
     out = F.lit("other")
     for kind, names in TOOL_CLASSES.items():
@@ -63,15 +44,6 @@ def purpose(name: Column) -> Column:
     return out
 
 
-def token(c: Column) -> Column:
-    """A word of a closed vocabulary, or nothing."""
-    return F.when(c.rlike("^[a-z0-9_]{0,64}$"), c).otherwise("")
-
-
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(F.regexp_replace(text(path), "/+$", ""), "/"), -1)
-
-
 def fingerprint(lines: DataFrame) -> DataFrame:
     """file, fp: the 32-bit FNV-1a hash of each file's first line, in hexadecimal."""
     first = lines.groupBy("file").agg(F.min_by("raw", "line").alias("raw"))

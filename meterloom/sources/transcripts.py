@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from meterloom.functions.logs import basename, content_lines, count, seconds, text, token
 from meterloom.operators import etl
-from meterloom.sources.lines import STEP_OF, as_usage, basename, content_lines, count, parsed, purpose, read_lines, seconds, text, token
+from meterloom.sources.lines import STEP_OF, as_usage, parsed, purpose, read_lines
 
 TOKENS = "input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,cache_creation:struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>"
 LINE = f"type string, uuid string, timestamp string, sessionId string, cwd string, gitBranch string, entrypoint string, toolUseResult string, toolDenialKind string, isSidechain boolean, agentId string, attributionSkill string, attributionAgent string, isCompactSummary boolean, subtype string, message struct<model:string,id:string,content:string,usage:struct<{TOKENS}>,stop_reason:string,diagnostics:struct<cache_miss_reason:struct<type:string>>>"

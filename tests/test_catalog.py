@@ -1,4 +1,4 @@
-"""A sample of the catalog's queries against their SQL on the smallest tables."""
+"""Many of the catalog's queries against their SQL on the smallest tables."""
 
 from decimal import Decimal
 
@@ -6,9 +6,13 @@ import duckdb
 import pytest
 
 from meterloom import catalog
+from meterloom.plans import health, logs
 
 DATA = "/root/testdata/sf0.001"
-SAMPLE = ("event_adapter", "effectiveness_by_project", "rework_recurrence", "asof_model", "delta_counters", "restate_activity")
+SAMPLE = (
+    "event_adapter", "effectiveness_by_project", "rework_recurrence", "asof_model", "delta_counters", "restate_activity", "validate_records", "reconcile_scope",
+    "reconcile_delta", "movers_project", "insights_going_stale", "insights_dormant_tools", "share_rays", *logs.queries(), *health.queries(),
+)
 
 
 def plain(value):

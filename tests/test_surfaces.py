@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from meterloom.functions import amounts
 from meterloom.operators import etl, surfaces
 from meterloom.schema import USAGE
 from meterloom.sources import exports
@@ -25,15 +26,15 @@ def table(spark, schema, *rows):
     ],
 )
 def test_days(spark, said, day):
-    assert table(spark, "x string", (said,)).select(exports.day_of(F.col("x"))).first()[0] == day
+    assert table(spark, "x string", (said,)).select(amounts.day_of(F.col("x"))).first()[0] == day
 
 
 def test_money_and_counts(spark):
     money = {"$1,234.50": 1234.5, "(12.00)": -12.0, "12 USD": 12.0, " 0 ": 0.0, "-3.5": -3.5, "": None, "free": None, "($1,000)": -1000.0, "1e3": 1000.0}
-    got = table(spark, "x string", *((x,) for x in money)).select("x", exports.money(F.col("x")).alias("v")).collect()
+    got = table(spark, "x string", *((x,) for x in money)).select("x", amounts.money(F.col("x")).alias("v")).collect()
     assert {r.x: r.v for r in got} == money
     counts = {"1,234": 1234, "12.0": 12, "12.5": None, "": None, "many": None, "9 000": 9000}
-    got = table(spark, "x string", *((x,) for x in counts)).select("x", exports.whole(F.col("x")).alias("v")).collect()
+    got = table(spark, "x string", *((x,) for x in counts)).select("x", amounts.whole(F.col("x")).alias("v")).collect()
     assert {r.x: r.v for r in got} == counts
 
 
