@@ -9,7 +9,8 @@ backslashes and then ``|`` follow gets one more backslash before the ``|``, so n
 away again gives the text back.
 
 Defined results: null text or role is empty; turns are ordered by turn (null first), then role, then content; turns alike in all of
-these stay as often as they come; a null conv_id is a conversation of its own; an empty table gives none.
+these stay as often as they come; a null conv_id is a conversation of its own; an empty table gives none; very long texts are whole turns; other columns are neither
+read nor changed.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ span adjust its score. The four base kinds need no context: what their validator
 method adds (iban, ssn, national_id, secret) become spans where their score reaches ``MIN_SCORE``.
 
 Defined results: a null or empty text has no spans; offsets are code points, end exclusive; spans of different kinds may overlap;
-repeated rows give equal results row by row. Every proposal runs in time linear in the text: a pattern that could restart inside a
+repeated rows give equal results row by row; an empty table gives no rows; other columns are neither read nor changed. Every proposal runs in time linear in the text: a pattern that could restart inside a
 run of its own characters is anchored to the start of that run.
 """
 

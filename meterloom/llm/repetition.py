@@ -3,7 +3,8 @@
 A document's words are hashed once; rolling hashes of several n-gram lengths are built from them in numpy, and the characters
 that lie inside n-grams found twice or more, or inside lines equal to an earlier line, are measured against all characters in words.
 
-Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged alike, row by row;
+Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged alike, row by row; an empty
+table gives no rows;
 other columns of the table, whatever their names, are neither read nor changed. Very long texts are handled whole: memory per
 text is a small multiple of its own bytes.
 """
@@ -81,22 +82,21 @@ def measure(text: str, rules: Rules = Rules()) -> tuple:
 
     n_repeat_words = 0
     shares = dict.fromkeys((n for n, _ in rules.ngram_share), 0)
-    hashes = np.fromiter(map(hash, words), np.int64, n_words).astype(np.uint64)
-    if n_words >= 4:
-        rolling, lengths = hashes, None
-        for n in range(2, min(longest, n_words) + 1):
+    rolling = hashes = np.fromiter(map(hash, words), np.int64, n_words).astype(np.uint64)
+    at = np.cumsum(letters, dtype=np.int64)
+    turn = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
+    lengths = at[turn[1::2] - 1] - at[turn[::2]] + 1
+    for n in range(1, min(max(longest, 3), n_words - 1) + 1):
+        if n > 1:
             rolling = rolling[:-1] * BASE + hashes[n - 1 :]
+        if n == 3 or n in shares:
+            inside = _covered(rolling, n, n_words)
             if n == 3:
-                inside = _covered(rolling, 3, n_words)
                 n_repeat_words = int(inside.sum())
-                if not n_repeat_words:  # no longer n-gram can repeat either
-                    break
-                at = np.cumsum(letters, dtype=np.int64)
-                turn = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
-                starts, ends = turn[::2], turn[1::2]
-                lengths = at[ends - 1] - at[starts] + 1
-            elif n in shares:
-                shares[n] = int(lengths[_covered(rolling, n, n_words)].sum())
+            if n in shares:
+                shares[n] = int(lengths[inside].sum())
+            if n >= 3 and not inside.any():  # no longer n-gram can repeat either
+                break
 
     base_failed = n_words < rules.min_words or 100 * n_repeat_words > rules.repeat_percent * n_words
     kept = not base_failed and dup_line_chars <= rules.line_share * word_chars and all(shares[n] <= most * word_chars for n, most in rules.ngram_share)

@@ -53,9 +53,29 @@ def test_quality_is_that_of_brute_force(spark):
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
         assert not (r.base_failed and r.kept)
         assert [r.dup_5gram_chars, r.dup_7gram_chars, r.dup_10gram_chars] == [plain_share(text or "", n) for n in (5, 7, 10)]
+        seen, again = set(), 0
+        for line in (text or "").split("\n"):
+            again += len("".join(WORDS.findall(line))) if line in seen else 0
+            seen.add(line)
+        shares = [(plain_share(text or "", n), most) for n, most in ((5, 0.40), (7, 0.35), (10, 0.30))] + [(again, 0.30)]
+        assert r.dup_line_chars == again and r.kept == (not r.base_failed and all(n <= most * r.word_chars for n, most in shares))
     assert got[len(ODD) + 11].kept and not got[len(texts) - 1].kept
 
 
+def test_quality_takes_any_lengths():
+    rules = repetition.Rules(ngram_share=((1, 0.9), (2, 0.5), (3, 0.4), (6, 0.2)))
+    for text in ("a b a b c", "one two three " * 4 + "x", prose(4, 300), "a", "a a", "w " * 70, prose(5, 3) + " " + prose(5, 3)):
+        told = dict(zip([f.name for f in repetition.schema(rules).fields], repetition.measure(text, rules), strict=True))
+        assert [told[f"dup_{n}gram_chars"] for n in (1, 2, 3, 6)] == [plain_share(text, n) for n in (1, 2, 3, 6)]
+        assert told["n_repeat_words"] == plain_quality(text)[4]
+
+
+def test_quality_of_very_long_texts():
+    text = prose(6, 200_000)
+    n_words, chars, _, _, n_repeat, *_ = repetition.measure(text)
+    assert (n_words, chars, n_repeat) == (plain_quality(text)[0], plain_quality(text)[1], plain_quality(text)[4])
+
+
 def test_quality_keeps_columns_with_clashing_names(spark):
     rows = spark.createDataFrame([(1, prose(3, 200), "x", 5), (2, "short", "y", 6), (1, prose(3, 200), "x", 5)], "doc_id long, text string, quality string, Q long")
     kept = repetition.keep(rows)
