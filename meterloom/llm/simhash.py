@@ -16,7 +16,9 @@ radius leaves out about one in a thousand of the pairs at just the similarity as
 of blocks: tables take samples of bits, as many tables as let a pair of just the similarity meet in one with probability ``RECALL``
 (more alike pairs meet with more); width and number follow from the number of texts. Within so wide a radius a BK-tree leaves out
 little, so shards are small: it is the samples that prune, and the exact similarity that decides. A node's candidates in a shard are confirmed nearest first, in rounds of growing
-ranks (``RANKS``); a round leaves out pairs that the rounds before have joined, and the last takes all that are left.
+ranks (``RANKS``); a round leaves out pairs that the rounds before have joined, and the last takes all that are left. A node whose
+candidates lie in a component of BIG nodes or more visits it instead of pairing with each of them: it is compared with the members in
+slices, up to the first that it is similar to.
 
 Trees reach their queries by a shuffle on the shard's key, not by a broadcast from the driver: the driver would otherwise see the
 fingerprints of all documents.
@@ -57,11 +59,13 @@ WIDE_SHARD, WIDE_MOST, WIDE_QUERIES = 64, 4096, 128
 SIMILARITY = 0.8
 RECALL = 0.95  # of pairs at just the similarity
 SLACK = 3  # standard errors by which the differing bits of a pair at just the similarity may pass their mean
-RANKS = (0, 2, 16, 128, 1024, 1 << 30)  # of a node's candidates in a shard, by round
+RANKS = (0, 2, 16, 1 << 30)  # of a node's candidates in a shard, by round
+BIG = 64  # nodes of a component that a node visits as a whole
+VISITED = 512  # members, and visitors, that are compared at once
 
 LINK = StructType([StructField("u", LongType()), StructField("v", LongType())])
 SHARD_OF = [StructField("t", IntegerType()), StructField("key", LongType()), StructField("a", IntegerType()), StructField("b", IntegerType())]
-CANDIDATE = StructType([*LINK.fields, *SHARD_OF])
+CANDIDATE = StructType([*LINK.fields, *SHARD_OF, StructField("visit", BooleanType())])
 
 
 def _shingle_hashes(words: list[bytes], shingle: int, seed: int):
@@ -249,16 +253,17 @@ def _search(radius: int, words: list[str], at_once: int):
 
 def _nearest(radius: int, words: list[str], at_once: int, similarity: float, low: int, high: int):
     """Of each node of a shard, the candidates from rank ``low`` to ``high`` by distance that are not in its component yet; and a row
-    that names the shard if some lie beyond. Sets whose sizes alone keep them under the similarity are no candidates."""
+    that names the shard if some lie beyond. Sets whose sizes alone keep them under the similarity are no candidates. Instead of pairs
+    with members of a big component it gives one visit (node, component)."""
 
     def shard(group: pa.Table) -> pa.Table:
         slice_of = group.column("part").to_numpy()
         a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
         order = np.concatenate([np.flatnonzero(slice_of == a), np.flatnonzero(slice_of != a)])
         points = np.stack([group.column(c).to_numpy().view(np.uint64) for c in words], axis=1)[order]
-        names, size, label = (group.column(c).to_numpy()[order] for c in ("id", "size", "label"))
+        names, size, label, big = (group.column(c).to_numpy(zero_copy_only=False)[order] for c in ("id", "size", "label", "big"))
         n, n_tree = len(points), int((slice_of == a).sum())
-        found_u, found_v, more = [names[:0]], [names[:0]], False
+        found, visits, more = [], [], False
         if n > 1 and (a == b or 0 < n_tree < n):
             tree = BKTree(points if a == b else points[:n_tree])
             first = 0 if a == b else n_tree
@@ -273,12 +278,17 @@ def _nearest(radius: int, words: list[str], at_once: int, similarity: float, low
                 apart = label[q] != label[p]
                 more |= bool((apart & (rank >= high)).any())
                 taken = apart & (rank >= low) & (rank < high)
-                found_u.append(np.maximum(names[q[taken]], names[p[taken]]))
-                found_v.append(np.minimum(names[q[taken]], names[p[taken]]))
-        u, v = np.concatenate(found_u), np.concatenate(found_v)
-        if len(u):
-            u, v = np.unique(np.stack([u, v]), axis=1)
-        rows = [{"u": x, "v": y} for x, y in zip(u.tolist(), v.tolist(), strict=True)]
+                q, p = q[taken], p[taken]
+                to, back = big[p], big[q]
+                visits += [np.stack([names[q[to]], label[p[to]]]), np.stack([names[p[back]], label[q[back]]])]
+                q, p = names[q[~to & ~back]], names[p[~to & ~back]]
+                found.append(np.stack([np.maximum(q, p), np.minimum(q, p)]))
+        rows = []
+        for some, visit in ((found, False), (visits, True)):
+            some = [x for x in some if x.size]
+            if some:
+                u, v = np.unique(np.concatenate(some, axis=1), axis=1)
+                rows += [{"u": x, "v": y, "visit": visit} for x, y in zip(u.tolist(), v.tolist(), strict=True)]
         if more:
             rows.append({"t": group.column("t")[0].as_py(), "key": group.column("key")[0].as_py(), "a": a, "b": b})
         return pa.Table.from_pylist(rows, to_arrow_schema(CANDIDATE))
@@ -352,19 +362,61 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.groupBy("t", "key", "a", "b").applyInArrow(_search(radius, words, QUERIES), LINK)
 
 
+def _told(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, text of these nodes; other texts are not moved."""
+    some = ids.distinct().join(nodes.select("id", "text_hash"), "id")
+    return cut(texts.join(some, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "texts")
+
+
 def _confirmed(found: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs u, v whose texts have the similarity. Only texts of nodes in some pair are moved."""
+    """The pairs u, v whose texts have the similarity."""
 
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([jaccard(x, y, shingle) >= similarity for x, y in zip(texts_of(a), texts_of(b), strict=True)], pa.bool_())
 
-    some = found.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(nodes.select("id", "text_hash"), "id")
-    told = cut(texts.join(some, "text_hash").groupBy("id").agg(F.first("text").alias("text")), "texts")
+    told = _told(found.select(F.explode(F.array("u", "v")).alias("id")), nodes, texts)
     left = found.join(told.withColumnRenamed("id", "u").withColumnRenamed("text", "one"), "u")
     both = left.join(told.withColumnRenamed("id", "v").withColumnRenamed("text", "other"), "v")
     return both.where(F.arrow_udf(alike, BooleanType())("one", "other")).select("u", "v")
 
 
+def _welcomed(similarity: float, shingle: int):
+    def group(rows: pa.Table) -> pa.Table:
+        """Of each visitor the first member that is similar, if any: one link joins it."""
+        visits = rows.column("visits").to_pylist()
+        held = [(i, _shingles(t or "", shingle)) for i, t, out in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), visits, strict=True) if not out]
+        u, v = [], []
+        for i, text, out in zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), visits, strict=True):
+            if out:
+                own = _shingles(text or "", shingle)
+                for j, other in held:
+                    if min(len(own), len(other)) >= similarity * max(len(own), len(other)) and (own or other):
+                        both = len(own & other)
+                        if both / (len(own) + len(other) - both) >= similarity:
+                            u.append(i)
+                            v.append(j)
+                            break
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return group
+
+
+def _visited(visits: DataFrame, labelled: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """u, v: of each visit (u, c) a member of component c whose text has the similarity. Members and visitors are dealt to slices, and
+    a task compares one of each, so no pair is ever a row and no component comes together."""
+    parts = lambda: F.ceil(F.count(F.lit(1)) / VISITED).cast("int")
+    sizes = visits.groupBy("c").agg(parts().alias("visitor_parts"))
+    members = labelled.select(F.col("label").alias("c"), "id").join(sizes, "c")
+    sizes = cut(members.groupBy("c", "visitor_parts").agg(parts().alias("member_parts")), "visited")
+    slice_of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = labelled.select(F.col("label").alias("c"), "id").join(sizes, "c").withColumn("m", slice_of("member_parts")).withColumn("w", every("visitor_parts"))
+    outside = visits.select("c", F.col("u").alias("id")).join(sizes, "c").withColumn("w", slice_of("visitor_parts")).withColumn("m", every("member_parts"))
+    both = inside.select("c", "m", "w", "id", F.lit(False).alias("visits")).unionByName(outside.select("c", "m", "w", "id", F.lit(True).alias("visits")))
+    told = _told(both.select("id"), nodes, texts)
+    return both.join(told, "id").groupBy("c", "m", "w").applyInArrow(_welcomed(similarity, shingle), LINK)
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """u, v: as ``components``, of the links of nodes (id, p0, p1, .., size, text_hash; the texts by text_hash) whose texts have the similarity."""
     words = [c for c in nodes.columns if c[0] == "p"]
@@ -374,17 +426,23 @@ def similar_links(nodes: DataFrame, texts: DataFrame, similarity: float, shingle
     stars = shards = None
     for low, high in pairwise(RANKS):
         if stars is None:
-            labelled = bare.withColumn("label", F.col("id"))
+            labelled = bare.withColumn("label", F.col("id")).withColumn("big", F.lit(False))
         else:
-            labelled = bare.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+            big = stars.groupBy(F.col("v").alias("label")).agg((F.count(F.lit(1)) >= BIG).alias("big")).where("big")
+            rooted = bare.join(stars.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+            labelled = cut(rooted.join(big, "label", "left").withColumn("big", F.coalesce("big", F.lit(False))), "labelled")
         pairs = _dealt(labelled, tables, WIDE_MOST)
         if shards is not None:
             pairs = pairs.join(shards, ["t", "key", "a", "b"], "left_semi")
         told = cut(pairs.groupBy("t", "key", "a", "b").applyInArrow(_nearest(radius, words, WIDE_QUERIES, similarity, low, high), CANDIDATE), "candidates")
-        found = cut(told.where("u is not null").select("u", "v").distinct(), "pairs")
-        good = cut(_confirmed(found, nodes, texts, similarity, shingle), "links")
+        found = cut(told.where("NOT visit").select("u", "v").distinct(), "pairs")
+        good = _confirmed(found, nodes, texts, similarity, shingle)
+        visits = cut(told.where("visit").select("u", F.col("v").alias("c")).distinct(), "visits")
+        if not visits.isEmpty():
+            good = good.unionByName(_visited(visits, labelled, nodes, texts, similarity, shingle))
+        good = cut(good, "links")
         stars = components(good if stars is None else stars.unionByName(good))
-        shards = told.where("u is null").select("t", "key", "a", "b")
+        shards = told.where("u IS NULL").select("t", "key", "a", "b")
         if shards.isEmpty():
             break
     return stars

@@ -140,9 +140,11 @@ def test_similar_texts_link_and_others_do_not(spark, monkeypatch, most):
     assert got == want
 
 
-@pytest.mark.parametrize("ranks", [simhash.RANKS, (0, 1, 2, 4, 1 << 30)])
-def test_links_are_those_of_exact_similarity(spark, monkeypatch, ranks):
+@pytest.mark.parametrize(("ranks", "big"), [(simhash.RANKS, simhash.BIG), ((0, 1, 2, 4, 1 << 30), 2), ((0, 1, 1 << 30), 1)])
+def test_links_are_those_of_exact_similarity(spark, monkeypatch, ranks, big):
     monkeypatch.setattr(simhash, "RANKS", ranks)
+    monkeypatch.setattr(simhash, "BIG", big)
+    monkeypatch.setattr(simhash, "VISITED", 3)
 
     def edited(k, n):
         r, out = random.Random(k), prose(k, 300).split()
