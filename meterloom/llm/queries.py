@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import chat, decontam, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
+from meterloom.llm import chat, decontam, divergence, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
 from meterloom.llm.common import table
 
 
@@ -46,9 +46,13 @@ def op10_quality(spark, sf_dir):
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_near_duplicates, op2_main_text, op3_token_counts, op4_mixing, op5_decontamination,
-    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality,
+    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality, op12_divergence,
 )
 
 
@@ -81,6 +85,31 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
 FROM placed"""
 
 
+OP12 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS said FROM documents),
+words AS (SELECT d, lang, source, unnest(regexp_extract_all(said, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, sum(n) AS n, count(*) AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT lang, source, coalesce(c.n, 0) AS n, coalesce(l.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) c USING (lang, source) LEFT JOIN langs l USING (lang)),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (g.n + g.v)::HUGEINT AS p,
+         1 + (1000000000 * (k.n + 1)::HUGEINT) // (l.n + l.v)::HUGEINT AS whole
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(p.value, 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - whole) * (p - whole)) // whole)::BIGINT FROM dense WHERE n > 0 AND p > whole)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 200"""
+
+
 def oracle_sql():
     """SQL for those that SQL can express; of the others the tests have plain versions."""
-    return {"op6_chat": OP6, "op7_warc": OP7}
+    return {"op6_chat": OP6, "op7_warc": OP7, "op12_divergence": OP12}
