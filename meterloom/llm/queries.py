@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import chat, decontam, divergence, html_text, idstore, mixing, pii, repetition, simhash, tokencount, warc
+from meterloom.llm import chat, decontam, divergence, html_text, idstore, mixing, pii, repetition, simhash, tokencount, trie, warc
 from meterloom.llm.common import table
 
 
@@ -50,9 +50,13 @@ def op12_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = (
     op1_near_duplicates, op2_main_text, op3_token_counts, op4_mixing, op5_decontamination,
-    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality, op12_divergence,
+    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality, op12_divergence, op13_prefix_trie,
 )
 
 
@@ -110,6 +114,35 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 WHERE part = 'pair' OR rank <= 200"""
 
 
+OP13 = r"""
+WITH said AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT c, digest, strlen(text) AS bytes, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS pos FROM said),
+lens AS (SELECT c, count(*) AS own FROM turns GROUP BY c),
+convs AS (
+  SELECT c, c - c % 5 AS s, own, list_reduce(
+           list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i::INTEGER, 1))::BIGINT)),
+           lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM lens),
+sized AS (SELECT v.c, s, xor(crc, 4294967295) % 9 AS h, least(xor(crc, 4294967295) % 9, coalesce(l.own, 0)) AS m FROM convs v LEFT JOIN lens l ON l.c = v.s),
+rebuilt AS (
+  SELECT v.c, t.pos AS d, digest, bytes FROM sized v JOIN turns t ON t.c = v.s AND t.pos <= v.h
+  UNION ALL SELECT v.c, t.pos - v.h + v.m, digest, bytes FROM sized v JOIN turns t ON t.c = v.c AND t.pos > v.h),
+keyed AS (
+  SELECT c, d, bytes, list(digest) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM rebuilt
+  UNION ALL SELECT c, 0, 0, []::VARCHAR[] FROM sized),
+members AS (SELECT c, d, bytes, min(c) OVER (PARTITION BY key) AS node, max(d) OVER (PARTITION BY c) AS len FROM keyed),
+nodes AS (SELECT node, d, count(*) AS n, (count(*) - 1) * max(bytes) AS saved, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE d = len) AS ends FROM members GROUP BY node, d),
+placed AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN members p ON p.c = n.node AND p.d = n.d - 1),
+children AS (SELECT parent, d - 1 AS d, count(*) AS n FROM placed WHERE d > 0 GROUP BY parent, d),
+family AS (SELECT p.*, coalesce(c.n, 0) AS n_children FROM placed p LEFT JOIN children c ON c.parent = p.node AND c.d = p.d),
+below AS (SELECT m.node, m.d, sum((f.n_children = 0)::BIGINT) AS leaves, sum(f.saved) AS saved FROM family f JOIN members m ON m.c = f.node AND m.d <= f.d GROUP BY m.node, m.d)
+SELECT f.node AS conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n AS n_convs, f.n_children, b.leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens,
+       sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM family f JOIN below b ON b.node = f.node AND b.d = f.d"""
+
+
 def oracle_sql():
     """SQL for those that SQL can express; of the others the tests have plain versions."""
-    return {"op6_chat": OP6, "op7_warc": OP7, "op12_divergence": OP12}
+    return {"op6_chat": OP6, "op7_warc": OP7, "op12_divergence": OP12, "op13_prefix_trie": OP13}
