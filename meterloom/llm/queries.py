@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from meterloom.llm import chat, decontam, divergence, html_text, idstore, mixing, pii, repetition, simhash, tokencount, trie, warc
+from meterloom.llm import chat, decontam, divergence, html_text, idstore, mixing, pii, repetition, simhash, tokencount, toxicity, trie, warc
 from meterloom.llm.common import table
 
 
@@ -46,6 +46,10 @@ def op10_quality(spark, sf_dir):
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark, sf_dir):
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op13_prefix_trie(spark, sf_dir):
 
 QUERIES = (
     op1_near_duplicates, op2_main_text, op3_token_counts, op4_mixing, op5_decontamination,
-    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality, op12_divergence, op13_prefix_trie,
+    op6_chat, op7_warc, op8_id_store, op9_pii, op10_quality, op11_toxicity, op12_divergence, op13_prefix_trie,
 )
 
 
