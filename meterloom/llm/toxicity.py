@@ -34,8 +34,8 @@ from meterloom.session import cut
 
 SAMPLE = 40_000  # labelled rows of each label that are learnt from, at most
 FEATURES = 20_000  # of the vocabulary, at most
-LEAST_DOCS = 5
-LEAST_CHI = 15.1  # odds of 1 in 10,000 that a feature has nothing to do with the label
+LEAST_DOCS = 3
+LEAST_CHI = 10.8  # odds of 1 in 1,000 that a feature has nothing to do with the label
 STARTS = range(3, 9)  # lengths of word starts
 RIDGE = 0.1
 FAIRNESS = 4.0  # weight of a squared change of score under a swap
