@@ -7,7 +7,7 @@ stands beside a group's name in toxic texts thus cannot make the name itself tox
 Labels are learnt from a bounded sample: of each label the ``SAMPLE`` rows with the least hash (all, where there are fewer), weighted back to
 the label's number of rows. The sample's features are counted in Spark, those that tell the labels apart are the vocabulary (``FEATURES`` at
 most), and each step of the fit is one Spark job whose tasks return the loss and gradient of their rows. Everything else covers all rows:
-scoring is one pass of a UDF that holds the vocabulary and a bounded cache of words.
+scoring is one pass of a UDF that holds the vocabulary.
 
 Inputs of a score are the text's words alone. Defined results: a null or empty text has the score of no features, like any other text
 without known words; texts are read whole, in stretches; labels of null doc_id or null toxic teach nothing, several labels of one doc_id count
@@ -36,7 +36,7 @@ SAMPLE = 40_000  # labelled rows of each label that are learnt from, at most
 FEATURES = 20_000  # of the vocabulary, at most
 LEAST_DOCS = 3
 LEAST_CHI = 10.8  # odds of 1 in 1,000 that a feature has nothing to do with the label
-STARTS = range(3, 9)  # lengths of word starts
+LEAST, MOST = 3, 8  # lengths of word starts
 RIDGE = 0.1
 FAIRNESS = 4.0  # weight of a squared change of score under a swap
 SWAPS = 3  # other groups that a name is swapped for, besides the neutral word
@@ -44,7 +44,6 @@ TOXIC = 0.7
 PARTS = 16  # tasks of a step of the fit
 STEPS = 40
 ENTRIES = 200_000  # counts that a task gathers before it hands them on
-CACHED = 1 << 18  # words whose features a worker remembers
 STRETCH = 1 << 20  # characters of a text that are taken at a time
 
 #: Words for groups, by kind; the first of each is its neutral word. A parameter of ``fit``, to be extended by those who know their corpus.
@@ -78,17 +77,34 @@ def word_counts(text: str) -> Counter:
     return counts
 
 
-def features_of(word: str) -> list[str]:
-    """A word and its starts; a start is marked, so it is no word."""
-    return [word, *(word[:k] + "*" for k in STARTS if k < len(word))]
+class Vocabulary:
+    """The features that a model knows: words, and starts of words, which are marked so that they are no words.
 
+    A word is looked up start by start, only as long as some feature begins like it, so that most words cost one look.
+    """
 
-def feature_counts(text: str) -> Counter:
-    found = Counter()
-    for word, n in word_counts(text).items():
-        for name in features_of(word):
-            found[name] += n
-    return found
+    def __init__(self, names):
+        self.words = {name for name in names if not name.endswith("*")}
+        self.starts = {name[:-1]: name for name in names if name.endswith("*")}
+        self.alive = {name[:k] for name in (*self.words, *self.starts) for k in range(min(LEAST, len(name)), min(len(name), MOST) + 1)}
+
+    def counts(self, words: Counter) -> Counter:
+        found, alive, starts, known = Counter(), self.alive, self.starts, self.words
+        for word, n in words.items():
+            if word[:LEAST] not in alive:
+                continue
+            if word in known:
+                found[word] += n
+            for k in range(LEAST, min(len(word), MOST + 1)):
+                start = word[:k]
+                if start not in alive:
+                    break
+                if start in starts:
+                    found[starts[start]] += n
+        return found
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.starts)
 
 
 def swapped(text: str, identities=IDENTITIES, swaps: int = SWAPS) -> Iterator[tuple[str, str]]:
@@ -108,41 +124,49 @@ def swapped(text: str, identities=IDENTITIES, swaps: int = SWAPS) -> Iterator[tu
                 yield sentence, _WORD.sub(other, sentence)
 
 
-def _vector(counts: Counter, vocabulary: dict[str, int]) -> dict[int, float]:
-    return {k: math.log1p(n) for name, n in counts.items() if (k := vocabulary.get(name)) is not None}
+def _vector(words: Counter, vocabulary: Vocabulary, places: dict[str, int]) -> dict[int, float]:
+    return {places[name]: math.log1p(n) for name, n in vocabulary.counts(words).items()}
 
 
 def _feature_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """feature, toxic and clean documents with it, as far as this task sees them."""
-    seen = (Counter(), Counter())
+    # by label and length of a start; whole words stand under 0
+    seen = [{k: Counter() for k in (0, *range(LEAST, MOST + 1))} for _ in range(2)]
 
-    def told() -> pa.RecordBatch:
-        names = list(seen[0] | seen[1])
-        return pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "clean": pa.array([seen[0][n] for n in names], pa.int64()), "toxic": pa.array([seen[1][n] for n in names], pa.int64())})
+    def told() -> Iterator[pa.RecordBatch]:
+        for k in seen[0]:
+            names = list(seen[0][k] | seen[1][k])
+            counts = [pa.array([seen[label][k][n] for n in names], pa.int64()) for label in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([n + "*" for n in names] if k else names, pa.string()), *counts], ["feature", "clean", "toxic"])
+            for label in (0, 1):
+                seen[label][k].clear()
 
     for batch in batches:
         for text, label in zip(texts_of(batch.column("text")), batch.column("label").to_pylist(), strict=True):
-            seen[label].update({name for word in word_counts(text) for name in features_of(word)})
-            if len(seen[0]) + len(seen[1]) >= ENTRIES:
-                yield told()
-                seen[0].clear()
-                seen[1].clear()
-    yield told()
+            words = word_counts(text)
+            for k, counts in seen[label].items():
+                counts.update({w[:k] for w in words if len(w) > k} if k else words.keys())
+            if sum(map(len, seen[label].values())) >= ENTRIES:
+                yield from told()
+    yield from told()
 
 
 ROWS = "pair boolean, label int, weight double, at array<int>, value array<double>"
 
 
-def _rows(vocabulary: dict[str, int], identities):
+def _rows(names: list[str], identities):
     """The sample as sparse rows: of each document its features, of each swap the difference that it makes."""
+    vocabulary, places = Vocabulary(names), {name: k for k, name in enumerate(names)}
+    groups = {word for words in identities for word in words[1:]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, label, weight in zip(texts_of(batch.column("text")), batch.column("label").to_pylist(), batch.column("weight").to_pylist(), strict=True):
-                out.append((False, label, weight, _vector(feature_counts(text), vocabulary)))
-                for said, other in swapped(text, identities):
-                    a, b = _vector(feature_counts(said), vocabulary), _vector(feature_counts(other), vocabulary)
+                words = word_counts(text)
+                out.append((False, label, weight, _vector(words, vocabulary, places)))
+                for said, other in swapped(text, identities) if not groups.isdisjoint(words) else ():
+                    a, b = (_vector(word_counts(x), vocabulary, places) for x in (said, other))
                     if moved := {k: d for k in a.keys() | b.keys() if (d := b.get(k, 0.0) - a.get(k, 0.0))}:
                         out.append((True, label, weight, moved))
                 if len(out) >= 5000:
@@ -217,23 +241,11 @@ class Model:
     """Weights of features, and an intercept."""
 
     def __init__(self, weights: dict[str, float], intercept: float):
-        self.weights, self.intercept = weights, intercept
-        self._known: dict[str, tuple[str, ...]] = {}
-
-    def __getstate__(self):
-        return {"weights": self.weights, "intercept": self.intercept, "_known": {}}
+        self.weights, self.intercept, self.vocabulary = weights, intercept, Vocabulary(weights)
 
     def score(self, text: str) -> float:
-        totals = Counter()
-        for word, n in word_counts(text).items():
-            names = self._known.get(word)
-            if names is None:
-                if len(self._known) >= CACHED:
-                    self._known.clear()
-                names = self._known[word] = tuple(name for name in features_of(word) if name in self.weights)
-            for name in names:
-                totals[name] += n
-        z = self.intercept + math.fsum(self.weights[name] * math.log1p(n) for name, n in totals.items())
+        found = self.vocabulary.counts(word_counts(text))
+        z = self.intercept + math.fsum(self.weights[name] * math.log1p(n) for name, n in found.items())
         return 1 / (1 + math.exp(-z)) if z > -500 else 0.0
 
 
@@ -262,8 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, fairness: flo
     chi = n * (a * (clean - b) - b * (toxic - a)) ** 2 / ((a + b) * (n - a - b) * clean * toxic)
     telling = counts.where((a + b >= LEAST_DOCS) & (a + b < n)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI) if clean and toxic else counts.limit(0).withColumn("chi", F.lit(0.0))
     names = sorted(x["feature"] for x in telling.orderBy(F.desc("chi"), "feature").limit(FEATURES).collect())
-    vocabulary = {name: k for k, name in enumerate(names)}
-    rows = cut(learnt.mapInArrow(_rows(vocabulary, identities), ROWS).coalesce(PARTS), "rows")
+    rows = cut(learnt.mapInArrow(_rows(names, identities), ROWS).coalesce(PARTS), "rows")
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         parts = rows.mapInArrow(_gradient(w, fairness), "part int, loss double, grad binary").collect()

@@ -234,7 +234,7 @@ def test_swapped_sentences():
 def test_gradient_is_that_of_differences():
     import pyarrow as pa
 
-    model_rows = toxicity._rows({"bad": 0, "women": 1, "wom*": 2}, toxicity.IDENTITIES)
+    model_rows = toxicity._rows(["bad", "women", "wom*"], toxicity.IDENTITIES)
     rows = list(model_rows(iter([pa.RecordBatch.from_pydict({"text": ["bad bad women here.", "men only", ""], "label": pa.array([1, 0, 0], pa.int32()), "weight": [1.0, 2.0, 0.5]})])))
 
     class Context:
@@ -272,3 +272,14 @@ def test_long_texts_go_in_stretches(monkeypatch):
     for stretch in (1, 2, 7):
         monkeypatch.setattr(toxicity, "STRETCH", stretch)
         assert toxicity.word_counts(text) == whole
+
+
+def test_vocabulary_finds_words_and_starts():
+    words = Counter({"abcdefghij": 2, "abcd": 1, "abx": 5, "ab": 7, "zzz": 1, "abcdefgh": 3})
+    names = ["abcd*", "abcdefgh*", "abcd", "ab", "zzz*", "zzz", "abcdefghij"]
+    plain = Counter()
+    for word, n in words.items():
+        for name in names:
+            if name == word or name.endswith("*") and len(word) > len(name) - 1 and word.startswith(name[:-1]):
+                plain[name] += n
+    assert toxicity.Vocabulary(names).counts(words) == plain
