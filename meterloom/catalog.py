@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.operators import facts, metrics, pricing, reports, sequences
-from meterloom.plans import cases, health, logs, metric_oracles, oracles
+from meterloom.plans import cases, health, logs, metric_oracles, oracles, stores
 from meterloom.plans.bridge import NOW, PRIOR, RECENT, SINCE, fact
 from meterloom.session import cut
 
@@ -153,8 +153,8 @@ MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype"]
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     kind = lambda name: Written if name in MANY else Facts
-    return {name: lambda spark, sf_dir, ask=ask, facts=kind(name): ask(facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries() | logs.queries() | health.queries()).items()}
+    return {name: lambda spark, sf_dir, ask=ask, facts=kind(name): ask(facts(spark, sf_dir)) for name, ask in (_core() | _sequences() | _metrics() | cases.queries() | logs.queries() | health.queries() | stores.queries()).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql() | logs.oracle_sql() | health.oracle_sql()
+    return oracles.core() | metric_oracles.metrics() | cases.oracle_sql() | logs.oracle_sql() | health.oracle_sql() | stores.oracle_sql()

@@ -13,14 +13,17 @@ MARKS = ("sidechain", "skill", "agent", "cache_miss_reason")
 FIXED = ("ts", "session_id", "member", "project", "subpath", "git_branch", "entrypoint")
 
 
-def upto(by: str | list[str], order: str, last: int = 0):
-    keys = [by] if isinstance(by, str) else by
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+def _listed(names: str | list[str]) -> list[str]:
+    return [names] if isinstance(names, str) else names
 
 
-def dedupe_lines(lines: DataFrame, file: str = "file", uuid: str = "uuid", line: str = "line") -> DataFrame:
+def upto(by: str | list[str], order: str | list[str], last: int = 0):
+    return Window.partitionBy(*_listed(by)).orderBy(*_listed(order)).rowsBetween(Window.unboundedPreceding, last)
+
+
+def dedupe_lines(lines: DataFrame, file: str = "file", uuid: str = "uuid", line: str | list[str] = "line") -> DataFrame:
     """Drops lines whose uuid was seen before in the file; an empty one is never a repeat."""
-    n = F.row_number().over(Window.partitionBy(file, uuid).orderBy(line))
+    n = F.row_number().over(Window.partitionBy(file, uuid).orderBy(*_listed(line)))
     return lines.withColumn("_n", n).where((F.col(uuid) == "") | (F.col("_n") == 1)).drop("_n")
 
 
@@ -34,13 +37,13 @@ def merge_responses(lines: DataFrame, keys: list[str], most: list[str], summed:
     return lines.groupBy(*keys).agg(F.min(line).alias(line), *(F.max(c).alias(c) for c in most), *(F.sum(c).alias(c) for c in summed), *(first_said(c, line).alias(c) for c in first))
 
 
-def carry_forward(lines: DataFrame, columns: list[str], file: str = "file", line: str = "line") -> DataFrame:
+def carry_forward(lines: DataFrame, columns: list[str], file: str = "file", line: str | list[str] = "line") -> DataFrame:
     """Each column's last non-empty value so far in the file."""
     said = lambda c: F.coalesce(F.last(F.when(F.col(c) != "", F.col(c)), ignorenulls=True).over(upto(file, line)), F.lit(""))
     return lines.withColumns({c: said(c) for c in columns})
 
 
-def attach_to_last(lines: DataFrame, is_record: Column, key: str, file: str = "file", line: str = "line") -> DataFrame:
+def attach_to_last(lines: DataFrame, is_record: Column, key: str, file: str = "file", line: str | list[str] = "line") -> DataFrame:
     """Adds ``owner``: the key of the last record at or before each line; null before the first."""
     return lines.withColumn("owner", F.last(F.when(is_record, F.col(key)), ignorenulls=True).over(upto(file, line)))
 
@@ -68,10 +71,10 @@ def flush_groups(lines: DataFrame, emits: Column, file: str = "file", line: str
     return lines.withColumn("record", F.when(total > 0, F.least(before, total - 1)))
 
 
-def rework(changes: DataFrame, keys: list[str], order: str, added: str = "added", removed: str = "removed") -> DataFrame:
+def rework(changes: DataFrame, keys: list[str], order: str | list[str], added: str = "added", removed: str = "removed") -> DataFrame:
     """Adds ``rework``: removed lines up to what was added before and not yet undone. The budget is a walk held at zero, whose closed
     form is a running sum less its running minimum."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(*_listed(order))
     run = upto(keys, order)
     step = changes.withColumn("_pa", F.lag(added, 1, 0).over(w))
     walk = step.withColumn("_p", F.sum(F.col("_pa") - F.col(removed)).over(run))

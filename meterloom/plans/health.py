@@ -16,7 +16,7 @@ from meterloom.session import scratch_path
 from meterloom.sources import exports
 from meterloom.streaming import imports
 
-SIGNALS = {"cache_write": "cache_write_tokens", "reasoning": "reasoning_tokens", "lines_added": "lines_added", "compactions": "compactions", "skill": "rework_lines", "cost": "rejected"}
+SIGNALS = {"cache_write": "cache_write_tokens", "reasoning": "reasoning_tokens", "lines_added": "lines_added", "compactions": "compactions", "rework_lines": "rework_lines", "rejected": "rejected", "tool_errors": "tool_errors"}
 SECRET = bytes(range(32))
 PATHS = ("vendor/a.go", "pkg/x_test.go", "docs/guide.md", "conf/app.yaml", "src/main.py", "bin/tool")
 
@@ -72,6 +72,11 @@ def queries() -> dict[str, Callable]:
         refused = imports.quarantine(x.spark, store).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.col("reason").alias("dedupe_key"), F.col("n").alias("input_tokens"), F.lit(0).cast("long").alias("edits"))
         return imports.usage(x.spark, store).select("dedupe_key", "input_tokens", "edits").unionByName(refused)
 
+    def layers(x) -> DataFrame:
+        """What each metric speaks of, and how many of the window's records it could rest on."""
+        named = x.usage.agg(F.count(F.lit(1)).alias("records")).withColumn("metric", F.explode(F.array(*map(F.lit, metrics.METRICS))))
+        return named.select("metric", health.layer(F.col("metric")).alias("layer"), "records")
+
     return {
         "provenance": lambda x: health.provenance(state(x)),
         "freshness": lambda x: x.read("usage_record").groupBy("tool").agg(F.max("ts").alias("newest")),
@@ -82,7 +87,7 @@ def queries() -> dict[str, Callable]:
         "status_line": lambda x: health.status_line(x.usage, x.prices, "2024-01-20 15:00:00", 200.0),
         "stale_captures": lambda x: health.stale_captures(x.cube.withColumn("compactions", F.lit(0)), SIGNALS),
         "trace_coverage": lambda x: health.trace_coverage(etl.within_horizon(x.steps, NOW, 20), sequences.scoped(etl.within_horizon(x.steps, NOW, 20), x.sessions), NOW, SINCE),
-        "metric_layers": lambda x: x.spark.createDataFrame([(n,) for n in metrics.METRICS], "metric string").withColumn("layer", health.layer(F.col("metric"))),
+        "metric_layers": layers,
         "share_axes": lambda x: health.axes(facts(x)),
         "share_archetype": lambda x: health.archetype(facts(x)),
         "export_read": export_read,
@@ -151,7 +156,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT count(DISTINCT CASE WHEN scope = 'interactive' THEN (session_id, member, timeline) END) AS n_sequences, 1 - avg((scope = 'interactive')::int) AS ex,
                    (30 - floor((epoch(min(ts)) - epoch(TIMESTAMP '{SINCE}')) / 86400)) / 30 AS covered FROM sc)
           SELECT n_sequences, round(ex, 6) AS excluded_share, round(covered, 6) AS covered, round((1 - ex) * covered, 6) AS covering FROM x""",
-        "metric_layers": " SELECT metric, CASE WHEN metric IN ('concentration', 'rework', 'throughput') THEN 'output' ELSE 'activity' END AS layer FROM (VALUES " + ", ".join(f"('{n}')" for n in metrics.METRICS) + ") t(metric)",
+        "metric_layers": " SELECT metric, CASE WHEN metric IN ('concentration', 'rework', 'throughput') THEN 'output' ELSE 'activity' END AS layer, (SELECT count(*) FROM u) AS records FROM (VALUES " + ", ".join(f"('{n}')" for n in metrics.METRICS) + ") t(metric)",
         "share_axes": f"{facts} {axes}",
         "share_archetype": f"{facts} SELECT [{names}][k] AS name, k AS place FROM (SELECT CASE {kinds} END AS k FROM f)",
         "export_read": """, g AS (SELECT tool, day, model, sum(tokens)::bigint AS tokens FROM cube GROUP BY ALL)

@@ -12,7 +12,7 @@ from meterloom.plans.oracles import PRELUDE
 from meterloom.session import scratch_path
 from meterloom.sources import assistants, transcripts
 
-BUCKETS = 8  # files of a format that holds many sessions a file
+BUCKETS = 64  # files of a format that holds many sessions a file
 EDITED = ("lines_added", "lines_removed", "edits")
 PURPOSES = ("tool_calls", "tool_reads", "tool_searches", "tool_commands", "tool_writes", "tool_other")
 
@@ -113,7 +113,7 @@ def codex(x) -> DataFrame:
 CODEX = ("session_id", "ts", "model", "project", "input_tokens", "cache_read_tokens", "output_tokens", "reasoning_tokens", *EDITED, *PURPOSES, "compactions", "granularity")
 
 
-def transcript(x) -> str:
+def transcript_lines(x) -> DataFrame:
     rows = usage(x, "claude-code")
     uuid = lambda kind: F.concat(F.lit(kind), F.col("e").cast("string"))
     block = lambda name, k: F.struct(F.lit("tool_use").alias("type"), F.lit(name).alias("name"), F.concat(uuid("t"), F.lit(f"-{k}-"), F.lit(name)).alias("id"))
@@ -125,7 +125,7 @@ def transcript(x) -> str:
     reply = lambda kind, n, content, stop: said(type="assistant", uuid=uuid(kind), **own, message=F.struct(F.col("model"), F.col("dedupe_key").alias("id"), output(n).alias("usage"), content.alias("content"), F.lit(stop).alias("stop_reason"), miss.alias("diagnostics")))
     result = lambda wrong: F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(uuid("t"), F.lit("-0-Bash")).alias("tool_use_id"), F.lit(wrong).alias("is_error"))).alias("content"))
     patch = F.struct(F.concat(F.lit("f"), F.col("e").cast("string")).alias("filePath"), F.array(F.struct(F.concat(F.array_repeat(F.lit("-old"), F.col("lines_removed").cast("int")), F.array_repeat(F.lit("+new"), F.col("lines_added").cast("int"))).alias("lines"))).alias("structuredPatch"))
-    lines = exploded(
+    return exploded(
         rows,
         F.array(reply("a", F.lit(1), F.slice(blocks, 1, 1), None), reply("b", F.col("output_tokens"), F.slice(blocks, 2, 99), "end_turn"), reply("b", F.col("output_tokens"), F.slice(blocks, 2, 99), "end_turn")),
         times("tool_errors", said(type="user", uuid=uuid("r"), **about, message=result(True))),
@@ -134,7 +134,10 @@ def transcript(x) -> str:
         times("edits", said(type="user", uuid=uuid("p"), **about, toolUseResult=patch)),
         F.array(F.lit("{broken")),
     )
-    return f"{written(lines, x, 'transcript')}/*"
+
+
+def transcript(x) -> str:
+    return f"{written(transcript_lines(x), x, 'transcript')}/*"
 
 
 CLAUDE = (
@@ -179,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
                  CASE WHEN {top} THEN sum(added) OVER (PARTITION BY session_id)::bigint ELSE 0 END AS lines_added, 'session' AS granularity FROM g""",
         "src_claude_steps": f""", c AS (SELECT * FROM usage_record WHERE tool = 'claude-code'), kinds(kind, col) AS (VALUES {steps}),
           s AS (
-            SELECT session_id, 'assistant' AS kind, '' AS outcome, ts, 1 AS n FROM c UNION ALL SELECT session_id, 'compaction', '', ts, compactions FROM c
+            SELECT session_id, 'assistant' AS kind, 'ok' AS outcome, ts, 1 AS n FROM c UNION ALL SELECT session_id, 'compaction', '', ts, compactions FROM c
             UNION ALL SELECT session_id, kind, CASE WHEN kind = 'command' AND tool_errors > 0 THEN 'error' ELSE '' END, ts,
               CASE col WHEN 'tool_reads' THEN tool_reads WHEN 'tool_searches' THEN tool_searches WHEN 'tool_commands' THEN tool_commands WHEN 'tool_writes' THEN tool_writes ELSE tool_other END FROM c, kinds)
           SELECT session_id, kind, outcome, sum(n)::bigint AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s WHERE n > 0 GROUP BY ALL""",

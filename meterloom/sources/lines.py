@@ -18,18 +18,28 @@ TOOL_CLASSES = {
 STEP_OF = {"reads": "read", "searches": "search", "commands": "command", "writes": "edit"}
 
 
-def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
-    """file, line (from 0), raw: every non-empty line. Large files are read in splits by many tasks; a line's number is its rank by
-    where its split begins and by its place in it."""
+def placed_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """file, at, n, raw: every non-empty line, with where its split of the file begins and its place in that, which order a file's lines.
+    Large files are read in splits by many tasks, and no row is moved."""
     read = spark.read.options(**options).option("lineSep", "\n").text(path)
-    placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_n"), F.regexp_replace("value", "\r$", "").alias("raw"))
-    line = (F.row_number().over(Window.partitionBy("file").orderBy("_at", "_n")) - 1).alias("line")
-    return placed.select("file", line, "raw").where("raw <> ''")
+    raw = F.regexp_replace("value", "\r$", "").alias("raw")
+    placed = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), raw)
+    return placed.where("raw <> ''")
+
+
+def read_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """file, line (from 0), raw: every non-empty line, for formats whose keys hold a line's number."""
+    line = (F.row_number().over(Window.partitionBy("file").orderBy("at", "n")) - 1).alias("line")
+    return placed_lines(spark, path, **options).select("file", line, "raw")
 
 
 def parsed(lines: DataFrame, schema: str) -> DataFrame:
-    """Adds ``j``; lines that are not JSON objects have none."""
-    return lines.withColumn("j", F.when(F.try_parse_json("raw").isNotNull() & F.ltrim("raw").startswith("{"), F.from_json("raw", schema)))
+    """Adds ``j``, in one parse; lines that are not JSON objects have none. A value of another type than expected is null by itself."""
+    broken = F.col("j._broken").isNotNull()
+    j = F.from_json("raw", f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"})
+    # a line may be marked for one odd value only: what could not be parsed at all has no value either
+    empty = F.to_json(F.col("j").dropFields("_broken")) == "{}"
+    return lines.withColumn("j", F.when(F.ltrim("raw").startswith("{"), j)).withColumn("j", F.when(~(broken & empty), F.col("j")))
 
 
 def skipped(lines: DataFrame) -> DataFrame:

@@ -1,96 +1,217 @@
-"""Transcripts that write one API response over many lines, with sub-agents, as usage records."""
+"""Transcripts that write one API response over many lines, with sub-agents, as usage records and steps.
+
+A log is read and parsed once: ``facts`` turns each line into the few values that records and steps rest on, and needs no other line for
+it. What lines say about each other (what holds until it is said anew, repeats, which response a result belongs to) are windows over a
+file's facts, after one shuffle by file. An import keeps facts, so that it parses no line twice however often a log grows.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterloom.functions.logs import basename, content_lines, count, seconds, text, token
+from meterloom.functions.logs import basename, content_lines, count, seconds, target_key, text, token
 from meterloom.operators import etl
-from meterloom.sources.lines import STEP_OF, as_usage, parsed, purpose, read_lines
-
-TOKENS = "input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,cache_creation:struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>"
-LINE = f"type string, uuid string, timestamp string, sessionId string, cwd string, gitBranch string, entrypoint string, toolUseResult string, toolDenialKind string, isSidechain boolean, agentId string, attributionSkill string, attributionAgent string, isCompactSummary boolean, subtype string, message struct<model:string,id:string,content:string,usage:struct<{TOKENS}>,stop_reason:string,diagnostics:struct<cache_miss_reason:struct<type:string>>>"
-BLOCKS = "array<struct<type:string,name:string,id:string,tool_use_id:string,is_error:boolean,input:struct<file_path:string,notebook_path:string>>>"
-RESULT = f"agentId string, agentType string, resolvedModel string, usage struct<{TOKENS}>, toolStats struct<linesAdded:long,linesRemoved:long>, filePath string, type string, content string, structuredPatch array<struct<lines:array<string>>>"
+from meterloom.sources.lines import STEP_OF, as_usage, placed_lines, purpose
+
+TOKENS = (
+    "input_tokens:long,output_tokens:long,cache_creation_input_tokens:long,cache_read_input_tokens:long,"
+    "cache_creation:struct<ephemeral_5m_input_tokens:long,ephemeral_1h_input_tokens:long>"
+)
+BLOCK = "struct<type:string,name:string,id:string,tool_use_id:string,is_error:boolean,input:struct<file_path:string,notebook_path:string>>"
+RESULT = (
+    f"struct<agentId:string,agentType:string,resolvedModel:string,usage:struct<{TOKENS}>,toolStats:struct<linesAdded:long,linesRemoved:long>,"
+    "filePath:string,type:string,content:string,structuredPatch:array<struct<lines:array<string>>>>"
+)
+MESSAGE = (
+    f"struct<model:string,id:string,content:array<{BLOCK}>,usage:struct<{TOKENS}>,stop_reason:string,"
+    "diagnostics:struct<cache_miss_reason:struct<type:string>>>"
+)
+LINE = (
+    "type string, uuid string, timestamp string, sessionId string, cwd string, gitBranch string, entrypoint string, toolDenialKind string, "
+    "isSidechain boolean, agentId string, attributionSkill string, attributionAgent string, isCompactSummary boolean, subtype string, "
+    f"message {MESSAGE}, toolUseResult {RESULT}"
+)
 EDITS = ("Edit", "Write", "NotebookEdit", "MultiEdit")
 PURPOSES = ("reads", "searches", "commands", "writes", "other")
-SAID = ("cwd", "branch", "entry")
+SAID = ("cwd", "branch", "entry", "agent_id")
+COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h")
+#: The order of a file's lines: where a split of the file begins, and the place in it.
+ORDER = ["at", "n"]
+#: What a response's stop says of it.
+STOPS = {"end_turn": "ok", "stop_sequence": "ok", "max_tokens": "truncated"}
 
 
-def _tokens(u: str) -> dict[str, Column]:
+def _tokens(u: str) -> Column:
     write = count(f"{u}.cache_creation_input_tokens")
-    return {"input_tokens": count(f"{u}.input_tokens"), "output_tokens": count(f"{u}.output_tokens"), "cache_read_tokens": count(f"{u}.cache_read_input_tokens"), "cache_write_tokens": write, "cache_write_1h": F.least(count(f"{u}.cache_creation.ephemeral_1h_input_tokens"), write)}
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, line and what each line says, without lines read before. What holds until it is said anew is carried on before that."""
-    lines = parsed(read_lines(spark, path), LINE).where("j IS NOT NULL")
-    told = lines.select("file", "line", "j", text("j.uuid").alias("uuid"), text("j.cwd").alias("cwd"), text("j.gitBranch").alias("branch"), text("j.entrypoint").alias("entry"), text("j.agentId").alias("agent_id"))
-    carried = etl.dedupe_lines(etl.carry_forward(told, [*SAID, "agent_id"]))
-    blocks = F.coalesce(F.from_json("j.message.content", BLOCKS), F.array().cast(BLOCKS))
-    key = F.when(text("j.message.id") != "", F.col("j.message.id")).otherwise(F.col("uuid"))
-    denied = text("j.toolDenialKind") != ""
+    values = (
+        count(f"{u}.input_tokens"), count(f"{u}.output_tokens"), count(f"{u}.cache_read_input_tokens"), write,
+        F.least(count(f"{u}.cache_creation.ephemeral_1h_input_tokens"), write),
+    )
+    return F.struct(*(v.alias(c) for c, v in zip(COUNTS, values, strict=True)))
+
+
+def facts(lines: DataFrame, *kept: str) -> DataFrame:
+    """What each line (file, at, n, raw) says, line by line, and the columns that are to be kept. A line that is no JSON object says nothing; it is not filtered out, as a
+    condition on what was parsed would be pushed below the parse and parse each line once more."""
+    rows = lines.withColumn("j", F.when(F.ltrim("raw").startswith("{"), F.from_json("raw", LINE)))
+    blocks = F.coalesce("j.message.content", F.array().cast(f"array<{BLOCK}>"))
+    used = F.filter(blocks, lambda b: b["type"] == "tool_use")
+    tool = lambda b: F.struct(
+        F.coalesce(b["name"], F.lit("")).alias("name"), F.coalesce(b["id"], F.lit("")).alias("id"),
+        F.coalesce(F.when(b["input"]["file_path"] != "", b["input"]["file_path"]), b["input"]["notebook_path"], F.lit("")).alias("path"),
+    )
+    result = lambda b: F.struct(F.coalesce(b["tool_use_id"], F.lit("")).alias("id"), F.coalesce(b["is_error"], F.lit(False)).alias("wrong"))
+    key = F.when(text("j.message.id") != "", F.col("j.message.id")).otherwise(text("j.uuid"))
     marks = F.coalesce("j.isCompactSummary", F.lit(False)) | (text("j.subtype") == "compact_boundary")
-    rows = carried.withColumn("blocks", blocks).withColumn("r", F.from_json("j.toolUseResult", RESULT))
-    agent = text("r.agentId") != ""
+    agent = text("j.toolUseResult.agentId") != ""
+    patch = F.col("j.toolUseResult.structuredPatch")
     kind = (
-        F.when(denied, "denial").when(marks, "compaction").when(agent & F.col("r.usage").isNotNull(), "agent").when(agent, "stub")
-        .when(F.col("r.structuredPatch").isNotNull(), "edit").when((F.col("j.type") == "assistant") & (text("j.message.model") != "") & (key != ""), "assistant").otherwise("none")
+        F.when(text("j.toolDenialKind") != "", "denial").when(marks, "compaction")
+        .when(agent & F.col("j.toolUseResult.usage").isNotNull(), "agent").when(agent, "stub").when(patch.isNotNull(), "edit")
+        .when((F.col("j.type") == "assistant") & (text("j.message.model") != "") & (key != ""), "assistant").otherwise("none")
+    )
+    none = F.array().cast("array<string>")
+    signs = lambda sign: F.aggregate(
+        F.transform(patch, lambda h: F.size(F.filter(F.coalesce(h["lines"], none), lambda x: x.startswith(sign)))), F.lit(0), lambda a, b: a + b
+    )
+    created = (F.col("j.toolUseResult.type") == "create") & (F.size(patch) == 0) & (text("j.toolUseResult.content") != "")
+    change = F.struct(
+        text("j.toolUseResult.filePath").alias("path"),
+        F.when(created, content_lines(F.col("j.toolUseResult.content"))).otherwise(signs("+")).cast("long").alias("added"),
+        F.when(created, 0).otherwise(signs("-")).cast("long").alias("removed"),
+    )
+    made = F.struct(
+        F.col("j.toolUseResult.agentId").alias("id"), text("j.toolUseResult.agentType").alias("type"), text("j.toolUseResult.resolvedModel").alias("model"),
+        _tokens("j.toolUseResult.usage").alias("tokens"), count("j.toolUseResult.toolStats.linesAdded").alias("added"),
+        count("j.toolUseResult.toolStats.linesRemoved").alias("removed"),
     )
-    rows = rows.withColumn("key", key).withColumn("kind", kind)
-    # a response goes on being the last one for lines that follow it; its own lines owe what they report to the one before
-    owned = etl.attach_to_last(rows, F.col("kind") == "assistant", "key")
-    before = F.last(F.when(F.col("kind") == "assistant", F.col("key")), ignorenulls=True).over(etl.upto("file", "line", -1))
-    return owned.withColumn("before", before)
+    return rows.select(
+        *kept, "file", *ORDER, kind.alias("kind"), key.alias("key"), text("j.uuid").alias("uuid"), text("j.sessionId").alias("session_id"), seconds("j.timestamp").alias("ts"),
+        text("j.cwd").alias("cwd"), text("j.gitBranch").alias("branch"), text("j.entrypoint").alias("entry"), text("j.agentId").alias("agent_id"),
+        F.coalesce("j.isSidechain", F.lit(False)).alias("sidechain"), text("j.attributionSkill").alias("skill"), text("j.attributionAgent").alias("agent"),
+        token(text("j.message.diagnostics.cache_miss_reason.type")).alias("miss"), text("j.message.model").alias("model"), text("j.message.stop_reason").alias("stop"),
+        _tokens("j.message.usage").alias("tokens"), F.transform(used, tool).alias("tools"),
+        F.transform(F.filter(blocks, lambda b: b["type"] == "tool_result"), result).alias("results"),
+        F.when(kind == "edit", change).alias("change"), F.when(kind == "agent", made).alias("made"),
+    )
+
+
+def shaped(found: DataFrame) -> DataFrame:
+    """Facts in their file's order: without lines read before, with what holds until it is said anew carried on before that, with the
+    response that a line belongs to (``owner``) and the one before it (``before``), and where a loss of context starts."""
+    lines = etl.dedupe_lines(etl.carry_forward(found.repartition("file"), list(SAID), line=ORDER), line=ORDER)
+    is_response = F.col("kind") == "assistant"
+    owned = etl.attach_to_last(lines, is_response, "key", line=ORDER)
+    ahead = etl.upto("file", ORDER, -1)
+    before = F.last(F.when(is_response, F.col("key")), ignorenulls=True).over(ahead)
+    lost_before = F.last(F.when(F.col("kind") != "denial", F.col("kind") == "compaction"), ignorenulls=True).over(ahead)
+    starts = (F.col("kind") == "compaction") & ~F.coalesce(lost_before, F.lit(False))
+    return owned.withColumn("before", before).withColumn("starts", starts)
 
 
 def _how_many(values: Column, value: str) -> Column:
     return F.size(F.filter(values, lambda v: v == value)).cast("long")
 
 
-def records(spark: SparkSession, path: str, covered: DataFrame | None = None) -> DataFrame:
-    """Usage records of transcripts: one a response, and one a completed sub-agent whose own transcript is not among ``covered`` (agent_id)."""
-    rows = read(spark, path)
-    used = F.filter("blocks", lambda b: b["type"] == "tool_use")
-    purposes = F.transform(used, lambda b: purpose(F.coalesce(b["name"], F.lit(""))))
-    said = rows.where("kind = 'assistant'").withColumns(_tokens("j.message.usage")).withColumns({k: _how_many(purposes, k) for k in PURPOSES})
-    said = said.withColumn("edits", F.size(F.filter(used, lambda b: b["name"].isin(*EDITS))).cast("long")).withColumn("skill", text("j.attributionSkill")).withColumn("agent", text("j.attributionAgent")).withColumn("miss", token(text("j.message.diagnostics.cache_miss_reason.type")))
-    merged = etl.merge_responses(said, ["file", "key"], list(_tokens("j.message.usage")), [*PURPOSES, "edits"], ["skill", "agent", "miss"])
-    first = said.groupBy("file", "key").agg(F.min_by(F.struct("j", *SAID), "line").alias("a"))
-
-    errors = rows.where("kind <> 'denial'").withColumn("n", F.size(F.filter("blocks", lambda b: (b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False))))).groupBy("file", F.col("before").alias("key")).agg(F.sum("n").alias("tool_errors"))
-    denials = rows.where("kind = 'denial'").groupBy("file", F.col("owner").alias("key")).agg(F.count(F.lit(1)).alias("rejected"))
-    compactions = etl.islands(rows.where("kind <> 'denial'"), F.col("kind") == "compaction").groupBy("file", F.col("owner").alias("key")).agg(F.sum(F.col("starts").cast("long")).alias("compactions"))
-    signs = lambda sign: F.aggregate(F.transform("r.structuredPatch", lambda h: F.size(F.filter(F.coalesce(h["lines"], F.array().cast("array<string>")), lambda x: x.startswith(sign)))), F.lit(0), lambda a, b: a + b).cast("long")
-    created = (F.col("r.type") == "create") & (F.size("r.structuredPatch") == 0) & (text("r.content") != "")
-    changes = rows.where("kind = 'edit' AND owner IS NOT NULL").select("file", "line", F.col("owner").alias("key"), text("r.filePath").alias("path"), F.when(created, content_lines(F.col("r.content"))).otherwise(signs("+")).cast("long").alias("added"), F.when(created, 0).otherwise(signs("-")).cast("long").alias("removed"))
-    changed = etl.rework(changes, ["file", "path"], "line").groupBy("file", "key").agg(F.sum("added").alias("lines_added"), F.sum("removed").alias("lines_removed"), F.sum("rework").alias("rework_lines"))
-
-    whole = merged.join(first, ["file", "key"])
-    for more in (errors, denials, compactions, changed):
-        whole = whole.join(more, ["file", "key"], "left")
-    calls = F.col("reads") + F.col("searches") + F.col("commands") + F.col("writes") + F.col("other")
-    about = lambda j: [text(f"{j}.sessionId").alias("session_id"), seconds(f"{j}.timestamp").alias("ts")]
-    turns = whole.select(*about("a.j"), text("a.j.message.model").alias("model"), F.col("key").alias("dedupe_key"), basename(F.col("a.cwd")).alias("project"), F.col("a.branch").alias("git_branch"), F.col("a.entry").alias("entrypoint"), F.lit("turn").alias("granularity"), *_tokens("j.message.usage"), calls.alias("tool_calls"), *(F.col(k).alias(f"tool_{k}") for k in PURPOSES), "edits", "tool_errors", "rejected", "compactions", "lines_added", "lines_removed", "rework_lines", F.coalesce("a.j.isSidechain", F.lit(False)).cast("long").alias("sidechain"), "skill", "agent", F.col("miss").alias("cache_miss_reason"))
-    agents = rows.where("kind = 'agent'").select(*about("j"), text("r.resolvedModel").alias("model"), F.concat(F.lit("agent:"), "r.agentId").alias("dedupe_key"), basename(F.col("cwd")).alias("project"), F.col("branch").alias("git_branch"), F.col("entry").alias("entrypoint"), F.lit("session").alias("granularity"), *(c.alias(n) for n, c in _tokens("r.usage").items()), count("r.toolStats.linesAdded").alias("lines_added"), count("r.toolStats.linesRemoved").alias("lines_removed"), F.lit(1).alias("sidechain"), text("r.agentType").alias("agent"))
+def records_of(found: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Usage records of facts: one a response, and one a completed sub-agent whose own transcript is not among ``covered`` (agent_id)."""
+    changes = shaped(found).withColumn("change", F.when(F.col("owner").isNotNull(), F.col("change")))
+    plain = changes.withColumns({c: F.coalesce(F.col(f"change.{c}"), F.lit(0)) for c in ("added", "removed")}).withColumn("path", F.col("change.path"))
+    rows = etl.rework(plain, ["file", "path"], ORDER)
+    purposes = F.transform("tools", lambda t: purpose(t["name"]))
+    errors = F.when(F.col("kind") != "denial", F.size(F.filter("results", lambda r: r["wrong"]))).otherwise(0)
+    own = F.struct(F.coalesce(F.when(F.col("kind") == "assistant", F.col("key")), F.col("owner")).alias("key"), F.lit("own").alias("part"))
+    earlier = F.struct(F.col("before").alias("key"), F.lit("errors").alias("part"))
+    agent = F.struct(F.concat(F.lit("agent:"), "made.id").alias("key"), F.lit("agent").alias("part"))
+    # nearly all lines belong to one record; a response's own results are the one before's, and a sub-agent's report is a record besides
+    parts = F.concat(F.array(own), F.when(errors > 0, F.array(earlier)).otherwise(F.array()), F.when(F.col("kind") == "agent", F.array(agent)).otherwise(F.array()))
+    dealt = rows.withColumn("errors", errors.cast("long")).withColumn("purposes", purposes).withColumn("edits", F.size(F.filter("tools", lambda t: t["name"].isin(*EDITS))).cast("long")).withColumn("to", F.explode(parts)).where("to.key IS NOT NULL")
+    line, part = F.struct(*ORDER), F.col("to.part")
+    mine = (part == "own") & (F.col("kind") == "assistant")
+    besides = part == "own"
+    is_agent = part == "agent"
+    about = F.struct("session_id", "ts", "model", "cwd", "branch", "entry", "sidechain")
+    first = lambda c: F.coalesce(F.min_by(F.col(c), F.when(mine & (F.col(c) != ""), line)), F.lit("")).alias(c)
+    summed = lambda value, where: F.coalesce(F.sum(F.when(where, value)), F.lit(0))
+    merged = dealt.groupBy("file", F.col("to.key").alias("dedupe_key"), is_agent.alias("is_agent")).agg(
+        F.min_by(about, F.when(mine | is_agent, line)).alias("a"),
+        F.min_by("made", F.when(is_agent, line)).alias("made"),
+        *(F.max(F.when(mine, F.col(f"tokens.{c}")).when(is_agent, F.col(f"made.tokens.{c}"))).alias(c) for c in COUNTS),
+        *(summed(_how_many(F.col("purposes"), k), mine).alias(f"tool_{k}") for k in PURPOSES),
+        summed(F.col("edits"), mine).alias("edits"), *(first(c) for c in ("skill", "agent", "miss")),
+        summed(F.col("errors"), part == "errors").alias("tool_errors"),
+        summed(F.lit(1), besides & (F.col("kind") == "denial")).alias("rejected"),
+        summed(F.lit(1), besides & F.col("starts")).alias("compactions"),
+        *(summed(F.col(c), besides & (F.col("kind") == "edit")).alias(name) for c, name in (("added", "lines_added"), ("removed", "lines_removed"), ("rework", "rework_lines"))),
+    ).where("a IS NOT NULL")
+    either = lambda agents, responses: F.when(F.col("is_agent"), agents).otherwise(responses)
+    whole = merged.select(
+        "dedupe_key", "is_agent", "a.session_id", "a.ts", either(F.col("made.model"), F.col("a.model")).alias("model"), basename(F.col("a.cwd")).alias("project"), F.col("a.cwd").alias("cwd"),
+        F.col("a.branch").alias("git_branch"), F.col("a.entry").alias("entrypoint"), either(F.lit("session"), F.lit("turn")).alias("granularity"), *COUNTS,
+        reduce(lambda x, y: x + y, (F.col(f"tool_{k}") for k in PURPOSES)).alias("tool_calls"), *(f"tool_{k}" for k in PURPOSES), "edits", "tool_errors", "rejected", "compactions",
+        either(F.col("made.added"), F.col("lines_added")).alias("lines_added"), either(F.col("made.removed"), F.col("lines_removed")).alias("lines_removed"), "rework_lines",
+        either(F.lit(True), F.col("a.sidechain")).cast("long").alias("sidechain"), "skill", either(F.col("made.type"), F.col("agent")).alias("agent"), F.col("miss").alias("cache_miss_reason"),
+    )
     if covered is not None:
-        agents = etl.superseded(agents, covered)
-    return as_usage(turns, "claude-code").unionByName(as_usage(agents, "claude-code"))
-
-
-def steps(spark: SparkSession, path: str) -> DataFrame:
-    """session_id, timeline, ordinal, ts, kind, outcome, dedupe_key: responses, their tool calls and lost contexts in order; a call's
-    outcome is that of its result, a response's whether it was cut off."""
-    rows = read(spark, path)
-    results = rows.select("file", F.explode("blocks").alias("b"), "kind").where("b.type = 'tool_result'").groupBy("file", F.col("b.tool_use_id").alias("id")).agg(F.max(F.when(F.col("kind") == "denial", "denied").when(F.coalesce("b.is_error", F.lit(False)), "error").otherwise("ok")).alias("result"))
-    said = rows.where("kind = 'assistant'")
-    first = said.groupBy("file", "key").agg(F.min("line").alias("line"), F.max_by("j.message.stop_reason", "line").alias("stop"), F.min_by(F.struct("j", "agent_id"), "line").alias("a"))
-    turn = first.select("file", "line", F.lit(0).alias("k"), F.col("a.j").alias("j"), F.col("a.agent_id").alias("timeline"), F.lit("assistant").alias("kind"), F.when(F.col("stop") == "max_tokens", "truncated").otherwise("").alias("outcome"), F.col("key").alias("dedupe_key"))
-    call = said.select("file", "line", "j", F.col("agent_id").alias("timeline"), F.posexplode("blocks").alias("n", "b")).where("b.type = 'tool_use'")
-    name = F.create_map(*(F.lit(x) for kv in STEP_OF.items() for x in kv))[purpose(F.coalesce("b.name", F.lit("")))]
-    call = call.join(results, (call.file == results.file) & (F.col("b.id") == results.id), "left").select(call.file, "line", (F.col("n") + 1).alias("k"), "j", "timeline", F.coalesce(name, F.lit("other")).alias("kind"), text("result").alias("outcome"), text("b.id").alias("dedupe_key"))
-    lost = etl.islands(rows.where("kind <> 'denial'"), F.col("kind") == "compaction").where("starts AND owner IS NOT NULL").select("file", "line", F.lit(0).alias("k"), "j", F.col("agent_id").alias("timeline"), F.lit("compaction").alias("kind"), F.lit("").alias("outcome"), F.concat(F.lit("compact:"), "uuid").alias("dedupe_key"))
-    every = turn.unionByName(call).unionByName(lost)
-    place = F.row_number().over(Window.partitionBy("file").orderBy("line", "k"))
-    return every.select("file", text("j.sessionId").alias("session_id"), "timeline", place.alias("ordinal"), seconds("j.timestamp").alias("ts"), "kind", "outcome", "dedupe_key")
+        gone = covered.select(F.concat(F.lit("agent:"), "agent_id").alias("dedupe_key"), F.lit(True).alias("is_agent")).distinct()
+        whole = whole.join(gone, ["dedupe_key", "is_agent"], "left_anti")
+    return whole
+
+
+def steps_of(found: DataFrame) -> DataFrame:
+    """session_id, timeline, ordinal, ts, kind, outcome, dedupe_key, model, tokens, target_ref: responses, their tool calls and lost
+    contexts in order. A call's outcome is that of the last result that names it, a response's what its first telling stop says; a target
+    is a number for a file's path, in the order in which the transcript first names them, 0 for none."""
+    rows = shaped(found)
+    response = Window.partitionBy("file", "key")
+    is_response = F.col("kind") == "assistant"
+    mine = lambda value: F.when(is_response, value)
+    line = F.struct(*ORDER)
+    tokens = reduce(lambda x, y: x + y, (F.max(mine(F.col(f"tokens.{c}"))).over(response) for c in COUNTS[:4]))
+    outcome = F.create_map(*(F.lit(x) for kv in STOPS.items() for x in kv))[F.col("stop")]
+    opens = is_response & (line == F.min(mine(line)).over(response))
+    settled = F.coalesce(F.min_by(outcome, F.when(is_response & outcome.isNotNull(), line)).over(response), F.lit(""))
+    rows = rows.withColumns({"opens": opens, "settled": settled, "all_tokens": tokens})
+    name = F.create_map(*(F.lit(x) for kv in STEP_OF.items() for x in kv))
+    about = "k int, id string, kind string, outcome string, path string, result boolean"
+    item = lambda k, id_, kind, said, path, result=False: F.struct(
+        F.lit(k).cast("int").alias("k") if isinstance(k, int) else k.cast("int").alias("k"), id_.alias("id"), kind.alias("kind"), said.alias("outcome"), path.alias("path"), F.lit(result).alias("result")
+    )
+    nothing, no_item = F.lit(""), F.array().cast(f"array<struct<{about.replace(' ', ':').replace(',:', ',')}>>")
+    turn = F.when(F.col("opens"), F.array(item(0, F.col("key"), F.lit("assistant"), F.col("settled"), nothing))).otherwise(no_item)
+    calls = F.when(is_response, F.transform("tools", lambda t, k: item(k + 1, t["id"], F.coalesce(name[purpose(t["name"])], F.lit("other")), nothing, t["path"]))).otherwise(no_item)
+    told = lambda r: F.when(F.col("kind") == "denial", "denied").when(r["wrong"], "error").otherwise("ok")
+    results = F.transform(F.filter("results", lambda r: r["id"] != ""), lambda r: item(0, r["id"], nothing, told(r), nothing, True))
+    lost = F.when(F.col("starts") & F.col("owner").isNotNull() & (F.col("uuid") != ""), F.array(item(0, F.concat("uuid", F.lit(":compaction")), F.lit("compaction"), nothing, nothing))).otherwise(no_item)
+    items = rows.select("file", *ORDER, "key", "session_id", "agent_id", "ts", "model", "cwd", "all_tokens", F.explode(F.concat(turn, calls, results, lost)).alias("x")).select("*", "x.*").drop("x")
+    of_id = Window.partitionBy("file", "id")
+    answer = F.max(F.when(F.col("result"), F.struct(*ORDER, "outcome"))).over(of_id)
+    is_call = ~F.col("kind").isin("assistant", "compaction")
+    settled = F.when(is_call & (F.col("id") != ""), F.coalesce(F.col("answer.outcome"), nothing)).otherwise(F.col("outcome"))
+    every = items.withColumn("answer", answer).where("NOT result").withColumn("outcome", settled)
+    unnamed = F.row_number().over(Window.partitionBy("file", "key", F.col("id") == "").orderBy(*ORDER, "k")) - 1
+    key = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws(":", "key", unnamed.cast("string")))
+    target = F.when(F.col("path") != "", target_key(F.col("path"), F.col("cwd")))
+    place = F.struct(*ORDER, "k")
+    named = every.withColumn("dedupe_key", key).withColumn("target", F.when(target != "", target))
+    named = named.withColumn("met", F.when(F.col("target").isNotNull(), F.min(place).over(Window.partitionBy("file", "target"))))
+    ref = F.when(F.col("met").isNotNull(), F.dense_rank().over(Window.partitionBy("file", F.col("met").isNull()).orderBy("met"))).otherwise(0)
+    return named.withColumn("target_ref", ref.cast("long")).select(
+        "file", "session_id", F.col("agent_id").alias("timeline"), F.row_number().over(Window.partitionBy("file").orderBy(*ORDER, "k")).alias("ordinal"), "ts", "kind", "outcome", "dedupe_key",
+        F.when(F.col("kind") != "compaction", F.col("model")).otherwise("").alias("model"), F.when(F.col("kind") == "assistant", F.col("all_tokens")).otherwise(0).alias("tokens"), "target_ref",
+    )
+
+
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return facts(placed_lines(spark, path))
+
+
+def records(spark: SparkSession, path: str | list[str], covered: DataFrame | None = None) -> DataFrame:
+    return as_usage(records_of(read(spark, path), covered), "claude-code")
+
+
+def steps(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return steps_of(read(spark, path))

@@ -1,4 +1,4 @@
-"""Importing usage records from a landing folder or from log files, each input once.
+"""Importing usage records from a landing folder, each input once (logs: see ``growing``).
 
 Every micro-batch appends what it read under its own number and overwrites that on a replay, so a run that stops anywhere resumes
 without loss or repetition. Offers of one (tool, dedupe_key) are merged when the store is read, by the rules of ``etl.restate``: the
@@ -56,20 +56,6 @@ def import_pushed(spark: SparkSession, landing: str, store: str, now: str, files
     _run(read.withColumn("_at", F.col("_metadata.file_modification_time")), store, lambda batch, n: merge_batch(batch, n, store, now), "pushed")
 
 
-def import_logs(spark: SparkSession, folder: str, store: str, now: str, parse: Callable[[SparkSession, list[str]], DataFrame], files: int = FILES) -> None:
-    """Parses log files that no run has read yet. A file is read once, when it is first seen; what is appended later is found by
-    ``etl.changed_inputs`` over a listing."""
-
-    def merge(batch: DataFrame, n: int) -> None:
-        # bounded by the number of files of a micro-batch
-        paths = [r[0] for r in batch.distinct().collect()]
-        if paths:
-            merge_batch(parse(batch.sparkSession, paths), n, store, now)
-
-    seen = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(folder).select("_metadata.file_path")
-    _run(seen, store, merge, "logs")
-
-
 def _run(read: DataFrame, store: str, merge: Callable[[DataFrame, int], None], name: str) -> None:
     query = read.writeStream.foreachBatch(merge).option("checkpointLocation", f"{store}/checkpoint-{name}").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -2,7 +2,6 @@
 
 import json
 
-from meterloom.sources import assistants
 from meterloom.streaming import imports
 
 NOW = "2026-07-20 00:00:00"
@@ -54,17 +53,6 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert imports.offers(spark, store).count() == 40 and len(stored(spark, store)) == 20
 
 
-def test_logs_are_parsed_once(spark, tmp_path):
-    logs, store = tmp_path / "logs", str(tmp_path / "store")
-    line = lambda s, n: {"sessionId": s, "timestamp": "2026-07-01T10:00:00Z", "model": "m", "tokens": {"input": n, "output": 1, "total": n + 1}}
-    land(logs, "a.jsonl", line("s1", 5), line("s1", 6))
-    for more in (False, True, True):
-        if more:
-            land(logs, "b.jsonl", line("s2", 7))
-        imports.import_logs(spark, str(logs), store, NOW, assistants.gemini)
-    assert sorted(v["input_tokens"] for v in stored(spark, store).values()) == [5, 6, 7] and imports.offers(spark, store).count() == 3
-
-
 def test_days_are_given_once_they_are_over(spark, tmp_path):
     landing = tmp_path / "landing"
     land(landing, "a.json", offer("1", input_tokens=3), offer("2", input_tokens=4), offer("3", ts="2026-07-09T00:00:00", input_tokens=1))
