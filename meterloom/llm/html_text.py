@@ -5,16 +5,20 @@
 2. Spark counts, per host, beside how many different contents each subtree and each slot stands.
 3. Pages are read again with their host's recurring subtrees and slots, which are deleted; the blocks of what is left are the text.
 
-What recurs outside the article goes where it stands on ``OUTSIDE`` of the host's contents. Inside an article, or on pages that have
-none, a block must stand on ``INSIDE`` of them, and one with prose on ``PROSE``, so paragraphs that some articles share stay. A title
-and what holds it, an article or a main element never go as templates, nor by a word of their class (but for comments inside an
-article, which may be articles themselves); prose goes by such a word only
-where it says advert, cookie notice or newsletter. Rotating adverts and the like differ from page to page: their slots recur.
+Where a page has articles, or else a main element, that hold as much prose as stands outside them, these are the content and nothing
+else is; on other pages it is the least element that holds the title and all prose that does not recur (the flow). Outside the flow what
+recurs goes. Inside the content recurrence alone deletes nothing: headings, list items and cells never go, and a paragraph, list or
+container goes only if it also shows that it is no part of the article, by a third of its words standing in links or by a word like
+newsletter in its text. ``INSIDE`` and ``PROSE`` say on how many of the host's contents, and on what share of them, a block has to stand; one rule
+for hosts of every size, under which nothing can recur on a single page.
+
+Class and id speak only by whole names made of boilerplate's words (``ad-box``, not ``cookie-recipe``). Of such elements adverts, cookie
+notices, newsletters and readers' comments go; others go unless they hold prose, and with prose where their slot (tag, class, id)
+recurs, as a sidebar's does whatever it says. A title and what holds it, an article or a main element never go as templates. A form goes
+unless it is wrapped round an article or half of the page's prose; its fields go in any case.
 
 The pages of a subtree count once for each longest stretch of the main content beside it, so that copies of one article with small
-changes don't make its paragraphs look like a template. A host of fewer different than ``FEW`` contents, or none (a null url), has no counts: there the article or main element alone is the text, and
-words of class and id alone decide. Menus, footers, asides, forms, scripts and the like go by their tag or role everywhere, and so do
-reader comments by their class or id.
+changes don't make its paragraphs look like a template. Menus, footers, asides, scripts and the like go by their tag or role.
 
 Defined results: null or empty html gives empty text; text outside any tag is text; repeated rows give equal results row by row, and
 count once as content; an empty table gives no rows; other columns are neither read nor changed. Reading is linear in the page, and
@@ -41,10 +45,10 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from meterloom.llm.common import texts_of
 from meterloom.session import cut
 
-FEW = 3  # a host of fewer different contents has no templates
-OUTSIDE = (2, 0.05)  # a template stands on so many contents at least, and on this share of the host's, outside articles,
-INSIDE = (3, 0.5)  # inside them or where there are none,
-PROSE = (10, 0.9)  # and inside them with prose
+OUTSIDE = (2, 0.05)  # a slot recurs that stands on so many contents at least, and on this share of the host's,
+INSIDE = (3, 0.5)  # a block,
+PROSE = (10, 0.9)  # and one with prose
+LINKED = 3  # one word in so many stands in links where a block is no part of an article
 PROSE_WORDS = 15  # so many words outside links in one block are prose
 
 #: Elements by what they do to the text.
@@ -53,12 +57,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 DROPPED = frozenset("head script style noscript template iframe noembed noframes nav footer aside button select textarea input svg canvas object audio video map dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-#: Words in class or id that mark boilerplate: that never drop prose, that may, and that mark readers' comments.
-WEAK = frozenset("sponsor sponsored promo promotion banner notice notices alert sidebar side nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar discussion share sharing social related recommended signup login popup modal overlay widget pagination pager".split())
+#: Words in class or id that mark boilerplate: that never drop prose, that may, and that mark readers' comments; and words that
+#: say nothing beside them.
+WEAK = frozenset("sponsor sponsored promo promotion banner notice notices alert sidebar nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead topbar toolbar discussion share sharing social related recommended signup login popup modal overlay widget widgets pagination pager".split())
 STRONG = frozenset("ad ads advert adverts advertisement adbox adsense cookie cookies consent gdpr newsletter subscribe subscription".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
+NEUTRAL = frozenset("area article bar block body bottom box btn button buttons card center col column container content current el element entry fixed form global group head inline inner item items js l label large layer left link links list main message mobile module outer page pane panel policy post posts primary reader readers right row secondary section sections side site slot small sticky text thread title top unit user users wide wrap wrapper wp".split())
+#: Words in a recurring block's text that tell that it is no part of the article.
+TOLD = frozenset("advertisement newsletter sponsored subscribe".split())
+#: Blocks that may go inside the content if they recur.
+BOILERPLATE = WEAK | STRONG | COMMENTS
+KNOWN = BOILERPLATE | NEUTRAL
+APART = frozenset("address center div dl fieldset hr ol p section table ul".split())
 ASIDES = COMMENTS | frozenset("ad ads advert promo related".split())  # an article so marked is none
-DENIED = frozenset("has no with without is".split())  # a name that begins so tells of what stands elsewhere
 WHOLE = frozenset(["", "html", "body", "article", "main", *VOID])  # elements that are no template by themselves
 #: Which open elements a start tag closes, as the HTML standard has it for tags that may be left out.
 CLOSES = {
@@ -81,7 +92,7 @@ _PARTS = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("children", "dropped", "end", "holds", "mark", "name", "prose", "sign", "slot", "start", "tag_end", "words")
+    __slots__ = ("apart", "children", "dropped", "end", "holds", "linked", "mark", "name", "prose", "prose_words", "sign", "slot", "start", "tag_end", "total", "words")
 
     def __init__(self, name: str, start: int, tag_end: int, dropped: bool = False, mark: int = 0, slot: str = ""):
         self.name, self.start, self.tag_end, self.end, self.children = name, start, tag_end, -1, []
@@ -97,12 +108,12 @@ def attributes(attrs: str) -> dict[str, str]:
 
 
 def _marks(*names: str) -> set[str]:
-    """The first and last words of the names in class and id."""
+    """The words of the names in class and id that are made of boilerplate's words alone, numbers aside."""
     words = set()
     for name in " ".join(names).lower().split():
-        parts = [x for x in _PARTS.split(name) if x]
-        if parts and parts[0] not in DENIED:
-            words |= {parts[0], parts[-1]}
+        parts = {x for x in _PARTS.split(name) if x}
+        if parts & BOILERPLATE and parts <= KNOWN:
+            words |= parts & BOILERPLATE
     return words
 
 
@@ -203,29 +214,46 @@ TITLE, CONTENT = 1, 2  # what an element may hold
 
 def sign(page: str, root: Element) -> None:
     """Gives each element that doesn't go in any case the hash of its subtree, from its tag, texts and children's hashes with white
-    space made even; whether it holds prose; and whether it holds a title, an article or a main element."""
+    space made even; whether it holds prose; whether it holds a title, an article or a main element; and its words, in links and in prose."""
+    forms = []
     for e in reversed(list(_walk(root))):  # children stand after their parents
         told = [" ".join(page[e.start : e.tag_end].split())]
-        e.prose, e.words = False, 0
+        e.prose, e.words, e.total, e.linked, e.prose_words, e.apart = False, 0, 0, 0, 0, False
         e.holds = TITLE if e.name == "h1" else CONTENT if e.name == "main" or (e.name == "article" and not e.mark) else 0
         for c in e.children:
             if not isinstance(c, Element):
                 words = page[c[0] : c[1]].split()
                 told.append(" ".join(words))
                 e.words += len(words)
+                e.total += len(words)
+                e.apart |= not TOLD.isdisjoint(_bare(words))
             elif not c.dropped:
                 told.append(f"\x00{c.sign}")
                 e.holds |= c.holds
+                e.total += c.total
+                e.linked += c.linked
+                e.prose_words += c.prose_words
+                e.apart |= c.apart
                 if c.name != "a":
                     e.prose |= c.prose
                     if c.name not in BLOCKS:
                         e.words += c.words
-        e.prose |= e.words >= PROSE_WORDS
+        if e.name == "a":
+            e.linked, e.prose_words = e.total, 0
+        if e.words >= PROSE_WORDS:
+            e.prose = True
+            e.prose_words = max(e.prose_words, e.words)
         e.sign = _signed("\x00".join(told))
         if e.mark:
             e.slot = _signed(e.slot, 1)
-        if e.name == "form" and not e.holds:
-            e.dropped = True
+        if e.name == "form":
+            forms.append(e)
+    for e in forms:
+        e.dropped = not e.holds and (not e.prose or 2 * e.prose_words < root.prose_words)
+
+
+def _bare(words: list[str]) -> list[str]:
+    return [w.strip(".,:;!?()").lower() for w in words if len(w) < 20]
 
 
 def _walk(root: Element):
@@ -245,41 +273,82 @@ class Template(NamedTuple):
     prose: frozenset[int] = frozenset()
 
 
-def _goes(e: Element, inside: bool, strict: bool, template: Template | None) -> bool:
-    """Whether an element is deleted: ``inside`` an article, or ``strict`` as if it were. Without a template words alone decide."""
+def _boilerplate(e: Element, inside: bool, template: Template) -> bool:
+    """Whether an element goes by its tag, its class and id, or its slot, ``inside`` an article."""
     if e.dropped:
         return True
     if e.name == "header" and not inside:  # an article's own header holds its title
         return not e.holds & CONTENT
     if e.mark == 3 and inside and not e.holds & TITLE:  # articles inside an article are its comments
         return True
-    if e.holds:
-        return False
-    if e.mark == 3 or (e.mark and (template is None or e.slot in template.outside) and (e.mark == 2 or not e.prose)):
-        return True
-    if template is None or e.name in WHOLE or (strict and e.name not in BLOCKS):
+    if e.holds or not e.mark:
         return False
-    return e.sign in (template.outside if not strict else template.prose if e.prose else template.inside)
+    return e.mark > 1 or not e.prose or e.slot in template.outside
+
+
+def _recurs(e: Element, template: Template) -> bool:
+    return e.name not in WHOLE and not e.holds and e.sign in (template.prose if e.prose else template.inside)
 
 
-def _regions(root: Element) -> list[Element]:
-    """The articles outside boilerplate and outside each other; else the main element; else the body; else all."""
-    for names in (("article",), ("main",), ("body",)):
+def _is_apart(e: Element) -> bool:
+    """Whether a block inside the content looks like no part of it."""
+    return e.name in APART and (e.apart or (e.total > 0 and LINKED * e.linked >= e.total))
+
+
+def _regions(root: Element, template: Template) -> list[Element]:
+    """The articles outside boilerplate and outside each other, else the main element, where they hold as much prose as stands outside."""
+    for name in ("article", "main"):
         found, stack = [], [root]
         while stack:
             e = stack.pop()
-            if _goes(e, False, False, None):
+            if _boilerplate(e, False, template):
                 continue
-            if e.name in names:
+            if e.name == name:
                 found.append(e)
             else:
                 stack += [c for c in reversed(e.children) if isinstance(c, Element)]
-        if found:
+        if found and 2 * sum(e.prose_words for e in found) >= _counted(root, template):
             return found
-    return [root]
+    return []
+
+
+def _counted(root: Element, template: Template) -> int:
+    """Words of prose that is neither boilerplate nor recurs."""
+    n, stack = 0, [root]
+    while stack:
+        e = stack.pop()
+        if _boilerplate(e, False, template) or _recurs(e, template):
+            continue
+        n += e.words if e.words >= PROSE_WORDS and e.name in (BLOCKS | {""}) else 0
+        stack += [c for c in e.children if isinstance(c, Element)]
+    return n
 
 
-def _blocks(page: str, region: Element, template: Template | None, strict: bool) -> list[str]:
+def _flow(root: Element, template: Template) -> Element | None:
+    """The least element that holds the title and all prose that does not recur; none where there is neither."""
+    held: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        e = stack.pop()
+        if _boilerplate(e, False, template) or _recurs(e, template):
+            continue
+        order.append(e)
+        held[id(e)] = e.name == "h1" or (e.words >= PROSE_WORDS and e.name in (BLOCKS | {""}))
+        stack += [c for c in e.children if isinstance(c, Element)]
+    for e in reversed(order):
+        held[id(e)] += sum(held.get(id(c), 0) for c in e.children if isinstance(c, Element))
+    at, whole = root, held.get(id(root), 0)
+    if not whole:
+        return None
+    while below := next((c for c in at.children if isinstance(c, Element) and held.get(id(c), 0) == whole), None):
+        if below.name == "h1" or below.name == "p":
+            break
+        at = below
+    return at
+
+
+def _blocks(page: str, region: Element, template: Template, flow: Element | None) -> list[str]:
+    """The texts of a region's blocks; what recurs goes outside ``flow``, everywhere without one, and inside it where it is apart."""
     blocks: list[str] = []
     now: list[str] = []
 
@@ -289,10 +358,9 @@ def _blocks(page: str, region: Element, template: Template | None, strict: bool)
             blocks.append(text)
         now.clear()
 
-    article = region.name in ("article", "main")
-    stack: list = [(iter(region.children), True, article)]
+    stack: list = [(iter(region.children), True, region.name in ("article", "main"), region is flow)]
     while stack:
-        children, block, inside = stack[-1]
+        children, block, inside, flowing = stack[-1]
         c = next(children, None)
         if c is None:
             stack.pop()
@@ -306,21 +374,24 @@ def _blocks(page: str, region: Element, template: Template | None, strict: bool)
             block = c.name in BLOCKS
             if block:
                 flush()
-            if not _goes(c, inside, strict or inside, template):
-                stack.append((iter(c.children), block, inside or c.name in ("article", "main")))
+            goes = _boilerplate(c, inside, template) or (block and _recurs(c, template) and (not flowing or _is_apart(c)))
+            if not goes:
+                stack.append((iter(c.children), block, inside or c.name in ("article", "main"), flowing or c is flow))
     flush()
     return blocks
 
 
+def _content(root: Element, template: Template) -> list[tuple[Element, Element | None]]:
+    """The regions that hold the content, each with its flow."""
+    found = _regions(root, template)
+    return [(e, e) for e in found] if found else [(root, _flow(root, template))]
+
+
 def main_text(page: str, template: Template | None = None) -> str:
-    """The blocks of the main content in page order, joined by an empty line; by the counts of the page's host where it has them."""
-    root = parse(page)
+    """The blocks of the main content in page order, joined by an empty line; by what recurs on the page's host."""
+    root, template = parse(page), template or Template()
     sign(page, root)
-    if template is None:
-        regions, strict = _regions(root), False
-    else:
-        regions, strict = [root], not root.holds & CONTENT
-    return "\n\n".join(block for region in regions for block in _blocks(page, region, template, strict))
+    return "\n\n".join(block for region, flow in _content(root, template) for block in _blocks(page, region, template, flow))
 
 
 def host_of(url: Column) -> Column:
@@ -336,7 +407,7 @@ def signs(page: str) -> tuple[int, list[tuple[int, int]]]:
     and slots, each once with the hash of the longest stretch of the main content that stands outside it."""
     root = parse(page)
     sign(page, root)
-    regions = _regions(root)
+    regions = _regions(root, Template()) or [root]
     texts = sorted(c for region in regions for e in _walk(region) for c in e.children if isinstance(c, tuple))
     starts = [a for a, _ in texts]
     longer = lambda x, y: y if y[1] - y[0] > x[1] - x[0] else x
@@ -365,14 +436,14 @@ def _subtrees(column: pa.Array) -> pa.Array:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, outside, inside, prose of each host with FEW contents or more: what recurs on it, by how much of it. A list holds at
-    most the subtrees of 1 / share pages."""
+    """host, outside, inside, prose of each host: what recurs on it, by how much of it. A list holds at most the subtrees of 1 / share
+    pages."""
     read = pages.select(host_of(F.col("url")).alias("host"), _subtrees("html").alias("s")).where("host <> ''").select("host", "s.*")
     whole = F.struct(F.lit(None).cast("long").alias("subtree"), F.col("content").alias("beside"))
     seen = read.select("host", F.explode(F.array_append("subtrees", whole)).alias("s")).select("host", "s.*")
     counts = seen.groupBy("host", "subtree", "beside").count().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("contents"))
     counts = cut(counts, "counts")  # read twice
-    known = counts.where("subtree is null").where(F.col("contents") >= FEW).select("host", F.col("contents").alias("all"))
+    known = counts.where("subtree is null").select("host", F.col("contents").alias("all"))
     meets = lambda level: F.col("contents") >= F.greatest(F.lit(level[0]), level[1] * F.col("all"))
     both = counts.where(F.col("contents") >= OUTSIDE[0]).join(known, "host")
     listed = lambda level, name: F.collect_list(F.when(F.col("subtree").isNotNull() & meets(level), F.col("subtree"))).alias(name)
@@ -384,7 +455,7 @@ TEXT = StructType([StructField("text", StringType()), StructField("n_chars", Lon
 
 @F.arrow_udf(TEXT)
 def _extract(column: pa.Array, *levels: pa.Array) -> pa.Array:
-    """The text of each page; a null level says that its host has no counts."""
+    """The text of each page; a null level says that nothing recurs on its host."""
     texts = []
     own: tuple = (None, None)  # pages of a host come in a row more often than not
     for page, *lists in zip(texts_of(column), *(x for x in levels), strict=True):

@@ -246,8 +246,62 @@ def test_what_recurs_on_a_host_goes(spark):
     assert all(got[40 + k] == {f"T&{40 + k}\n\n{plain_prose(77, 60)}\n\n{plain_prose(78, 20)} {k}\n\nRead on here"} for k in range(12))  # one article, whatever its copies
     assert got[60] == {f"T&60\n\n{words(60)}\n\nRead on here"} and (got[61], got[62], got[63]) == ({""}, {"x"}, {"x"})
     assert html_text.extract(pages).count() == len(rows) and html_text.extract(pages.where("page_id < 0")).count() == 0
-    alone = [html_text.main_text(x, html_text.Template()) for _, _, x in rows[:24]]
-    assert all("menu" in x and "buy" in x and "Read on" in x for x in alone)  # it is the counts that take these away
+    assert all("Read on" in html_text.main_text(x) for _, _, x in rows[:24])  # it is the counts that take this away
+
+
+def bare(k, host, text, more=""):
+    """A page that says with no tag, role, class or id what is what."""
+    return (k, f"https://{host}/{k}", f"<body><div><div><span>Home of all things</span></div></div><div><h1>T{k}</h1>{text}</div><div><p>Rights are <b>ours</b></p>{more}</div></body>")
+
+
+RECIPE = "<article><h1>T{k}</h1><p>{prose}</p><h2>Ingredients</h2><ul><li>Salt</li><li>own {k}</li></ul><h2>Method</h2><p>{more}</p><p>Serve warm.</p></article>"
+
+
+def recipes(host, n, first):
+    return [(first + k, f"https://{host}/{k}", "<body><div>Top</div>" + RECIPE.format(k=k, prose=plain_prose(k, 30), more=plain_prose(k + 50, 30)) + "</body>") for k in range(n)]
+
+
+def test_an_article_keeps_what_others_have_too(spark):
+    """Headings, list items and short paragraphs that every article of a host has, on hosts of any size."""
+    sizes = (1, 2, 3, 6, 12)
+    rows = [row for n in sizes for row in recipes(f"r{n}.example", n, 100 * n)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in sizes:
+        for k in range(n):
+            assert got[100 * n + k] == f"T{k}\n\n{plain_prose(k, 30)}\n\nIngredients\n\nSalt\n\nown {k}\n\nMethod\n\n{plain_prose(k + 50, 30)}\n\nServe warm."
+
+
+def test_pages_without_articles_lose_only_what_recurs_outside_the_text(spark):
+    text = lambda k: f"<p>{plain_prose(k, 30)}</p><h2>Method</h2><p>Serve warm.</p><p>{plain_prose(k + 90, 20)}</p>"
+    rows = [bare(k, "b.example", text(k), f"<i>once {k}</i>") for k in range(6)] + [bare(9, "one.example", text(9))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda k: f"T{k}\n\n{plain_prose(k, 30)}\n\nMethod\n\nServe warm.\n\n{plain_prose(k + 90, 20)}"
+    assert all(got[k] == f"{own(k)}\n\nonce {k}" for k in range(6))
+    assert got[9] == f"Home of all things\n\n{own(9)}\n\nRights are ours"  # nothing recurs on one page
+    assert all("Home of all things" in html_text.main_text(x) for _, _, x in rows)  # it is the counts that take it away
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<body><form id="aspnetForm"><input><div><label>Search</label><select><option>a</select><p>{LONG}</p></div></form></body>', f"Search\n\n{LONG.strip()}"),
+        (f'<article><h1>T</h1><form>Sign up: {LONG}</form><p>{LONG * 3}</p></article>', f"T\n\n{(LONG * 3).strip()}"),
+        (f'<article><h1>T</h1><div class="cookie-recipe"><p>{LONG * 2}</p></div></article>', f"T\n\n{(LONG * 2).strip()}"),
+        (f'<article><h1>T</h1><p>{LONG}</p><section id="side-effects"><p>Nausea and headache.</p></section></article>', f"T\n\n{LONG.strip()}\n\nNausea and headache."),
+        (f'<article><p>{LONG}</p><div class="ad-slot-3 top">{LONG}</div><div class="sidebar">short</div><div id="post-comments"><p>{LONG}</p></div></article>', LONG.strip()),
+        (f"<div><article><p>teaser</p></article><article><p>teaser</p></article></div><div><h1>T</h1><p>{LONG * 2}</p></div>", f"teaser\n\nteaser\n\nT\n\n{(LONG * 2).strip()}"),
+        (f"<body><p>{LONG}</p><main><p>{LONG} end</p></main></body>", f"{LONG}end"),
+    ],
+)
+def test_forms_names_and_places(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_adverts_and_links_in_articles_go_where_they_recur(spark):
+    extra = '<p>Get our newsletter now</p><div><a href=/a>One</a> <a href=/b>Two</a></div><ul><li><a href=/x>More on this</a></ul>'
+    rows = [(k, f"https://n.example/{k}", f'<article><h1>T{k}</h1><p>{plain_prose(k, 40)}</p>{extra}<div class="related">{plain_prose(k + 70, 25)}</div><p>See <a href=/{k}>only here</a></p></article>') for k in range(8)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"T{k}\n\n{plain_prose(k, 40)}\n\nSee only here" for k in range(8))
 
 
 def test_templates_are_those_of_plain_counts(spark):
