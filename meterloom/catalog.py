@@ -63,7 +63,19 @@ class Facts:
 
 
 class Written(Facts):
-    """Facts for questions that ask many others: the cube and the sessions are made once and written."""
+    """Facts for questions that ask many others: each fact table is made once and written."""
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        return cut(super().usage, "usage")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return cut(super().labels, "labels")
+
+    @cached_property
+    def steps(self) -> DataFrame:
+        return cut(super().steps, "steps")
 
     @cached_property
     def cube(self) -> DataFrame:
@@ -148,7 +160,7 @@ def _metrics() -> dict[str, Callable[[Facts], DataFrame]]:
 
 
 #: Queries that put many metrics together.
-MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype"])
+MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype", "rule_alerts"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

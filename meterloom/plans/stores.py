@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.operators import repos, surfaces
-from meterloom.plans import logs
+from meterloom.operators import metrics, repos, surfaces
+from meterloom.operators.rules import Rule, alerts
+from meterloom.plans import logs, metric_oracles
 from meterloom.plans.bridge import NOW
 from meterloom.plans.oracles import PRELUDE
-from meterloom.session import scratch_path
-from meterloom.streaming import growing, store as stores
+from meterloom.session import cut, scratch_path
+from meterloom.streaming import growing, steps as streamed, store as stores
 
 CLEARED = "2024-01-20 00:00:00"
 #: Where the projects of the folders below lie, and what their ``.git`` says.
@@ -128,8 +129,36 @@ def survival_blame(x) -> DataFrame:
     return repos.survival(repos.numstat(log), repos.blamed(text), read)
 
 
+STEP_DAYS = 20
+
+
+def stream_steps(x) -> DataFrame:
+    """Steps offered in two files, the second restating some and older than the horizon in part, as a stream leaves them."""
+    steps = x.steps.withColumn("e", F.substring("dedupe_key", 2, 20).cast("long"))
+    first = steps.where("e % 3 <> 0").withColumn("seq", F.lit(0))
+    again = steps.where("e % 2 = 0").withColumn("seq", F.lit(1)).withColumn("outcome", F.when(F.col("e") % 7 == 0, "unheard-of").otherwise("ok")).withColumn("tokens", F.col("tokens") + 1)
+    landing, store = scratch_path(x.spark, "landing"), stores.Store(x.spark, scratch_path(x.spark, "store"))
+    for offers in (first, again):
+        offers.drop("e").coalesce(1).write.mode("append").json(landing)
+        streamed.stream_steps(x.spark, landing, store, f"{STEP_DAYS} days")
+    kept = streamed.kept_steps(stores.steps(store), f"{STEP_DAYS} days")
+    return kept.select("tool", "timeline", "dedupe_key", "outcome", "target_ref", "tokens", "ordinal", "kind")
+
+
+RULES = [
+    Rule("watched", "error", "read = 'watch' AND confidence IN ('high', 'medium')", "worth a look"),
+    Rule("thin", "warn", "samples < 3 OR covering < 0.5", "rests on little"),
+    Rule("unknown", "info", "no_such_column > 0", "never runs"),
+]
+
+
+def rule_alerts(x) -> DataFrame:
+    """What rules over the window's verdicts raise, one of them unable to run."""
+    return alerts(cut(metrics.verdicts(x, x.bounds), "verdicts"), RULES).select("rule", "severity", "metric")
+
+
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (stream_logs, clear_generation, push_whole, project_roots, numstat_quoted, survival_blame)}
+    return {q.__name__: q for q in (stream_logs, stream_steps, rule_alerts, clear_generation, push_whole, project_roots, numstat_quoted, survival_blame)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -140,6 +169,15 @@ def oracle_sql() -> dict[str, str]:
     items = f"WITH names(k, path, kind) AS ({named}), i AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, path, kind FROM lineitem JOIN names ON l_partkey % {len(NAMES)} = k)"
     return {
         "stream_logs": logs.oracle_sql()["src_claude"],
+        "stream_steps": PRELUDE.rstrip() + f""", st AS (SELECT *, {e} AS e FROM session_step), so AS (SELECT * REPLACE ('ok' AS outcome, tokens + 1 AS tokens) FROM st WHERE e % 2 = 0 AND e % 7 <> 0),
+          m AS (
+            SELECT coalesce(a.tool, b.tool) AS tool, coalesce(a.timeline, b.timeline) AS timeline, coalesce(a.dedupe_key, b.dedupe_key) AS dedupe_key, coalesce(b.outcome, a.outcome) AS outcome,
+                   coalesce(b.target_ref, a.target_ref) AS target_ref, coalesce(b.tokens, a.tokens) AS tokens, coalesce(b.ordinal, a.ordinal) AS ordinal, coalesce(a.kind, b.kind) AS kind, coalesce(a.ts, b.ts) AS ts
+            FROM (SELECT * FROM st WHERE e % 3 <> 0) a FULL JOIN so b ON a.tool = b.tool AND a.timeline = b.timeline AND a.dedupe_key = b.dedupe_key)
+          SELECT * EXCLUDE (ts) FROM m WHERE ts >= (SELECT max(ts) FROM m) - INTERVAL {STEP_DAYS} DAY""",
+        "rule_alerts": f"""WITH v AS ({metric_oracles.metrics()["confidence_axes"]})
+          SELECT 'watched' AS rule, 'error' AS severity, metric FROM v WHERE read = 'watch' AND confidence IN ('high', 'medium')
+          UNION ALL SELECT 'thin', 'warn', metric FROM v WHERE samples < 3 OR covering < 0.5 UNION ALL SELECT 'unknown', 'error', ''""",
         "clear_generation": PRELUDE.rstrip() + f"""
           SELECT 'records' AS what, tool, count(*) AS n FROM usage_record WHERE NOT {gone} GROUP BY tool
           UNION ALL SELECT 'labels', '', count(*) FROM session_label WHERE (session_id, member) NOT IN (SELECT session_id, member FROM usage_record GROUP BY ALL HAVING bool_and({gone}))
