@@ -160,7 +160,7 @@ def _metrics() -> dict[str, Callable[[Facts], DataFrame]]:
 
 
 #: Queries that put many metrics together.
-MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype", "rule_alerts"])
+MANY = frozenset(["confidence_axes", "ranking", "share_axes", "share_archetype", "share_hook", "rule_alerts"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

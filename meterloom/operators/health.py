@@ -133,3 +133,43 @@ def archetype(facts: DataFrame) -> DataFrame:
     name = reduce(lambda out, x: F.when(F.expr(x[1]), x[0]).otherwise(out), reversed(ARCHETYPES[:-1]), F.lit(ARCHETYPES[-1][0]))
     names = F.array(*(F.lit(n) for n, _ in ARCHETYPES))
     return facts.select(name.alias("name")).withColumn("place", F.array_position(names, F.col("name")).cast("int"))
+
+
+#: The figures that may open a share card, each with its family and the threshold that it has to clear, in the order in which
+#: a tie is decided. Shares are in percent.
+HOOKS = (
+    ("scale", "tokens", 1e9), ("scale", "sessions_per_day", 20.0), ("scale", "lines", 50_000.0), ("scale", "tool_calls", 20_000.0),
+    ("counterintuition", "conversational", 70.0), ("counterintuition", "commands", 40.0), ("counterintuition", "delegation", 10.0), ("counterintuition", "models", 5.0),
+    ("money", "cost", 1000.0), ("money", "plan", 1.0), ("human", "off_hours", 45.0), ("human", "weekend", 20.0),
+    ("self-critical", "rework", 3.0), ("self-critical", "premium", 80.0), ("self-critical", "rejections", 100.0), ("craft", "cache_read", 95.0),
+)
+PERCENT = ("conversational", "commands", "delegation", "off_hours", "weekend", "rework", "premium", "cache_read")
+FRESH_DAYS = 7  # fixed value: less history than this is a first run
+
+
+def hook_counts(cube: DataFrame, sessions: DataFrame, usage: DataFrame, now: str, plan_cost: float = 0.0) -> DataFrame:
+    """One row of the counts that a share card may open with; null where no source in the window records them."""
+    able = lambda signal: F.col("tool").isin(*answering(signal))
+    recorded = lambda signal, c: F.sum(F.when(able(signal), F.col(c))).alias(c)
+    classes = F.col("tool_reads") + F.col("tool_searches") + F.col("tool_commands") + F.col("tool_writes") + F.col("tool_other")
+    sums = cube.agg(
+        F.sum("tokens").alias("tokens"), recorded("lines_added", "lines_added").alias("lines"), F.sum(F.when(able("tool_calls"), classes)).alias("tool_calls"),
+        recorded("rejected", "rejected").alias("rejections"), F.sum("cost").alias("cost"), F.countDistinct(F.when((F.col("tokens") > 0) & (F.col("model") != ""), F.col("model"))).alias("models"),
+    )
+    weekend = sessions.agg(F.avg(F.dayofweek("first_ts").isin(1, 7).cast("double")).alias("weekend"))
+    history = usage.agg(((F.unix_seconds(F.lit(now).cast("timestamp_ntz").cast("timestamp")) - F.unix_seconds(F.min("ts").cast("timestamp"))) / 86400).alias("history_days"))
+    return sums.crossJoin(weekend).crossJoin(history).withColumn("plan", F.when(F.lit(plan_cost > 0) & F.col("cost").isNotNull(), 1.0))  # one row each
+
+
+def hook(facts: DataFrame, counts: DataFrame) -> DataFrame:
+    """family, figure, value, threshold, clearance of the figure that clears its threshold by most, on a scale of logarithms that counts and
+    shares have in common. Without one the card opens with totals, and within the first days of a history with that. Figures alone: no
+    project, path, session or member has a column here."""
+    row = facts.crossJoin(counts)
+    value = lambda figure: (F.col(figure) * (100 if figure in PERCENT else 1)).cast("double")
+    told = [F.struct(F.lit(k).alias("place"), F.lit(family).alias("family"), F.lit(figure).alias("figure"), value(figure).alias("value"), F.lit(threshold).alias("threshold")) for k, (family, figure, threshold) in enumerate(HOOKS)]
+    each = row.select("history_days", F.explode(F.array(*told)).alias("h")).select("history_days", "h.*").withColumn("clearance", F.when(F.col("value") > F.col("threshold"), F.log(F.col("value") / F.col("threshold"))))
+    best = each.agg(F.max("history_days").alias("days"), F.max_by(F.struct("family", "figure", "value", "threshold", "clearance"), F.when(F.col("clearance").isNotNull(), F.struct("clearance", -F.col("place")))).alias("b"))
+    fresh = (F.col("days") > 0) & (F.col("days") < FRESH_DAYS)
+    six = lambda c: F.round(f"b.{c}", 6).alias(c)
+    return best.select(F.coalesce("b.family", F.lit("universal")).alias("family"), F.coalesce("b.figure", F.when(fresh, "first days").otherwise("totals")).alias("figure"), six("value"), six("threshold"), six("clearance"))

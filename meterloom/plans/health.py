@@ -90,6 +90,7 @@ def queries() -> dict[str, Callable]:
         "metric_layers": layers,
         "share_axes": lambda x: health.axes(facts(x)),
         "share_archetype": lambda x: health.archetype(facts(x)),
+        "share_hook": lambda x: health.hook(facts(x), health.hook_counts(x.cube, x.sessions, x.usage, NOW)),
         "export_read": export_read,
         "restate_signals": restated,
         "path_categories": changes,
@@ -158,6 +159,17 @@ def oracle_sql() -> dict[str, str]:
           SELECT n_sequences, round(ex, 6) AS excluded_share, round(covered, 6) AS covered, round((1 - ex) * covered, 6) AS covering FROM x""",
         "metric_layers": " SELECT metric, CASE WHEN metric IN ('concentration', 'rework', 'throughput') THEN 'output' ELSE 'activity' END AS layer, (SELECT count(*) FROM u) AS records FROM (VALUES " + ", ".join(f"('{n}')" for n in metrics.METRICS) + ") t(metric)",
         "share_axes": f"{facts} {axes}",
+        "share_hook": f"""{facts}, n AS (
+            SELECT sum(tokens) AS tokens, sum(lines_added) FILTER (WHERE tool IN ('claude-code', 'codex', 'copilot-cli')) AS lines,
+                   sum(tool_reads + tool_searches + tool_commands + tool_writes + tool_other) FILTER (WHERE tool IN ('claude-code', 'codex')) AS tool_calls,
+                   sum(rejected) FILTER (WHERE tool = 'claude-code') AS rejections, sum(cost) AS cost, count(DISTINCT model) FILTER (WHERE tokens > 0 AND model <> '') AS models FROM cube),
+          d AS (SELECT avg((dayofweek(first_ts) IN (0, 6))::integer) AS weekend FROM sessions),
+          h(place, family, figure, value, threshold) AS (
+            SELECT x.* FROM f, n, d, LATERAL (VALUES (0, 'scale', 'tokens', n.tokens::double, 1e9), (1, 'scale', 'sessions_per_day', f.sessions_per_day, 20), (2, 'scale', 'lines', n.lines, 50000), (3, 'scale', 'tool_calls', n.tool_calls, 20000),
+              (4, 'counterintuition', 'conversational', f.conversational * 100, 70), (5, 'counterintuition', 'commands', f.commands * 100, 40), (6, 'counterintuition', 'delegation', f.delegation * 100, 10), (7, 'counterintuition', 'models', n.models, 5),
+              (8, 'money', 'cost', n.cost, 1000), (10, 'human', 'off_hours', f.off_hours * 100, 45), (11, 'human', 'weekend', d.weekend * 100, 20), (12, 'self-critical', 'rework', f.rework * 100, 3),
+              (13, 'self-critical', 'premium', f.premium * 100, 80), (14, 'self-critical', 'rejections', n.rejections, 100), (15, 'craft', 'cache_read', f.cache_read * 100, 95)) x)
+          SELECT family, figure, round(value, 6) AS value, threshold::double AS threshold, round(ln(value / threshold), 6) AS clearance FROM h WHERE value > threshold ORDER BY value / threshold DESC, place LIMIT 1""",
         "share_archetype": f"{facts} SELECT [{names}][k] AS name, k AS place FROM (SELECT CASE {kinds} END AS k FROM f)",
         "export_read": """, g AS (SELECT tool, day, model, sum(tokens)::bigint AS tokens FROM cube GROUP BY ALL)
           SELECT CASE WHEN tool = 'copilot-cli' THEN '' ELSE day END AS day, count(*) AS n,

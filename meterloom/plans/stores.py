@@ -129,7 +129,17 @@ def survival_blame(x) -> DataFrame:
     return repos.survival(repos.numstat(log), repos.blamed(text), read)
 
 
+def digest_stored(x) -> DataFrame:
+    """Three runs' tokens by tool, each over the records known by then, and what the last says against the one before."""
+    store = stores.Store(x.spark, scratch_path(x.spark, "store"))
+    for taken in RUNS:
+        values = x.read("usage_record").where(F.col("ts") < F.lit(taken).cast("timestamp_ntz")).groupBy(F.col("tool").alias("metric")).agg(F.sum("output_tokens").alias("value"))
+        stores.snapshot(store, "30d", taken, values)
+    return stores.digest(store, "30d")
+
+
 STEP_DAYS = 20
+RUNS = ("2024-01-12 00:00:00", "2024-01-18 00:00:00", "2024-01-24 00:00:00")
 
 
 def stream_steps(x) -> DataFrame:
@@ -158,7 +168,7 @@ def rule_alerts(x) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {q.__name__: q for q in (stream_logs, stream_steps, rule_alerts, clear_generation, push_whole, project_roots, numstat_quoted, survival_blame)}
+    return {q.__name__: q for q in (stream_logs, stream_steps, rule_alerts, digest_stored, clear_generation, push_whole, project_roots, numstat_quoted, survival_blame)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -175,6 +185,8 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(b.target_ref, a.target_ref) AS target_ref, coalesce(b.tokens, a.tokens) AS tokens, coalesce(b.ordinal, a.ordinal) AS ordinal, coalesce(a.kind, b.kind) AS kind, coalesce(a.ts, b.ts) AS ts
             FROM (SELECT * FROM st WHERE e % 3 <> 0) a FULL JOIN so b ON a.tool = b.tool AND a.timeline = b.timeline AND a.dedupe_key = b.dedupe_key)
           SELECT * EXCLUDE (ts) FROM m WHERE ts >= (SELECT max(ts) FROM m) - INTERVAL {STEP_DAYS} DAY""",
+        "digest_stored": PRELUDE.rstrip() + f""", v AS (SELECT tool AS metric, sum(output_tokens) FILTER (WHERE ts < TIMESTAMP '{RUNS[2]}')::double AS value, sum(output_tokens) FILTER (WHERE ts < TIMESTAMP '{RUNS[1]}')::double AS before
+            FROM usage_record WHERE ts < TIMESTAMP '{RUNS[2]}' GROUP BY tool) SELECT *, value - before AS change FROM v""",
         "rule_alerts": f"""WITH v AS ({metric_oracles.metrics()["confidence_axes"]})
           SELECT 'watched' AS rule, 'error' AS severity, metric FROM v WHERE read = 'watch' AND confidence IN ('high', 'medium')
           UNION ALL SELECT 'thin', 'warn', metric FROM v WHERE samples < 3 OR covering < 0.5 UNION ALL SELECT 'unknown', 'error', ''""",

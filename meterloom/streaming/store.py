@@ -17,7 +17,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -232,3 +232,13 @@ def push(store: Store, records: DataFrame, name: str, member: str, now: str) ->
             fresh.unpersist()
     finally:
         judged.unpersist()
+
+
+def digest(store: Store, window: str, at: Generation | None = None) -> DataFrame:
+    """metric, value, before, change of a window: its newest stored run against the one before. What was never kept, or was cleared with
+    the records that it spoke of, has nothing to be compared with."""
+    kept = store.table("snapshots", at).where(F.col("window") == window)
+    runs = kept.select("taken").distinct().orderBy(F.desc("taken")).limit(2).withColumn("run", F.row_number().over(Window.orderBy(F.desc("taken"))))  # two rows
+    told = kept.join(runs, "taken").withColumn("value", F.col("value").cast("double"))
+    run = lambda n: F.max(F.when(F.col("run") == n, F.col("value")))
+    return told.groupBy("metric").agg(run(1).alias("value"), run(2).alias("before")).withColumn("change", F.col("value") - F.col("before"))

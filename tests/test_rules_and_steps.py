@@ -65,3 +65,34 @@ def test_steps_are_merged_in_state_and_leave_it(spark, tmp_path):
     assert {x.dedupe_key for x in streamed.kept_steps(stores.steps(store)).collect()} == {"8", "9"}
     streamed.prune(store, "2026-06-25 00:00:00", 30)
     assert {x.dedupe_key for x in stores.steps(store).collect()} == {"8", "9"}
+
+
+FACTS = "sessions_per_day double, conversational double, commands double, delegation double, off_hours double, rework double, premium double, cache_read double"
+COUNTS = "tokens long, lines long, tool_calls long, rejections long, cost double, models long, weekend double, history_days double, plan double"
+
+
+@pytest.mark.parametrize(("facts", "counts", "wanted"), [
+    ((1.0, 0.5, 0.1, 0.01, 0.1, 0.01, 0.1, 0.1), (10**9, 50_000, None, 100, None, 5, 0.2, 90.0, 1.0), ("universal", "totals", None)),  # at a threshold none is cleared
+    ((None,) * 8, (5, None, None, None, None, 1, None, 2.0, None), ("universal", "first days", None)),
+    ((40.0, 0.9, 0.1, 0.2, 0.9, 0.06, 0.1, 0.1), (2 * 10**9, 1, 1, 1, 1.0, 1, 0.1, 90.0, None), ("scale", "tokens", 2e9)),  # ties go to the first
+    ((40.0, 0.9, 0.1, 0.31, 0.9, 0.06, 0.1, 0.1), (2 * 10**9, 1, 1, 1, 1.0, 1, 0.1, 90.0, None), ("counterintuition", "delegation", 31.0)),
+])
+def test_the_opening_figure_clears_its_threshold_by_most(spark, facts, counts, wanted):
+    from meterloom.operators import health
+
+    got = health.hook(spark.createDataFrame([facts], FACTS), spark.createDataFrame([counts], COUNTS))
+    assert got.columns == ["family", "figure", "value", "threshold", "clearance"]
+    assert tuple(got.select("family", "figure", "value").first()) == wanted
+
+
+def test_a_digest_compares_stored_runs(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "store"))
+    values = lambda **v: spark.createDataFrame(list(v.items()), "metric string, value double")
+    assert stores.digest(store, "7d").collect() == []
+    stores.snapshot(store, "7d", "2026-07-01 00:00:00", values(a=1.0, b=2.0))
+    assert sorted(tuple(x) for x in stores.digest(store, "7d").collect()) == [("a", 1.0, None, None), ("b", 2.0, None, None)]
+    stores.snapshot(store, "7d", "2026-07-03 00:00:00", values(a=4.0, c=5.0))
+    stores.snapshot(store, "30d", "2026-07-04 00:00:00", values(a=100.0))
+    assert sorted(tuple(x) for x in stores.digest(store, "7d").collect()) == [("a", 4.0, 1.0, 3.0), ("b", None, 2.0, None), ("c", 5.0, None, None)]
+    stores.clear(store)
+    assert stores.digest(store, "7d").collect() == []
