@@ -20,7 +20,7 @@ PURPOSES = ("tool_calls", "tool_reads", "tool_searches", "tool_commands", "tool_
 def usage(x, tool: str) -> DataFrame:
     rows = x.read("usage_record").where(F.col("tool") == tool)
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return rows.withColumns({"e": F.substring("dedupe_key", 2, 20).cast("long"), "at": stamp, "bucket": F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("string")})
+    return rows.withColumns({"e": F.substring("dedupe_key", 2, 20).cast("long"), "at": stamp, "bucket": (F.substring("session_id", 2, 20).cast("long") % BUCKETS).cast("string")})
 
 
 def said(**fields) -> Column:
@@ -186,6 +186,6 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT session_id, kind, CASE WHEN kind = 'command' AND tool_errors > 0 THEN 'error' ELSE '' END, ts,
               CASE col WHEN 'tool_reads' THEN tool_reads WHEN 'tool_searches' THEN tool_searches WHEN 'tool_commands' THEN tool_commands WHEN 'tool_writes' THEN tool_writes ELSE tool_other END FROM c, kinds)
           SELECT session_id, kind, outcome, sum(n)::bigint AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s WHERE n > 0 GROUP BY ALL""",
-        "src_skipped_lines": f" SELECT least({BUCKETS}, count(DISTINCT session_id)) AS files, count(*) AS skipped FROM usage_record WHERE tool = 'claude-code'",
+        "src_skipped_lines": f" SELECT count(DISTINCT cast(substr(session_id, 2) AS bigint) % {BUCKETS}) AS files, count(*) AS skipped FROM usage_record WHERE tool = 'claude-code'",
     }
     return {k: PRELUDE.rstrip() + v for k, v in out.items()}
