@@ -131,6 +131,7 @@ def _core() -> dict[str, Callable[[Facts], DataFrame]]:
         "price_normalise": lambda x: x.read("usage_record").select("model").distinct().withColumn("plain_model", pricing.normalized(F.col("model"))),
         "drill_project": _top_project,
     }
+    out["report_total"] = lambda x: reports.with_total(reports.report(x.cube, "entrypoint")).select("name", "granularity", "tokens", "unpriced_tokens", "cost", "cache_eff")
     for by in ("day", "project", "tool", "model", "entrypoint"):
         out[f"report_by_{by}"] = lambda x, by=by: reports.report(x.cube, by)
         out[f"effectiveness_by_{by}"] = lambda x, by=by: reports.effectiveness(x.cube, by)

@@ -33,6 +33,18 @@ def report(cube: DataFrame, by: str) -> DataFrame:
     return out.withColumn("cache_eff", F.round(F.when(fresh != 0, F.col("cache_read_tokens") / fresh), 6)).withColumn("cost", F.round("cost", 9))
 
 
+def with_total(rows: DataFrame) -> DataFrame:
+    """A report's rows by a group, blank names as (unknown), and one of all of them, TOTAL. Its cost is that of the priced rows alone, as
+    every row's is; unpriced_tokens says what that leaves out."""
+    sums = [c for c, kind in rows.dtypes if kind == "bigint"]
+    fresh = F.col("input_tokens") + F.col("cache_read_tokens")
+    kinds = F.countDistinct("granularity")
+    total = rows.agg(F.when(kinds > 1, "mixed").otherwise(F.max("granularity")).alias("granularity"), *(F.sum(c).alias(c) for c in sums), F.round(F.sum("cost"), 9).alias("cost")).where("granularity IS NOT NULL")
+    total = total.withColumn("name", F.lit("TOTAL")).withColumn("cache_eff", F.round(F.when(fresh != 0, F.col("cache_read_tokens") / fresh), 6))
+    named = rows.withColumn("name", F.when(F.coalesce("name", F.lit("")) == "", "(unknown)").otherwise(F.col("name")))
+    return named.unionByName(total.select(*rows.columns))
+
+
 def per_100_lines(cost: Column, lines: Column) -> Column:
     return F.when(lines != 0, cost / (lines / 100))
 

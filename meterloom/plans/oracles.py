@@ -114,6 +114,9 @@ def core() -> dict[str, str]:
         "history": "SELECT tool, count(*) AS n_records, min(ts) AS history_start, max(ts) AS newest FROM usage_record GROUP BY tool",
         "step_horizon": "SELECT count(*) AS n_steps, min(ts) AS oldest, max(ts) AS newest FROM session_step",
         "report_by_day": _report("cube", "day"),
+        "report_total": f"""SELECT coalesce(nullif(name, ''), '(unknown)') AS name, granularity, tokens, unpriced_tokens, cost, cache_eff FROM ({_report("cube", "entrypoint")})
+            UNION ALL SELECT 'TOTAL', CASE WHEN count(DISTINCT granularity) > 1 THEN 'mixed' ELSE max(granularity) END, sum(tokens)::bigint, sum(unpriced_tokens)::bigint, round(sum(cost), 9),
+            round(sum(cache_read_tokens) / sum(input_tokens + cache_read_tokens)::double, 6) FROM cube""",
         "movers_project": _movers("project"),
         "movers_tool": _movers("tool"),
         "insights_hot": _stats("project", f"project <> '' AND day >= '{RECENT}'", top),

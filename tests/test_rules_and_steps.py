@@ -96,3 +96,24 @@ def test_a_digest_compares_stored_runs(spark, tmp_path):
     assert sorted(tuple(x) for x in stores.digest(store, "7d").collect()) == [("a", 4.0, 1.0, 3.0), ("b", None, 2.0, None), ("c", 5.0, None, None)]
     stores.clear(store)
     assert stores.digest(store, "7d").collect() == []
+
+
+def test_windows_by_name():
+    from meterloom.functions import windows
+
+    assert windows.since("7d", "2026-07-20 15:30:00") == "2026-07-13 15:30:00"
+    # 2 * 7 whole days, the later seven from the 14th to today
+    assert windows.compared("7d", "2026-07-20 15:30:00") == ("2026-07-07 00:00:00", "2026-07-14")
+    assert windows.compared("1d", "2026-03-01 00:00:00") == ("2026-02-28 00:00:00", "2026-03-01")
+    for wrong in ("", "7", "7h", "d", "0d", "-3d", "7 d", "7d\n"):
+        with pytest.raises(ValueError, match="window"):
+            windows.days_of(wrong)
+
+
+def test_reports_have_a_total_and_a_name_for_nameless_groups(spark):
+    from meterloom.operators import reports
+
+    rows = spark.createDataFrame([("", "turn", 3, 1, 10, 0, 1.5, 0.25), ("cli", "turn", 1, 3, 20, 20, None, 0.75)], "name string, granularity string, input_tokens long, cache_read_tokens long, tokens long, unpriced_tokens long, cost double, cache_eff double")
+    got = {x.name: tuple(x)[1:] for x in reports.with_total(rows).collect()}
+    assert got == {"(unknown)": ("turn", 3, 1, 10, 0, 1.5, 0.25), "cli": ("turn", 1, 3, 20, 20, None, 0.75), "TOTAL": ("turn", 4, 4, 30, 20, 1.5, 0.5)}
+    assert reports.with_total(rows.limit(0)).collect() == []
