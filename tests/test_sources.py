@@ -109,3 +109,32 @@ def test_covered_agents_and_steps(spark, tmp_path):
     assert [r["dedupe_key"] for r in rows(transcripts.records(spark, path, covered))] == ["r1", "u8"]
     got = [(r["kind"], r["outcome"]) for r in rows(transcripts.steps(spark, path), "ordinal")]
     assert got == [("assistant", ""), ("read", "error"), ("edit", "ok"), ("compaction", ""), ("assistant", ""), ("command", "ok")]
+
+
+def test_steps_name_their_targets(spark, tmp_path):
+    said = lambda uuid, *tools, **k: {"type": "assistant", "uuid": uuid, "sessionId": "s", "timestamp": "2025-05-01T10:00:00Z", "message": {"model": "m", "id": f"r-{uuid}", "usage": {"input_tokens": 3, "output_tokens": 4, "cache_read_input_tokens": 5, "cache_creation_input_tokens": 6}, "content": list(tools), "stop_reason": k.pop("stop", None)}, **k}
+    tool = lambda i, name, **k: {"type": "tool_use", "id": i, "name": name, "input": k}
+    back = lambda uuid, i, err, **k: {"type": "user", "uuid": uuid, "message": {"content": [{"type": "tool_result", "tool_use_id": i, "is_error": err}]}, **k}
+    path = put(tmp_path / "t.jsonl", [
+        said("1", tool("a", "Read", file_path="src/x.py"), cwd="/w/p", stop="end_turn"),
+        said("2", tool("b", "Edit", file_path="/w/p/src/../src/x.py"), tool("c", "NotebookEdit", notebook_path="C:\\w\\n.ipynb"), tool("", "Bash"), tool("", "Grep"), stop="max_tokens"),
+        back("3", "b", True), back("4", "b", False), back("5", "c", True, toolDenialKind="user"), back("6", "zz", False),
+        said("7", tool("d", "Write", file_path="C:/w/n.ipynb"), tool("e", "Read", file_path="//host/w/p"), tool("f", "Read", file_path="/host/w/p"), stop="tool_use"),
+        {"uuid": "8", "subtype": "compact_boundary", "sessionId": "s", "timestamp": "2025-05-01T10:00:02Z"}, {"uuid": "9", "isCompactSummary": True},
+    ])
+    got = [(r["dedupe_key"], r["kind"], r["outcome"], r["tokens"], r["target_ref"], r["ordinal"]) for r in rows(transcripts.steps(spark, path), "ordinal")]
+    assert got == [
+        ("r-1", "assistant", "ok", 18, 0, 1), ("a", "read", "", 0, 1, 2),
+        ("r-2", "assistant", "truncated", 18, 0, 3), ("b", "edit", "ok", 0, 1, 4), ("c", "edit", "denied", 0, 2, 5), ("r-2:0", "command", "", 0, 0, 6), ("r-2:1", "search", "", 0, 0, 7),
+        ("r-7", "assistant", "", 18, 0, 8), ("d", "edit", "", 0, 2, 9), ("e", "read", "", 0, 3, 10), ("f", "read", "", 0, 4, 11), ("8:compaction", "compaction", "", 0, 0, 12),
+    ]
+
+
+def test_paths_are_cleaned(spark):
+    from pyspark.sql import functions as F
+
+    from meterloom.functions.logs import clean
+
+    cases = {"/a/./b//c/..": "/a/b", "a/../..": "..", "/..": "/", "": ".", ".": ".", "/": "/", "a/b/../../c/": "c", "../a": "../a", "/a/../../b": "/b"}
+    got = spark.createDataFrame([(k,) for k in cases], "p string").select("p", clean(F.col("p")).alias("c")).collect()
+    assert {r.p: r.c for r in got} == cases
