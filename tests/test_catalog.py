@@ -6,12 +6,12 @@ import duckdb
 import pytest
 
 from meterloom import catalog
-from meterloom.plans import health, logs
+from meterloom.plans import health, logs, stores
 
 DATA = "/root/testdata/sf0.001"
 SAMPLE = (
     "event_adapter", "effectiveness_by_project", "rework_recurrence", "asof_model", "delta_counters", "restate_activity", "validate_records", "reconcile_scope",
-    "reconcile_delta", "movers_project", "insights_going_stale", "insights_dormant_tools", "share_rays", *logs.queries(), *health.queries(),
+    "reconcile_delta", "movers_project", "insights_going_stale", "insights_dormant_tools", "share_rays", "report_total", *logs.queries(), *health.queries(), *stores.queries(),
 )
 
 
@@ -23,7 +23,8 @@ def plain(value):
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_gives_the_rows_of_its_sql(spark, name):
     db = duckdb.connect()
-    db.execute(f"create view events as select * from '{DATA}/events.parquet'")
+    for table in ("events", "lineitem"):
+        db.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     got = catalog.queries()[name](spark, DATA)
     want = db.execute(catalog.oracle_sql()[name])
     columns = [c[0] for c in want.description]
