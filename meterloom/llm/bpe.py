@@ -14,7 +14,7 @@ from typing import Any
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-CACHE_UNITS = 1 << 18  # units of each of the two generations that a worker remembers; what is forgotten costs time only
+CACHE_UNITS = 1 << 17  # units of each of the two generations that a worker remembers; what is forgotten costs time only
 LATEST = "\u04ff"  # the last letter of whose kind Python is trusted to say what the library says
 
 
