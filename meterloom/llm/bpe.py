@@ -14,7 +14,7 @@ from typing import Any
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
-CACHE_UNITS = 1 << 17  # units of each of the two generations that a worker remembers; what is forgotten costs time only
+CACHE_UNITS = 1 << 18  # units of each of the two generations that a worker remembers, by default; what is forgotten costs time only
 LATEST = "\u04ff"  # the last letter of whose kind Python is trusted to say what the library says
 
 
@@ -73,10 +73,10 @@ class Encoder:
     punctuation after a letter or digit only what stands before it is remembered.
     """
 
-    def __init__(self, vocabulary: str | Tokenizer, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None):
+    def __init__(self, vocabulary: str | Tokenizer, value: Callable[[list[int]], Any], join: Callable[[Iterable], Any], known: dict[str, Any] | None = None, remembered: int | None = None):
         self.tokenizer = Tokenizer.from_file(vocabulary) if isinstance(vocabulary, str) else vocabulary
         self.tokenize = self.tokenizer.model.tokenize
-        self.value, self.join = value, join
+        self.value, self.join, self.remembered = value, join, remembered or CACHE_UNITS
         self.known = known or {}
         self.units: dict[str, Any] = dict(self.known)
         self.before: dict[str, Any] = {}
@@ -93,7 +93,7 @@ class Encoder:
         """The value of ASCII punctuation after a letter or digit."""
         value = self.tails.get(tail)
         if value is None:
-            if len(self.tails) > CACHE_UNITS // 8:
+            if len(self.tails) > self.remembered // 8:
                 self.tails.clear()
             value = self.tails[tail] = self._whole([tail])[0]
         return value
@@ -118,7 +118,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[Any]:
         """The joined value of each text."""
-        if len(self.units) > CACHE_UNITS + len(self.known):
+        if len(self.units) > self.remembered + len(self.known):
             self.units, self.before = dict(self.known), self.units
         run = Run(self)
         out: list[Any] = [None] * len(texts)

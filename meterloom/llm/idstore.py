@@ -117,11 +117,11 @@ def cuts(ids: np.ndarray, sizes: list[int]) -> list[list[int]]:
     return out
 
 
-def _cut_documents(path: str, end_id: int):
+def _cut_documents(path: str, end_id: int, remembered: int | None = None):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = worker_encoder((path, "ids", end_id), lambda: IdsEncoder(path, end_id))
+        encoder = worker_encoder((path, "ids", end_id, remembered), lambda: IdsEncoder(path, end_id, remembered))
         width = encoder.width
         row, seen = TaskContext.get().partitionId() << 40, set()
         end = end_id.to_bytes(width, "little")
@@ -154,11 +154,11 @@ def _cut_documents(path: str, end_id: int):
 class IdsEncoder(Encoder):
     """Its values are ids as bytes, ``width`` bytes an id; low byte first on all platforms that Spark runs on."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remembered: int | None = None):
         tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         code = "H" if self.width == 2 else "I"
-        super().__init__(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join)
+        super().__init__(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join, remembered=remembered)
 
 
 _CUT_TYPES = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
@@ -178,10 +178,10 @@ def _manifest(batches):
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((part, n_docs, n_tokens, first, last, tree.root()), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=MANIFEST.names)
 
 
-def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> str:
+def write_store(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, remembered: int | None = None) -> str:
     """Writes the documents (doc_id, text) to a store in ``folder``, which driver and executors share."""
     spark = docs.sparkSession
-    cutting = _cut_documents(vocabulary or vocabulary_path(), end_id)
+    cutting = _cut_documents(vocabulary or vocabulary_path(), end_id, remembered)
     pieces = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cutting, CUT)
     one = F.row_number().over(Window.partitionBy("dest", "kind").orderBy("width"))
     pieces.withColumn("n", one).where("n = 1").drop("n").write.partitionBy("kind").option("compression", "zstd").parquet(folder)
@@ -333,7 +333,8 @@ def read_store(spark, folder: str) -> DataFrame:
     return placed.join(built, placed.row == built.of, "left").select("doc_id", (F.col("base") + F.col("ahead")).alias("start"), whole.alias("n_tokens"), F.col("got.crc").alias("ids_crc32"))
 
 
-def stored(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Writes ``docs`` to a store in the shared folder and reads it back."""
+def stored(docs: DataFrame, vocabulary: str | None = None, remembered: int | None = None) -> DataFrame:
+    """Writes ``docs`` to a store in the shared folder and reads it back. ``remembered``: how many units a worker keeps, where memory is
+    short; what it forgets costs time only."""
     spark = docs.sparkSession
-    return read_store(spark, write_store(docs, scratch_path(spark, "idstore"), vocabulary))
+    return read_store(spark, write_store(docs, scratch_path(spark, "idstore"), vocabulary, remembered=remembered))
