@@ -25,8 +25,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+#: Units that a worker remembers in the last stage: workers of the stages before still hold memory then.
+REMEMBERED = 1 << 17
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return idstore.stored(docs)
+    return idstore.stored(docs, remembered=REMEMBERED)
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix), ("token_ids", token_ids)]
