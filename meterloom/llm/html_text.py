@@ -64,7 +64,7 @@ STRONG = frozenset("ad ads advert adverts advertisement adbox adsense cookie coo
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 NEUTRAL = frozenset("area article bar block body bottom box btn button buttons card center col column container content current el element entry fixed form global group head inline inner item items js l label large layer left link links list main message mobile module outer page pane panel policy post posts primary reader readers right row secondary section sections side site slot small sticky text thread title top unit user users wide wrap wrapper wp".split())
 #: Words in a recurring block's text that tell that it is no part of the article.
-TOLD = frozenset("advertisement newsletter sponsored subscribe".split())
+_TOLD = re.compile(r"\b(?:advertisement|newsletter|sponsored|subscribe)\b", re.IGNORECASE)
 #: Blocks that may go inside the content if they recur.
 BOILERPLATE = WEAK | STRONG | COMMENTS
 KNOWN = BOILERPLATE | NEUTRAL
@@ -92,7 +92,7 @@ _PARTS = re.compile(r"[^a-z]+")
 
 
 class Element:
-    __slots__ = ("apart", "children", "dropped", "end", "holds", "linked", "mark", "name", "prose", "prose_words", "sign", "slot", "start", "tag_end", "total", "words")
+    __slots__ = ("children", "dropped", "end", "holds", "linked", "mark", "name", "prose", "prose_words", "sign", "slot", "start", "tag_end", "total", "words")
 
     def __init__(self, name: str, start: int, tag_end: int, dropped: bool = False, mark: int = 0, slot: str = ""):
         self.name, self.start, self.tag_end, self.end, self.children = name, start, tag_end, -1, []
@@ -218,7 +218,7 @@ def sign(page: str, root: Element) -> None:
     forms = []
     for e in reversed(list(_walk(root))):  # children stand after their parents
         told = [" ".join(page[e.start : e.tag_end].split())]
-        e.prose, e.words, e.total, e.linked, e.prose_words, e.apart = False, 0, 0, 0, 0, False
+        e.prose, e.words, e.total, e.linked, e.prose_words = False, 0, 0, 0, 0
         e.holds = TITLE if e.name == "h1" else CONTENT if e.name == "main" or (e.name == "article" and not e.mark) else 0
         for c in e.children:
             if not isinstance(c, Element):
@@ -226,14 +226,12 @@ def sign(page: str, root: Element) -> None:
                 told.append(" ".join(words))
                 e.words += len(words)
                 e.total += len(words)
-                e.apart |= not TOLD.isdisjoint(_bare(words))
             elif not c.dropped:
                 told.append(f"\x00{c.sign}")
                 e.holds |= c.holds
                 e.total += c.total
                 e.linked += c.linked
                 e.prose_words += c.prose_words
-                e.apart |= c.apart
                 if c.name != "a":
                     e.prose |= c.prose
                     if c.name not in BLOCKS:
@@ -252,10 +250,6 @@ def sign(page: str, root: Element) -> None:
         e.dropped = not e.holds and (not e.prose or 2 * e.prose_words < root.prose_words)
 
 
-def _bare(words: list[str]) -> list[str]:
-    return [w.strip(".,:;!?()").lower() for w in words if len(w) < 20]
-
-
 def _walk(root: Element):
     """The elements, parents first, without what goes in any case."""
     stack = [root]
@@ -290,9 +284,11 @@ def _recurs(e: Element, template: Template) -> bool:
     return e.name not in WHOLE and not e.holds and e.sign in (template.prose if e.prose else template.inside)
 
 
-def _is_apart(e: Element) -> bool:
+def _is_apart(page: str, e: Element) -> bool:
     """Whether a block inside the content looks like no part of it."""
-    return e.name in APART and (e.apart or (e.total > 0 and LINKED * e.linked >= e.total))
+    if e.name not in APART:
+        return False
+    return (e.total > 0 and LINKED * e.linked >= e.total) or any(_TOLD.search(page, *c) for x in _walk(e) for c in x.children if isinstance(c, tuple))
 
 
 def _regions(root: Element, template: Template) -> list[Element]:
@@ -374,7 +370,7 @@ def _blocks(page: str, region: Element, template: Template, flow: Element | None
             block = c.name in BLOCKS
             if block:
                 flush()
-            goes = _boilerplate(c, inside, template) or (block and _recurs(c, template) and (not flowing or _is_apart(c)))
+            goes = _boilerplate(c, inside, template) or (block and _recurs(c, template) and (not flowing or _is_apart(page, c)))
             if not goes:
                 stack.append((iter(c.children), block, inside or c.name in ("article", "main"), flowing or c is flow))
     flush()
