@@ -23,8 +23,29 @@ def upto(by: str | list[str], order: str | list[str], last: int = 0):
 
 def dedupe_lines(lines: DataFrame, file: str = "file", uuid: str = "uuid", line: str | list[str] = "line") -> DataFrame:
     """Drops lines whose uuid was seen before in the file; an empty one is never a repeat."""
-    n = F.row_number().over(Window.partitionBy(file, uuid).orderBy(*_listed(line)))
-    return lines.withColumn("_n", n).where((F.col(uuid) == "") | (F.col("_n") == 1)).drop("_n")
+    return lines.withColumn("_again", repeated(file, uuid, line)).where("NOT _again").drop("_again")
+
+
+def alone(shared: Column, line: str | list[str]) -> Column:
+    """A further key for rows that share nothing: each of them is a group of its own, so that no group holds all of a file's."""
+    return F.when(~shared, F.struct(*_listed(line)))
+
+
+def repeated(file: str = "file", uuid: str = "uuid", line: str | list[str] = "line") -> Column:
+    """Whether a line's uuid was seen before in the file; an empty one is never a repeat."""
+    named = F.col(uuid) != ""
+    return named & (F.row_number().over(Window.partitionBy(file, uuid, alone(named, line)).orderBy(*_listed(line))) > 1)
+
+
+def carried(rows: DataFrame, narrow: DataFrame, said: dict[str, Column], stretch: list[str], line: list[str], file: str = "file") -> DataFrame:
+    """Adds to the rows, by name, what ``said`` (null where a row says nothing) said last in their file before their stretch. A file is
+    as long as it likes: what each stretch says last is few rows, which alone are put in their file's order. ``narrow`` has the rows
+    that are asked, or as many of their columns as ``said`` needs."""
+    place = F.struct(*line)
+    last = narrow.groupBy(file, *stretch).agg(*(F.max_by(c, F.when(c.isNotNull(), place)).alias(name) for name, c in said.items()))
+    ahead = upto(file, stretch, -1)
+    before = last.select(file, *stretch, *(F.last(name, ignorenulls=True).over(ahead).alias(name) for name in said))
+    return rows.join(before.hint("shuffle_hash"), [file, *stretch])
 
 
 def first_said(value: str, order: str) -> Column:

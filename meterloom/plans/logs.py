@@ -18,7 +18,8 @@ PURPOSES = ("tool_calls", "tool_reads", "tool_searches", "tool_commands", "tool_
 
 
 def usage(x, tool: str) -> DataFrame:
-    rows = x.read("usage_record").where(F.col("tool") == tool)
+    # a record's lines are many, so few splits of the given table are dealt to all cores first
+    rows = x.read("usage_record").where(F.col("tool") == tool).repartition(4 * x.spark.sparkContext.defaultParallelism, "dedupe_key")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.withColumns({"e": F.substring("dedupe_key", 2, 20).cast("long"), "at": stamp, "bucket": (F.substring("session_id", 2, 20).cast("long") % BUCKETS).cast("string")})
 

@@ -1,8 +1,9 @@
 """Transcripts that write one API response over many lines, with sub-agents, as usage records and steps.
 
 A log is read and parsed once: ``facts`` turns each line into the few values that records and steps rest on, and needs no other line for
-it. What lines say about each other (what holds until it is said anew, repeats, which response a result belongs to) are windows over a
-file's facts, after one shuffle by file. An import keeps facts, so that it parses no line twice however often a log grows.
+it. What lines say about each other (what holds until it is said anew, repeats, which response a result belongs to) are windows over
+stretches of a file's facts, so that a task's memory does not grow with a file. An import keeps facts, so that it parses no line twice
+however often a log grows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from meterloom.functions.logs import basename, content_lines, count, seconds, target_key, text, token
 from meterloom.operators import etl
+from meterloom.session import cut
 from meterloom.sources.lines import STEP_OF, as_usage, placed_lines, purpose
 
 TOKENS = (
@@ -40,6 +42,9 @@ SAID = ("cwd", "branch", "entry", "agent_id")
 COUNTS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "cache_write_1h")
 #: The order of a file's lines: where a split of the file begins, and the place in it.
 ORDER = ["at", "n"]
+#: Powers of two: the bytes (of lines placed by their byte) and lines (placed by their number) of a stretch of a file.
+STRETCH_BYTES, STRETCH_LINES = 24, 15
+STRETCH = ["byte_stretch", "line_stretch"]
 #: What a response's stop says of it.
 STOPS = {"end_turn": "ok", "stop_sequence": "ok", "max_tokens": "truncated"}
 
@@ -99,17 +104,29 @@ def facts(lines: DataFrame, *kept: str) -> DataFrame:
     )
 
 
+def _stretched(found: DataFrame) -> DataFrame:
+    """Adds which stretch of its file a line lies in. Stretches follow each other as the lines do and are of bounded length."""
+    return found.withColumns({"byte_stretch": F.shiftright("at", STRETCH_BYTES), "line_stretch": F.shiftright("n", STRETCH_LINES)})
+
+
 def shaped(found: DataFrame) -> DataFrame:
-    """Facts in their file's order: without lines read before, with what holds until it is said anew carried on before that, with the
-    response that a line belongs to (``owner``) and the one before it (``before``), and where a loss of context starts."""
-    lines = etl.dedupe_lines(etl.carry_forward(found.repartition("file"), list(SAID), line=ORDER), line=ORDER)
-    is_response = F.col("kind") == "assistant"
-    owned = etl.attach_to_last(lines, is_response, "key", line=ORDER)
-    ahead = etl.upto("file", ORDER, -1)
-    before = F.last(F.when(is_response, F.col("key")), ignorenulls=True).over(ahead)
-    lost_before = F.last(F.when(F.col("kind") != "denial", F.col("kind") == "compaction"), ignorenulls=True).over(ahead)
-    starts = (F.col("kind") == "compaction") & ~F.coalesce(lost_before, F.lit(False))
-    return owned.withColumn("before", before).withColumn("starts", starts)
+    """Facts without lines read before, with what holds until it is said anew carried on before that, with the response that a line
+    belongs to (``owner``) and the one before it (``before``), and where a loss of context starts. No task holds a whole file: windows
+    are over stretches of files, to which what was said before them is brought. ``found`` is read twice, so it should be a written table."""
+    is_response, kind = F.col("kind") == "assistant", F.col("kind")
+    lost = F.when(~F.col("again") & (kind != "denial"), kind == "compaction")
+    answered = F.when(~F.col("again") & is_response, F.col("key"))
+    told = {c: F.when(F.col(c) != "", F.col(c)) for c in SAID}
+    marked = lambda lines: _stretched(lines).withColumn("again", etl.repeated(line=ORDER))
+    narrow = marked(found.select("file", *ORDER, "kind", "key", "uuid", *SAID))
+    lines = etl.carried(marked(found), narrow, {f"past_{c}": v for c, v in told.items()} | {"past_key": answered, "past_lost": lost}, STRETCH, ORDER)
+    here, ahead = (etl.upto(["file", *STRETCH], ORDER, last) for last in (0, -1))
+    so_far = lambda c, over, past: F.coalesce(F.last(c, ignorenulls=True).over(over), F.col(past))
+    starts = (kind == "compaction") & ~F.coalesce(so_far(lost, ahead, "past_lost"), F.lit(False))
+    return lines.withColumns(
+        {c: F.coalesce(so_far(v, here, f"past_{c}"), F.lit("")) for c, v in told.items()}
+        | {"owner": so_far(answered, here, "past_key"), "before": so_far(answered, ahead, "past_key"), "starts": starts}
+    ).where("NOT again")
 
 
 def _how_many(values: Column, value: str) -> Column:
@@ -120,15 +137,18 @@ def records_of(found: DataFrame, covered: DataFrame | None = None) -> DataFrame:
     """Usage records of facts: one a response, and one a completed sub-agent whose own transcript is not among ``covered`` (agent_id)."""
     changes = shaped(found).withColumn("change", F.when(F.col("owner").isNotNull(), F.col("change")))
     plain = changes.withColumns({c: F.coalesce(F.col(f"change.{c}"), F.lit(0)) for c in ("added", "removed")}).withColumn("path", F.col("change.path"))
-    rows = etl.rework(plain, ["file", "path"], ORDER)
-    purposes = F.transform("tools", lambda t: purpose(t["name"]))
+    # lists are counted before rows are moved once more, and lines that change nothing are no group
     errors = F.when(F.col("kind") != "denial", F.size(F.filter("results", lambda r: r["wrong"]))).otherwise(0)
+    edits = F.size(F.filter("tools", lambda t: t["name"].isin(*EDITS)))
+    listed = plain.withColumns({"errors": errors.cast("long"), "edits": edits.cast("long"), "purposes": F.transform("tools", lambda t: purpose(t["name"]))})
+    counted = listed.withColumns({f"n_{k}": _how_many(F.col("purposes"), k) for k in PURPOSES}).drop("tools", "results", "purposes", "change")
+    rows = etl.rework(counted.withColumn("alone", etl.alone(F.col("path").isNotNull(), ORDER)), ["file", "path", "alone"], ORDER)
     own = F.struct(F.coalesce(F.when(F.col("kind") == "assistant", F.col("key")), F.col("owner")).alias("key"), F.lit("own").alias("part"))
     earlier = F.struct(F.col("before").alias("key"), F.lit("errors").alias("part"))
     agent = F.struct(F.concat(F.lit("agent:"), "made.id").alias("key"), F.lit("agent").alias("part"))
     # nearly all lines belong to one record; a response's own results are the one before's, and a sub-agent's report is a record besides
-    parts = F.concat(F.array(own), F.when(errors > 0, F.array(earlier)).otherwise(F.array()), F.when(F.col("kind") == "agent", F.array(agent)).otherwise(F.array()))
-    dealt = rows.withColumn("errors", errors.cast("long")).withColumn("purposes", purposes).withColumn("edits", F.size(F.filter("tools", lambda t: t["name"].isin(*EDITS))).cast("long")).withColumn("to", F.explode(parts)).where("to.key IS NOT NULL")
+    parts = F.concat(F.array(own), F.when(F.col("errors") > 0, F.array(earlier)).otherwise(F.array()), F.when(F.col("kind") == "agent", F.array(agent)).otherwise(F.array()))
+    dealt = rows.withColumn("to", F.explode(parts)).where("to.key IS NOT NULL")
     line, part = F.struct(*ORDER), F.col("to.part")
     mine = (part == "own") & (F.col("kind") == "assistant")
     besides = part == "own"
@@ -140,7 +160,7 @@ def records_of(found: DataFrame, covered: DataFrame | None = None) -> DataFrame:
         F.min_by(about, F.when(mine | is_agent, line)).alias("a"),
         F.min_by("made", F.when(is_agent, line)).alias("made"),
         *(F.max(F.when(mine, F.col(f"tokens.{c}")).when(is_agent, F.col(f"made.tokens.{c}"))).alias(c) for c in COUNTS),
-        *(summed(_how_many(F.col("purposes"), k), mine).alias(f"tool_{k}") for k in PURPOSES),
+        *(summed(F.col(f"n_{k}"), mine).alias(f"tool_{k}") for k in PURPOSES),
         summed(F.col("edits"), mine).alias("edits"), *(first(c) for c in ("skill", "agent", "miss")),
         summed(F.col("errors"), part == "errors").alias("tool_errors"),
         summed(F.lit(1), besides & (F.col("kind") == "denial")).alias("rejected"),
@@ -165,9 +185,9 @@ def steps_of(found: DataFrame) -> DataFrame:
     """session_id, timeline, ordinal, ts, kind, outcome, dedupe_key, model, tokens, target_ref: responses, their tool calls and lost
     contexts in order. A call's outcome is that of the last result that names it, a response's what its first telling stop says; a target
     is a number for a file's path, in the order in which the transcript first names them, 0 for none."""
-    rows = shaped(found)
-    response = Window.partitionBy("file", "key")
     is_response = F.col("kind") == "assistant"
+    rows = shaped(found).where(is_response | (F.size("results") > 0) | F.col("starts"))
+    response = Window.partitionBy("file", "key", etl.alone(is_response, ORDER))
     mine = lambda value: F.when(is_response, value)
     line = F.struct(*ORDER)
     tokens = reduce(lambda x, y: x + y, (F.max(mine(F.col(f"tokens.{c}"))).over(response) for c in COUNTS[:4]))
@@ -186,8 +206,8 @@ def steps_of(found: DataFrame) -> DataFrame:
     told = lambda r: F.when(F.col("kind") == "denial", "denied").when(r["wrong"], "error").otherwise("ok")
     results = F.transform(F.filter("results", lambda r: r["id"] != ""), lambda r: item(0, r["id"], nothing, told(r), nothing, True))
     lost = F.when(F.col("starts") & F.col("owner").isNotNull() & (F.col("uuid") != ""), F.array(item(0, F.concat("uuid", F.lit(":compaction")), F.lit("compaction"), nothing, nothing))).otherwise(no_item)
-    items = rows.select("file", *ORDER, "key", "session_id", "agent_id", "ts", "model", "cwd", "all_tokens", F.explode(F.concat(turn, calls, results, lost)).alias("x")).select("*", "x.*").drop("x")
-    of_id = Window.partitionBy("file", "id")
+    items = rows.select("file", *STRETCH, *ORDER, "key", "session_id", "agent_id", "ts", "model", "cwd", "all_tokens", F.explode(F.concat(turn, calls, results, lost)).alias("x")).select("*", "x.*").drop("x")
+    of_id = Window.partitionBy("file", "id", etl.alone(F.col("id") != "", [*ORDER, "k"]))
     answer = F.max(F.when(F.col("result"), F.struct(*ORDER, "outcome"))).over(of_id)
     is_call = ~F.col("kind").isin("assistant", "compaction")
     settled = F.when(is_call & (F.col("id") != ""), F.coalesce(F.col("answer.outcome"), nothing)).otherwise(F.col("outcome"))
@@ -195,18 +215,25 @@ def steps_of(found: DataFrame) -> DataFrame:
     unnamed = F.row_number().over(Window.partitionBy("file", "key", F.col("id") == "").orderBy(*ORDER, "k")) - 1
     key = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws(":", "key", unnamed.cast("string")))
     target = F.when(F.col("path") != "", target_key(F.col("path"), F.col("cwd")))
-    place = F.struct(*ORDER, "k")
     named = every.withColumn("dedupe_key", key).withColumn("target", F.when(target != "", target))
-    named = named.withColumn("met", F.when(F.col("target").isNotNull(), F.min(place).over(Window.partitionBy("file", "target"))))
-    ref = F.when(F.col("met").isNotNull(), F.dense_rank().over(Window.partitionBy("file", F.col("met").isNull()).orderBy("met"))).otherwise(0)
-    return named.withColumn("target_ref", ref.cast("long")).select(
-        "file", "session_id", F.col("agent_id").alias("timeline"), F.row_number().over(Window.partitionBy("file").orderBy(*ORDER, "k")).alias("ordinal"), "ts", "kind", "outcome", "dedupe_key",
-        F.when(F.col("kind") != "compaction", F.col("model")).otherwise("").alias("model"), F.when(F.col("kind") == "assistant", F.col("all_tokens")).otherwise(0).alias("tokens"), "target_ref",
+    model = F.when(F.col("kind") != "compaction", F.col("model")).otherwise("")
+    tokens = F.when(F.col("kind") == "assistant", F.col("all_tokens")).otherwise(0)
+    listed = cut(named.select("file", *STRETCH, *ORDER, "k", "session_id", F.col("agent_id").alias("timeline"), "ts", "kind", "outcome", "dedupe_key", model.alias("model"), tokens.alias("tokens"), "target"), "steps")
+    # a file's different targets, and how many steps lie before a stretch, are few rows
+    met = listed.where("target IS NOT NULL").groupBy("file", "target").agg(F.min(F.struct(*ORDER, "k")).alias("met"))
+    refs = met.select("file", "target", F.dense_rank().over(Window.partitionBy("file").orderBy("met")).cast("long").alias("target_ref"))
+    placed = listed.where("target IS NOT NULL").join(refs, ["file", "target"]).unionByName(listed.where("target IS NULL").withColumn("target_ref", F.lit(0).cast("long")))
+    held = listed.groupBy("file", *STRETCH).agg(F.count(F.lit(1)).alias("held"))
+    past = held.select("file", *STRETCH, F.coalesce(F.sum("held").over(etl.upto("file", STRETCH, -1)), F.lit(0)).alias("past"))
+    here = Window.partitionBy("file", *STRETCH).orderBy(*ORDER, "k")
+    ordinal = (F.col("past") + F.row_number().over(here)).alias("ordinal")
+    return placed.join(past.hint("shuffle_hash"), ["file", *STRETCH]).select(
+        "file", "session_id", "timeline", ordinal, "ts", "kind", "outcome", "dedupe_key", "model", "tokens", "target_ref",
     )
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return facts(placed_lines(spark, path))
+    return cut(facts(placed_lines(spark, path)), "facts")
 
 
 def records(spark: SparkSession, path: str | list[str], covered: DataFrame | None = None) -> DataFrame:

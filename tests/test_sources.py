@@ -1,6 +1,7 @@
 """Log formats: small files of our own, one for each rule that a format has."""
 
 import json
+import re
 
 from meterloom.sources import assistants, transcripts
 
@@ -111,6 +112,18 @@ def test_covered_agents_and_steps(spark, tmp_path):
     assert got == [("assistant", ""), ("read", "error"), ("edit", "ok"), ("compaction", ""), ("assistant", ""), ("command", "ok")]
 
 
+def test_no_task_holds_a_whole_transcript(spark, tmp_path, monkeypatch):
+    path = transcript(tmp_path)
+    wanted = rows(transcripts.records(spark, path)), rows(transcripts.steps(spark, path), "ordinal")
+    found = transcripts.read(spark, path)
+    for bits in (0, 1, 2):
+        monkeypatch.setattr(transcripts, "STRETCH_LINES", bits)
+        assert (rows(transcripts.records(spark, path)), rows(transcripts.steps(spark, path), "ordinal")) == wanted
+        told = transcripts.shaped(found)
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "[file#" in plan and not re.search(r"Window [^\n]*\], \[file#\d+\], \[at#", plan)
+
+
 def test_steps_name_their_targets(spark, tmp_path):
     said = lambda uuid, *tools, **k: {"type": "assistant", "uuid": uuid, "sessionId": "s", "timestamp": "2025-05-01T10:00:00Z", "message": {"model": "m", "id": f"r-{uuid}", "usage": {"input_tokens": 3, "output_tokens": 4, "cache_read_input_tokens": 5, "cache_creation_input_tokens": 6}, "content": list(tools), "stop_reason": k.pop("stop", None)}, **k}
     tool = lambda i, name, **k: {"type": "tool_use", "id": i, "name": name, "input": k}
