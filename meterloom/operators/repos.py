@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions.logs import clean, rooted, text
+from meterloom.operators import etl
 from meterloom.operators.surfaces import path_kind
+from meterloom.session import cut
 
 #: Fixed value: what stands between a repository and the name of one of its worktrees in a pointer.
 WORKTREES = "/.git/worktrees/"
@@ -63,48 +65,65 @@ def with_projects(records: DataFrame, roots: DataFrame) -> DataFrame:
 ESCAPES = {"\\\\": "5C", '\\"': "22", "\\a": "07", "\\b": "08", "\\t": "09", "\\n": "0A", "\\v": "0B", "\\f": "0C", "\\r": "0D"}
 
 
+def _bound(value: Column, use) -> Column:
+    """What ``use`` makes of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unquoted(path: Column) -> Column:
     """A path without git's quotes; one whose quotes can't be read stays as it is."""
-    inner = _within(path, F.lit(2), F.length(path) - 2)
-    pieces = F.regexp_extract_all(inner, F.lit(r'\\[0-7]{3}|\\.|[^\\"]+|"'), F.lit(0))
     known = F.create_map(*(F.lit(x) for kv in ESCAPES.items() for x in kv))
     octal = lambda x: F.when(F.substring(x, 2, 1) <= "3", F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0"))
     byte = lambda x: F.when(x.rlike(r"^\\[0-7]{3}$"), octal(x)).when(x.startswith("\\"), known[x]).when(x != '"', F.hex(F.encode(x, "utf-8")))
-    octets = F.transform(pieces, byte)
-    whole = F.array_join(pieces, "") == inner  # a lone backslash at the end is no escape
-    readable = whole & ~F.exists(octets, lambda x: x.isNull())
-    decoded = F.unhex(F.array_join(octets, "")).cast("string")
-    quoted = (F.length(path) >= 2) & path.startswith('"') & path.endswith('"')
-    return F.when(quoted & F.coalesce(readable, F.lit(False)), decoded).otherwise(path)
+    decoded = lambda octets: F.when(~F.exists(octets, lambda x: x.isNull()), F.unhex(F.array_join(octets, "")).cast("string"))
+    # a lone backslash at the end is no escape
+    whole = lambda inner: lambda pieces: F.when(F.array_join(pieces, "") == inner, _bound(F.transform(pieces, byte), decoded))
+    read = lambda inner: _bound(F.regexp_extract_all(inner, F.lit(r'\\[0-7]{3}|\\.|[^\\"]+|"'), F.lit(0)), whole(inner))
+    quoted = lambda p: (F.length(p) >= 2) & p.startswith('"') & p.endswith('"')
+    return _bound(path, lambda p: F.when(quoted(p), F.coalesce(_bound(_within(p, F.lit(2), F.length(p) - 2), read), p)).otherwise(p))
 
 
-def renamed_to(field: Column) -> Column:
-    """The later of two names: ``old => new``, or with braces round what changed."""
+def _renamed(field: Column) -> Column:
     at = F.instr(field, " => ")
     head, tail = _within(field, F.lit(1), at - 1), _within(field, at)
     from_end = F.instr(F.reverse(head), "{")
     opens = F.when(from_end > 0, F.length(head) - from_end + 1).otherwise(0)
     closes = F.instr(tail, "}")
     braced = F.concat(_within(head, F.lit(1), opens - 1), _within(tail, F.lit(5), closes - 5), _within(tail, closes + 1))
-    new = F.when((opens > 0) & (closes > 0), F.regexp_replace(braced, "//+", "/")).otherwise(_within(tail, F.lit(5)))
-    return F.when(at > 0, new).otherwise(field)
+    return F.when((opens > 0) & (closes > 0), F.regexp_replace(braced, "//+", "/")).otherwise(_within(tail, F.lit(5)))
+
+
+def renamed_to(field: Column) -> Column:
+    """The later of two names: ``old => new``, or with braces round what changed."""
+    return _bound(field, lambda f: F.when(f.contains(" => "), _renamed(f)).otherwise(f))
+
+
+def plain_path(field: Column) -> Column:
+    """The path that a field of git's names: nearly all are neither renamed nor quoted, and stand as they are."""
+    return _bound(field, lambda f: F.when(f.contains(" => ") | f.startswith('"'), unquoted(renamed_to(f))).otherwise(f))
+
+
+#: A power of two: how many of a log's places a stretch has.
+STRETCH = 18
 
 
 def numstat(log: DataFrame, line: str = "line") -> DataFrame:
     """commit, path, added, removed, parents, revert of each changed file in the lines of
     ``git log --numstat --format='commit:%H parents:%P subject:%s'`` (file, seq, line); null counts for binary files, and a row without a
-    path for a commit that changed no file, as a merge's is told."""
-    header = F.col(line).startswith("commit:")
-    named = log.withColumn("head", F.last(F.when(header, F.col(line)), ignorenulls=True).over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    tab = F.split(F.col(line), "\t", 3)
-    changed = F.col(line).rlike(r"^(\d+|-)\t(\d+|-)\t")
+    path for a commit that changed no file, as a merge's is told. A log is as long as it likes: which commit lines belong to is found in
+    stretches of it, to which the commit that was open before them is brought."""
+    said = F.col(line)
+    header, changed = said.startswith("commit:"), said.rlike(r"^(\d+|-)\t(\d+|-)\t")
+    told = log.where(header | changed).select("file", "seq", F.shiftright("seq", STRETCH).alias("stretch"), F.when(header, said).alias("own"), F.when(~header, F.split(said, "\t", 3)).alias("tab"))
+    # paths are read before rows are put in order, so that no condition on them reads them again
+    rows = told.select("file", "seq", "stretch", "own", plain_path(F.col("tab")[2]).alias("path"), F.col("tab")[0].try_cast("long").alias("added"), F.col("tab")[1].try_cast("long").alias("removed"))
+    carried = etl.carried(rows, told.select("file", "seq", "stretch", "own"), {"past": F.col("own")}, ["stretch"], ["seq"])
+    named = carried.withColumn("head", F.coalesce(F.last("own", ignorenulls=True).over(etl.upto(["file", "stretch"], "seq")), "past"))
     parents = F.trim(F.regexp_extract("head", r"parents:([0-9a-f ]*)", 1))
-    rows = named.where(header | changed).select(
-        F.regexp_extract("head", r"^commit:([0-9a-f]*)", 1).alias("commit"),
-        F.when(changed, unquoted(renamed_to(tab[2]))).alias("path"), F.when(changed, tab[0].try_cast("long")).alias("added"), F.when(changed, tab[1].try_cast("long")).alias("removed"),
-        F.when(parents == "", 0).otherwise(F.size(F.split(parents, " +"))).alias("parents"), F.col("head").rlike('subject:Revert "').alias("revert"), header.alias("header"),
+    return named.select(
+        F.regexp_extract("head", r"^commit:([0-9a-f]*)", 1).alias("commit"), "path", "added", "removed",
+        F.when(parents == "", 0).otherwise(F.size(F.split(parents, " +"))).alias("parents"), F.col("head").rlike('subject:Revert "').alias("revert"), F.col("own").isNotNull().alias("header"),
     )
-    return rows
 
 
 def commits_of(changes: DataFrame) -> DataFrame:
@@ -128,6 +147,7 @@ def survival(changes: DataFrame, blame: DataFrame, read: DataFrame) -> DataFrame
     own, so lines that blame gives it stand apart (merge_lines) and outside the rate; files that git could not blame are counted
     (unreadable), as they did not fail to survive. The rate is -1 where nothing was added.
     """
+    changes = cut(changes.select("commit", "path", "added", "removed", "parents", "revert"), "changes")  # asked five times
     commits = commits_of(changes)
     merge = F.col("parents") > 1
     own = commits.agg(
@@ -139,7 +159,8 @@ def survival(changes: DataFrame, blame: DataFrame, read: DataFrame) -> DataFrame
     counts = files.agg(F.coalesce(F.sum(F.col("there").cast("long")), F.lit(0)).alias("files"), F.coalesce(F.sum((~F.col("there")).cast("long")), F.lit(0)).alias("unreadable"))
     lines = blame.join(files.where("there").select("path"), "path", "left_semi").groupBy("commit").agg(F.sum("lines").alias("lines"))
     standing = lines.join(commits.select("commit", merge.alias("merge")), "commit").agg(*(F.coalesce(F.sum(F.when(c, F.col("lines"))), F.lit(0)).alias(n) for c, n in ((~F.col("merge"), "surviving"), (F.col("merge"), "merge_lines"))))
-    kinds = changes.where("path <> ''").where(F.col("parents") <= 1).agg(*(F.sum((path_kind(F.col("path")) == k).cast("long")).alias(k) for k in ("source", "test", "docs", "config", "generated", "other")))
+    paths = changes.where("path <> ''").where(F.col("parents") <= 1).groupBy("path").agg(F.count(F.lit(1)).alias("n")).select("n", path_kind(F.col("path")).alias("kind"))
+    kinds = paths.agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in ("source", "test", "docs", "config", "generated", "other")))
     one = lambda df: df.withColumn("_one", F.lit(1))
     whole = one(own).join(one(counts), "_one").join(one(standing), "_one").join(one(kinds), "_one").drop("_one")
     rate = F.when(F.col("added") > 0, F.col("surviving") / F.col("added")).otherwise(F.lit(-1.0))

@@ -1,5 +1,7 @@
 """Projects, worktrees, quoted paths and survival, by cases whose answer is known."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +64,22 @@ def test_survival_of_blame(spark):
     }
 
 
+def test_no_task_holds_a_whole_log(spark, monkeypatch):
+    wanted = sorted(map(str, repos.numstat(log_of(spark)).collect()))
+    for bits in (0, 1, 2):
+        monkeypatch.setattr(repos, "STRETCH", bits)
+        told = repos.numstat(log_of(spark))
+        assert sorted(map(str, told.collect())) == wanted
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert "[file#" in plan and not re.search(r"Window [^\n]*\], \[file#\d+\], \[seq#", plan)
+
+
+def test_conditions_on_paths_do_not_read_them_again(spark):
+    told = repos.numstat(log_of(spark)).where("path <> ''")
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_survival_of_nothing(spark):
     none = repos.numstat(log_of(spark).limit(0))
     got = repos.survival(none, repos.blamed(spark.createDataFrame([], "path string, line string")), spark.createDataFrame([], "path string")).first()
