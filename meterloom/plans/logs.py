@@ -86,8 +86,9 @@ def cline(x) -> DataFrame:
     tasks = rows.groupBy(F.col("session_id").alias("task")).agg(F.to_json(F.sort_array(F.collect_list(message))).alias("messages"), F.to_json(F.struct(F.sort_array(F.collect_list(use)).alias("model_usage"))).alias("metadata"))
     kinds = tasks.select("task", F.explode(F.create_map(F.lit("messages"), "messages", F.lit("metadata"), "metadata")).alias("kind", "value"))
     path = scratch_path(x.spark, "cline")
-    kinds.repartition("kind").write.partitionBy("kind", "task").text(path)
-    return assistants.cline(x.spark, path, "kind=messages/*/*", "kind=metadata/*/*").select(*CLINE)
+    # by task, as each has a folder of its own, whose files no two tasks share
+    kinds.repartition(4 * x.spark.sparkContext.defaultParallelism, "task").write.partitionBy("kind", "task").text(path)
+    return assistants.cline(x.spark, path, "kind=messages", "kind=metadata").select(*CLINE)
 
 
 CLINE = ("session_id", "ts", "model", "input_tokens", "output_tokens", "cache_write_tokens", "cache_read_tokens", "granularity")

@@ -53,9 +53,10 @@ def copilot(spark: SparkSession, path: str) -> DataFrame:
 
 def cline(spark: SparkSession, folder: str, messages: str = "*/ui_messages.json", metadata: str = "*/task_metadata.json") -> DataFrame:
     """Requests of each task's messages; a request's model is that of the last use at or before it, else of the first. A task is the
-    folder that its files lie in."""
+    folder that its files lie in. ``messages`` and ``metadata`` are patterns of files, or of folders that are listed, by many tasks, with
+    all that lies below them."""
     task = F.regexp_replace(F.element_at(F.split("_metadata.file_path", "/"), -2), "^[a-z]+=", "")
-    read = lambda files: spark.read.text(f"{folder}/{files}", wholetext=True).select(task.alias("session_id"), "value")
+    read = lambda files: spark.read.option("recursiveFileLookup", "true").text(f"{folder}/{files}", wholetext=True).select(task.alias("session_id"), "value")
     messages = read(messages).select("session_id", F.posexplode(F.from_json("value", CLINE)).alias("line", "m"))
     asked = messages.where("m.type = 'say' AND m.say = 'api_req_started' AND m.text <> ''").withColumn("i", F.from_json("m.text", CLINE_INFO)).where("coalesce(i.tokensIn, 0) <> 0 OR coalesce(i.tokensOut, 0) <> 0")
     rows = asked.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("line")) - 1).select("session_id", F.col("m.ts").alias("at"), count("i.tokensIn").alias("input_tokens"), count("i.tokensOut").alias("output_tokens"), count("i.cacheWrites").alias("cache_write_tokens"), count("i.cacheReads").alias("cache_read_tokens"), F.concat_ws(":", "session_id", F.col("n").cast("string")).alias("dedupe_key"))

@@ -112,6 +112,14 @@ def test_covered_agents_and_steps(spark, tmp_path):
     assert got == [("assistant", ""), ("read", "error"), ("edit", "ok"), ("compaction", ""), ("assistant", ""), ("command", "ok")]
 
 
+def test_task_folders_are_listed_with_what_lies_below_them(spark, tmp_path):
+    for task, n in (("a", 3), ("b", 5)):
+        put(tmp_path / f"said/{task}/m.json", [json.dumps([{"type": "say", "say": "api_req_started", "ts": 1746093600000, "text": json.dumps({"tokensIn": n, "tokensOut": 1})}])])
+        put(tmp_path / f"used/{task}/d.json", [{"model_usage": [{"ts": 1746093600000, "model_id": f"m-{task}"}]}])
+    got = rows(assistants.cline(spark, str(tmp_path), "said", "used"))
+    assert [(r["session_id"], r["model"], r["input_tokens"]) for r in got] == [("a", "m-a", 3), ("b", "m-b", 5)]
+
+
 def test_no_task_holds_a_whole_transcript(spark, tmp_path, monkeypatch):
     path = transcript(tmp_path)
     wanted = rows(transcripts.records(spark, path)), rows(transcripts.steps(spark, path), "ordinal")
