@@ -251,3 +251,12 @@ def test_other_formats_read_a_file_again_when_it_changes(spark, tmp_path):
     assert growing.import_changed(store, str(folder), "gemini-cli", assistants.gemini, NOW) == last
     assert growing.import_changed(store, str(folder), "gemini-cli", assistants.gemini, NOW, build="next").number == last.number + 1  # another build reads all once
     assert stores.usage(store).count() == 4
+
+
+def test_what_turns_out_empty_makes_no_generation(spark, tmp_path):
+    from meterloom.streaming import store as stores
+
+    store = stores.Store(spark, str(tmp_path / "empty"))
+    none = spark.createDataFrame([], stores.OFFER)
+    assert store.change(store.newest(), append={"usage": none}, unless_empty=True) == store.newest()
+    assert store.newest().number == 0 and not store.sweep(0)
