@@ -1,20 +1,27 @@
 """Byte-level BPE over whole texts with a cache of units, through the ``tokenizers`` library.
 
 A pre-token never crosses the start of a run of white space, so a text may be cut there and its units encoded one by one: the
-tokens of the text are those of its units in order. Units recur, so each worker remembers what the library gave for them. A text
-that holds a special token's string, or white space runs that the quick cut cannot tell apart, is encoded whole by the library.
+tokens of the text are those of its units in order. Arrow cuts a run of texts and finds its different units, so that Python sees each
+of them once a run. Units recur, so each worker remembers what the library gave for them. A text that holds a special token's
+string, or white space runs that the quick cut cannot tell apart, is encoded whole by the library.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from itertools import pairwise
 from string import punctuation
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 CACHE_UNITS = 1 << 18  # units of each of the two generations that a worker remembers, by default; what is forgotten costs time only
+#: White space, as Python has it, before a space or line feed: a run that the quick cut would part.
+BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}][\x0A\x20]"
 LATEST = "\u04ff"  # the last letter of whose kind Python is trusted to say what the library says
 
 
@@ -36,40 +43,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Uncut(Exception):
-    """A text whose white space the quick cut cannot tell apart."""
-
-
-class Run(dict):
-    """What the units of a run of texts give, each found once."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.get_known = encoder, encoder.units.get
-
-    def __missing__(self, unit: str) -> Any:
-        value = self.get_known(unit)
-        if value is None:
-            stem = unit.rstrip(punctuation)
-            last = stem[-1:]
-            if len(stem) == len(unit):
-                if not unit or last.isspace():
-                    raise Uncut
-                value = self.encoder.unit(unit)
-            elif last.isalnum() and last <= LATEST:
-                value = self.get_known(stem)
-                value = (self.encoder.unit(stem) if value is None else value) + self.encoder.tail(unit[len(stem) :])
-            else:
-                value = self.encoder.unit(unit)
-        self[unit] = value
-        return value
-
-
 class Encoder:
     """Encodes texts; ``value`` turns the ids of a unit into what is kept for it, ``join`` adds up the values of a text. Of two values
     the sum is that of both.
 
-    Units are looked up once in a run of texts, then in two generations that a worker remembers. Of a unit that ends in ASCII
+    The different units of a run of texts are looked up in two generations that a worker remembers. Of a unit that ends in ASCII
     punctuation after a letter or digit only what stands before it is remembered.
     """
 
@@ -113,37 +91,73 @@ class Encoder:
                 value = self.value([t.id for t in self.tokenize(body if fed else self.space + body)])
                 if fed:
                     value = self.feed + value
+        if len(self.units) > self.remembered + len(self.known):
+            self.units, self.before = dict(self.known), self.units
         self.units[unit] = value
         return value
 
-    def encode(self, texts: list[str]) -> list[Any]:
-        """The joined value of each text."""
-        if len(self.units) > self.remembered + len(self.known):
-            self.units, self.before = dict(self.known), self.units
-        run = Run(self)
-        out: list[Any] = [None] * len(texts)
-        whole: list[int] = []
-        ends: list[str] = []
-        cut: list[tuple[int, list[Any]]] = []
-        for k, text in enumerate(texts):
-            parts = split_units(text)
-            if len(parts) < 3 or any(s in text for s in self.special):
-                whole.append(k)
-                continue
-            try:
-                values = list(map(run.__getitem__, parts[1:-1]))
-            except Uncut:
-                whole.append(k)
-                continue
-            last = parts[-1]
-            ends += [parts[0], last if last[:1] == "\n" else " " + last]
-            cut.append((k, values))
-        for k, value in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
-            out[k] = value
-        edges = self._whole(ends)
-        for j, (k, values) in enumerate(cut):
-            out[k] = self.join([edges[2 * j], *values, edges[2 * j + 1]])
-        return out
+    def values(self, units: list[str]) -> list[Any]:
+        """The value of each unit; none is empty or ends in white space."""
+        found = list(map(self.units.get, units))
+        for k, value in enumerate(found):
+            if value is None:
+                unit = units[k]
+                stem = unit.rstrip(punctuation)
+                last = stem[-1:]
+                if len(stem) < len(unit) and last.isalnum() and last <= LATEST:
+                    value = self.units.get(stem)
+                    found[k] = (self.unit(stem) if value is None else value) + self.tail(unit[len(stem) :])
+                else:
+                    found[k] = self.unit(unit)
+        return found
+
+    def encode(self, texts: list[str] | pa.Array) -> list[Any]:
+        """The joined value of each text, null as empty."""
+        column = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        if not len(column):
+            return []
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        sizes = pc.list_value_length(parts).to_numpy().astype(np.int64)
+        uncut = sizes < 3
+        for found in (pc.match_substring_regex(column, BLANKS), *(pc.match_substring(column, s) for s in self.special)):
+            uncut |= found.to_numpy(zero_copy_only=False)
+        whole: list[Any] = []
+        if uncut.any():
+            whole = self._whole(column.filter(pa.array(uncut)).to_pylist())
+            parts, sizes = parts.filter(pa.array(~uncut)), sizes[~uncut]
+
+        flat = parts.flatten()
+        stops = np.cumsum(sizes)
+        firsts, lasts = stops - sizes, stops - 1
+        ends = [*flat.take(pa.array(firsts)).to_pylist(), *(x if x[:1] == "\n" else " " + x for x in flat.take(pa.array(lasts)).to_pylist())]
+        flat = flat.dictionary_encode()
+        places = flat.indices.to_numpy().astype(np.int64)
+        inner = np.ones(len(places), bool)
+        inner[firsts] = inner[lasts] = False
+        used = np.zeros(len(flat.dictionary), bool)
+        used[places[inner]] = True
+        values = self.values(flat.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        if not used.all():
+            places = (np.cumsum(used) - 1)[places]
+        places[firsts] = len(values) + np.arange(len(sizes))
+        places[lasts] = len(values) + len(sizes) + np.arange(len(sizes))
+        values += self._whole(ends)
+
+        if whole:  # each has one place, where it stood
+            all_sizes = np.ones(len(column), np.int64)
+            all_sizes[~uncut] = sizes
+            stops, cut_places = np.cumsum(all_sizes), places
+            firsts, own = stops - all_sizes, np.zeros(stops[-1], bool)
+            own[firsts[uncut]] = True
+            places = np.empty(len(own), np.int64)
+            places[own], places[~own] = len(values) + np.arange(len(whole)), cut_places
+            values += whole
+        return self.joined(values, places, firsts)
+
+    def joined(self, values: list[Any], places: np.ndarray, firsts: np.ndarray) -> list[Any]:
+        """The joined value of each text: ``places`` of its values in ``values``, beginning at its number in ``firsts``."""
+        picked = places.tolist()
+        return [self.join([values[k] for k in picked[a:b]]) for a, b in pairwise([*firsts.tolist(), len(picked)])]
 
 
 _encoders: dict[tuple, Encoder] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
@@ -13,6 +15,7 @@ from pyspark.sql.types import StructType
 #: White space of the word contract: space and \t \n \v \f \r. ``bytes.split()`` splits on exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE = 256
+RUN = 1 << 22  # bytes of text that a worker takes at once
 #: ASCII punctuation, which words are stripped of where copies may be punctuated otherwise.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -37,17 +40,15 @@ def texts_of(column: pa.Array) -> Iterator[str]:
             yield text or ""
 
 
-def runs_of(texts: Iterable[str], most: int = 512, chars: int = 1 << 20) -> Iterator[list[str]]:
-    """The texts in runs of at most so many and about so many characters; a longer text is a run of its own or the last of one."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if len(held) == most or size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def runs_of(column: pa.Array, most: int = RUN) -> Iterator[pa.Array]:
+    """An Arrow column of strings in runs of about so many bytes; a longer text is a run of its own or the last of one."""
+    stops = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = stops[start - 1] if start else 0
+        stop = int(np.searchsorted(stops, before + most)) + 1
+        yield column.slice(start, stop - start)
+        start = stop
 
 
 def struct_column(fn: Callable[[str], tuple], schema: StructType):

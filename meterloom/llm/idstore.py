@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from tokenizers import Tokenizer
 
 from meterloom.llm.bpe import Encoder, vocabulary_path, worker_encoder
-from meterloom.llm.common import runs_of, texts_of
+from meterloom.llm.common import runs_of
 from meterloom.session import scratch_path
 
 END_ID = 0
@@ -127,7 +128,7 @@ def _cut_documents(path: str, end_id: int, remembered: int | None = None):
         end = end_id.to_bytes(width, "little")
         for batch in batches:
             doc_ids = iter(batch.column(0).to_pylist())
-            for texts in runs_of(texts_of(batch.column(1))):
+            for texts in runs_of(batch.column(1)):
                 out = []
                 streams = [stream + end for stream in encoder.encode(texts)]
                 ids = np.frombuffer(b"".join(streams), f"<u{width}")
@@ -160,6 +161,12 @@ class IdsEncoder(Encoder):
         code = "H" if self.width == 2 else "I"
         super().__init__(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join, remembered=remembered)
 
+    def joined(self, values: list[bytes], places: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+        _, offsets, data = pa.array(values, pa.large_binary()).take(pa.array(places)).buffers()
+        bounds = np.frombuffer(offsets, np.int64, len(places) + 1)[[*firsts, len(places)]].tolist()
+        ids = memoryview(data or b"")
+        return [ids[a:b].tobytes() for a, b in pairwise(bounds)]
+
 
 _CUT_TYPES = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
 

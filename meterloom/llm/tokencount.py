@@ -16,12 +16,14 @@ import pickle
 import uuid
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from meterloom.llm.bpe import Encoder, Run, split_units, vocabulary_path, worker_encoder
+from meterloom.llm.bpe import Encoder, split_units, vocabulary_path, worker_encoder
 from meterloom.llm.common import runs_of, texts_of
 
 ENTRIES = 32_768  # of the broadcast table and of each summary
@@ -70,26 +72,29 @@ def frequent_units(docs: DataFrame, entries: int = ENTRIES) -> list[str]:
     return [u for u, _ in merged.most_common(entries) if u and not u[-1].isspace()]
 
 
+class LengthsEncoder(Encoder):
+    """Its values are numbers of ids."""
+
+    def joined(self, values: list[int], places: np.ndarray, firsts: np.ndarray) -> list[int]:
+        return np.add.reduceat(np.array(values, np.int64)[places], firsts).tolist()
+
+
 def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries: int = ENTRIES) -> DataFrame:
     """Adds a struct column ``name`` with n_bytes and n_tokens of each row's text."""
     path = vocabulary or vocabulary_path()
     units = frequent_units(docs, entries)
-    lengths = Run(Encoder(path, len, sum))
-    table = docs.sparkSession.sparkContext.broadcast((units, bytes(min(255, lengths[u]) for u in units)))
+    table = docs.sparkSession.sparkContext.broadcast((units, bytes(min(255, n) for n in LengthsEncoder(path, len, sum).values(units))))
     key = (path, uuid.uuid4().hex)
 
     def make() -> Encoder:
         names, lengths = table.value
         known = {u: n for u, n in zip(names, lengths, strict=True) if u and n < 255}
-        return Encoder(path, len, sum, known)
+        return LengthsEncoder(path, len, sum, known)
 
     def count(column: pa.Array) -> pa.Array:
         encoder = worker_encoder(key, make)
-        sizes, tokens = [], []
-        for texts in runs_of(texts_of(column)):
-            sizes += [len(text.encode("utf-8", "surrogatepass")) for text in texts]
-            tokens += encoder.encode(texts)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["n_bytes", "n_tokens"])
+        tokens = [n for texts in runs_of(column) for n in encoder.encode(texts)]
+        return pa.StructArray.from_arrays([pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), pa.array(tokens, pa.int64())], names=["n_bytes", "n_tokens"])
 
     return docs.withColumn(name, F.arrow_udf(count, COUNTS).asNondeterministic()(F.col("text")))
 

@@ -5,10 +5,13 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from meterloom.llm import bpe, html_text, pii, repetition, tokencount
+from meterloom.llm import bpe, html_text, idstore, pii, repetition, tokencount
+from meterloom.llm.common import runs_of
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
 ODD = [None, "", " ", "\n\n", "a", "é̃x ﬁ ½ Ⅷ", "x y  z\t\n q", "<|endoftext|> hi", "don't  'tis\r\nok.", "\x00\x1c!", "a\n\nb \n c  d e f", "日本語 テキスト です", "tail \n"]
@@ -162,6 +165,47 @@ def test_units_of_all_kinds_are_the_librarys():
     assert e.encode(texts) == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_python_sees_each_unit_once_a_run():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *key):
+            Asked.n += 1
+            return super().get(*key)
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=7)) for _ in range(2000)]
+    column = pa.array([" ".join(r.choices(words, k=120)) for _ in range(2500)] + [None, "a  b c", "one"])  # 2.4 MB: one run
+    e = bpe.Encoder(bpe.vocabulary_path(), list, lambda parts: [x for p in parts for x in p])
+    e.units = Asked()
+    got = [ids for texts in runs_of(column) for ids in e.encode(texts)]
+    assert got == [x.ids for x in e.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+    assert Asked.n == len({w for t in column.to_pylist()[:2500] for w in t.split(" ")[1:-1]})
+
+
+def test_runs_of_a_column():
+    column = pa.array(["x", "é" * 40, None, "", "y" * 500, "z", None]).slice(1)
+    for most in (1, 80, 100, 5000):
+        runs = list(runs_of(column, most))
+        assert [t for run in runs for t in run.to_pylist()] == column.to_pylist() and all(len(run) for run in runs)
+        assert all(sum(len((t or "").encode()) for t in run.to_pylist()[:-1]) < most for run in runs)
+    assert list(runs_of(column.slice(6))) == []
+
+
+def test_values_join_to_whole_texts_of_all_kinds():
+    """Texts that are encoded whole, among others, as ids, as bytes of ids and as lengths."""
+    r = random.Random(8)
+    kinds = ["word", "слово", "漢字", "x1", "don't", "é,", "", "\t", "a\t", "\u00a0", "\x1c", "<|endoftext|>", "\u2028", "\v\v"]
+    texts = [r.choice(["", " ", "\n"]).join(r.choice([" ", " ", "\n", "\n\n"]) + r.choice(kinds[: r.choice([6, 14])]) for _ in range(r.randrange(9)))[r.randrange(2) :] for _ in range(600)]
+    want = [x.ids for x in bpe.Encoder(bpe.vocabulary_path(), list, sum).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    column = pa.array(texts)
+    assert bpe.Encoder(bpe.vocabulary_path(), list, lambda parts: [x for p in parts for x in p]).encode(column) == want
+    assert idstore.IdsEncoder(bpe.vocabulary_path(), 0).encode(column) == [np.array(x, "<u2").tobytes() for x in want]
+    assert tokencount.LengthsEncoder(bpe.vocabulary_path(), len, sum).encode(column) == [len(x) for x in want]
+    for e in (idstore.IdsEncoder(bpe.vocabulary_path(), 0), tokencount.LengthsEncoder(bpe.vocabulary_path(), len, sum)):
+        assert e.encode([""] * 2) == [e.join([])] * 2 and e.encode(column.slice(600)) == []
+
+
 # --- main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav>
