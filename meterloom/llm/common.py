@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,15 @@ def runs_of(column: pa.Array, most: int = RUN) -> Iterator[pa.Array]:
         start = stop
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library hold of freed memory. Workers outlive their tasks, Spark takes them by turns, and each would
+    keep the most that it ever took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def struct_column(fn: Callable[[str], tuple], schema: StructType):
     """An Arrow UDF that applies ``fn`` to each text and returns its tuple as a struct.
 

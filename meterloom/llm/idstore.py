@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from tokenizers import Tokenizer
 
 from meterloom.llm.bpe import Encoder, vocabulary_path, worker_encoder
-from meterloom.llm.common import runs_of
+from meterloom.llm.common import give_back, runs_of
 from meterloom.session import scratch_path
 
 END_ID = 0
@@ -148,6 +148,9 @@ def _cut_documents(path: str, end_id: int, remembered: int | None = None):
                     row += 1
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CUT_TYPES, strict=True)], names=CUT.names)
+        del seen
+        batch = texts = out = streams = ids = columns = None
+        give_back()
 
     return run
 

@@ -463,24 +463,29 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return others.unionByName(least.select("u", F.col("m").alias("v"))), least
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node is joined to the smallest of its component only, once: then the star steps change nothing."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), (F.col("u") < F.col("v")).alias("wrong")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(False).alias("wrong")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least"), F.max("e.wrong").alias("wrong"))
+    return not nodes.agg(F.max(F.col("wrong") | (F.col("ups") > F.col("least")))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """u, v: each node that has links, but for the roots, with the smallest node of its component. Each round is written, so a lost
-    executor costs one round; the number of rounds grows with the logarithm of the longest chain.
+    executor costs one round; the number of rounds grows with the logarithm of the longest chain. Whether a round is needed is counted
+    first, as a round that changes nothing writes four tables.
 
     The smallest neighbours are written before they are joined: both sides of that join then come straight from a shuffle, and Spark
     splits the rows of a node with very many links (or sends the smallest neighbours out, where they are few)."""
-    said = None
-    while True:
+    made = None
+    while not _settled(edges):
         step, up = _large_star(edges)
         large = cut(step, "stars")
         step, down = _small_star(large)
         new = cut(step.distinct(), "stars")
-        now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_cut(up, large, down, edges if said else None)
-        edges = new
-        if now == said:
-            return edges
-        said = now
+        drop_cut(up, large, down, made)
+        edges = made = new
+    return edges
 
 
 def _named(signed: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from meterloom.llm.bpe import Encoder, split_units, vocabulary_path, worker_encoder
-from meterloom.llm.common import runs_of, texts_of
+from meterloom.llm.common import give_back, runs_of, texts_of
 
 ENTRIES = 32_768  # of the broadcast table and of each summary
 FAN_IN = 32
@@ -94,6 +94,7 @@ def annotate(docs: DataFrame, name: str, vocabulary: str | None = None, entries:
     def count(column: pa.Array) -> pa.Array:
         encoder = worker_encoder(key, make)
         tokens = [n for texts in runs_of(column) for n in encoder.encode(texts)]
+        give_back()
         return pa.StructArray.from_arrays([pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), pa.array(tokens, pa.int64())], names=["n_bytes", "n_tokens"])
 
     return docs.withColumn(name, F.arrow_udf(count, COUNTS).asNondeterministic()(F.col("text")))

@@ -1,8 +1,11 @@
 """Operators that look at one row at a time: quality, personal data, token counts, main text; against plain brute force."""
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,6 +15,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from meterloom.llm import bpe, html_text, idstore, pii, repetition, tokencount
 from meterloom.llm.common import runs_of
+from meterloom.session import ROOT
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType())])
 ODD = [None, "", " ", "\n\n", "a", "é̃x ﬁ ½ Ⅷ", "x y  z\t\n q", "<|endoftext|> hi", "don't  'tis\r\nok.", "\x00\x1c!", "a\n\nb \n c  d e f", "日本語 テキスト です", "tail \n"]
@@ -192,6 +196,33 @@ def test_runs_of_a_column():
     assert list(runs_of(column.slice(6))) == []
 
 
+HELD = """
+import ctypes, random, re
+from types import SimpleNamespace
+import pyarrow as pa, pyspark
+from meterloom.llm import bpe, idstore, tokencount
+
+pyspark.TaskContext.get = lambda: SimpleNamespace(partitionId=lambda: 0)
+anon = lambda: int(re.search(r"Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+r = random.Random(1)
+names = ["".join(r.choices("abcdefghij", k=r.randrange(2, 9))) for _ in range(20_000)]
+texts = pa.array([" ".join(r.choices(names, k=300)) for _ in range(6_000)])
+for batch in idstore._cut_documents(bpe.vocabulary_path(), 0)([pa.record_batch([pa.array(range(6_000)), texts], names=["doc_id", "text"])]):
+    del batch
+held = anon()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(held - anon())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="reads Linux's own figures")
+def test_a_worker_holds_no_freed_memory_after_its_task():
+    done = subprocess.run([sys.executable, "-c", HELD], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 16  # MB
+
+
 def test_values_join_to_whole_texts_of_all_kinds():
     """Texts that are encoded whole, among others, as ids, as bytes of ids and as lengths."""
     r = random.Random(8)

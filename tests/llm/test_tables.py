@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from meterloom.llm import bpe, chat, decontam, idstore, mixing, simhash, warc
-from meterloom.session import scratch_path
+from meterloom.session import cut, scratch_path
 
 DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("source", StringType())])
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -184,6 +184,19 @@ def test_scratch_tables_go_when_they_are_done_with(spark):
     assert len(set(Path(shared_dir(spark)).iterdir()) - before) == 1 and left.count() == 40
 
 
+@pytest.mark.parametrize("edges, rounds", [([], 0), ([(5, 1), (7, 1), (9, 2)], 0), ([(5, 1), (5, 1)], 1), ([(1, 5)], 1), ([(3, 3), (4, 3)], 1), ([(9, 5), (9, 2), (7, 5)], 2)])
+def test_no_star_round_is_written_that_changes_nothing(spark, monkeypatch, edges, rounds):
+    written = []
+    monkeypatch.setattr(simhash, "cut", lambda df, name: written.append(name) or cut(df, name))
+    got = simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    least = {n: n for e in edges for n in e}
+    for _ in edges:
+        for u, v in edges:
+            least[u] = least[v] = min(least[u], least[v])
+    assert sorted(map(tuple, got)) == sorted((u, v) for u, v in least.items() if u != v)
+    assert len(written) == 4 * rounds
+
+
 # --- mixing
 
 
