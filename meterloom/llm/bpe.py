@@ -77,25 +77,27 @@ class Encoder:
         return value
 
     def unit(self, unit: str) -> Any:
-        """The value of a unit, remembered. Letters are one pre-token, known without the splitting steps, and the model takes them as
-        they are; letters of later scripts go through the library whole, whose Unicode tables may be of another version than Python's."""
+        """The value of a unit, remembered."""
         value = self.before.get(unit)
         if value is None:
-            fed = unit[0] == "\n"
-            body = unit[1:] if fed else unit
-            if not body.isalpha() or not (body.isascii() or max(body) <= LATEST):
-                value = self._whole([unit if fed else " " + unit])[0]
-            else:
-                if not body.isascii():
-                    body = body.encode().decode("latin-1").translate(self.letters)
-                value = self.value([t.id for t in self.tokenize(body if fed else self.space + body)])
-                if fed:
-                    value = self.feed + value
+            value = self.made(unit)
         if len(self.units) > self.remembered + len(self.known):
             self.units, self.before = dict(self.known), self.units
         self.units[unit] = value
         return value
 
+    def made(self, unit: str) -> Any:
+        """The value of a unit by the library. Letters are one pre-token, known without the splitting steps, and the model takes them as
+        they are; letters of later scripts go through the library whole, whose Unicode tables may be of another version than Python's."""
+        fed = unit[0] == "\n"
+        body = unit[1:] if fed else unit
+        if not body.isalpha() or not (body.isascii() or max(body) <= LATEST):
+            return self._whole([unit if fed else " " + unit])[0]
+        if not body.isascii():
+            body = body.encode().decode("latin-1").translate(self.letters)
+        value = self.value([t.id for t in self.tokenize(body if fed else self.space + body)])
+        return self.feed + value if fed else value
+
     def values(self, units: list[str]) -> list[Any]:
         """The value of each unit; none is empty or ends in white space."""
         found = list(map(self.units.get, units))
@@ -136,12 +138,12 @@ class Encoder:
         inner[firsts] = inner[lasts] = False
         used = np.zeros(len(flat.dictionary), bool)
         used[places[inner]] = True
-        values = self.values(flat.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False).tolist())
+        values = self.looked_up(flat.dictionary.filter(pa.array(used)))
         if not used.all():
             places = (np.cumsum(used) - 1)[places]
         places[firsts] = len(values) + np.arange(len(sizes))
         places[lasts] = len(values) + len(sizes) + np.arange(len(sizes))
-        values += self._whole(ends)
+        more = self._whole(ends)
 
         if whole:  # each has one place, where it stood
             all_sizes = np.ones(len(column), np.int64)
@@ -150,9 +152,16 @@ class Encoder:
             firsts, own = stops - all_sizes, np.zeros(stops[-1], bool)
             own[firsts[uncut]] = True
             places = np.empty(len(own), np.int64)
-            places[own], places[~own] = len(values) + np.arange(len(whole)), cut_places
-            values += whole
-        return self.joined(values, places, firsts)
+            places[own], places[~own] = len(values) + len(more) + np.arange(len(whole)), cut_places
+            more += whole
+        return self.joined(self.with_more(values, more), places, firsts)
+
+    def looked_up(self, units: pa.Array) -> Any:
+        """The values of different units, as ``joined`` takes them."""
+        return self.values(units.to_numpy(zero_copy_only=False).tolist())
+
+    def with_more(self, values: Any, more: list[Any]) -> Any:
+        return values + more
 
     def joined(self, values: list[Any], places: np.ndarray, firsts: np.ndarray) -> list[Any]:
         """The joined value of each text: ``places`` of its values in ``values``, beginning at its number in ``firsts``."""

@@ -24,16 +24,20 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
+from functools import cache
 from itertools import pairwise
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from meterloom.llm.bpe import Encoder, vocabulary_path, worker_encoder
+from meterloom.llm.bpe import LATEST, Encoder, vocabulary_path, worker_encoder
 from meterloom.llm.common import give_back, runs_of
 from meterloom.session import scratch_path
 
@@ -42,6 +46,8 @@ CUT_BITS = 9  # a chunk has 512 ids on average
 CHUNK_LEAST, CHUNK_MOST = 64, 4096
 SEEN = 1 << 18  # digests that a task remembers
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Text of letters alone that Python and the library agree on.
+LETTERS = "^[" + "".join(c for c in map(chr, range(ord(LATEST) + 1)) if c.isalpha()) + "]+$"
 
 CUT = StructType([StructField("kind", StringType()), StructField("dest", BinaryType()), StructField("width", IntegerType()), StructField("ids", BinaryType()), StructField("doc_id", LongType()), StructField("row", LongType()), StructField("n_tokens", LongType()), StructField("chunks", ArrayType(BinaryType())), StructField("root", BinaryType())])
 MANIFEST = StructType([StructField("part", IntegerType()), StructField("n_docs", LongType()), StructField("n_tokens", LongType()), StructField("first_doc", LongType()), StructField("last_doc", LongType()), StructField("root", BinaryType())])
@@ -156,21 +162,89 @@ def _cut_documents(path: str, end_id: int, remembered: int | None = None):
 
 
 class IdsEncoder(Encoder):
-    """Its values are ids as bytes, ``width`` bytes an id; low byte first on all platforms that Spark runs on."""
+    """Its values are ids as bytes, ``width`` bytes an id; low byte first on all platforms that Spark runs on.
+
+    What it remembers are Arrow arrays, not Python's objects: units without the punctuation that ends them, and their ids. Arrow finds
+    those of a run that are new, and the library's model takes those of letters alone in one call.
+    """
 
     def __init__(self, path: str, end_id: int, remembered: int | None = None):
         tokenizer = Tokenizer.from_file(path)
         self.width = 2 if max(tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else 4
         code = "H" if self.width == 2 else "I"
         super().__init__(tokenizer, lambda ids: array(code, ids).tobytes(), b"".join, remembered=remembered)
-
-    def joined(self, values: list[bytes], places: np.ndarray, firsts: np.ndarray) -> list[bytes]:
-        _, offsets, data = pa.array(values, pa.large_binary()).take(pa.array(places)).buffers()
+        self.lines = Tokenizer(tokenizer.model)  # takes a pre-token a line
+        self.lines.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.spaced[[k for token, k in vocabulary.items() if token[0] == self.space]] = True
+        self.stems, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def looked_up(self, units: pa.Array) -> pa.Array:
+        """Of a unit that ends in ASCII punctuation after a letter or digit, the ids of what stands before it and those of the punctuation."""
+        stems = pc.ascii_rtrim(units, characters=punctuation)
+        lasts = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        parted = np.array([c.isalnum() and c <= LATEST for c in lasts.dictionary.to_pylist()], bool)[lasts.indices.to_numpy()]
+        parted &= pc.not_equal(pc.binary_length(stems), pc.binary_length(units)).to_numpy(zero_copy_only=False)
+        values = self.remember(pc.if_else(pa.array(parted), stems, units))
+        if not parted.any():
+            return values
+        with_tail = pa.array(parted)
+        tails = _after(units.filter(with_tail), stems.filter(with_tail)).dictionary_encode()
+        found = pa.array([self.tail(t.decode()) for t in tails.dictionary.to_pylist()], pa.large_binary()).take(tails.indices)
+        empty = pa.scalar(b"", pa.large_binary())
+        return pc.binary_join_element_wise(values, pc.replace_with_mask(pa.repeat(empty, len(values)), with_tail, found), empty)
+
+    def remember(self, stems: pa.Array) -> pa.Array:
+        """The ids of each of these; those of this run are remembered, and what was before, while there is room."""
+        before = len(self.stems)
+        both = pa.concat_arrays([self.stems, stems]).dictionary_encode()  # what is remembered comes first, each once
+        places, new = both.indices[before:], both.dictionary[before:]
+        ids = pa.concat_arrays([self.ids, self.new_ids(new)])
+        found = ids.take(places)
+        if len(ids) <= 2 * self.remembered:
+            self.stems, self.ids = both.dictionary, ids
+        else:
+            kept = pc.unique(places)[: self.remembered]
+            self.stems, self.ids = both.dictionary.take(kept), ids.take(kept)
+        return found
+
+    def new_ids(self, units: pa.Array) -> pa.Array:
+        letters = pc.match_substring_regex(units, LETTERS)
+        rest = pa.array([self.made(unit) for unit in units.filter(pc.invert(letters)).to_pylist()], pa.large_binary())
+        return pc.replace_with_mask(pc.replace_with_mask(pa.repeat(pa.scalar(b"", pa.large_binary()), len(units)), letters, self.of_letters(units.filter(letters))), pc.invert(letters), rest)
+
+    def of_letters(self, words: pa.Array) -> pa.Array:
+        """The ids of units of letters alone: each is one pre-token with the space before it. No byte within is a space, so a token that
+        begins with one begins a unit."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        lines = " " + pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n ", pa.large_string()))[0].as_py()
+        lines = lines.replace(" ", self.space) if lines.isascii() else lines.encode().decode("latin-1").translate(self.letters | {0x0A: "\n"})
+        ids = np.array(self.lines.encode_batch_fast([lines], add_special_tokens=False)[0].ids, f"<u{self.width}")
+        bounds = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.width
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids)])
+
+    def with_more(self, values: pa.Array, more: list[bytes]) -> pa.Array:
+        return pa.concat_arrays([values, pa.array(more, pa.large_binary())])
+
+    def joined(self, values: pa.Array, places: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+        _, offsets, data = values.take(pa.array(places)).buffers()
         bounds = np.frombuffer(offsets, np.int64, len(places) + 1)[[*firsts, len(places)]].tolist()
         ids = memoryview(data or b"")
         return [ids[a:b].tobytes() for a, b in pairwise(bounds)]
 
 
+def _after(whole: pa.Array, heads: pa.Array) -> pa.Array:
+    """What follows in each string its head there."""
+    _, offsets, data = whole.buffers()
+    stops = np.frombuffer(offsets, np.int64)[whole.offset + 1 : whole.offset + len(whole) + 1]
+    sizes = (pc.binary_length(whole).to_numpy() - pc.binary_length(heads).to_numpy()).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat(stops - bounds[1:], sizes) + np.arange(bounds[-1])
+    return pa.Array.from_buffers(pa.large_binary(), len(whole), [None, pa.py_buffer(bounds), pa.py_buffer(np.frombuffer(data, np.uint8)[places])])
+
+
 _CUT_TYPES = [pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
 
 
@@ -271,9 +345,41 @@ def _shift(n_bytes: int) -> int:
     return _shifts[n_bytes]
 
 
+@cache
+def _powers(level: int) -> np.ndarray:
+    """x to the power 8 k 256^level for each k below 256."""
+    out, base = [0x80000000], _shift(1 << 8 * level)
+    while len(out) < 256:
+        out.append(_times(out[-1], base))
+    return np.array(out, np.uint32)
+
+
+def _times_each(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out, one = np.zeros(len(a), np.uint32), np.uint32(1)
+    for k in range(31, -1, -1):
+        out ^= b * (a >> np.uint32(k) & one)
+        b = (b >> one) ^ (np.uint32(POLYNOMIAL) * (b & one))
+    return out
+
+
+def joined_crcs(crcs: np.ndarray, n_bytes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The CRC-32 of stretches that follow each other from that of each; a new whole begins at each of ``firsts``."""
+    stops = np.cumsum(n_bytes)
+    behind = np.repeat(stops[np.append(firsts[1:], len(stops)) - 1], np.diff(np.append(firsts, len(stops)))) - stops
+    out, level = crcs.astype(np.uint32), 0
+    while behind.any():
+        more = np.flatnonzero(behind & 255)
+        out[more] = _times_each(out[more], _powers(level)[behind[more] & 255])
+        behind, level = behind >> 8, level + 1
+    return np.bitwise_xor.reduceat(out, firsts)
+
+
 def joined_crc(first: int, second: int, second_bytes: int) -> int:
     """The CRC-32 of two stretches from those of each."""
-    return _times(first, _shift(second_bytes)) ^ second
+    return int(joined_crcs(np.array([first, second]), np.array([0, second_bytes]), np.array([0]))[0])
+
+
+ASSEMBLED = pa.struct([("n", pa.int64()), ("crc", pa.int64()), ("root", pa.binary())])
 
 
 def _chunk_facts(batches):
@@ -291,16 +397,14 @@ def _chunk_facts(batches):
 
 @F.arrow_udf(StructType([StructField("n", LongType()), StructField("crc", LongType()), StructField("root", BinaryType())]))
 def _assembled(column: pa.Array) -> pa.Array:
-    sizes, crcs, roots = [], [], []
-    for pieces in column.to_pylist():
-        crc = n = 0
-        for p in pieces:
-            crc = joined_crc(crc, p["crc"], 4 * p["n"])
-            n += p["n"]
-        sizes.append(n)
-        crcs.append(crc)
-        roots.append(merkle(p["digest"] for p in pieces))
-    return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(roots, pa.binary())], names=["n", "crc", "root"])
+    counts = pc.list_value_length(column).to_numpy()
+    if not len(counts):
+        return pa.array([], ASSEMBLED)
+    digests, crcs, sizes = pc.list_flatten(column).flatten()[1:]
+    sizes, digests, firsts = sizes.to_numpy(), digests.to_pylist(), np.cumsum(counts, dtype=np.int64) - counts
+    roots = [merkle(digests[a:b]) for a, b in pairwise([*firsts.tolist(), len(digests)])]
+    whole = joined_crcs(crcs.to_numpy(), 4 * sizes, firsts)
+    return pa.StructArray.from_arrays([pa.array(np.add.reduceat(sizes, firsts)), pa.array(whole.astype(np.int64)), pa.array(roots, pa.binary())], fields=list(ASSEMBLED))
 
 
 def check_manifest(spark, folder: str) -> None:

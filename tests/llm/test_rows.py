@@ -187,6 +187,30 @@ def test_python_sees_each_unit_once_a_run():
     assert Asked.n == len({w for t in column.to_pylist()[:2500] for w in t.split(" ")[1:-1]})
 
 
+def test_the_model_takes_the_new_words_of_a_run_in_one_call():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghéж", k=8)) for _ in range(3000)]
+    columns = [pa.array([" ".join(w + r.choice(["", ",", "."]) for w in r.choices(words, k=100)) for _ in range(200)] + [None]) for _ in range(3)]
+    e = idstore.IdsEncoder(bpe.vocabulary_path(), 0)
+    one, asked = e.tokenize, []
+    e.tokenize = lambda word: asked.append(word) or one(word)
+    for column in columns:
+        assert e.encode(column) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+    assert not asked
+
+
+@pytest.mark.parametrize("remembered", [1, 5, 40, None])
+def test_ids_of_units_of_all_kinds_are_the_librarys(remembered):
+    e = idstore.IdsEncoder(bpe.vocabulary_path(), 0, remembered)
+    kinds = ["word", "Ünder", "слово", "ԱԲ", "\u04ff", "\u0500", "٣٤", "漢字", "x1", "12", "½", "²", "a€", "don't", "'s", "a.b", "…", "é", "e\u0301", "\u00ad", "ǅ", "ª", "_", "\x00", "a\x00b", "Ġa", "Ċ", "\ufeff", ",", "\n", "\nword", "\nслово"]
+    tails = ["", ",", "!!", "'s", "'", "€,", "_", "…."]
+    r = random.Random(9)
+    for _ in range(6):
+        texts = [" ".join(r.choice(kinds) + r.choice(tails) for _ in range(9)) for _ in range(80)]
+        assert e.encode(pa.array(["left out", *texts, None]).slice(1)) == [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch([*texts, ""], add_special_tokens=False)]
+        assert len(e.stems) == len(e.ids) <= 2 * e.remembered
+
+
 def test_runs_of_a_column():
     column = pa.array(["x", "é" * 40, None, "", "y" * 500, "z", None]).slice(1)
     for most in (1, 80, 100, 5000):

@@ -487,6 +487,15 @@ def test_joined_checksums():
         assert idstore.joined_crc(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
 
 
+def test_the_crcs_of_many_documents_are_joined_at_once():
+    r = random.Random(4)
+    made = [[r.randbytes(4 * r.choice([0, 1, 100, 70_000])) for _ in range(r.randrange(1, 7))] for _ in range(60)]
+    pieces = [piece for one in made for piece in one]
+    firsts = np.cumsum([0, *map(len, made)])[:-1]
+    got = idstore.joined_crcs(np.array([zlib.crc32(x) for x in pieces]), np.array([len(x) for x in pieces]), firsts)
+    assert got.tolist() == [zlib.crc32(b"".join(one)) for one in made]
+
+
 def test_cuts_cover_the_stream_within_bounds():
     ids = np.random.default_rng(0).integers(0, 50_000, 60_000).astype("<u2")
     streams = [ids, np.zeros(30_000, "<u2"), ids[:1], ids[:0], ids[5:9000]]
