@@ -45,6 +45,7 @@ END_ID = 0
 CUT_BITS = 9  # a chunk has 512 ids on average
 CHUNK_LEAST, CHUNK_MOST = 64, 4096
 SEEN = 1 << 18  # digests that a task remembers
+WORDS = 1 << 15  # units that the library's model takes in one call, at most
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Text of letters alone that Python and the library agree on.
 LETTERS = "^[" + "".join(c for c in map(chr, range(ord(LATEST) + 1)) if c.isalpha()) + "]+$"
@@ -165,7 +166,7 @@ class IdsEncoder(Encoder):
     """Its values are ids as bytes, ``width`` bytes an id; low byte first on all platforms that Spark runs on.
 
     What it remembers are Arrow arrays, not Python's objects: units without the punctuation that ends them, and their ids. Arrow finds
-    those of a run that are new, and the library's model takes those of letters alone in one call.
+    those of a run that are new, and the library's model takes those of letters alone many at a time.
     """
 
     def __init__(self, path: str, end_id: int, remembered: int | None = None):
@@ -210,6 +211,8 @@ class IdsEncoder(Encoder):
         return found
 
     def new_ids(self, units: pa.Array) -> pa.Array:
+        if len(units) > WORDS:
+            return pa.concat_arrays([self.new_ids(units[at : at + WORDS]) for at in range(0, len(units), WORDS)])
         letters = pc.match_substring_regex(units, LETTERS)
         rest = pa.array([self.made(unit) for unit in units.filter(pc.invert(letters)).to_pylist()], pa.large_binary())
         return pc.replace_with_mask(pc.replace_with_mask(pa.repeat(pa.scalar(b"", pa.large_binary()), len(units)), letters, self.of_letters(units.filter(letters))), pc.invert(letters), rest)

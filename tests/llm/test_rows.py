@@ -211,6 +211,17 @@ def test_ids_of_units_of_all_kinds_are_the_librarys(remembered):
         assert len(e.stems) == len(e.ids) <= 2 * e.remembered
 
 
+def test_no_call_of_the_model_takes_all_words_of_a_long_text(monkeypatch):
+    monkeypatch.setattr(idstore, "WORDS", 100, raising=False)
+    e = idstore.IdsEncoder(bpe.vocabulary_path(), 0)
+    one, taken = e.lines, []
+    e.lines = type("Lines", (), {"encode_batch_fast": lambda self, texts, **more: taken.append(texts[0].count("\n") + 1) or one.encode_batch_fast(texts, **more)})()
+    r = random.Random(2)
+    text = " ".join("".join(r.choices("abcdé", k=9)) for _ in range(1002))
+    assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()]
+    assert max(taken) <= 100 and sum(taken) == len(set(text.split(" ")[1:-1]))
+
+
 def test_runs_of_a_column():
     column = pa.array(["x", "é" * 40, None, "", "y" * 500, "z", None]).slice(1)
     for most in (1, 80, 100, 5000):
