@@ -119,8 +119,10 @@ def added_lines(changed: DataFrame) -> DataFrame:
     """file, epoch, at, n, raw, past of what was added to the files (as from ``probed``)."""
     edges = F.sequence("start", F.greatest("start", F.col("size") - 1), F.lit(SPLIT).cast("long"))
     ranges = changed.where("size > start").select("file", "epoch", "size", "start", F.explode(edges).alias("first")).withColumn("last", F.least(F.col("first") + SPLIT, F.col("size")))
-    # by hash of the range, so that a few large files and many small ones both fill all tasks
-    return ranges.repartition("file", "first").mapInArrow(_lines, "file string, epoch long, at long, n long, raw string, past long")
+    # dealt one by one to a number of tasks that is given: the ranges' rows are so small that they would else all be joined into one task
+    told = ranges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("last") - F.col("first")).alias("bytes")).first()
+    tasks = min(told["n"], max(4 * changed.sparkSession.sparkContext.defaultParallelism, (told["bytes"] or 0) // SPLIT))
+    return ranges.repartitionByRange(max(tasks, 1), "file", "first").mapInArrow(_lines, "file string, epoch long, at long, n long, raw string, past long")
 
 
 def _facts_schema(spark: SparkSession):

@@ -260,3 +260,16 @@ def test_what_turns_out_empty_makes_no_generation(spark, tmp_path):
     none = spark.createDataFrame([], stores.OFFER)
     assert store.change(store.newest(), append={"usage": none}, unless_empty=True) == store.newest()
     assert store.newest().number == 0 and not store.sweep(0)
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    for k in range(8):
+        (folder / f"{k}.jsonl").write_text(text(reply(k)))
+    growing.import_growing(stores.Store(spark, str(tmp_path / "store")), str(folder))
+    sizes = [(str(p), 0, p.stat().st_size, 0) for p in folder.iterdir()]
+    changed = spark.createDataFrame(sizes, "file string, epoch long, size long, start long")
+    out = str(tmp_path / "out")
+    growing.added_lines(changed).withColumn("task", F.spark_partition_id()).write.parquet(out)
+    assert spark.read.parquet(out).select("task").distinct().count() == 8
