@@ -37,14 +37,18 @@ def repeated(file: str = "file", uuid: str = "uuid", line: str | list[str] = "li
     return named & (F.row_number().over(Window.partitionBy(file, uuid, alone(named, line)).orderBy(*_listed(line))) > 1)
 
 
-def carried(rows: DataFrame, narrow: DataFrame, said: dict[str, Column], stretch: list[str], line: list[str], file: str = "file") -> DataFrame:
+def carried(rows: DataFrame, narrow: DataFrame, said: dict[str, Column], stretch: list[str], line: list[str], file: str = "file", earlier: DataFrame | None = None) -> DataFrame:
     """Adds to the rows, by name, what ``said`` (null where a row says nothing) said last in their file before their stretch. A file is
     as long as it likes: what each stretch says last is few rows, which alone are put in their file's order. ``narrow`` has the rows
-    that are asked, or as many of their columns as ``said`` needs."""
+    that are asked, or as many of their columns as ``said`` needs; ``earlier`` (file and the names of ``said``) what was said last in
+    files before all of them."""
     place = F.struct(*line)
     last = narrow.groupBy(file, *stretch).agg(*(F.max_by(c, F.when(c.isNotNull(), place)).alias(name) for name, c in said.items()))
     ahead = upto(file, stretch, -1)
     before = last.select(file, *stretch, *(F.last(name, ignorenulls=True).over(ahead).alias(name) for name in said))
+    if earlier is not None:
+        held = earlier.select(file, *(F.col(name).alias(f"_{name}") for name in said))
+        before = before.join(held, file, "left").select(file, *stretch, *(F.coalesce(name, f"_{name}").alias(name) for name in said))
     return rows.join(before.hint("shuffle_hash"), [file, *stretch])
 
 

@@ -2,9 +2,13 @@
 
 A folder's listing (paths, sizes and times, no contents) is joined with the positions that the last run left. Of files that changed, the
 head is probed: where it is as it was and the file has not shrunk, reading goes on at the position after the last whole line; a file that
-was rotated or cut short is read from its start, under a new epoch. Ranges are split and read by many tasks. What the lines say
-(``transcripts.facts``) is appended to the store; the records of the files that changed are then made from all their facts, so
-whatever a parser carries from line to line is there without reading it again, and the records are those of one full read.
+was rotated or cut short is read from its start, under a new epoch. Ranges are split and read by many tasks.
+
+What the new lines say (``transcripts.facts``) is put in order by itself, going on from what the position says of the file's state, and
+appended to the store with the edits and steps that it holds. Of the lines read before, only those that have something in common with a
+new one (``transcripts.links``: a line's id, a response, a tool call) are brought back; records and steps that new lines add to are made
+of both and offered anew, and the others stand. So an import's work is that of what was added, but for one pass over the older lines'
+numbers, and the records are those of one full read.
 
 Positions, facts, records and steps are one change of the store: a run that dies anywhere is as if it had not begun, and a second run that
 finds nothing new makes no generation. Records of lines that a rotation took away stay in the store.
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterloom.operators import etl
-from meterloom.session import cut
+from meterloom.session import cut, drop_cut
 from meterloom.sources import transcripts
 from meterloom.sources.lines import as_usage
 from meterloom.streaming.store import STEP, Generation, Store, offered
@@ -34,7 +38,10 @@ SPLIT = 64 << 20  # bytes that a task reads of a file
 HEAD = 1024  # bytes by which a file is known again
 BLOCK = 1 << 20
 TOOL = "claude-code"
-POSITION = "file string, epoch long, size long, modified timestamp, offset long, head_size long, head_sum long, seq long"
+SAID = f"struct<{', '.join(f'{c}: string' for c in transcripts.CARRIED[:-1])}, {transcripts.CARRIED[-1]}: boolean>"
+POSITION = f"file string, epoch long, size long, modified timestamp, offset long, head_size long, head_sum long, said {SAID}, seq long"
+#: What is kept of the lines that were read; unfinished ones, which are read again, and repeated ones are passed over in each.
+READ = {f"facts-{TOOL}": "past > 0 AND NOT again", f"edits-{TOOL}": "past > 0", f"places-{TOOL}": "past > 0 AND fresh"}
 
 
 def listed(spark: SparkSession, folder: str, names: str = "*.jsonl") -> DataFrame:
@@ -125,17 +132,25 @@ def added_lines(changed: DataFrame) -> DataFrame:
     return ranges.repartitionByRange(max(tasks, 1), "file", "first").mapInArrow(_lines, "file string, epoch long, at long, n long, raw string, past long")
 
 
-def _facts_schema(spark: SparkSession):
-    nothing = spark.createDataFrame([], "file string, epoch long, at long, n long, raw string")
-    return transcripts.facts(nothing, "epoch").withColumn("seq", F.lit(0).cast("long")).schema
+def _schemas(spark: SparkSession) -> dict:
+    nothing = spark.createDataFrame([], "file string, epoch long, at long, n long, raw string, past long")
+    lines = transcripts.told_so_far(transcripts.facts(nothing, "epoch", "past"))
+    place = "epoch long, past long, file string, at long, n long, k int, fresh boolean, target string, target_ref long, ordinal long"
+    frames = (lines.withColumn("links", transcripts.links(lines)), transcripts.reworked(lines), spark.createDataFrame([], place))
+    return {name: df.schema for name, df in zip(READ, frames, strict=True)}
+
+
+def _kept(store: Store, name: str, base: Generation, schema, files: DataFrame) -> DataFrame:
+    """What is kept of the lines of files (file, epoch) that were read before."""
+    return store.table(name, base, schema).where(READ[name]).join(files, ["file", "epoch"], "left_semi")
 
 
 def import_growing(store: Store, folder: str, names: str = "*.jsonl") -> Generation:
     """Brings the store up to what the folder's transcripts say now."""
     spark, base = store.spark, store.newest()
-    at, told = f"positions-{TOOL}", f"facts-{TOOL}"
+    at, (told, edited, placed) = f"positions-{TOOL}", READ
     newest = Window.partitionBy("file").orderBy(F.desc("seq"))
-    known = store.table(at, base, spark.createDataFrame([], POSITION).schema).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n", "seq")
+    known = store.table(at, base, spark.createDataFrame([], POSITION).schema).withColumn("_n", F.row_number().over(newest)).where("_n = 1 AND said IS NOT NULL").drop("_n", "seq")
     before = known.select("file", F.col("size").alias("_size"), F.col("modified").alias("_modified"), "epoch", "offset", "head_size", "head_sum")
     found = listed(spark, folder, names).join(before, "file", "left").where("_size IS NULL OR size <> _size OR modified <> _modified")
     probed = found.select("file", "size", "modified", "epoch", "offset", "head_size", "head_sum").mapInArrow(_probed, "file string, epoch long, size long, modified timestamp, start long, head_size long, head_sum long")
@@ -143,25 +158,57 @@ def import_growing(store: Store, folder: str, names: str = "*.jsonl") -> Generat
     if changed.isEmpty():
         return base
 
-    lines = added_lines(changed)
     number = F.lit(base.number + 1).cast("long")
-    fresh = cut(transcripts.facts(lines, "epoch", "past").withColumn("seq", number), "facts")
-    read = fresh.groupBy("file").agg(F.max("past").alias("past"))
-    offset = F.greatest(F.col("start"), F.coalesce("past", F.lit(0)))
-    positions = changed.join(read, "file", "left").select("file", "epoch", "size", "modified", offset.alias("offset"), "head_size", "head_sum", number.alias("seq"))
-
-    kept = fresh.drop("past")
-    # of a line that was unfinished when it was read, the last reading stands
-    here = Window.partitionBy("file", "epoch", "at").orderBy(F.desc("seq"))
-    stored = store.table(told, base, _facts_schema(spark)).join(F.broadcast(changed.select("file", "epoch")) if _few(changed) else changed.select("file", "epoch"), ["file", "epoch"], "left_semi")
-    every = stored.unionByName(kept).withColumn("_n", F.row_number().over(here)).where("_n = 1").drop("_n", "epoch", "seq")
-    every = cut(every, "every")
-    records = as_usage(transcripts.records_of(every), TOOL)
-    steps = transcripts.steps_of(every).withColumn("tool", F.lit(TOOL)).withColumn("member", F.lit(""))
+    fresh = cut(transcripts.facts(added_lines(changed), "epoch", "past"), "facts")
+    files = changed.select("file", "epoch")
+    files = F.broadcast(files) if _few(changed) else files
+    stood = known.select("file", "epoch", "said").join(files, ["file", "epoch"], "left_semi")
+    schemas = _schemas(spark)
+    old = places = budgets = None
+    if base.tables.get(told):
+        old = _met_again(fresh, stood, _kept(store, told, base, schemas[told], files))
+        places = _kept(store, placed, base, schemas[placed], files)
+        edits = _kept(store, edited, base, schemas[edited], files)
+        budgets = edits.groupBy("file", "path").agg((F.sum("added") - F.sum("rework")).alias("added")).where("added > 0")
+    lines = transcripts.told_so_far(fresh, stood.select("file", "said.*") if old else None, old.select("file", "uuid") if old else None)
+    lines = lines.withColumn("links", transcripts.links(lines))
+    written = {told: store.write(told, lines)}
+    every = store.written(written[told], schemas[told])
+    new = every.where("NOT again").withColumn("fresh", F.lit(True))
+    written[edited] = store.write(edited, transcripts.reworked(new, budgets))
+    changes = store.written(written[edited], schemas[edited]).withColumn("fresh", F.lit(True))
+    if old:
+        new = new.unionByName(old.withColumn("fresh", F.lit(False)))
+        place = ["file", *transcripts.ORDER]
+        changes = changes.unionByName(edits.join(old.where("kind = 'edit'").select(*place), place, "left_semi").withColumn("fresh", F.lit(False)))
+    records = as_usage(transcripts.recorded(new, changes), TOOL)
     seq = F.struct(number.alias("batch"), F.monotonically_increasing_id().alias("n"))
-    return store.change(base, append={
-        "usage": offered(records, base), "steps": steps.select(*STEP.names, seq.alias("seq")), told: kept, at: positions,
-    })
+    steps = transcripts.stepped(new, places).withColumns({"tool": F.lit(TOOL), "member": F.lit(""), "seq": seq})
+    written["steps"] = written[placed] = store.write("steps", steps)
+
+    # where each file stands, after its last whole line
+    said = F.struct(*(F.col(c).alias(name) for c, name in zip((*transcripts.SAID, "owner", "lost"), transcripts.CARRIED, strict=True)))
+    read = every.where("past > 0").groupBy("file").agg(F.max("past").alias("past"), F.max_by(said, F.struct(*transcripts.ORDER)).alias("now"))
+    offset = F.greatest(F.col("start"), F.coalesce("past", F.lit(0)))
+    stands = F.coalesce("now", "said", F.from_json(F.lit("{}"), SAID)).alias("said")
+    positions = changed.join(read, "file", "left").join(stood, ["file", "epoch"], "left").select("file", "epoch", "size", "modified", offset.alias("offset"), "head_size", "head_sum", stands, number.alias("seq"))
+    made = store.change(base, append={"usage": offered(records, base), at: positions}, written=written)
+    drop_cut(changed, fresh, old)
+    return made
+
+
+def _met_again(fresh: DataFrame, stood: DataFrame, old: DataFrame) -> DataFrame:
+    """Of the lines read before, those with which a new one has something in common; what is first said goes on with where its file
+    ``stood``, so the last response there counts as new."""
+    going = stood.where("said.past_key IS NOT NULL").select("file", F.col("said.past_key").alias("key"), F.lit("assistant").alias("kind"), F.lit("").alias("uuid"))
+    sought = fresh.select("file", "key", "kind", "uuid", "made", "tools", "results").unionByName(going, allowMissingColumns=True)
+    link = lambda links: F.explode(links).alias("link")
+    met = cut(sought.select(link(transcripts.links(sought))).intersect(old.select(link(F.col("links")))), "met")
+    place = ["file", *transcripts.ORDER]
+    hits = cut(old.select(*place, link(F.col("links"))).join(met, "link", "left_semi").select(*place).distinct(), "hits")
+    found = cut(old.join(hits, place, "left_semi"), "old")
+    drop_cut(met, hits)
+    return found
 
 
 def import_changed(store: Store, folder: str, tool: str, parse: Callable[[SparkSession, list[str]], DataFrame], now: str, names: str = "*.jsonl", build: str = "1", files: int = 1000) -> Generation:
@@ -199,12 +246,10 @@ def _few(changed: DataFrame, most: int = 100_000) -> bool:
 
 
 def compact_log_tables(store: Store) -> Generation:
-    """The newest position of each file and the facts of its epoch, in one folder each in place of a folder a run."""
-    base, at, told = store.newest(), f"positions-{TOOL}", f"facts-{TOOL}"
+    """The newest position of each file and what is kept of its epoch's lines, in one folder each in place of a folder a run."""
+    base, at, schemas = store.newest(), f"positions-{TOOL}", _schemas(store.spark)
     if len(base.tables.get(at, [])) < 2:
         return base
     newest = Window.partitionBy("file").orderBy(F.desc("seq"))
     positions = store.table(at, base, store.spark.createDataFrame([], POSITION).schema).withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-    facts = store.table(told, base, _facts_schema(store.spark)).join(positions.select("file", "epoch"), ["file", "epoch"], "left_semi")
-    here = Window.partitionBy("file", "epoch", "at").orderBy(F.desc("seq"))
-    return store.change(base, replace={at: positions, told: facts.withColumn("_n", F.row_number().over(here)).where("_n = 1").drop("_n")})
+    return store.change(base, replace={at: positions} | {name: _kept(store, name, base, schemas[name], positions.select("file", "epoch")) for name in READ})

@@ -90,15 +90,25 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
+    def write(self, name: str, df: DataFrame) -> str:
+        """Writes a folder that a change may take up later (``written``), and says its name."""
+        return self._write(name, df)
+
+    def written(self, folder: str, schema: StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+
     def _write(self, name: str, df: DataFrame) -> str:
         folder = f"tables/{name}/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         return folder
 
-    def change(self, base: Generation, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, drop: tuple[str, ...] = (), unless_empty: bool = False) -> Generation:
+    def change(self, base: Generation, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, drop: tuple[str, ...] = (), unless_empty: bool = False, written: dict[str, str] | None = None) -> Generation:
         """A generation on top of ``base`` with tables added to, replaced or emptied, all of it or nothing. ``unless_empty``: what turns
-        out to have no rows once it is written is not appended."""
+        out to have no rows once it is written is not appended. ``written``: folders by table that are written and now added; tables
+        may share one."""
         tables = {name: list(folders) for name, folders in base.tables.items() if name not in drop}
+        for name, folder in (written or {}).items():
+            tables[name] = [*tables.get(name, []), folder]
         for name, df in (append or {}).items():
             folder = self._write(name, df)
             if unless_empty and self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}").isEmpty():
@@ -187,7 +197,7 @@ def clear(store: Store, before: str = "", tool: str = "") -> Generation:
     drop = ["snapshots"]
     for name in base.tables:
         of = name.partition("-")
-        if of[0] in ("positions", "facts") and not before and tool in ("", of[2]):
+        if of[0] in ("positions", "facts", "edits", "places") and not before and tool in ("", of[2]):
             drop.append(name)
     return store.change(base, replace=replace, drop=tuple(drop))
 

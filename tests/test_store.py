@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,59 @@ def test_ranges_are_read_by_many_tasks(spark, tmp_path):
     out = str(tmp_path / "out")
     growing.added_lines(changed).withColumn("task", F.spark_partition_id()).write.parquet(out)
     assert spark.read.parquet(out).select("task").distinct().count() == 8
+
+
+def test_an_import_makes_anew_only_what_new_lines_add_to(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    log = folder / "a.jsonl"
+    log.write_text(text(*(reply(n) for n in range(20))))
+    store = stores.Store(spark, str(tmp_path / "store"))
+    growing.import_growing(store, str(folder))
+    with log.open("a") as f:
+        f.write(text(edit(19, 4, 0), edit(3, 0, 1, True), reply(20)))
+    growing.import_growing(store, str(folder))
+    # the last response has new lines, a call of an older one a result, and one response is new
+    offers = lambda table: store.table(table).groupBy("seq.batch").count().orderBy("batch").collect()
+    assert [tuple(x) for x in offers("usage")] == [(1, 20), (2, 2)]
+    assert [tuple(x) for x in offers("steps")] == [(1, 40), (2, 4)]
+    same_as_one_read(spark, store, folder)
+
+
+def _said(rng, name, k):
+    """Any line, which may go on with, answer, repeat or undo what any line before it said."""
+    past = lambda: rng.randrange(max(0, k - 30), k + 1)
+    about = {"uuid": f"{name}{past() if rng.random() < 0.15 else k}", "sessionId": name, "timestamp": f"2026-07-01T10:{k // 60:02}:{k % 60:02}Z"}
+    about |= {c: f"{v}{rng.randrange(3)}" for c, v in (("cwd", "/w/p"), ("gitBranch", "b"), ("agentId", "g")) if rng.random() < 0.2}
+    kind = rng.choice(["reply"] * 4 + ["result"] * 3 + ["edit"] * 2 + ["denial", "compaction", "agent", "stub", "broken", "blank"])
+    if kind == "reply":
+        tools = [{"type": "tool_use", "id": f"{name}t{k}-{i}" if rng.random() < 0.7 else "", "name": rng.choice(["Edit", "Bash", "Read"]), "input": {"file_path": f"src/{rng.randrange(9)}.py"} if rng.random() < 0.7 else {}} for i in range(rng.randrange(3))]
+        use = {"input_tokens": rng.randrange(99), "output_tokens": rng.randrange(99)}
+        return about | {"type": "assistant", "attributionSkill": rng.choice(["", "s1"]), "message": {"model": "m", "id": f"{name}r{past() if rng.random() < 0.4 else k}", "usage": use, "content": tools, "stop_reason": rng.choice([None, "end_turn", "max_tokens"])}}
+    results = [{"type": "tool_result", "tool_use_id": f"{name}t{past()}-{rng.randrange(2)}", "is_error": rng.random() < 0.5} for _ in range(rng.randrange(1, 3))]
+    if kind == "edit":
+        return about | {"type": "user", "message": {"content": results}, "toolUseResult": {"filePath": f"src/{rng.randrange(4)}.py", "structuredPatch": [{"lines": ["+x"] * rng.randrange(6) + ["-y"] * rng.randrange(6)}]}}
+    if kind in ("agent", "stub"):
+        done = {"usage": {"input_tokens": rng.randrange(50)}, "toolStats": {"linesAdded": 2, "linesRemoved": 1}} if kind == "agent" else {}
+        return about | {"type": "user", "toolUseResult": {"agentId": f"{name}a{rng.randrange(3)}", "resolvedModel": "n"} | done}
+    more = {"denial": {"toolDenialKind": "user"}, "compaction": {"subtype": "compact_boundary"}}.get(kind, {})
+    return {"broken": "{", "blank": ""}.get(kind, about | {"type": "user", "message": {"content": results}} | more)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_log_in_any_parts_is_as_read_at_once(spark, tmp_path, monkeypatch, seed):
+    monkeypatch.setattr(transcripts, "STRETCH_BYTES", 11)
+    rng = random.Random(seed)
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    logs = {}
+    for name in "ab":
+        lines = (_said(rng, name, k) for k in range(150))
+        logs[name] = "".join((x if isinstance(x, str) else json.dumps(x)) + "\n" for x in lines).encode()
+    ends = {name: [*sorted(rng.randrange(len(log)) for _ in range(2)), len(log)] for name, log in logs.items()}
+    store = stores.Store(spark, str(tmp_path / "store"))
+    for part in range(3):
+        for name, log in logs.items():
+            (folder / f"{name}.jsonl").write_bytes(log[: ends[name][part]])
+        growing.import_growing(store, str(folder))
+    same_as_one_read(spark, store, folder)
