@@ -47,7 +47,8 @@ def exploded(rows: DataFrame, *lines: Column) -> DataFrame:
 
 
 def times(n: str | Column, line: Column) -> Column:
-    return F.array_repeat(line, (F.col(n) if isinstance(n, str) else n).cast("int"))
+    n = (F.col(n) if isinstance(n, str) else n).cast("int")
+    return F.array_repeat(F.when(n > 0, line), n)  # a line that no record has is not made
 
 
 def gemini(x) -> DataFrame:

@@ -129,6 +129,9 @@ def told_so_far(found: DataFrame, earlier: DataFrame | None = None, seen: DataFr
         known = seen.where("uuid <> ''").select("file", "uuid", F.lit(True).alias("_seen")).distinct()
         return _stretched(lines).join(known, ["file", "uuid"], "left").withColumn("again", repeat | F.col("_seen").isNotNull()).drop("_seen")
 
+    # what says nothing to any line, as a broken one, is not moved
+    silent = (kind == "none") & (F.concat("uuid", *SAID) == "") & (F.size("results") == 0)
+    found = found.where(~silent)
     narrow = marked(found.select("file", *ORDER, "kind", "key", "uuid", *SAID))
     values = dict(zip(CARRIED, (*told.values(), answered, lost), strict=True))
     lines = etl.carried(marked(found), narrow, values, STRETCH, ORDER, earlier=earlier)
@@ -176,22 +179,22 @@ def _how_many(values: Column, value: str) -> Column:
 
 def records_of(found: DataFrame, covered: DataFrame | None = None) -> DataFrame:
     """Usage records of facts: one a response, and one a completed sub-agent whose own transcript is not among ``covered`` (agent_id)."""
-    lines = cut(shaped(found), "lines")
-    return recorded(lines, reworked(lines), covered)
+    return recorded(shaped(found), covered=covered)
 
 
 def _fresh(lines: DataFrame) -> DataFrame:
     return lines if "fresh" in lines.columns else lines.withColumn("fresh", F.lit(True))
 
 
-def recorded(lines: DataFrame, changes: DataFrame, covered: DataFrame | None = None) -> DataFrame:
-    """The records of shaped lines and their edits (``reworked``); where ``fresh`` tells new lines from those read before, the records
-    that a fresh one adds to."""
-    # lists are counted before rows are moved, and edits are put in order by themselves
+def recorded(lines: DataFrame, changes: DataFrame | None = None, covered: DataFrame | None = None) -> DataFrame:
+    """The records of shaped lines and their edits (``reworked``; without them rework is worked out among the lines, if it is asked
+    for); where ``fresh`` tells new lines from those read before, the records that a fresh one adds to."""
+    # lists are counted before rows are moved
     errors = F.when(F.col("kind") != "denial", F.size(F.filter("results", lambda r: r["wrong"]))).otherwise(0)
     edits = F.size(F.filter("tools", lambda t: t["name"].isin(*EDITS)))
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    listed = _fresh(lines).withColumns({"errors": errors.cast("long"), "edits": edits.cast("long"), "purposes": F.transform("tools", lambda t: purpose(t["name"])), "added": number("change.added"), "removed": number("change.removed")})
+    listed = _fresh(lines).withColumns({"errors": errors.cast("long"), "edits": edits.cast("long"), "purposes": F.transform("tools", lambda t: purpose(t["name"])), "added": number("change.added"), "removed": number("change.removed"), "path": F.when(F.col("owner").isNotNull(), F.col("change.path"))})
+    listed = listed.where(F.col("kind").isin("assistant", "denial", "compaction", "edit", "agent") | (F.col("errors") > 0))  # others add nothing
     rows = listed.withColumns({f"n_{k}": _how_many(F.col("purposes"), k) for k in PURPOSES}).drop("tools", "results", "purposes", "change", "links", *STRETCH)
     own = F.struct(F.coalesce(F.when(F.col("kind") == "assistant", F.col("key")), F.col("owner")).alias("key"), F.lit("own").alias("part"))
     earlier = F.struct(F.col("before").alias("key"), F.lit("errors").alias("part"))
@@ -199,7 +202,11 @@ def recorded(lines: DataFrame, changes: DataFrame, covered: DataFrame | None = N
     undone = F.struct(F.col("owner").alias("key"), F.lit("rework").alias("part"))
     # nearly all lines belong to one record; a response's own results are the one before's, and a sub-agent's report is a record besides
     parts = F.concat(F.array(own), F.when(F.col("errors") > 0, F.array(earlier)).otherwise(F.array()), F.when(F.col("kind") == "agent", F.array(agent)).otherwise(F.array()))
-    dealt = rows.withColumn("to", F.explode(parts)).where("to.key IS NOT NULL").unionByName(_fresh(changes).select("file", "fresh", undone.alias("to"), "rework"), allowMissingColumns=True)
+    if changes is None:
+        rows = etl.rework(rows.withColumn("alone", etl.alone(F.col("path").isNotNull(), ORDER)), ["file", "path", "alone"], ORDER)
+    dealt = rows.withColumn("to", F.explode(parts)).where("to.key IS NOT NULL")
+    if changes is not None:
+        dealt = dealt.unionByName(_fresh(changes).select("file", "fresh", undone.alias("to"), "rework"), allowMissingColumns=True)
     line, part = F.struct(*ORDER), F.col("to.part")
     mine = (part == "own") & (F.col("kind") == "assistant")
     besides = part == "own"
@@ -217,7 +224,7 @@ def recorded(lines: DataFrame, changes: DataFrame, covered: DataFrame | None = N
         summed(F.lit(1), besides & (F.col("kind") == "denial")).alias("rejected"),
         summed(F.lit(1), besides & F.col("starts")).alias("compactions"),
         *(summed(F.col(c), besides & (F.col("kind") == "edit")).alias(name) for c, name in (("added", "lines_added"), ("removed", "lines_removed"))),
-        summed(F.col("rework"), part == "rework").alias("rework_lines"), F.max("fresh").alias("fresh"),
+        summed(F.col("rework"), (besides & (F.col("kind") == "edit")) if changes is None else part == "rework").alias("rework_lines"), F.max("fresh").alias("fresh"),
     ).where("a IS NOT NULL AND fresh")
     either = lambda agents, responses: F.when(F.col("is_agent"), agents).otherwise(responses)
     whole = merged.select(
@@ -254,15 +261,19 @@ def stepped(lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
     opens = is_response & (line == F.min(mine(line)).over(response))
     settled = F.coalesce(F.min_by(outcome, F.when(is_response & outcome.isNotNull(), line)).over(response), F.lit(""))
     rows = rows.withColumns({"opens": opens, "settled": settled, "all_tokens": tokens, "touched": F.max("fresh").over(response)})
+    # calls without an id are numbered within their response
+    unnamed = lambda tools: F.size(F.filter(tools, lambda t: t["id"] == ""))
+    ahead = response.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("unnamed", F.coalesce(F.sum(mine(unnamed(F.col("tools")))).over(ahead), F.lit(0)))
     kept = [c for c in ("epoch", "past") if c in lines.columns]
     name = F.create_map(*(F.lit(x) for kv in STEP_OF.items() for x in kv))
-    about = "k int, id string, kind string, outcome string, path string, result boolean"
-    item = lambda k, id_, kind, said, path, result=False: F.struct(
-        F.lit(k).cast("int").alias("k") if isinstance(k, int) else k.cast("int").alias("k"), id_.alias("id"), kind.alias("kind"), said.alias("outcome"), path.alias("path"), F.lit(result).alias("result")
+    about = "k int, id string, kind string, outcome string, path string, result boolean, number long"
+    item = lambda k, id_, kind, said, path, result=False, number=F.lit(0): F.struct(
+        F.lit(k).cast("int").alias("k") if isinstance(k, int) else k.cast("int").alias("k"), id_.alias("id"), kind.alias("kind"), said.alias("outcome"), path.alias("path"), F.lit(result).alias("result"), number.cast("long").alias("number")
     )
     nothing, no_item = F.lit(""), F.array().cast(f"array<struct<{about.replace(' ', ':').replace(',:', ',')}>>")
     turn = F.when(F.col("opens"), F.array(item(0, F.col("key"), F.lit("assistant"), F.col("settled"), nothing))).otherwise(no_item)
-    calls = F.when(is_response, F.transform("tools", lambda t, k: item(k + 1, t["id"], F.coalesce(name[purpose(t["name"])], F.lit("other")), nothing, t["path"]))).otherwise(no_item)
+    calls = F.when(is_response, F.transform("tools", lambda t, k: item(k + 1, t["id"], F.coalesce(name[purpose(t["name"])], F.lit("other")), nothing, t["path"], number=F.when(t["id"] == "", F.col("unnamed") + unnamed(F.slice("tools", 1, k)))))).otherwise(no_item)
     told = lambda r: F.when(F.col("kind") == "denial", "denied").when(r["wrong"], "error").otherwise("ok")
     results = F.transform(F.filter("results", lambda r: r["id"] != ""), lambda r: item(0, r["id"], nothing, told(r), nothing, True))
     lost = F.when(F.col("starts") & F.col("owner").isNotNull() & (F.col("uuid") != ""), F.array(item(0, F.concat("uuid", F.lit(":compaction")), F.lit("compaction"), nothing, nothing))).otherwise(no_item)
@@ -274,8 +285,7 @@ def stepped(lines: DataFrame, places: DataFrame | None = None) -> DataFrame:
     # of a response that a new line goes on with, and a call that a new result names, all lines are here
     told_of = F.when(F.col("kind") == "assistant", F.col("touched")).when(is_call & (F.col("id") != ""), F.max("fresh").over(of_id)).otherwise(F.col("fresh"))
     every = items.withColumns({"answer": answer, "touched": F.col("fresh") | told_of}).where("NOT result").withColumn("outcome", settled)
-    unnamed = F.row_number().over(Window.partitionBy("file", "key", F.col("id") == "").orderBy(*ORDER, "k")) - 1
-    key = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws(":", "key", unnamed.cast("string")))
+    key = F.when(F.col("id") != "", F.col("id")).otherwise(F.concat_ws(":", "key", F.col("number").cast("string")))
     target = F.when(F.col("path") != "", target_key(F.col("path"), F.col("cwd")))
     named = every.withColumn("dedupe_key", key).where("touched").withColumn("target", F.when(target != "", target))
     model = F.when(F.col("kind") != "compaction", F.col("model")).otherwise("")

@@ -188,10 +188,11 @@ def import_growing(store: Store, folder: str, names: str = "*.jsonl") -> Generat
 
     # where each file stands, after its last whole line
     said = F.struct(*(F.col(c).alias(name) for c, name in zip((*transcripts.SAID, "owner", "lost"), transcripts.CARRIED, strict=True)))
-    read = every.where("past > 0").groupBy("file").agg(F.max("past").alias("past"), F.max_by(said, F.struct(*transcripts.ORDER)).alias("now"))
+    read = fresh.groupBy("file").agg(F.max("past").alias("past"))
+    told_last = every.where("past > 0").groupBy("file").agg(F.max_by(said, F.struct(*transcripts.ORDER)).alias("now"))
     offset = F.greatest(F.col("start"), F.coalesce("past", F.lit(0)))
     stands = F.coalesce("now", "said", F.from_json(F.lit("{}"), SAID)).alias("said")
-    positions = changed.join(read, "file", "left").join(stood, ["file", "epoch"], "left").select("file", "epoch", "size", "modified", offset.alias("offset"), "head_size", "head_sum", stands, number.alias("seq"))
+    positions = changed.join(read, "file", "left").join(told_last, "file", "left").join(stood, ["file", "epoch"], "left").select("file", "epoch", "size", "modified", offset.alias("offset"), "head_size", "head_sum", stands, number.alias("seq"))
     made = store.change(base, append={"usage": offered(records, base), at: positions}, written=written)
     drop_cut(changed, fresh, old)
     return made
@@ -203,7 +204,7 @@ def _met_again(fresh: DataFrame, stood: DataFrame, old: DataFrame) -> DataFrame:
     going = stood.where("said.past_key IS NOT NULL").select("file", F.col("said.past_key").alias("key"), F.lit("assistant").alias("kind"), F.lit("").alias("uuid"))
     sought = fresh.select("file", "key", "kind", "uuid", "made", "tools", "results").unionByName(going, allowMissingColumns=True)
     link = lambda links: F.explode(links).alias("link")
-    met = cut(sought.select(link(transcripts.links(sought))).intersect(old.select(link(F.col("links")))), "met")
+    met = cut(old.select(link(F.col("links"))).join(sought.select(link(transcripts.links(sought))), "link", "left_semi").distinct(), "met")
     place = ["file", *transcripts.ORDER]
     hits = cut(old.select(*place, link(F.col("links"))).join(met, "link", "left_semi").select(*place).distinct(), "hits")
     found = cut(old.join(hits, place, "left_semi"), "old")
